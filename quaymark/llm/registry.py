@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm.common import read_table
 from quaymark.llm.packing import packing_digest
+from quaymark.llm.suffix_dedup import repeats_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op6_suffix_dedup": op6_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
