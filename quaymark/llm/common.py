@@ -33,3 +33,19 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     """The session's shuffle width, which grows with the cluster and the data it was set for."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def id_sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the rows, by a hash of doc_id: the same ones at each run."""
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sampled rows with their texts. A sample has a fixed most of rows, so it is broadcast."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    return texts.join(F.broadcast(rows), "doc_id")
+
+
+def bare_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out-free input of a scorer: the text as UTF-8 bytes, empty where null."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
