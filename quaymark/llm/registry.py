@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm.common import read_table
+from quaymark.llm.language_crf import language_digest
 from quaymark.llm.packing import packing_digest
+from quaymark.llm.quality_classifier import quality_digest
+from quaymark.llm.simhash import near_duplicates_digest
 from quaymark.llm.suffix_dedup import repeats_digest
+from quaymark.llm.toxicity import toxicity_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +23,36 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op6_suffix_dedup": op6_suffix_dedup}
+    found = (
+        op1_packing,
+        op2_toxicity,
+        op4_language,
+        op6_suffix_dedup,
+        op7_simhash,
+        op10_quality_classifier,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
