@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm.common import read_table
+from quaymark.llm.gif import media_digest
 from quaymark.llm.language_crf import language_digest
 from quaymark.llm.packing import packing_digest
 from quaymark.llm.quality_classifier import quality_digest
+from quaymark.llm.quality_rules import rules_digest, rules_sql
 from quaymark.llm.simhash import near_duplicates_digest
 from quaymark.llm.suffix_dedup import repeats_digest
 from quaymark.llm.toxicity import toxicity_digest
@@ -39,6 +41,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -50,10 +60,12 @@ def queries() -> dict[str, Query]:
         op4_language,
         op6_suffix_dedup,
         op7_simhash,
+        op8_gif,
+        op9_quality_rules,
         op10_quality_classifier,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": rules_sql()}
