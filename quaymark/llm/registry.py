@@ -12,6 +12,8 @@ from quaymark.llm.language_crf import language_digest
 from quaymark.llm.packing import packing_digest
 from quaymark.llm.quality_classifier import quality_digest
 from quaymark.llm.quality_rules import rules_digest, rules_sql
+from quaymark.llm.revisits import REVISITS_SQL, revisits_digest
+from quaymark.llm.sampled_pieces import sampled_digest
 from quaymark.llm.simhash import near_duplicates_digest
 from quaymark.llm.suffix_dedup import repeats_digest
 from quaymark.llm.toxicity import toxicity_digest
@@ -29,10 +31,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits_digest(read_table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sampled_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(read_table(spark, sf_dir, "documents"))
 
@@ -57,7 +69,9 @@ def queries() -> dict[str, Query]:
     found = (
         op1_packing,
         op2_toxicity,
+        op3_revisits,
         op4_language,
+        op5_sampled_pieces,
         op6_suffix_dedup,
         op7_simhash,
         op8_gif,
@@ -68,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": rules_sql()}
+    return {"op3_revisits": REVISITS_SQL, "op9_quality_rules": rules_sql()}
