@@ -1,11 +1,82 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written and read again before the next.
 
-STAGES = []
+Stages, in order: the quality classifier drops what it rejects; language identification drops what
+it rejects (no letter, or no language with half of the words); of each group of near-duplicates the
+document with the least id stays; byte strings that repeat anywhere are cut out of the texts that
+are left; the texts are packed into pieces. All stages but the last return the columns of
+``documents``; the texts that were cut have their lengths counted anew.
+
+Defined cases: null texts count as empty, so the quality classifier decides on them and language
+identification drops them; an empty table passes through; equal rows are one group of
+near-duplicates, of which one row stays; of rows that share an id at most one stays; other columns
+are left out.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaymark.llm import language_crf, quality_classifier, simhash, suffix_dedup
+from quaymark.llm.common import read_table
+from quaymark.llm.packing import packing_digest
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A language must have at least this share of a document's words.
+LEAST_SHARE = 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality_classifier.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality_classifier.score_quality(docs, model, carry=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_crf.identify(docs, language_crf.train(docs), carry=COLUMNS[1:])
+    return found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(docs, carry=("lang", "source"), as_text=True).withColumnRenamed("kept", "text")
+    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("language identification", keep_language),
+    ("near-duplicates", keep_one_of_near_duplicates),
+    ("repeated strings", cut_repeats),
+    ("packing", pack),
+]
+
+#: Models and byte-level steps have no SQL; tests hold stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

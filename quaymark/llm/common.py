@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,5 +49,28 @@ def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def bare_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out-free input of a scorer: the text as UTF-8 bytes, empty where null."""
+    """doc_id and the whole text as UTF-8 bytes, empty where null."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def map_texts(docs: DataFrame, outputs: str, compute: Callable[[list[bytes]], list[pa.Array]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, and the outputs (``name type, ...``) that ``compute`` gives a list of whole texts.
+
+    A null text is an empty one to ``compute`` and stays null where it is carried. Carried columns
+    must not have the names of outputs.
+    """
+    others = [c for c in carry if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(others)])
+    place = {c: 2 + k for k, c in enumerate(others)} | {"text": 1}
+    kinds = [f.dataType.simpleString() for f in rows.schema]
+    names = [f"carried_{k}" for k in range(len(carry))]
+    schema = ", ".join(["doc_id bigint", *(f"{n} {kinds[place[c]]}" for n, c in zip(names, carry, strict=True)), outputs])
+    found = [x.split()[0] for x in outputs.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            carried = [batch.column(place[c]) for c in carry]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *carried, *compute(texts)], names=["doc_id", *names, *found])
+
+    return rows.mapInArrow(scan, schema).toDF("doc_id", *carry, *found)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import bare_texts, id_sample, id_text_bucket, texts_of
+from quaymark.llm.common import id_sample, id_text_bucket, map_texts, texts_of
 
 MOST_DOCS = 3_000
 MOST_WORDS = 240_000
@@ -229,23 +229,20 @@ def train(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
     return fit([r[2].decode("utf-8", "replace") for r in found], [r[1] for r in found])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every whole text."""
+def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, lang_pred and score of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labels(texts: list[bytes]) -> list[pa.Array]:
         m = sent.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
-                langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-                texts = [words_of(t.as_py().decode("utf-8", "replace")) for t in batch.column(1)] if m.languages else []
-                for k, rows in word_marginals(m, texts):
-                    share = rows.mean(axis=0)
-                    langs[k], scores[k] = m.languages[int(share.argmax())], min(1.0, float(share.max()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
-
-    return bare_texts(docs).mapInArrow(scan, "doc_id bigint, lang_pred string, score double")
+        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for lo in range(0, len(texts) if m.languages else 0, 2000):
+            for k, rows in word_marginals(m, [words_of(t.decode("utf-8", "replace")) for t in texts[lo : lo + 2000]]):
+                share = rows.mean(axis=0)
+                langs[lo + k], scores[lo + k] = m.languages[int(share.argmax())], min(1.0, float(share.max()))
+        return [pa.array(langs, pa.string()), pa.array(scores)]
+
+    return map_texts(docs, "lang_pred string, score double", labels, carry)
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import bare_texts, id_sample, id_text_bucket, texts_of
+from quaymark.llm.common import id_sample, id_text_bucket, map_texts, texts_of
 
 MOST_ROWS = 8_000
 DIMENSIONS = 1 << 19
@@ -158,17 +158,15 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows
     return fit([np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows], np.array([r[1] for r in rows], np.int64))
 
 
-def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score (0 to 1, higher: the label is likelier 1) and predicted, of every whole text."""
+def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, score (0 to 1, higher: the label is likelier 1) and predicted, of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(Model(model.ratios.astype(np.float32), model.weights.astype(np.float32), model.bias, model.slope, model.offset))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: list[bytes]) -> list[pa.Array]:
         score = sent.value.score
-        for batch in batches:
-            scores = [float(score(features(t.as_py()))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        return [pa.array([float(score(features(t))) for t in texts], pa.float64())]
 
-    return bare_texts(docs).mapInArrow(scan, "doc_id bigint, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return map_texts(docs, "score double", scores, carry).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

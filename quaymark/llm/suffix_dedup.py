@@ -235,9 +235,11 @@ def _answer(answers: pa.Table, step: int, names: np.ndarray, n_buckets: int) ->
     return _within(names, once[flags])
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), n_chunks: int | None = None, n_buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False, n_chunks: int | None = None, n_buckets: int | None = None) -> DataFrame:
     """doc_id, the carried columns, n_bytes, n_removed, n_spans and what is left (``kept``, bytes).
 
+    With ``as_text``, ``kept`` is a string, without what is left of characters that a cut has broken.
+
     ``n_chunks`` and ``n_buckets`` follow the session's shuffle width. A chunk's texts and a
     bucket's names are held by one task, so the width should keep a partition's text near 100 MB.
     """
@@ -271,7 +273,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), n_chunks: int |
 
     shown = base.schema
     names = ["doc_id", *carry, "n_bytes", "n_removed", "n_spans", "kept"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         carried = [table.column(f"carried_{k}") for k in range(len(carry))]
@@ -283,6 +285,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), n_chunks: int |
             n_removed.append(n)
             n_spans.append(int(np.count_nonzero(own[1:] & ~own[:-1])) + int(n and own[0]))
             kept.append(np.frombuffer(chunk.text[lo:hi], np.uint8)[~own].tobytes() if n else chunk.text[lo:hi])
+        if as_text:
+            kept = [x.decode("utf-8", "ignore") for x in kept]
         columns = [pa.array(x, k) for x, k in zip((chunk.lengths, n_removed, n_spans, kept), kinds, strict=True)]
         return pa.table([table.column("doc_id"), *carried, *columns], names=[f"c{k}" for k in range(len(names))])
 
@@ -290,8 +294,9 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), n_chunks: int |
     for steps in range(1, STEPS):
         asked = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(ask_more(steps), QUESTIONS)
         answers = answers.unionByName(asked.groupBy("bucket").applyInArrow(_compare(steps + 1), ANSWERS))
+    left = "string" if as_text else "binary"
     kind = dict(zip(carry, [shown[f"carried_{k}"].dataType.simpleString() for k in range(len(carry))], strict=True))
-    schema = ", ".join(f"c{k} {kind[c] if c in kind else 'binary' if c == 'kept' else 'bigint'}" for k, c in enumerate(names))
+    schema = ", ".join(f"c{k} {kind[c] if c in kind else left if c == 'kept' else 'bigint'}" for k, c in enumerate(names))
     return base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema).toDF(*names)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import bare_texts, id_sample, id_text_bucket, texts_of
+from quaymark.llm.common import id_sample, id_text_bucket, map_texts, texts_of
 
 MOST_ROWS = 12_000
 MOST_CANDIDATES = 20_000
@@ -223,17 +223,15 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPT
     return Model(model.weights, model.exceptions, logistic_plane(table[["a", "b"]].to_numpy(), (table["label"] == 1).to_numpy(float)))
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score (0 to 1, higher: the label is likelier 1) and predicted, of every whole text."""
+def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, score (0 to 1, higher: the label is likelier 1) and predicted, of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: list[bytes]) -> list[pa.Array]:
         score = sent.value.score
-        for batch in batches:
-            scores = [score(t.as_py().decode("utf-8", "replace")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        return [pa.array([score(t.decode("utf-8", "replace")) for t in texts], pa.float64())]
 
-    return bare_texts(docs).mapInArrow(scan, "doc_id bigint, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return map_texts(docs, "score double", scores, carry).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
