@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     bucket's names are held by one task, so the width should keep a partition's text near 100 MB.
     """
     width = partitions_for(docs.sparkSession)
-    n_chunks, n_buckets = n_chunks or 3 * width, n_buckets or width
+    n_chunks, n_buckets = n_chunks or 2 * width, n_buckets or max(1, width // 2)
     base = docs.select(
         F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n_chunks)).cast("int").alias("chunk"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
