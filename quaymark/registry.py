@@ -1,11 +1,565 @@
-"""Queries over the driver's tables and the SQL they are held against."""
+"""Queries over the driver's tables: each operator over columns that stand for its own, and the SQL it is held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaymark.functions import ids, paths, text
+from quaymark.operators import compatibility as compat
+from quaymark.operators import consumption, correlation, gates, inventory, merging, reach, spans, validation
+from quaymark.plans import render
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+SHAPE_SQL = r"regexp_replace({}, '\{{[A-Za-z_][A-Za-z0-9_-]*(:[^}}]+)?\}}', '{{}}', 'g')"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Scalar functions ---------------------------------------------------------------------------------
+
+_TEMPLATED = r"regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/([0-9]+)', '/{item_id:[0-9]+}', 'g')"
+
+
+def _templated_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a path whose numbers are placeholders."""
+    path = F.regexp_replace(F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1), "/([0-9]+)", r"/{item_id:[0-9]+}")
+    return _read(spark, d, "pages").select("page_id", "url", path.alias("path"))
+
+
+@query(f"SELECT page_id, {SHAPE_SQL.format(_TEMPLATED)} AS shape, len(regexp_extract_all({_TEMPLATED}, '\\{{([A-Za-z_][A-Za-z0-9_-]*)(:[^}}]+)?\\}}', 1))::BIGINT AS n_parameters FROM pages")
+def path_shape(spark, d):
+    p = _templated_pages(spark, d)
+    return p.select("page_id", paths.path_shape(F.col("path")).alias("shape"), F.size(paths.path_parameter_names(F.col("path"))).cast("bigint").alias("n_parameters"))
+
+
+@query(
+    r"SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS base, CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) END AS path,"
+    r" CASE WHEN regexp_extract(url, '^https?://[^/?#]*(/[^?#]*)', 1) <> '' THEN regexp_extract(url, '^https?://[^/?#]*(/[^?#]*)', 1) ELSE url END AS contract_path FROM pages"
+)
+def url_split(spark, d):
+    base, path = paths.split_url(F.col("url"))
+    return _read(spark, d, "pages").select("page_id", base.alias("base"), path.alias("path"), paths.contract_path(F.col("url")).alias("contract_path"))
+
+
+@query(r"SELECT p_partkey, replace(replace('/shop/{a}/x' || (p_partkey % 3) || '/{b:[0-9]+}', '{a}', '{param1}'), '{b:[0-9]+}', '{param2}') AS canonical FROM part")
+def canonical_path(spark, d):
+    path = F.concat(F.lit("/shop/{a}/x"), (F.col("p_partkey") % 3).cast("string"), F.lit("/{b:[0-9]+}"))
+    return _read(spark, d, "part").select("p_partkey", paths.canonical_path(path).alias("canonical"))
+
+
+_PATH = r"regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""SELECT scope, count(*) AS n FROM (SELECT CASE WHEN ({_PATH} GLOB '/en/*' OR {_PATH} GLOB '/d[ef]/?*') AND NOT ('GET ' || {_PATH} GLOB 'GET */*7*') THEN 'required' ELSE 'excluded' END AS scope FROM pages) GROUP BY scope""")
+def scope_partition(spark, d):
+    path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
+    rows = _read(spark, d, "pages").select(paths.scope(F.col("page_id").cast("string"), F.lit("GET"), path, ("/en/*", "/d[ef]/?*"), ("GET */*7*",)).alias("scope"))
+    return rows.groupBy("scope").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, ({_PATH} = '/en' OR starts_with({_PATH}, '/en/') OR {_PATH} = '/fr' OR starts_with({_PATH}, '/fr/')) AS excluded FROM pages")
+def exclude_prefix(spark, d):
+    path = F.regexp_extract("url", r"^https?://[^/?#]*/?([^?#]*)", 1)
+    return _read(spark, d, "pages").select("page_id", paths.excluded(path, ["en/", "fr"]).alias("excluded"))
+
+
+@query("""SELECT n_nationkey, 'ep_' || left(sha256('unknown-api|exposed|GET|/' || r_name || '/' || n_name), 20) AS endpoint_id,
+ 'endpoint-' || left(sha256('{"direction":"exposed","method":"GET","path_shape":"/' || n_name || '"}'), 20) AS contract_id
+ FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def stable_ids(spark, d):
+    rows = _read(spark, d, "nation").join(_read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.concat(F.lit("/"), F.col("r_name"), F.lit("/"), F.col("n_name"))
+    return rows.select(
+        "n_nationkey",
+        ids.endpoint_id(F.lit(None).cast("string"), F.lit("Exposed "), F.lit("get"), path).alias("endpoint_id"),
+        ids.contract_id(F.lit("exposed"), F.lit("get"), F.concat(F.lit("/"), F.col("n_name"))).alias("contract_id"),
+    )
+
+
+@query(r"""SELECT c_custkey, 'Authorization: Bearer [REDACTED] user=' || c_name || ' password=[REDACTED], url=https://u:[REDACTED]@h/x?token=[REDACTED]&k=1' AS shown,
+ (c_custkey % 2 = 0) AS raw_secret FROM customer""")
+def redaction(spark, d):
+    key = F.col("c_custkey").cast("string")
+    raw = F.concat(F.lit("Authorization: Bearer abc"), key, F.lit(" user="), F.col("c_name"), F.lit(" password=pw"), key, F.lit(", url=https://u:"), key, F.lit("@h/x?token=t"), key, F.lit("&k=1"))
+    shown = text.redact(raw)
+    maybe = F.when(F.col("c_custkey") % 2 == 0, raw).otherwise(shown)
+    return _read(spark, d, "customer").select("c_custkey", shown.alias("shown"), text.secret_like(maybe).alias("raw_secret"))
+
+
+@query("SELECT doc_id, CASE WHEN position('ing' IN text) > 0 THEN len(string_split(left(text, position('ing' IN text) - 1), chr(10)))::BIGINT END AS line FROM documents")
+def first_match_line(spark, d):
+    return _read(spark, d, "documents").select("doc_id", text.first_line_of(F.col("text"), "ing").alias("line"))
+
+
+@query(r"SELECT page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS masked FROM pages")
+def comment_mask(spark, d):
+    return _read(spark, d, "pages").select("page_id", F.md5(text.mask_html_comments(F.col("html")).cast("binary")).alias("masked"))
+
+
+@query("SELECT event_id, '{\"a\":[1,2],\"id\":' || event_id || ',\"k\":' || (event_id % 7) || '}' AS canonical FROM events")
+def canonical_json(spark, d):
+    key = F.col("event_id").cast("string")
+    raw = F.concat(F.lit('{ "k" : '), (F.col("event_id") % 7).cast("string"), F.lit(', "id": '), key, F.lit(', "a": [1, 2]}'))
+    return _read(spark, d, "events").select("event_id", ids.canonical_json(raw).alias("canonical"))
+
+
+@query("SELECT a.r_regionkey AS left_key, b.r_regionkey AS right_key, a.r_name = b.r_name AS equal FROM region a CROSS JOIN (SELECT * FROM region WHERE r_regionkey < 3) b")
+def artifact_equal(spark, d):
+    """Artifacts that differ in key order, set order and volatile keys are equal; others are not."""
+    r = _read(spark, d, "region")
+    first = r.select(F.col("r_regionkey").alias("left_key"), ids.artifact_digest(F.concat(F.lit('{"fields":["a","b"],"name":"'), F.col("r_name"), F.lit('","generated_at":"x"}'))).alias("x"))
+    other = r.where("r_regionkey < 3").select(F.col("r_regionkey").alias("right_key"), ids.artifact_digest(F.concat(F.lit('{"generated_at":"y","name":"'), F.col("r_name"), F.lit('","fields":["b","a"]}'))).alias("y"))
+    few = F.broadcast(other)  # three rows
+    return first.join(few, F.lit(True)).select("left_key", "right_key", (F.col("x") == F.col("y")).alias("equal"))
+
+
+@query("SELECT event_id, event_type || ',k' AS fields, CASE WHEN event_id % 2 = 0 THEN 'k' ELSE '' END AS required, 'integer' AS k_type FROM (SELECT event_id, CASE WHEN event_type < 'k' THEN event_type ELSE 'a_' || event_type END AS event_type FROM events)")
+def schema_fields(spark, d):
+    name = F.when(F.col("event_type") < "k", F.col("event_type")).otherwise(F.concat(F.lit("a_"), F.col("event_type")))
+    need = F.when(F.col("event_id") % 2 == 0, ',"required":["k","k"]').otherwise("")
+    schema = F.concat(F.lit('{"properties":{"k":{"type":"integer"},"'), name, F.lit('":{"type":"string"}}'), need, F.lit("}"))
+    return _read(spark, d, "events").select(
+        "event_id", F.array_join(validation.schema_fields(schema), ",").alias("fields"), F.array_join(validation.schema_required(schema), ",").alias("required"), validation.schema_profile(schema, "k")[0].alias("k_type")
+    )
+
+
+# Extraction ---------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, ordinality::BIGINT - 1 AS position, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS ordinality FROM pages)""")
+def link_extract(spark, d):
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return _read(spark, d, "pages").select("page_id", F.posexplode(links).alias("position", "href")).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<(?:a|p|div)\b'))::BIGINT AS broad, len(regexp_extract_all(html, '<a href="[^"]+"'))::BIGINT AS precise,
+ (len(regexp_extract_all(html, '<(?:a|p|div)\b')) - len(regexp_extract_all(html, '<a href="[^"]+"')))::BIGINT AS unresolved FROM pages""")
+def broad_minus_precise(spark, d):
+    broad, precise = (F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0))).cast("bigint") for p in (r"<(?:a|p|div)\b", r'<a href="[^"]+"'))
+    return _read(spark, d, "pages").select("page_id", broad.alias("broad"), precise.alias("precise"), (broad - precise).alias("unresolved"))
+
+
+@query("""SELECT n_nationkey, upper(m) AS method, '/' || n_name || '/{id}' AS path FROM nation, (VALUES ('get'), ('post')) v(m)
+ UNION ALL SELECT n_nationkey, 'DELETE', '/' || n_name FROM nation""")
+def route_extract(spark, d):
+    """Endpoints from a generated Laravel file for each nation, by the real extractor."""
+    from quaymark.operators.extraction import extract
+
+    code = F.concat(F.lit("<?php\n// Route::get('/commented', 'x');\nRoute::match(['get', 'post'], '/"), F.col("n_name"), F.lit("/:id', 'C@m');\nRoute::delete('/"), F.col("n_name"), F.lit("', 'C@d');\n"))
+    files = _read(spark, d, "nation").select(F.lit("r").alias("repository_id"), F.concat(F.col("n_nationkey").cast("string"), F.lit(".php")).alias("path"), code.alias("text"))
+    rows = extract(files).where("kind = 'endpoint'")
+    return rows.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("int").alias("n_nationkey"), "method", F.col("endpoint").alias("path"))
+
+
+_SIGNATURES = [("en-article", "language", r"\bthe\b", None), ("de-article", "language", r"\bder\b", None), ("currency", "junk", r"\$\$\$", None), ("table", "layout", r" \| ", None)]
+
+
+def _signature_rows(spark: SparkSession, d: str) -> DataFrame:
+    table = spark.createDataFrame(_SIGNATURES, "name string, kind string, pattern string, extensions array<string>")
+    return inventory.detect(_read(spark, d, "documents"), table, "doc_id", "text")
+
+
+_DETECTED = r"""SELECT doc_id, name, kind FROM documents, (VALUES ('en-article', 'language', '\bthe\b'), ('de-article', 'language', '\bder\b'), ('currency', 'junk', '\$\$\$'), ('table', 'layout', ' \| ')) s(name, kind, pattern) WHERE regexp_matches(text, pattern)"""
+
+
+@query(_DETECTED)
+def signature_detect(spark, d):
+    return _signature_rows(spark, d)
+
+
+@query(f"SELECT kind, name, count(*) AS n, min(doc_id) AS first_doc, CASE WHEN bool_or(doc_id % 3 = 0) THEN 'confirmed' ELSE 'probable' END AS confidence FROM ({_DETECTED}) GROUP BY kind, name")
+def detection_merge(spark, d):
+    rows = _signature_rows(spark, d).withColumn("confidence", F.when(F.col("doc_id") % 3 == 0, "confirmed").otherwise("probable"))
+    merged = inventory.merge_detections(rows, "doc_id")
+    return merged.select("kind", "name", F.size("evidence").cast("bigint").alias("n"), F.element_at("evidence", 1).alias("first_doc"), "confidence")
+
+
+@query("""SELECT p_partkey, name FROM part, (VALUES ('java', 'STEEL', 'contains'), ('dotnet', 'ECONOMY', 'prefix'), ('npm', 'PROMO BRUSHED', 'exact')) k(ecosystem, name, mode)
+ WHERE ecosystem = CASE p_partkey % 3 WHEN 0 THEN 'java' WHEN 1 THEN 'dotnet' ELSE 'npm' END
+ AND CASE mode WHEN 'exact' THEN replace(p_type, ' ', '.') = name WHEN 'contains' THEN contains(replace(p_type, ' ', '.'), name) ELSE replace(p_type, ' ', '.') = name OR starts_with(replace(p_type, ' ', '.'), name || '.') END""")
+def dependency_lookup(spark, d):
+    declared = _read(spark, d, "part").select(
+        "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "java").when(F.col("p_partkey") % 3 == 1, "dotnet").otherwise("npm").alias("ecosystem"), F.translate("p_type", " ", ".").alias("dependency")
+    )
+    known = spark.createDataFrame([("java", "STEEL", "contains"), ("dotnet", "ECONOMY", "prefix"), ("npm", "PROMO BRUSHED", "exact")], "ecosystem string, name string, mode string")
+    return inventory.match_dependencies(declared, known).select("p_partkey", "name")
+
+
+@query("""SELECT lang, count(*) AS n, string_agg(CASE WHEN r <= 20 THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS first FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) GROUP BY lang""")
+def language_histogram(spark, d):
+    rows = inventory.histogram(_read(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id")
+    return rows.select("lang", "n", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first"))
+
+
+# Correlation --------------------------------------------------------------------------------------
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers consume and suppliers provide by nation; a customer may state a supplier's name."""
+    c = _read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.format_string("Supplier#%09d", F.col("c_custkey") % 150).alias("stated"))
+    return c, _read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_name", F.col("s_suppkey").cast("string").alias("s_id"))
+
+
+def _correlated(spark: SparkSession, d: str) -> DataFrame:
+    c, s = _sides(spark, d)
+    return correlation.correlate(c, s, ["nation"], "c_custkey", "s_suppkey", "stated", ["s_name", "s_id"])
+
+
+_CORRELATED = """SELECT c_custkey, c_nationkey AS nation, coalesce(n, 0)::BIGINT AS candidate_count, coalesce(p, 0)::BIGINT AS proven_count,
+ CASE WHEN coalesce(p, 0) = 1 THEN proven WHEN n = 1 THEN least END AS provider,
+ CASE WHEN coalesce(n, 0) = 0 THEN 'unmatched' WHEN p = 1 THEN 'matched_confirmed' WHEN n = 1 THEN 'unique_candidate' ELSE 'ambiguous' END AS status
+ FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS least FROM supplier GROUP BY 1) c ON c_nationkey = s_nationkey
+ LEFT JOIN (SELECT s_nationkey AS pn, s_name, count(*) AS p, min(s_suppkey) AS proven FROM supplier GROUP BY 1, 2) q ON c_nationkey = pn AND s_name = printf('Supplier#%09d', c_custkey % 150)"""
+
+
+@query("""SELECT c_custkey, c_nationkey AS nation, coalesce(n, 0)::BIGINT AS candidate_count, 0::BIGINT AS proven_count, CASE WHEN n = 1 THEN least END AS provider,
+ CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'unique_candidate' ELSE 'ambiguous' END AS status
+ FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS least FROM supplier GROUP BY 1) s ON c_nationkey = s_nationkey""")
+def correlate(spark, d):
+    c, s = _sides(spark, d)
+    return correlation.correlate(c, s, ["nation"], "c_custkey", "s_suppkey")
+
+
+@query(_CORRELATED)
+def correlate_identity(spark, d):
+    return _correlated(spark, d)
+
+
+@query(f"""SELECT count(*) AS consumers, count(*) FILTER (status = 'matched_confirmed') AS matched_confirmed, count(*) FILTER (status = 'unique_candidate') AS unique_candidate,
+ count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'unmatched') AS unmatched, count(DISTINCT provider) AS providers_named, true AS reconciled FROM ({_CORRELATED})""")
+def correlate_coverage(spark, d):
+    return correlation.coverage(_correlated(spark, d))
+
+
+@query(f"""WITH c AS ({_CORRELATED}) SELECT s_suppkey, coalesce(string_agg(CASE WHEN status = 'matched_confirmed' THEN c_custkey::VARCHAR END, ',' ORDER BY c_custkey), '') AS confirmed,
+ coalesce(string_agg(CASE WHEN status = 'unique_candidate' THEN c_custkey::VARCHAR END, ',' ORDER BY c_custkey), '') AS only, coalesce(string_agg(CASE WHEN status = 'ambiguous' THEN c_custkey::VARCHAR END, ',' ORDER BY c_custkey), '') AS ambiguous
+ FROM c JOIN supplier ON s_nationkey = nation WHERE status <> 'matched_confirmed' OR provider = s_suppkey GROUP BY s_suppkey""")
+def reverse_index(spark, d):
+    c, s = _sides(spark, d)
+    edges = correlation.candidates(c, s, ["nation"], "c_custkey", "s_suppkey").drop("nation")
+    found = correlation.reverse_index(_correlated(spark, d), edges, "c_custkey", "s_suppkey")
+    show = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
+    return found.select("s_suppkey", show("confirmed").alias("confirmed"), show("unique").alias("only"), show("ambiguous").alias("ambiguous"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 9000)")
+def unmatched(spark, d):
+    return _read(spark, d, "customer").join(_read(spark, d, "supplier").where("s_acctbal > 9000"), F.col("c_nationkey") == F.col("s_nationkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal < -900)")
+def consumed_providers(spark, d):
+    return _read(spark, d, "supplier").join(_read(spark, d, "customer").where("c_acctbal < -900"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").select("s_suppkey")
+
+
+@query("SELECT event_type FROM (SELECT DISTINCT event_type FROM events) WHERE event_type NOT IN ('click', 'view')")
+def unsupported_detectors(spark, d):
+    supported = spark.createDataFrame([("click",), ("view",)], "event_type string")
+    return inventory.unsupported(_read(spark, d, "events").select("event_type").distinct(), supported, "event_type")
+
+
+# Merging ------------------------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def snapshot_dedupe(spark, d):
+    return merging.snapshots(_read(spark, d, "documents"), "text", "doc_id")
+
+
+@query("""SELECT o_custkey, count(DISTINCT o_orderstatus) AS commits, count(DISTINCT o_orderpriority) AS contents, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'different_commits' ELSE 'different_contents' END AS conflict
+ FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1 OR count(DISTINCT o_orderpriority) > 1""")
+def snapshot_conflict(spark, d):
+    return merging.snapshot_conflicts(_read(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_identity(spark, d):
+    return merging.duplicate_identities(_read(spark, d, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("""WITH f AS (SELECT user_id, event_type, props, min(event_id) AS first, bool_or(value > 20) AS sure FROM events GROUP BY 1, 2, 3)
+ SELECT user_id, event_type, string_agg(props, ';' ORDER BY first) AS evidence, CASE WHEN bool_or(sure) THEN 'confirmed' ELSE 'probable' END AS confidence FROM f GROUP BY 1, 2""")
+def endpoint_merge(spark, d):
+    rows = _read(spark, d, "events").withColumn("confidence", F.when(F.col("value") > 20, "confirmed").otherwise("probable"))
+    merged = merging.merge_evidence(rows, ["user_id", "event_type"], "event_id", "props", "confidence")
+    return merged.select("user_id", "event_type", F.array_join("props", ";").alias("evidence"), "confidence")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(props, event_id) AS props FROM events GROUP BY 1, 2")
+def last_definition(spark, d):
+    rows = _read(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("seen"), "event_id", "props")
+    return merging.last_wins(rows, ["user_id", "event_type"], "seen").select("user_id", "event_type", "event_id", "props")
+
+
+@query("""SELECT code, count(*) AS n, CASE WHEN contains(code, 'soap') OR contains(code, 'integration') THEN 'integration' WHEN contains(code, 'semantic') THEN 'semantics' WHEN contains(code, 'contract') OR contains(code, 'request') OR contains(code, 'response') THEN 'contract'
+ WHEN contains(code, 'route') OR contains(code, 'url') THEN 'endpoint' ELSE 'other' END AS category
+ FROM (SELECT DISTINCT CASE event_id % 6 WHEN 0 THEN 'slim_dynamic_route_unresolved' WHEN 1 THEN 'soap_operation_unresolved' WHEN 2 THEN 'slim_php_request_body_dynamic' WHEN 3 THEN 'slim_php_semantic_dynamic_sql' WHEN 4 THEN 'axios_dynamic_url_unresolved' ELSE 'unsupported_http_client' END AS code, user_id FROM events WHERE event_type = 'error') GROUP BY 1, 3""")
+def unresolved_issues(spark, d):
+    codes = ["slim_dynamic_route_unresolved", "soap_operation_unresolved", "slim_php_request_body_dynamic", "slim_php_semantic_dynamic_sql", "axios_dynamic_url_unresolved", "unsupported_http_client"]
+    rows = _read(spark, d, "events").where("event_type = 'error'").withColumn("code", F.element_at(F.array(*map(F.lit, codes)), (F.col("event_id") % 6 + 1).cast("int")))
+    once = merging.distinct_unresolved(rows, ["code", "user_id"])
+    return once.groupBy("code").agg(F.count("*").alias("n")).withColumn("category", merging.issue_category(F.col("code")))
+
+
+# Compatibility ------------------------------------------------------------------------------------
+
+
+def _set_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's kinds of events in either half of the table, as field sets; null where a half has none."""
+    e = _read(spark, d, "events").withColumn("kind", F.concat("event_type", F.lit("_"), (F.col("value") / 20).cast("int").cast("string")))
+    early = F.col("event_id") % 2 == 0
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(early & (F.col("value") > 15), F.col("kind")))).alias("a"), F.array_sort(F.collect_set(F.when(~early & (F.col("value") > 15), F.col("kind")))).alias("b"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id % 2 = 0 AS early, event_type || '_' || trunc(value / 20)::INT AS kind FROM events WHERE value > 15), u AS (SELECT DISTINCT user_id FROM events),
+ s AS (SELECT u.user_id, list_sort(coalesce(list(DISTINCT kind) FILTER (early), [])) AS a, list_sort(coalesce(list(DISTINCT kind) FILTER (NOT early), [])) AS b FROM u LEFT JOIN e ON u.user_id = e.user_id GROUP BY 1)
+ SELECT user_id, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS removed, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ',') AS added,
+ CASE WHEN len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0 THEN 'breaking' WHEN len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0 THEN 'unknown' ELSE 'same' END AS classification FROM s""")
+def compare_sets(spark, d):
+    """Response fields removed are breaking, fields added of unknown tolerance are unknown."""
+    side = lambda fields: F.from_json(F.lit("{}"), compat.RESPONSE).withField("fields", fields)
+    rows = _set_sides(spark, d).select("user_id", side(F.col("a")).alias("x"), side(F.col("b")).alias("y"))
+    found = rows.select("user_id", F.filter(compat.compare_response(F.col("x"), F.col("y")), lambda f: f["code"].isin("response_field_removed", "response_field_addition_compatibility_unknown")).alias("f"))
+    of = lambda kind: F.array_join(F.transform(F.filter("f", lambda f: f["classification"] == kind), lambda f: f["detail"]), ",")
+    return found.select("user_id", of("breaking").alias("removed"), of("unknown").alias("added"), compat.worst(F.col("f")).alias("classification"))
+
+
+_STATE = "CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END"
+_AFTER = "CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN true WHEN left(o_orderpriority, 1) IN ('3', '4') THEN false END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN a IS NULL OR b IS NULL THEN 'parameter_requiredness_unknown' WHEN NOT a AND b THEN 'parameter_requiredness_became_stricter' ELSE '' END AS codes,
+ CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN NOT a AND b THEN 'breaking' ELSE 'same' END AS classification FROM (SELECT o_orderkey, {_STATE} AS a, {_AFTER} AS b FROM orders)""")
+def compare_requiredness(spark, d):
+    one = lambda need: F.create_map(F.lit("query:q"), F.struct(F.expr(need).alias("required"), F.lit("string").alias("type"), F.lit(None).cast("string").alias("format")))
+    found = _read(spark, d, "orders").select("o_orderkey", compat.compare_parameters(one(_STATE), one(_AFTER)).alias("f"))
+    return found.select("o_orderkey", F.array_join(F.transform("f", lambda f: f["code"]), ",").alias("codes"), compat.worst(F.col("f")).alias("classification"))
+
+
+@query("""WITH v(t) AS (VALUES (NULL), ('string'), ('integer')), f(x) AS (VALUES (NULL), ('date'), ('uuid'))
+ SELECT coalesce(a.t, '-') AS type_a, coalesce(b.t, '-') AS type_b, coalesce(m.x, '-') AS format_a, coalesce(n.x, '-') AS format_b,
+ concat_ws(',', CASE WHEN a.t IS NULL OR b.t IS NULL THEN 'type_unknown' END, CASE WHEN a.t <> b.t THEN 'type_changed' END, CASE WHEN m.x <> n.x THEN 'format_changed' END, CASE WHEN (m.x IS NULL) <> (n.x IS NULL) THEN 'format_unknown' END) AS codes
+ FROM v a CROSS JOIN v b CROSS JOIN f m CROSS JOIN f n""")
+def type_format_profile(spark, d):
+    types, formats = [None, "string", "integer"], [None, "date", "uuid"]
+    rows = spark.createDataFrame([(a, b, m, n) for a in types for b in types for m in formats for n in formats], "ta string, tb string, fa string, fb string")
+    codes = {"type": "type_changed", "format": "format_changed", "unknown_type": "type_unknown", "unknown_format": "format_unknown"}
+    found = compat.compare_profile((F.col("ta"), F.col("fa")), (F.col("tb"), F.col("fb")), F.lit("x"), codes)
+    shown = [F.coalesce(c, F.lit("-")).alias(n) for c, n in (("ta", "type_a"), ("tb", "type_b"), ("fa", "format_a"), ("fb", "format_b"))]
+    return rows.select(*shown, F.array_join(F.transform(found, lambda f: f["code"]), ",").alias("codes"))
+
+
+def contract(**parts: F.Column) -> F.Column:
+    """A contract with the given dotted fields, and every other fact unknown."""
+    base = F.from_json(F.lit('{"request":{},"response":{},"authentication":{},"behavior":{}}'), compat.CONTRACT)
+    for name, value in parts.items():
+        base = base.withField(name.replace("__", "."), value)
+    return base
+
+
+def _customer_contract() -> F.Column:
+    k = F.col("c_custkey")
+    strings = lambda *x: F.array(*map(F.lit, x))
+    return contract(
+        contract_status=F.when(k % 5 == 0, F.lit("partial")).otherwise("complete"),
+        semantic_status=F.when(k % 7 == 0, F.lit("unknown")).otherwise("complete"),
+        request__fields=strings("a", "b"),
+        request__content_type=F.when(k % 3 != 0, F.lit("application/json")),
+        response__fields=strings("x"),
+        response__content_type=F.lit("application/json"),
+        response__status_codes=F.when(k % 2 == 0, F.array(F.lit(200))),
+        authentication__authentication=F.when(F.col("c_acctbal") > 0, F.lit("bearer")),
+    )
+
+
+@query("""SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 5 = 0 THEN 'contract_status' END, CASE WHEN c_custkey % 7 = 0 THEN 'semantic_status' END, CASE WHEN c_custkey % 3 = 0 THEN 'request_content_type' END,
+ CASE WHEN c_custkey % 2 <> 0 THEN 'response' END, CASE WHEN c_acctbal > 0 THEN NULL ELSE 'authentication' END) AS reasons FROM customer""")
+def material_unknown(spark, d):
+    return _read(spark, d, "customer").select("c_custkey", F.array_join(compat.material_unknown(_customer_contract()), ",").alias("reasons"))
+
+
+def _orders_contract(known: F.Column, fields: F.Column, need: F.Column) -> F.Column:
+    return contract(
+        contract_status=F.lit("complete"), semantic_status=F.lit("complete"), materiality=F.lit("internal"), request__fields=fields, request__required_fields=need, request__content_type=F.lit("application/json"),
+        request__types=F.map_from_arrays(fields, F.transform(fields, lambda _: F.lit("string"))), request__accepts_additional_fields=known,
+        response__fields=F.array(F.lit("id")), response__fields_used_by_consumer=F.array(F.lit("id")), response__types=F.create_map(F.lit("id"), F.lit("integer")), response__content_type=F.lit("application/json"),
+        response__status_codes=F.array(F.lit(200)), authentication__authentication=F.lit("bearer"), authentication__required=F.lit(True),
+    )
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """Orders depend on suppliers by number: none, one or several provide; fields and tolerance vary by key."""
+    k = F.col("o_orderkey")
+    sent = F.when(k % 4 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    consumers = _read(spark, d, "orders").select("o_orderkey", (k % 120).alias("api"), _orders_contract(F.lit(None).cast("boolean"), sent, F.array().cast("array<string>")).alias("contract"))
+    s = F.col("s_suppkey")
+    providers = _read(spark, d, "supplier").where("s_suppkey < 100").select(F.when(s % 10 == 3, s - 1).otherwise(s).alias("api"), _orders_contract(F.when(s % 3 == 0, F.lit(True)), F.array(F.lit("a"), F.lit("b")), F.when(s % 5 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("contract"))
+    return consumption.check_consumers(consumers, providers, ["api"], "o_orderkey")
+
+
+_CHECKED = """SELECT o_orderkey, api, coalesce(n, 0)::BIGINT AS n_providers,
+ CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN NOT extra THEN 'compatible' WHEN s % 5 = 0 THEN 'breaking' WHEN s % 3 = 0 THEN 'compatible' ELSE 'unknown' END AS status
+ FROM (SELECT o_orderkey, o_orderkey % 120 AS api, o_orderkey % 4 = 0 AS extra FROM orders) o
+ LEFT JOIN (SELECT CASE WHEN s_suppkey % 10 = 3 THEN s_suppkey - 1 ELSE s_suppkey END AS a, count(*) AS n, min(s_suppkey) AS s FROM supplier WHERE s_suppkey < 100 GROUP BY 1) p ON api = a"""
+
+
+@query(_CHECKED)
+def consumer_compat(spark, d):
+    return _checked(spark, d).select("o_orderkey", "api", "n_providers", "status")
+
+
+@query(f"""WITH c AS ({_CHECKED}), b AS (SELECT bool_or(status IN ('breaking', 'missing')) AS breaking, bool_or(status IN ('unknown', 'ambiguous')) AS unclear FROM c)
+ SELECT mode, CASE WHEN mode = 'report' THEN 'passed' WHEN breaking THEN 'failed' WHEN mode = 'strict' AND unclear THEN 'failed' ELSE 'passed' END AS gate FROM b, (VALUES ('report'), ('breaking'), ('strict')) m(mode)""")
+def gate_modes(spark, d):
+    s = consumption.summary(_checked(spark, d))
+    breaking, unknown = (F.col("breaking") > 0) | (F.col("missing") > 0), (F.col("unknown") > 0) | (F.col("ambiguous") > 0)
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), compat.gate(m, breaking, unknown).alias("gate")) for m in ("report", "breaking", "strict")])
+    return s.select(F.explode(modes).alias("m")).select("m.mode", "m.gate")
+
+
+def _compared(spark: SparkSession, d: str, policy: bool) -> DataFrame:
+    """Parts as endpoints of two catalogs: sizes decide what the candidate lost, gained or weakened."""
+    p = _read(spark, d, "part")
+    k = F.col("p_partkey")
+
+    def side(new: bool) -> F.Column:
+        fields = F.when(F.lit(new) & (F.col("p_size") % 4 == 0), F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+        mechanism = F.when(F.lit(new) & (F.col("p_size") % 5 == 0), F.lit(None).cast("string")).otherwise(F.lit("admin"))
+        return contract(
+            contract_status=F.lit("complete"), semantic_status=F.lit("complete"), materiality=F.lit("internal"), request__fields=F.array(F.lit("q")), request__content_type=F.lit("json"), request__types=F.create_map(F.lit("q"), F.lit("string")),
+            response__fields=fields, response__types=F.create_map(F.lit("a"), F.lit("string"), F.lit("b"), F.lit("string")), response__content_type=F.lit("json"), response__status_codes=F.array(F.lit(200)),
+            authentication__authentication=F.lit("bearer"), authentication__authorization=mechanism,
+        )
+
+    old = p.where("p_partkey % 10 <> 7").select("p_partkey", side(False).alias("contract"))
+    return compat.compare_contracts(old, p.where("p_partkey % 10 <> 8").select(k.alias("p_partkey"), side(True).alias("contract")), ["p_partkey"], policy)
+
+
+_CLASS = "CASE WHEN p_partkey % 10 = 8 THEN 'breaking' WHEN p_partkey % 10 = 7 THEN 'additive' WHEN p_size % 4 = 0 THEN 'breaking' WHEN p_size % 5 = 0 AND {} THEN 'breaking' ELSE 'same' END"
+
+
+@query(f"SELECT p_partkey, {_CLASS.format('false')} AS classification, (p_partkey % 10 <> 7) AS required FROM part")
+def compare_catalogs(spark, d):
+    return _compared(spark, d, False).select("p_partkey", "classification", "required")
+
+
+@query(f"""SELECT count(*) AS endpoints, count(*) FILTER (p_partkey % 10 <> 7) AS required_endpoints, count(*) FILTER (c = 'same') AS same, count(*) FILTER (c = 'additive') AS additive, 0::BIGINT AS "unknown", count(*) FILTER (c = 'breaking') AS breaking,
+ count(*) FILTER (both_sides AND p_size % 5 = 0 AND false) AS same_findings, count(*) FILTER (p_partkey % 10 = 7) AS additive_findings, 0::BIGINT AS unknown_findings,
+ count(*) FILTER (p_partkey % 10 = 8) + count(*) FILTER (both_sides AND p_size % 4 = 0) + count(*) FILTER (both_sides AND p_size % 5 = 0) AS breaking_findings, count(*) FILTER (both_sides AND p_size % 5 = 0) AS security_drift
+ FROM (SELECT *, {_CLASS.format('true')} AS c, p_partkey % 10 NOT IN (7, 8) AS both_sides FROM part)""")
+def security_drift(spark, d):
+    return compat.summary(_compared(spark, d, True))
+
+
+# Validation, spans, reach, gates ------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, 'o_orderpriority' AS field, 'pattern' AS rule FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')
+ UNION ALL SELECT o_orderkey, 'o_orderstatus', 'enum' FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL SELECT o_orderkey, 'o_totalprice', 'maximum' FROM orders WHERE o_totalprice > 300000
+ UNION ALL SELECT o_orderkey, 'o_totalprice', 'type' FROM orders WHERE o_totalprice <> floor(o_totalprice)""")
+def schema_violations(spark, d):
+    rules = [validation.Constraint("o_orderpriority", pattern="^[1-4]-"), validation.Constraint("o_orderstatus", one_of=("O", "F")), validation.Constraint("o_totalprice", most=300000, integer=True)]
+    return validation.violations(_read(spark, d, "orders"), "o_orderkey", rules)
+
+
+@query("""SELECT event_id, 'props.k' AS field, 'minimum' AS rule FROM events WHERE (props->>'$.k')::DOUBLE < 10 UNION ALL SELECT event_id, 'props.k', 'maximum' FROM events WHERE (props->>'$.k')::DOUBLE > 90""")
+def json_constraints(spark, d):
+    return validation.violations(_read(spark, d, "events"), "event_id", [validation.Constraint("props", json_path="$.k", least=10, most=90, integer=True)])
+
+
+@query("""WITH s AS (SELECT user_id, event_id AS lo, event_id + 100 + CAST(k AS BIGINT) AS hi, event_type AS name FROM (SELECT *, (props->>'$.k') AS k FROM events) WHERE event_id % 40 = 0),
+ h AS (SELECT e.event_id, name, row_number() OVER (PARTITION BY e.event_id ORDER BY hi - lo, name) AS r FROM events e JOIN s ON e.user_id = s.user_id AND e.event_id BETWEEN lo AND hi)
+ SELECT e.event_id, h.name FROM events e LEFT JOIN h ON e.event_id = h.event_id AND r = 1""")
+def interval_join(spark, d):
+    e = _read(spark, d, "events")
+    held = e.where("event_id % 40 = 0").select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 100 + F.get_json_object("props", "$.k").cast("bigint")).alias("hi"), F.col("event_type").alias("name"))
+    return spans.smallest_enclosing(e.select("event_id", "user_id"), held, ["user_id"], "event_id", "event_id", "lo", "hi", "name")
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    r = _read(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("caller"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("callee"))
+    c = _read(spark, d, "customer").where("c_custkey < 200").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("caller"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("callee"))
+    back = _read(spark, d, "customer").where("c_custkey < 20").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("caller"), F.lit("r0").alias("callee"))
+    return r.unionByName(c).unionByName(back)
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey < 200 UNION ALL SELECT 'c' || c_custkey, 'r0' FROM customer WHERE c_custkey < 20),
+ t AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT root, b, depth + 1 FROM t JOIN e ON node = a WHERE depth < 4)
+ SELECT root, node, min(depth) AS depth FROM t GROUP BY 1, 2""")
+def helper_reach(spark, d):
+    roots = _read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
+    return reach.reachable(roots, _calls(spark, d), 4)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, p_brand, p_partkey IS NOT NULL AS defined_in_wsdl FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 25) ON l_partkey = p_partkey")
+def contract_lookup(spark, d):
+    from quaymark.sources.wsdl import meet_contracts
+
+    known = _read(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.lit("x").alias("operation"))
+    return meet_contracts(_read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), known, ["l_partkey"]).drop("operation")
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (n_chars < 60) AS pending, bool_and(lang IN ('en', 'fr', 'de')) AS all_supported, CASE WHEN bool_and(lang IN ('en', 'fr', 'de')) AND count(*) FILTER (n_chars < 60) = 0 THEN 'complete' ELSE 'partial' END AS status FROM documents GROUP BY 1")
+def completion_gate(spark, d):
+    return gates.group_completion(_read(spark, d, "documents"), ["source"], F.col("lang").isin("en", "fr", "de"), F.col("n_chars") < 60)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' WHEN o_orderstatus = 'F' AND o_orderkey % 3 <> 0 THEN 'complete' ELSE 'partial' END AS status FROM orders""")
+def audit_status(spark, d):
+    k = F.col("o_orderkey")
+    supported = F.when(k % 3 != 0, F.array(F.lit("exposed"), F.lit("consumed"))).otherwise(F.array(F.lit("exposed")))
+    status = gates.completion(k % 7 != 0, F.col("o_orderstatus") == "F", F.array(F.lit("consumed")), supported, F.lit(0))
+    return _read(spark, d, "orders").select("o_orderkey", status.alias("status"))
+
+
+# Reports ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, {_TEMPLATED} AS path FROM pages), s AS (SELECT *, {SHAPE_SQL.format('path')} AS shape, replace(path, '{{item_id:[0-9]+}}', '{{param1}}') AS canonical FROM e)
+ SELECT shape, min(canonical) AS canonical, string_agg(method, ',' ORDER BY method) AS methods FROM s GROUP BY shape""")
+def openapi_group(spark, d):
+    rows = _templated_pages(spark, d).withColumn("method", F.when(F.col("page_id") % 3 == 0, "get").when(F.col("page_id") % 3 == 1, "post").otherwise("put"))
+    groups = render.grouped_paths(rows)
+    return groups.select("shape", "canonical", F.array_join("methods", ",").alias("methods"))
+
+
+@query("""SELECT r_name AS section, string_agg('| ' || n_name || ' |' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'even' || chr(10) ELSE '' END || '---', chr(10) ORDER BY n_name) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def render_lines(spark, d):
+    rows = _read(spark, d, "nation").join(_read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    one = render.joined(render.lines(rows, [F.col("r_name"), F.col("n_name")], F.concat(F.lit("| "), F.col("n_name"), F.lit(" |")), F.when(F.col("n_nationkey") % 2 == 0, F.lit("even")), F.lit("---")))
+    region = F.substring_index("section", "\u0001", 1)
+    return one.groupBy(region.alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer")
+def front_matter(spark, d):
+    page = F.concat(F.lit("---\nname: "), F.col("c_name"), F.lit("\nsegment:  "), F.col("c_mktsegment"), F.lit("\n---\nbody: no\n"))
+    found = render.parse_front_matter(page)
+    return _read(spark, d, "customer").select("c_custkey", found["name"].alias("name"), found["segment"].alias("segment"))
