@@ -290,10 +290,14 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
         columns = [pa.array(x, k) for x, k in zip((chunk.lengths, n_removed, n_spans, kept), kinds, strict=True)]
         return pa.table([table.column("doc_id"), *carried, *columns], names=[f"c{k}" for k in range(len(names))])
 
-    answers = by_chunk.applyInArrow(ask_first, QUESTIONS).groupBy("bucket").applyInArrow(_compare(1), ANSWERS)
+    def answered(asked: DataFrame, step: int) -> DataFrame:
+        """A step's answers, dealt to the chunks once and read by every later step."""
+        return asked.groupBy("bucket").applyInArrow(_compare(step), ANSWERS).repartition(width, "chunk")
+
+    answers = answered(by_chunk.applyInArrow(ask_first, QUESTIONS), 1)
     for steps in range(1, STEPS):
         asked = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(ask_more(steps), QUESTIONS)
-        answers = answers.unionByName(asked.groupBy("bucket").applyInArrow(_compare(steps + 1), ANSWERS))
+        answers = answers.unionByName(answered(asked, steps + 1))
     left = "string" if as_text else "binary"
     kind = dict(zip(carry, [shown[f"carried_{k}"].dataType.simpleString() for k in range(len(carry))], strict=True))
     schema = ", ".join(f"c{k} {kind[c] if c in kind else left if c == 'kept' else 'bigint'}" for k, c in enumerate(names))
