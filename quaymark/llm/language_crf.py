@@ -8,8 +8,8 @@ share of words, and that share is the score.
 
 Training takes at most ``MOST_DOCS`` documents, picked by a hash of doc_id. Their words carry the
 document's language; stretches of documents in different languages are laid end to end, so that the
-transitions see switches. Prediction reads every whole text; features see the first ``LETTERS``
-letters of a word.
+transitions see switches. Prediction reads every whole text; a word of over ``LETTERS`` letters is
+labelled in parts of that length.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled row
 to learn from every text is ``und``; equal texts get equal results; an empty table gives no rows;
@@ -38,11 +38,13 @@ LEXICON = 400
 SPAN = 48
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % LETTERS)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; one of over ``LETTERS`` letters comes in parts, so that every letter counts."""
+    found = _WORD.findall(text.lower())
+    return found if "".join(found).isalpha() else [w for w in ("".join(filter(str.isalpha, w)) for w in found) if w]
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
