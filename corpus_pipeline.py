@@ -1,9 +1,9 @@
 """The corpus pipeline: stages over documents, each written and read again before the next.
 
 Stages, in order: the quality classifier drops what it rejects; language identification drops what
-it rejects (no letter, or no language with half of the words); of each group of near-duplicates the
-document with the least id stays; byte strings that repeat anywhere are cut out of the texts that
-are left; the texts are packed into pieces. All stages but the last return the columns of
+it rejects (no letter, or no language with half of the words); of each group of near-duplicates
+(five-word shingles, similarity of at least 0.8) the document with the least id stays; byte strings
+that repeat anywhere are cut out of the texts that are left; the texts are packed into pieces. All stages but the last return the columns of
 ``documents``; the texts that were cut have their lengths counted anew.
 
 Defined cases: null texts count as empty, so the quality classifier decides on them and language
@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import language_crf, quality_classifier, simhash, suffix_dedup
+from quaymark.llm import language_crf, near_copies, quality_classifier, suffix_dedup
 from quaymark.llm.common import read_table
 from quaymark.llm.packing import packing_digest
 
@@ -40,8 +40,9 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    identity = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    found = near_copies.near_copies(docs, identity)
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("kept_id"))
     rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     return rows.dropDuplicates(["doc_id"])
 

@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("quaymark.llm")
 import corpus_pipeline
-from quaymark.llm import language_crf, quality_classifier, simhash
+from quaymark.llm import language_crf, near_copies, quality_classifier, simhash
 
 WORDS = {"en": "the and of that with this from which would there thing school people water house".split(), "de": "der die und nicht eine werden schule straße wasser haus leute können ungefähr durch".split()}
 
@@ -62,3 +62,23 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def near(spark, rows):
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return corpus_pipeline.STAGES[2][1](spark, docs, "").collect()
+
+
+def test_near_duplicates_at_four_fifths(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+    swapped = lambda n: [f"x{k}" if k % 9 == 0 and k < 9 * n else w for k, w in enumerate(base)]
+    rows = [(k, " ".join(swapped(n))) for k, n in enumerate((0, 5, 6))]
+    sets = [near_copies.shingles(t.encode()) for _, t in rows]
+    assert near_copies.similar(sets[0], sets[1]) and not near_copies.similar(sets[0], sets[2])
+    assert {r.doc_id for r in near(spark, rows[:2])} == {0} and {r.doc_id for r in near(spark, [rows[0], rows[2]])} == {0, 2}
+    # A chain whose ends are far apart is one group; many unrelated texts stay.
+    chain = [(100 + k, " ".join(base[8 * k : 8 * k + 140])) for k in range(8)]
+    others = [(200 + k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40)))) for k in range(50)]
+    assert not near_copies.similar(*(near_copies.shingles(chain[k][1].encode()) for k in (0, 7)))
+    assert {r.doc_id for r in near(spark, chain + others)} == {100} | {k for k, _ in others}
