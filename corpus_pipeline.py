@@ -8,8 +8,9 @@ that repeat anywhere are cut out of the texts that are left; the texts are packe
 
 Defined cases: null texts count as empty, so the quality classifier decides on them and language
 identification drops them; an empty table passes through; equal rows are one group of
-near-duplicates, of which one row stays; of rows that share an id at most one stays; other columns
-are left out.
+near-duplicates; a group keeps one row, that of its least id (a null one is the last) and then of
+the least hash of the row, so rows of different groups stay even where they share an id or have
+none; other columns are left out.
 """
 
 from __future__ import annotations
@@ -40,11 +41,12 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # Rows of one identity and id are taken for equal.
     identity = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
     found = near_copies.near_copies(docs, identity)
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("kept_id"))
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "identity")).alias("first"))
+    rows = docs.select(*COLUMNS, identity.alias("identity")).join(kept.select("first.identity"), "identity", "left_semi")
+    return rows.dropDuplicates(["identity", "doc_id"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,12 @@ def test_near_duplicates_at_four_fifths(spark):
     others = [(200 + k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40)))) for k in range(50)]
     assert not near_copies.similar(*(near_copies.shingles(chain[k][1].encode()) for k in (0, 7)))
     assert {r.doc_id for r in near(spark, chain + others)} == {100} | {k for k, _ in others}
+
+
+def test_near_duplicates_keep_a_row_of_each_group(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    kept = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near(spark, rows))
+    assert kept([(None, a), (None, b), (None, a), (3, c), (None, c)]) == sorted([(True, 0, a), (True, 0, b), (False, 3, c)])
+    assert kept([(5, a), (5, b), (1, b), (5, d), (5, d)]) == sorted([(False, 5, a), (False, 1, b), (False, 5, d)])
+    assert kept([(None, a), (None, a + " end")]) in ([(True, 0, a)], [(True, 0, a + " end")])
