@@ -31,7 +31,7 @@ SHINGLE, BANDS, ROWS, SEED = 5, 40, 4, 42
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
 #: Shingles that are hashed at a time, at most.
-BLOCK = 4096
+BLOCK = 512
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = np.random.default_rng(SEED + 1).integers(0, 2**63, BANDS * ROWS, np.uint64)
 
@@ -47,7 +47,7 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both)
 
 
-def bands(own: set[bytes]) -> list[int]:
+def bands(own: set[bytes]) -> np.ndarray:
     """A hash for each band of the shingles' minimum hashes, as signed integers."""
     import xxhash
 
@@ -55,7 +55,7 @@ def bands(own: set[bytes]) -> list[int]:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(hashes), BLOCK):
         np.minimum(least, (hashes[lo : lo + BLOCK, None] * FACTORS + OFFSETS).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def joined_words(text: bytes | None) -> bytes:
@@ -77,9 +77,13 @@ def nodes(docs: DataFrame, identity: Column, signed: bool) -> DataFrame:
             words = [joined_words(t.as_py()) for t in batch.column(2)]
             keys = pa.array([node(w) for w in words], pa.int64())
             if signed:
-                sets = [shingles(w) for w in words]
-                found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, *found], names=["doc_id", "identity", "key", "n", "bands"])
+                # One text's shingles at a time: those of a batch take many times its texts.
+                n, found = np.zeros(len(words), np.int64), np.zeros((len(words), BANDS), np.int64)
+                for k, w in enumerate(words):
+                    own = shingles(w)
+                    n[k], found[k] = len(own), bands(own)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, pa.array(n), lists], names=["doc_id", "identity", "key", "n", "bands"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, pa.array(words, pa.binary())], names=["doc_id", "identity", "key", "words"])
 
@@ -93,7 +97,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, other = [], None, set()
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b in ((x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)):
                 if b != last:
                     last, other = b, shingles(b)
                 keep.append(similar(shingles(a), other))
