@@ -27,13 +27,16 @@ def histogram(rows: DataFrame, kind: str, item: str, first: int = EVIDENCE_ROWS)
     return ranked.groupBy(kind).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= first, F.col(item)))).alias("first"))
 
 
-def detect(files: DataFrame, signatures: DataFrame, key: str, text: str, extension_of: str | None = None) -> DataFrame:
+def detect(files: DataFrame, signatures: DataFrame, key: str, text: str, extension_of: str | None = None, most: int = 1000) -> DataFrame:
     """(key, name, kind) of each signature that a file's text shows.
 
     ``signatures`` (name, kind, pattern, extensions or null) is a fixed catalogue of a few dozen rows,
     collected once; each becomes a pattern in the scan's own projection, so texts are not multiplied.
+    Beyond ``most`` signatures is an error.
     """
-    catalogue = signatures.limit(1000).collect()
+    catalogue = signatures.limit(most + 1).collect()
+    if len(catalogue) > most:
+        raise ValueError("too many signatures for one scan")
     tests = []
     for s in catalogue:
         hit = F.col(text).rlike(s.pattern)
@@ -50,14 +53,18 @@ def merge_detections(found: DataFrame, key: str, confidence: str = "confidence")
 
 
 def match_dependencies(declared: DataFrame, known: DataFrame) -> DataFrame:
-    """Declared (ecosystem, dependency) against known (ecosystem, name, mode): exact, contains or prefix."""
+    """Declared (ecosystem, dependency) against known (ecosystem, name, mode): exact, contains or prefix.
+
+    A prefix is the whole name or ends before a dot. Only names to be contained are compared one by one.
+    """
     k = known.select(F.col("ecosystem").alias("e"), "name", "mode")
-    hit = (
-        F.when(F.col("mode") == "exact", F.col("dependency") == F.col("name"))
-        .when(F.col("mode") == "contains", F.col("dependency").contains(F.col("name")))
-        .otherwise((F.col("dependency") == F.col("name")) | F.col("dependency").startswith(F.concat("name", F.lit("."))))
-    )
-    return declared.join(F.broadcast(k.limit(10_000)), (F.col("ecosystem") == F.col("e")) & hit).drop("e")
+    same, columns = F.col("ecosystem") == F.col("e"), [*declared.columns, "name", "mode"]
+    exact = declared.join(k.where("mode = 'exact'"), same & (F.col("dependency") == F.col("name")))
+    contains = declared.join(k.where("mode = 'contains'"), same & F.col("dependency").contains(F.col("name")))
+    parts = F.split("dependency", r"\.", -1)
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    prefix = declared.where("dependency IS NOT NULL").withColumn("_start", F.explode(starts)).join(k.where("mode IS NULL OR mode NOT IN ('exact', 'contains')"), same & (F.col("_start") == F.col("name")))
+    return exact.select(*columns).unionByName(contains.select(*columns)).unionByName(prefix.select(*columns))
 
 
 def unsupported(detected: DataFrame, supported: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from quaymark.functions.paths import contract_path, path_shape, scope
 from quaymark.operators.extraction import extract, shared_facts
 from quaymark.operators.inventory import histogram, language
 from quaymark.operators.merging import merge_evidence
-from quaymark.sources.files import read_tree, repository_identity, verify_snapshot
+from quaymark.sources.files import read_tree, repository_identity, unread, verify_snapshot
 from quaymark.sources.manifests import manifest_dependencies
 
 
@@ -33,6 +33,7 @@ def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str
     files = read_tree(spark, root, name, exclude=exclude)
     languages = histogram(files.select(language(F.col("path")).alias("language"), "path").where("language IS NOT NULL"), "language", "path")
     endpoints, unresolved = discover(files)
+    unresolved = unresolved.unionByName(unread(files))
     facts = {k: F.lit(v).alias(k) for k, v in snapshot.items() if k != "root"}
     state = unresolved.agg(F.count("*").alias("open")).select(F.lit(name).alias("repository_id"), *facts.values(), "open", F.when(F.col("open") == 0, "complete").otherwise("partial").alias("status"))
     return {"inventory": languages, "dependencies": manifest_dependencies(files), "endpoints": endpoints, "unresolved": unresolved, "status": state}

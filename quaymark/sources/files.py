@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 2_000_000
+#: Extensions of text files to be read, next to those of languages.
+TEXT_EXTENSIONS = ("kts", "swift", "json", "yaml", "yml", "toml", "xml", "gradle", "properties", "csproj")
 PRUNED = (".git", "node_modules", "vendor", "dist", "build", ".venv", "__pycache__", "target")
 
 
@@ -62,13 +64,15 @@ def submodules(text: str) -> list[str]:
 def read_tree(spark: SparkSession, root: str, repository_id: str, extensions: Iterable[str] | None = None, exclude: Iterable[str] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
     """repository_id, path, length, sha256 and text (null where it is not UTF-8) of a tree's files.
 
-    Sizes and paths are filtered in the scan, before contents are read.
+    Paths and sizes are filtered in the scan, before contents are read. A file over ``max_bytes`` is
+    never read: it is a row without sha256 and text.
     """
     from quaymark.functions.paths import excluded
 
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = rows.where(F.col("length") <= max_bytes)
-    base = rows.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("full"), "length", "content")
+    full = F.regexp_replace("path", "^[a-z]+:/+", "/").alias("full")
+    base = rows.where(F.col("length") <= max_bytes).select(full, "length", "content")
+    base = base.unionByName(rows.where(F.col("length") > max_bytes).select(full, "length", F.lit(None).cast("binary").alias("content")))
     path = F.expr(f"substring(full, {len(str(Path(root)).rstrip('/')) + 2})") if "://" not in root else F.regexp_extract("full", f"{root.split('://', 1)[1].strip('/')}/(.*)$", 1)
     own = base.withColumn("path", path)
     pruned = F.exists(F.split("path", "/"), lambda p: p.isin(*PRUNED))
@@ -79,6 +83,17 @@ def read_tree(spark: SparkSession, root: str, repository_id: str, extensions: It
     return own.select(F.lit(repository_id).alias("repository_id"), "path", "length", F.sha2("content", 256).alias("sha256"), text.alias("text"))
 
 
+def unread(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Rows (repository_id, path, detector, code, line) of code, configuration and manifests whose text was not read."""
+    from quaymark.operators.inventory import LANGUAGES, extension
+    from quaymark.sources.manifests import MANIFESTS
+
+    name = F.element_at(F.split("path", "/"), -1)
+    candidate = extension(F.col("path")).isin(*LANGUAGES, *TEXT_EXTENSIONS) | name.isin(*MANIFESTS)
+    code = F.when(F.col("length") > max_bytes, "skipped_oversize").otherwise("text_read_failed")
+    return files.where(F.col("text").isNull() & candidate).select("repository_id", "path", F.lit("inventory").alias("detector"), code.alias("code"), F.lit(None).cast("int").alias("line"))
+
+
 def symlinks(root: str) -> list[str]:
     """Links of a tree, which are never followed."""
     return sorted(str(p.relative_to(root)) for p in Path(root).rglob("*") if p.is_symlink() and not any(x in PRUNED for x in p.parts))

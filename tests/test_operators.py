@@ -278,3 +278,27 @@ def test_inventory_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id int, text string")
     none = spark.createDataFrame([], "name string, kind string, pattern string, extensions array<string>")
     assert inventory.detect(empty, none, "doc_id", "text").count() == 0
+
+
+def test_dependencies_and_signatures_beyond_a_bound(spark):
+    known = spark.range(12_000).selectExpr("'e' AS ecosystem", "concat('lib', id, '.x') AS name", "CASE WHEN id % 2 = 0 THEN 'exact' ELSE 'prefix' END AS mode")
+    declared = spark.range(12_000).selectExpr("id", "'e' AS ecosystem", "concat('lib', id, CASE WHEN id % 2 = 0 THEN '.x' ELSE '.x.y' END) AS dependency")
+    assert inventory.match_dependencies(declared, known).select("id").distinct().count() == 12_000
+    few = spark.createDataFrame([("e", "a", "contains"), ("e", "a.b", "prefix"), ("e", "a.b", "exact"), ("f", "a", "contains"), ("e", "a.b", None)], "ecosystem string, name string, mode string")
+    given = spark.createDataFrame([("e", "a.b"), ("e", "a.bc"), ("e", "a.b.c"), ("e", None), ("e", "x")], "ecosystem string, dependency string")
+    found = sorted((r.dependency, r.name, r["mode"] or "") for r in inventory.match_dependencies(given, few).collect())
+    assert found == [("a.b", "a", "contains"), ("a.b", "a.b", ""), ("a.b", "a.b", "exact"), ("a.b", "a.b", "prefix"), ("a.b.c", "a", "contains"), ("a.b.c", "a.b", ""), ("a.b.c", "a.b", "prefix"), ("a.bc", "a", "contains")]
+    many = spark.range(1001).selectExpr("concat('s', id) AS name", "'k' AS kind", "'zzz' AS pattern", "CAST(NULL AS array<string>) AS extensions")
+    with pytest.raises(ValueError):
+        inventory.detect(spark.createDataFrame([(1, "a")], "k int, t string"), many, "k", "t")
+
+
+def test_audit_is_partial_over_unread_files(spark, tmp_path):
+    (tmp_path / "big.js").write_text("x" * (files.MAX_BYTES + 1))
+    (tmp_path / "odd.py").write_bytes(b"a = '\xff'")
+    (tmp_path / "logo.png").write_bytes(b"\x89PNG\xff")
+    for line in (["init", "-q"], ["add", "."], ["-c", "user.name=a", "-c", "user.email=a@b", "commit", "-qm", "m"]):
+        subprocess.run(["git", "-C", str(tmp_path), *line], check=True)
+    found = audit(spark, str(tmp_path))
+    assert found["status"].first().status == "partial"
+    assert sorted((r.path, r.code) for r in found["unresolved"].collect()) == [("big.js", "skipped_oversize"), ("odd.py", "text_read_failed")]
