@@ -12,12 +12,17 @@ A BPE model stores the order of its merges, not probabilities; piece number r in
 the weight ``(r + 10) ** -sharpness`` (Zipf's law at 1). A character without a piece of its own
 becomes the pieces of its UTF-8 bytes, and so does the space mark itself, so that decoding is exact.
 
+Memory is bounded by characters, not rows: texts are taken in slices of about ``SLICE`` characters, a
+long text over several, and a giant word (without a space) in stretches, all with the same result.
+
 Defined cases: a null or empty text has no pieces and decodes to an empty text; equal rows (same id
 and text) get equal pieces; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,8 +30,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quaymark.llm.common import bare_texts
 
@@ -101,7 +106,7 @@ class Lattice:
             hashed[k + 1] = hashed[k] * _BASE + (shown + 1).astype(np.uint64)
         pairs = [(start, end) for end in range(1, length + 1) for start in range(max(0, end - self.longest), end)]
         power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(self.longest + 1)]
-        piece, share, there = np.empty((n, len(pairs)), np.int64), np.empty((n, len(pairs))), np.empty((n, len(pairs)), bool)
+        piece, share, there = np.empty((n, len(pairs)), np.int32), np.empty((n, len(pairs))), np.empty((n, len(pairs)), bool)
         sums, at = np.zeros((length + 1, n)), 0
         sums[0] = 1.0
         for end in range(1, length + 1):
@@ -123,18 +128,19 @@ class Lattice:
         word, pair = np.nonzero(there)
         ends = np.array([e for _, e in pairs])[pair]
         counts = np.bincount(word * length + ends - 1, minlength=n * length)
-        return counts, np.array([x for x, _ in pairs])[pair], piece[there], share[there]
-
+        return counts, np.array([x for x, _ in pairs], np.int32)[pair], piece[there], share[there]
 
     def long_choices(self, segment: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The same for one long word, without arrays over all its places."""
-        word = segment.replace(MARK, "\x00").replace(" ", MARK)
+        return self.stretch(segment, _shown(segment), 0, len(segment), [1.0])[:4]
+
+    def stretch(self, segment: str, shown: str, lo: int, hi: int, sums: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[float]]:
+        """The same for the states after ``lo`` up to ``hi``; ``sums`` are those of the last places up to ``lo``, then up to ``hi``."""
         get, counts, starts, pieces, shares = self.edges.get, [], [], [], []
-        sums = [1.0]  # of the last places only
-        for end in range(1, len(word) + 1):
+        for end in range(lo + 1, hi + 1):
             before, total, n = end - len(sums), 0.0, len(starts)
             for start in range(before, end):
-                edge = get(word[start:end])
+                edge = get(shown[start:end])
                 if edge is None and start == end - 1:
                     edge = (-1 - ord(segment[start]), self.rare)
                 if edge is not None:
@@ -146,10 +152,40 @@ class Lattice:
             shares[-1] = 1.0
             counts.append(len(starts) - n)
             sums = [x / total for x in (*sums, total)][-self.longest :]
-        return np.array(counts), np.array(starts), np.array(pieces), np.array(shares)
-
-
-LONG = 48
+        return np.array(counts, np.int32), np.array(starts, np.int32), np.array(pieces, np.int32), np.array(shares), sums
+
+    def walk(self, segment: str, stream: np.uint64) -> np.ndarray:
+        """The sampled pieces of a word too long to hold its edges: sums at stretches' ends are kept, edges made again."""
+        shown, sums = _shown(segment), [[1.0]]
+        cuts = [*range(0, len(segment), STRETCH), len(segment)]
+        for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
+            sums.append(self.stretch(segment, shown, lo, hi, sums[-1])[4])
+        out, at = [], len(segment)
+        for k in range(len(cuts) - 2, -1, -1):
+            lo, hi = cuts[k], cuts[k + 1]
+            if at <= lo:
+                continue
+            counts, starts, pieces, shares, _ = self.stretch(segment, shown, lo, hi, sums[k])
+            first = np.cumsum(counts) - counts
+            u = _uniform(stream + np.arange(lo + 1, hi + 1).astype(np.uint64) * _PLACE)
+            while at > lo:
+                edge, last = int(first[at - lo - 1]), int(first[at - lo - 1] + counts[at - lo - 1]) - 1
+                while edge < last and shares[edge] <= u[at - lo - 1]:
+                    edge += 1
+                out.append(int(pieces[edge]))
+                at = int(starts[edge])
+        return np.array(out[::-1], np.int32)
+
+
+def _shown(segment: str) -> str:
+    """Spaces are marks in pieces, and a mark in the text is a character without a piece."""
+    return segment.replace(MARK, "\x00").replace(" ", MARK)
+
+
+#: Words of over ``LONG`` characters or ``FEW`` of a length are taken one by one, those of over ``GIANT``
+#: characters in stretches; a slice has about so many characters, and edges are kept for about so many states.
+LONG, FEW, GIANT, STRETCH, SLICE, MOST_STATES = 48, 64, 1 << 16, 4096, 1 << 20, 1 << 20
+_PLACE = np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -169,55 +205,119 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def sample(model: Lattice, keys: list[str], texts: list[str], seed: int) -> list[np.ndarray]:
-    """One segmentation of each text, as piece ids."""
-    vocabulary: dict[str, int] = {}
-    words = [[vocabulary.setdefault(s, len(vocabulary)) for s in _SEGMENTS.findall(f" {t}")] if t else [] for t in texts]
-    spelled = list(vocabulary)
-    by_length: dict[int, list[int]] = {}
-    for k, segment in enumerate(spelled):
-        by_length.setdefault(len(segment), []).append(k)
-    lengths, base = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), np.int64)  # base: a word's first state, less the one at 0
-    parts, states = [], 0
-    for length, own in by_length.items():
-        most_words = max(1, (1 << 20) // (length * min(length, model.longest)))
-        for lo in range(0, len(own), most_words):
-            group = own[lo : lo + most_words]
-            if length > LONG:
-                parts += [model.long_choices(spelled[k]) for k in group]
-            else:
-                codes = np.frombuffer("".join([spelled[k] for k in group]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
-                parts.append(model.choices(codes))
-            lengths[group], base[group] = length, states + length * np.arange(len(group))
-            states += length * len(group)
-    edge_counts, starts, pieces, shares = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-    first_edge = np.cumsum(edge_counts) - edge_counts
-    most = int(edge_counts.max(initial=1))
-    per_text = np.array([len(w) for w in words], np.int64)
-    word = np.fromiter((w for ws in words for w in ws), np.int64, int(per_text.sum()))
-    row_key = np.array([zlib.crc32(k.encode()) for k in keys], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
-    number = np.arange(len(word)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+class Words:
+    """The edges of words met so far, flat: word k's states begin at base[k], a state's edges at first[state]."""
+
+    def __init__(self, model: Lattice):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.lengths = self.base = self.first = np.zeros(0, np.int64)
+        self.starts, self.pieces, self.shares, self.most = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), 1
+
+    def numbers(self, segments: list[list[str]]) -> np.ndarray:
+        """The number of each word in order; a giant one has -1."""
+        if len(self.first) > MOST_STATES:
+            self.clear()
+        known, n = self.known, len(self.known)
+        word = np.array([known.setdefault(s, len(known)) if len(s) <= GIANT else -1 for own in segments for s in own], np.int64)
+        self._add(list(itertools.islice(known, n, None)))
+        return word
+
+    def _add(self, spelled: list[str]) -> None:
+        by_length: dict[int, list[int]] = {}
+        for k, segment in enumerate(spelled):
+            by_length.setdefault(len(segment), []).append(k)
+        lengths, base = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), np.int64)
+        parts, states = [], len(self.first)
+        for length, own in by_length.items():
+            most_words = max(1, (1 << 19) // (length * min(length, self.model.longest)))
+            for lo in range(0, len(own), most_words):
+                group = own[lo : lo + most_words]
+                if length > LONG or len(group) < FEW:  # the same numbers either way
+                    parts += [self.model.long_choices(spelled[k]) for k in group]
+                else:
+                    codes = np.frombuffer("".join([spelled[k] for k in group]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
+                    parts.append(self.model.choices(codes))
+                lengths[group], base[group] = length, states + length * np.arange(len(group))
+                states += length * len(group)
+        if parts:
+            counts, starts, pieces, shares = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self.first = np.concatenate([self.first, len(self.starts) + np.cumsum(counts) - counts])
+            self.starts, self.pieces, self.shares = np.concatenate([self.starts, starts]), np.concatenate([self.pieces, pieces]), np.concatenate([self.shares, shares])
+            self.lengths, self.base = np.concatenate([self.lengths, lengths]), np.concatenate([self.base, base])
+            self.most = max(self.most, int(counts.max()))
+
+
+def _slices(texts: list[str]) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """Stretches of about ``SLICE`` characters: (text, number of its first word here, words). A long text has several."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        if size and size + len(text) > SLICE:
+            yield held
+            held, size = [], 0
+        if 0 < len(text) <= SLICE:
+            held.append((row, 0, _SEGMENTS.findall(f" {text}")))
+            size += len(text)
+        elif text:
+            first, own = 0, []
+            for found in _SEGMENTS.finditer(f" {text}"):
+                own.append(found[0])
+                size += len(found[0])
+                if size >= SLICE:
+                    yield [(row, first, own)]
+                    first, own, size = first + len(own), [], 0
+            held = [(row, first, own)] if own else []
+    if held:
+        yield held
+
+
+def sample(model: Lattice, keys: list[str], texts: list[str], seed: int, words: Words | None = None) -> list[np.ndarray]:
+    """One segmentation of each text, as piece ids; ``words`` keeps edges from call to call."""
+    words, found = words or Words(model), [[] for _ in texts]
+    for part in _slices(texts):
+        for (row, _, _), ids in zip(part, _sampled(words, keys, part, seed), strict=True):
+            found[row].append(ids)
+    return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in found]
+
+
+def _sampled(words: Words, keys: list[str], part: list[tuple[int, int, list[str]]], seed: int) -> list[np.ndarray]:
+    """The piece ids of each stretch of one slice; the walks of all its words are taken in step."""
+    model, per_text = words.model, np.array([len(own) for _, _, own in part], np.int64)
+    word = words.numbers([own for _, _, own in part])
+    row_key = np.array([zlib.crc32(keys[row].encode()) for row, _, _ in part], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    number = np.arange(len(word)) - np.repeat(np.cumsum(per_text) - per_text - np.array([first for _, first, _ in part]), per_text)
     stream = _mix(np.repeat(row_key, per_text) + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    at, live = lengths[word], np.arange(len(word))
+    at, plain = np.zeros(len(word), np.int32), word >= 0
+    at[plain] = words.lengths[word[plain]]
+    live = np.flatnonzero(at)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     counts = np.zeros(len(word), np.int64)
     while len(live):
-        state = base[word[live]] + at[live] - 1
-        u = _uniform(stream[live] + at[live].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        edge, left = first_edge[state], np.arange(len(live))
-        for _ in range(most):
-            left = left[shares[edge[left]] <= u[left]]
+        state = words.base[word[live]] + at[live] - 1
+        u = _uniform(stream[live] + at[live].astype(np.uint64) * _PLACE)
+        edge, left = words.first[state], np.arange(len(live))
+        for _ in range(words.most):
+            left = left[words.shares[edge[left]] <= u[left]]
             if not len(left):
                 break
             edge[left] += 1
-        steps.append((live, pieces[edge]))
+        steps.append((live.astype(np.int32), words.pieces[edge]))
         counts[live] += 1
-        at[live] = starts[edge]
+        at[live] = words.starts[edge]
         live = live[at[live] > 0]
+    spelled = [s for _, _, own in part for s in own] if not plain.all() else []
+    giant = {int(k): model.walk(spelled[k], stream[k]) for k in np.flatnonzero(~plain)}
+    for k, ids in giant.items():
+        counts[k] = len(ids)
     ends = np.cumsum(counts)
-    flat = np.empty(int(counts.sum()), np.int64)
+    flat = np.empty(int(counts.sum()), np.int32)
     for k, (own, ids) in enumerate(steps):
         flat[ends[own] - 1 - k] = ids
+    for k, ids in giant.items():
+        flat[ends[k] - len(ids) : ends[k]] = ids
     bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
     out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return [_spell(model, ids) if len(ids) and ids.min() < 0 else ids for ids in out]
@@ -232,7 +332,7 @@ def _spell(model: Lattice, ids: np.ndarray) -> np.ndarray:
     out: list[int] = []
     for k in ids.tolist():
         out += [k] if k >= 0 else [model.first_byte + b for b in chr(-1 - k).encode("utf-8", "surrogatepass")]
-    return np.array(out, np.int64)
+    return np.array(out, np.int32)
 
 
 def decode(model: Lattice, ids: np.ndarray) -> bytes:
@@ -240,17 +340,26 @@ def decode(model: Lattice, ids: np.ndarray) -> bytes:
     return b"".join(map(model.text.__getitem__, ids.tolist()))[1:]
 
 
+def _encoded(words: Words, batch: pa.RecordBatch, seed: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of a batch, few at a time by their bytes, and the pieces of each."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        rows = batch.slice(lo, hi - lo)
+        yield rows, sample(words.model, [str(k) for k in rows.column(0).to_pylist()], [t.decode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()], seed, words)
+        lo = hi
+
+
 def encode_sampled(docs: DataFrame, model_path: str, seed: int = 0, sharpness: float = 1.0) -> DataFrame:
     """doc_id, n_ids and ids (little-endian unsigned 32-bit) of one sampled segmentation of each text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lattice(model_path, sharpness)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                found = sample(model, [str(k) for k in batch.column(0).to_pylist()], [t.decode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], seed)
+        words = Words(lattice(model_path, sharpness))
+        for batch in batches:
+            for rows, found in _encoded(words, batch, seed):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], names=["doc_id", "n_ids", "ids"]
+                    [rows.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], names=["doc_id", "n_ids", "ids"]
                 )
 
     return bare_texts(docs).mapInArrow(scan, "doc_id bigint, n_ids bigint, ids binary")
@@ -268,8 +377,21 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "n_ids", "ids").mapInArrow(scan, "doc_id bigint, n_ids bigint, ids binary, decoded binary")
 
 
-def sampled_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """Pieces by number and CRC-32, and the decoded text by length and SHA-256."""
-    return decode_pieces(encode_sampled(docs, model_path), model_path).select(
-        "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("bigint").alias("n_bytes"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+def sampled_digest(docs: DataFrame, model_path: str, seed: int = 0, sharpness: float = 1.0) -> DataFrame:
+    """Pieces by number and CRC-32, and the text that they decode to by length and SHA-256, in one pass."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(lattice(model_path, sharpness))
+        for batch in batches:
+            for rows, found in _encoded(words, batch, seed):
+                n, crc, size, sha = [], [], [], []
+                for ids in found:
+                    text = decode(words.model, ids)
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    size.append(len(text))
+                    sha.append(hashlib.sha256(text).hexdigest())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, t) for x, t in zip((n, crc, size, sha), kinds, strict=True))], names=["doc_id", "n_ids", "ids_crc32", "n_bytes", "decoded_sha256"])
+
+    return bare_texts(docs).mapInArrow(scan, "doc_id bigint, n_ids bigint, ids_crc32 bigint, n_bytes bigint, decoded_sha256 string")

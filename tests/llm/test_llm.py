@@ -211,6 +211,45 @@ def test_samples_follow_the_lattice():
     assert max(abs(found[s] / n - p / total) for s, p in want.items()) < 0.015
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_all_ways_of_a_word_have_their_share(few, monkeypatch):
+    """Forward sums by arrays and by stretches give the enumerated probability to the last edge of each way."""
+    monkeypatch.setattr(sampled_pieces, "FEW", few)
+    model = sampled_pieces.lattice(PIECES, 1.0)
+    words = sampled_pieces.Words(model)
+    word = int(words.numbers([[" others"]])[0])
+    want = dict(segmentations(model, "▁others"))
+    total = sum(want.values())
+
+    def ways(at):
+        """(pieces, probability) of all walks from state ``at`` to the start, last piece first."""
+        if at == 0:
+            yield (), 1.0
+            return
+        state, below = words.base[word] + at - 1, 0.0
+        for edge in itertools.count(words.first[state]):
+            share = words.shares[edge]
+            for rest, p in ways(int(words.starts[edge])):
+                yield (*rest, int(words.pieces[edge])), p * (share - below)
+            below = share
+            if share == 1.0:
+                return
+
+    found = dict(ways(7))
+    assert set(found) == set(want) and all(abs(found[x] - want[x] / total) < 1e-12 for x in want)
+
+
+def test_slices_and_stretches_change_nothing(monkeypatch):
+    model = sampled_pieces.lattice(PIECES, 1.0)
+    texts = [LONG[:20_000], "x" * 3000 + " " + "abé日▁" * 700, "", "one two", " ".join(f"w{k}" for k in range(3000))]
+    keys = [str(k) for k in range(len(texts))]
+    want = sampled_pieces.sample(model, keys, texts, 9)
+    for name, value in {"SLICE": 1000, "GIANT": 500, "STRETCH": 64, "MOST_STATES": 10}.items():
+        monkeypatch.setattr(sampled_pieces, name, value)
+        found = sampled_pieces.sample(model, keys, texts, 9)
+        assert all(len(a) == len(b) and (a == b).all() for a, b in zip(want, found, strict=True)), name
+
+
 def test_samples_are_lossless_and_reproducible(spark):
     model = sampled_pieces.lattice(PIECES, 1.0)
     texts = ["", " ", "  a  b ", "▁x▁ ▁", "日本語テキスト 🎉", "\n\t a\x00\x01", "a" * 3000, "é" * 60, LONG[:5000]]
