@@ -51,7 +51,12 @@ def fingerprint(text: bytes) -> int:
     joined, k = b" ".join(words), min(SHINGLE, len(words)) - 1
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k].tolist(), ends[k:].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(bits), 255):
         counts += bits[lo : lo + 255].sum(axis=0, dtype=np.uint8)
