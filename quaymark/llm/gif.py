@@ -9,9 +9,14 @@ methods turn indices into the pixels that a viewer shows.
 The encoder writes plain GIF89a: square frames of ``SIDE * SIDE`` bytes as 8-bit indices, one global
 palette, a delay for each frame.
 
-Defined cases: null texts are empty; an empty text gives one frame; equal texts give equal files;
-bytes that are no GIF, or end within a block, give a frame-less row with an error; an empty table
-gives no rows; other columns are ignored.
+Texts are read back through the same frames: each is composed on its canvas, with its palette, delay,
+transparency and disposal, and its histogram is of the pixels shown.
+
+Defined cases: null texts are empty; an empty text gives one frame; a very long text gives as many
+frames as it needs; equal texts give equal files. A file that is no GIF, ends within a block, has a
+code stream that breaks off, or states a canvas or frame of over ``MOST_PIXELS`` gives its frames up
+to there and a row with an error (which ``read_back`` gives alone). An empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ UNIT = SIDE * SIDE
 MAX_CODES = 4096
 #: Frames whose code streams are decoded in step.
 LANES = 4096
+#: A larger canvas or frame is an error; bytes of frames that a batch holds, about.
+MOST_PIXELS, BATCH_BYTES = 1 << 24, 1 << 23
 
 
 def palette(n: int = 256) -> np.ndarray:
@@ -174,6 +181,8 @@ def parse(data: bytes) -> Parsed:
         if data[:6] not in (b"GIF87a", b"GIF89a"):
             raise ValueError("no GIF header")
         out.width, out.height, flags, out.background, _ = struct.unpack_from("<HHBBB", data, 6)
+        if out.width * out.height > MOST_PIXELS:
+            raise ValueError(f"canvas of {out.width} x {out.height}")
         at, common = 13, np.zeros((0, 3), np.uint8)
         if flags & 0x80:
             n = 2 << (flags & 7)
@@ -194,6 +203,8 @@ def parse(data: bytes) -> Parsed:
                 raise ValueError(f"unknown block {kind}")
             left, top, width, height, flags = struct.unpack_from("<HHHHB", data, at)
             at, colours = at + 9, common
+            if width * height > MOST_PIXELS:
+                raise ValueError(f"frame of {width} x {height}")
             if flags & 0x80:
                 n = 2 << (flags & 7)
                 colours, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
@@ -218,15 +229,18 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decompress(streams: list[bytes], sizes: list[int], pixels: list[int]) -> list[np.ndarray]:
-    """The indices of each code stream, as many as it has pixels; those that a stream lacks are 0."""
+def decompress(streams: list[bytes], sizes: list[int], pixels: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The indices of each code stream, as many as it has pixels, and how many of these it gave; the rest is 0."""
     out: list[np.ndarray] = []
+    given = [np.zeros(0, np.int64)]
     for lo in range(0, len(streams), LANES):
-        out += _in_step(streams[lo : lo + LANES], np.array(sizes[lo : lo + LANES]), np.array(pixels[lo : lo + LANES], np.int64))
-    return out
+        rows, wrote = _in_step(streams[lo : lo + LANES], np.array(sizes[lo : lo + LANES]), np.array(pixels[lo : lo + LANES], np.int64))
+        out += rows
+        given.append(wrote)
+    return out, np.concatenate(given)
 
 
-def _in_step(streams: list[bytes], sizes: np.ndarray, pixels: np.ndarray) -> list[np.ndarray]:
+def _in_step(streams: list[bytes], sizes: np.ndarray, pixels: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Lanes in step, the longest streams first, so that those still running are a prefix."""
     order = np.argsort([-len(s) for s in streams], kind="stable")
     sizes, pixels, lengths = sizes[order], pixels[order], np.array([len(streams[k]) for k in order], np.int64)
@@ -304,12 +318,15 @@ def _in_step(streams: list[bytes], sizes: np.ndarray, pixels: np.ndarray) -> lis
     rows: list[np.ndarray] = [None] * n
     for k, place in enumerate(order):
         rows[place] = found[start[k] : start[k + 1]]
-    return rows
+    given = np.empty(n, np.int64)
+    given[order] = wrote
+    return rows, given
 
 
 def shown(image: Parsed, indices: list[np.ndarray]) -> Iterator[np.ndarray]:
     """The canvas (height, width, red-green-blue-alpha) while each frame is shown."""
     canvas = np.zeros((image.height, image.width, 4), np.uint8)
+    colours, palette_of = None, None
     for frame, flat in zip(image.frames, indices, strict=True):
         pixels = flat.reshape(frame.height, frame.width)
         if frame.interlaced:
@@ -317,25 +334,64 @@ def shown(image: Parsed, indices: list[np.ndarray]) -> Iterator[np.ndarray]:
             straight = np.empty_like(pixels)
             straight[rows] = pixels
             pixels = straight
-        kept = canvas.copy() if frame.disposal == 3 else None
-        h, w = max(0, min(frame.height, image.height - frame.top)), max(0, min(frame.width, image.width - frame.left))
-        area, part = canvas[frame.top : frame.top + h, frame.left : frame.left + w], pixels[:h, :w]
-        colours = np.zeros((256, 3), np.uint8)
-        colours[: len(frame.colours)] = frame.colours
-        opaque = part != frame.transparent
-        area[opaque, :3] = colours[part[opaque]]
-        area[opaque, 3] = 255
-        yield canvas.copy()
+        if palette_of is not frame.colours:
+            palette_of, colours = frame.colours, np.zeros((256, 4), np.uint8)
+            colours[: len(palette_of), :3], colours[:, 3] = palette_of, 255
+        before = canvas
+        if frame.transparent < 0 and not (frame.left or frame.top) and pixels.shape == canvas.shape[:2]:
+            canvas = colours.take(pixels, axis=0)  # nothing of what was there is left
+        else:
+            h, w = max(0, min(frame.height, image.height - frame.top)), max(0, min(frame.width, image.width - frame.left))
+            canvas, part = canvas.copy(), pixels[:h, :w]
+            opaque = part != frame.transparent
+            canvas[frame.top : frame.top + h, frame.left : frame.left + w][opaque] = colours[part[opaque]]
+        yield canvas
         if frame.disposal == 2:
-            area[:] = 0
-        elif kept is not None:
-            canvas = kept
+            canvas = canvas.copy()
+            canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width] = 0
+        elif frame.disposal == 3:
+            canvas = before
 
 
 def histogram(pixels: np.ndarray) -> np.ndarray:
     """Visible pixels by two bits of red, green and blue: 64 counts."""
-    seen = pixels[pixels[..., 3] > 0].astype(np.int64) >> 6
-    return np.bincount(seen[:, 0] * 16 + seen[:, 1] * 4 + seen[:, 2], minlength=64)
+    flat = pixels.reshape(-1, 4)
+    bins = (flat[:, 0] >> 6 << 4) + (flat[:, 1] >> 6 << 2) + (flat[:, 2] >> 6)
+    return np.bincount(bins[flat[:, 3] > 0], minlength=64)
+
+
+def frames_of(files: list[bytes]) -> Iterator[tuple[Parsed, list[np.ndarray], Iterator[tuple[int, int, np.ndarray]]]]:
+    """For each file: what was parsed (with the whole frames only), their indices, and start, delay and canvas of each frame."""
+    images = [parse(data) for data in files]
+    every = [f for i in images for f in i.frames]
+    indices, given = decompress([f.stream for f in every], [f.size for f in every], [f.width * f.height for f in every])
+    at = 0
+    for image in images:
+        n = len(image.frames)
+        own = indices[at : at + n]
+        short = np.flatnonzero(given[at : at + n] < [f.width * f.height for f in image.frames])
+        at += n
+        if len(short):
+            k = int(short[0])
+            image.error, image.frames, own = f"the code stream of frame {k} breaks off", image.frames[:k], own[:k]
+        elif not n:
+            image.error = image.error or "no frames"
+        delays = [10 * f.delay for f in image.frames]
+        yield image, own, zip(np.cumsum([0, *delays]).tolist(), delays, shown(image, own), strict=False)
+
+
+def _groups(data: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Files few at a time, by the bytes that their frames take: the first one's place, and they."""
+    lo, held, size = 0, [], 0
+    for k, one in enumerate(data):
+        file = one.as_py() or b""
+        if held and size + 4 * len(file) > BATCH_BYTES:
+            yield lo, held
+            lo, held, size = k, [], 0
+        held.append(file)
+        size += 4 * len(file)
+    if held:
+        yield lo, held
 
 
 FRAMES = "id bigint, frame int, starts_at_ms bigint, delay_ms bigint, width int, height int, rgba binary, histogram array<int>, error string"
@@ -343,20 +399,26 @@ FRAMES = "id bigint, frame int, starts_at_ms bigint, delay_ms bigint, width int,
 
 def decode_frames(media: DataFrame) -> DataFrame:
     """Timed frames of GIF files (columns ``id`` and ``data``), with their pixels and histograms."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.string())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in FRAMES.split(", ")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                image, rows, clock = parse(data or b""), [], 0
-                indices = decompress([f.stream for f in image.frames], [f.size for f in image.frames], [f.width * f.height for f in image.frames])
-                for k, (frame, pixels) in enumerate(zip(image.frames, shown(image, indices), strict=True)):
-                    rows.append((name, k, clock, frame.delay * 10, image.width, image.height, pixels.tobytes(), histogram(pixels).tolist(), None))
-                    clock += frame.delay * 10
-                if image.error or not rows:
-                    rows.append((name, None, None, None, None, None, None, None, image.error or "no frames"))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.string())
-                for lo in range(0, len(rows), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 512], strict=True), kinds, strict=True)], names=[f.split()[0] for f in FRAMES.split(", ")])
+            for lo, files in _groups(batch.column(1)):
+                for name, (image, _, frames) in zip(batch.column(0).slice(lo, len(files)).to_pylist(), frames_of(files), strict=True):
+                    for k, (start, delay, canvas) in enumerate(frames):
+                        rows.append((name, k, start, delay, image.width, image.height, canvas.tobytes(), histogram(canvas).tolist(), None))
+                        size += canvas.nbytes
+                        if size >= BATCH_BYTES:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                    if image.error:
+                        rows.append((name, None, None, None, None, None, None, None, image.error))
+        if rows:
+            yield batch_of(rows)
 
     return media.select(F.col("id").cast("bigint"), F.col("data").cast("binary")).mapInArrow(scan, FRAMES)
 
@@ -366,55 +428,61 @@ def payload_of(text: bytes) -> bytes:
 
 
 STORED = "doc_id bigint, n_bytes bigint, media binary"
-READ = "doc_id bigint, n_bytes bigint, payload binary, n_frames bigint, duration_ms bigint, histogram array<bigint>, media binary"
+READ = "doc_id bigint, n_bytes bigint, payload binary, n_frames bigint, duration_ms bigint, histogram array<bigint>, frames array<struct<starts_at_ms:bigint,delay_ms:bigint,histogram:array<int>>>, error string, media binary"
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the GIF (``media``) that holds a text's bytes as indices."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                texts = batch.column(1).to_pylist()
+        for batch in batches:
+            for lo, texts in _groups(batch.column(1)):
                 media = [encode(payload_of(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return bare_texts(docs).mapInArrow(scan, STORED)
 
 
-def read_back(stored: DataFrame) -> DataFrame:
-    """The payload that the stored GIFs hold, and what their frames show: number, time, colours."""
-    colours = palette().astype(np.int64) >> 6
-    bins = colours[:, 0] * 16 + colours[:, 1] * 4 + colours[:, 2]
+def read_back(stored: DataFrame, timed: bool = False) -> DataFrame:
+    """The payload that the stored GIFs hold, and what their frames show: number, time and colours in all.
+
+    With ``timed`` the frames are listed too, each with its start, delay and histogram. A file with an
+    error has that and nothing else.
+    """
+    frame = pa.struct([("starts_at_ms", pa.int64()), ("delay_ms", pa.int64()), ("histogram", pa.list_(pa.int32()))])
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(frame), pa.string())
+
+    def row(image: Parsed, indices: list[np.ndarray], frames: Iterator[tuple[int, int, np.ndarray]]) -> tuple:
+        if image.error:
+            return (None,) * 5 + (image.error,)
+        total, end, listed = np.zeros(64, np.int64), 0, []
+        for start, delay, canvas in frames:
+            own = histogram(canvas)
+            total += own
+            end = start + delay
+            if timed:
+                listed.append({"starts_at_ms": start, "delay_ms": delay, "histogram": own})
+        return np.concatenate(indices).tobytes(), len(indices), end, total, listed if timed else None, None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                images = [parse(m) for m in batch.column(2).to_pylist()]
-                frames = [f for i in images for f in i.frames]
-                indices = decompress([f.stream for f in frames], [f.size for f in frames], [f.width * f.height for f in frames])
-                at, rows = 0, []
-                for image in images:
-                    own = np.concatenate(indices[at : at + len(image.frames)])
-                    at += len(image.frames)
-                    # Frames of this form cover the canvas and are opaque, so they show their own colours.
-                    shares = np.bincount(bins, np.bincount(own, minlength=256), 64).astype(np.int64)
-                    rows.append((own.tobytes(), len(image.frames), 10 * sum(f.delay for f in image.frames), shares.tolist()))
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, batch.column(2)], names=[f.split()[0] for f in READ.split(", ")])
+        for batch in batches:
+            for lo, files in _groups(batch.column(2)):
+                rows = [row(*found) for found in frames_of(files)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                same = batch.slice(lo, len(files))
+                yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), *columns, same.column(2)], names=["doc_id", "n_bytes", "payload", "n_frames", "duration_ms", "histogram", "frames", "error", "media"])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(scan, READ)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """Digests of what is stored and of what is read back; the feature lists the 64 colour counts."""
-    size = F.length("payload")
-    return read_back(store_texts(docs)).select(
+    whole = F.coalesce(F.col("payload"), F.raise_error(F.concat(F.lit("stored file cannot be read back: "), "error")).cast("binary"))
+    rows = read_back(store_texts(docs)).withColumn("payload", whole)
+    return rows.select(
         "doc_id",
         "n_bytes",
-        size.cast("bigint").alias("payload_bytes"),
+        F.length("payload").cast("bigint").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
         F.length("media").cast("bigint").alias("media_bytes"),
