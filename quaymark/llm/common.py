@@ -37,15 +37,20 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def id_sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` of the rows, by a hash of doc_id: the same ones at each run."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int, of_text: Column | None = None) -> DataFrame:
+    """doc_id, label and text of at most ``most`` ids, by a hash of doc_id: the same ones at each run.
 
-
-def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The sampled rows with their texts. A sample has a fixed most of rows, so it is broadcast."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return texts.join(F.broadcast(rows), "doc_id")
+    An id has one row however often it is repeated: of several labels (``labels``: doc_id, label) the
+    least, and of several texts that of the least hash. ``of_text`` is the label of a text itself; then
+    the text is one of those with the id's label. Null ids are left out. The sample is broadcast, as its
+    number of rows is bounded; what is joined to it is brought to one row an id before it is used.
+    """
+    one = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label").where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    own = [] if of_text is None else [of_text.alias("label")]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *own, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    joined = texts.join(F.broadcast(chosen), ["doc_id", "label"] if own else ["doc_id"])
+    return joined.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "label", "first.text")
 
 
 def bare_texts(docs: DataFrame) -> DataFrame:

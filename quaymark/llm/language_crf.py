@@ -6,14 +6,17 @@ share learned transitions. Forward-backward gives each word its marginal probabi
 code-switched text is labelled word by word. A text's language is the one with the largest expected
 share of words, and that share is the score.
 
-Training takes at most ``MOST_DOCS`` documents, picked by a hash of doc_id. Their words carry the
-document's language; stretches of documents in different languages are laid end to end, so that the
-transitions see switches. Prediction reads every whole text; a word of over ``LETTERS`` letters is
+Training takes at most ``most_docs`` documents, picked by a hash of doc_id, one for each id, and at
+most ``most_words`` of their words, the same share for each language. All of the documents have a part
+in that: a long one gives stretches spread over its whole length. Their words carry the document's
+language; stretches of documents in different languages are laid end to end, so that the transitions
+see switches. Prediction reads every whole text; a word of over ``LETTERS`` letters is
 labelled in parts of that length.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled row
-to learn from every text is ``und``; equal texts get equal results; an empty table gives no rows;
-other columns are ignored.
+to learn from every text is ``und``; equal texts get equal results; a very long text is labelled whole,
+as one chain; of rows that share an id one is learned from; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import id_sample, id_text_bucket, map_texts, texts_of
+from quaymark.llm.common import id_text_bucket, labelled_texts, map_texts
 
 MOST_DOCS = 3_000
 MOST_WORDS = 240_000
@@ -146,17 +149,31 @@ def word_marginals(model: Model, texts: list[list[str]]) -> Iterator[tuple[int,
             yield k, rows
 
 
-def fit(texts: list[str], langs: list[str], rounds: int = 60) -> Model:
+def spread(words: list[str], most: int) -> list[list[str]]:
+    """Stretches of ``SPAN`` words, at most ``most`` words in all, evenly over the whole text."""
+    starts = range(0, len(words), SPAN)
+    n = min(len(starts), max(1, most // SPAN))
+    return [words[k : k + SPAN] for k in (starts[i * len(starts) // n] for i in range(n))]
+
+
+def share_of_each(lengths: list[int], most: int) -> int:
+    """The largest number of words that each text may give so that all give ``most`` at most."""
+    left, above = most, len(lengths)
+    for n in sorted(lengths):
+        if n * above >= left:
+            return left // above
+        left, above = left - n, above - 1
+    return max(lengths, default=0)
+
+
+def fit(texts: list[str], langs: list[str], rounds: int = 60, most_words: int = MOST_WORDS) -> Model:
     """Weights and transitions of largest likelihood with a little ridge, by Adam steps over all chains."""
     languages = sorted(set(langs))
     number = {x: k for k, x in enumerate(languages)}
     runs: list[list[tuple[str, int]]] = []
-    budget = {x: MOST_WORDS // max(1, len(languages)) for x in languages}
-    spans: list[list[tuple[str, int]]] = []
-    for text, lang in zip(texts, langs, strict=True):
-        words = words_of(text)[: max(0, budget[lang])]
-        budget[lang] -= len(words)
-        spans += [[(w, number[lang]) for w in words[k : k + SPAN]] for k in range(0, len(words), SPAN)]
+    words = [words_of(t) for t in texts]
+    shares = {x: share_of_each([len(w) for w, y in zip(words, langs, strict=True) if y == x], most_words // len(languages)) for x in languages}
+    spans = [[(w, number[lang]) for w in part] for own, lang in zip(words, langs, strict=True) if own for part in spread(own, shares[lang])]
     if not spans:
         return Model(languages, np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros((len(languages),) * 2), {})
     picked = np.random.default_rng(7).permutation(len(spans))
@@ -223,12 +240,12 @@ def _pairs(potentials: np.ndarray, active: np.ndarray, moves: np.ndarray, at: np
     return total
 
 
-def train(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
+def train(docs: DataFrame, most_docs: int = MOST_DOCS, most_words: int = MOST_WORDS) -> Model:
     """A model of ``lang`` from documents whose id is not held out."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("label"))
-    table = texts_of(docs, id_sample(rows.where(F.col("label").isNotNull() & (id_text_bucket("doc_id", 4) != 2)), most_docs)).select("doc_id", "label", "text").toArrow()
-    found = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
-    return fit([r[2].decode("utf-8", "replace") for r in found], [r[1] for r in found])
+    lang = F.when(id_text_bucket("doc_id", 4) != 2, F.col("lang").cast("string"))
+    table = labelled_texts(docs, docs.select("doc_id", lang.alias("label")), most_docs, lang).toArrow()
+    found = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True))
+    return fit([r[2].decode("utf-8", "replace") for r in found], [r[1] for r in found], most_words=most_words)
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import id_sample, id_text_bucket, map_texts, texts_of
+from quaymark.llm.common import id_text_bucket, labelled_texts, map_texts
 
 MOST_ROWS = 8_000
 DIMENSIONS = 1 << 19
@@ -146,14 +146,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows: int = MOST_ROWS) -> Model:
     """A model of ``labels[column]`` from rows whose id is not held out."""
-    chosen = id_sample(labels.where(F.col(column).isNotNull() & (id_text_bucket("doc_id", 5) != 0)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("label")), most_rows)
+    known = labels.where(id_text_bucket("doc_id", 5) != 0).select("doc_id", F.col(column).cast("int").alias("label"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.sort(features(t)).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "ids"])
 
-    table = texts_of(docs, chosen).select("doc_id", "label", "text").mapInArrow(scan, "doc_id bigint, label int, ids binary").toArrow()
+    table = labelled_texts(docs, known, most_rows).mapInArrow(scan, "doc_id bigint, label int, ids binary").toArrow()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "ids")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
     return fit([np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows], np.array([r[1] for r in rows], np.int64))
 

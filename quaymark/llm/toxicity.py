@@ -6,19 +6,23 @@ lexicon by one Aho-Corasick automaton, which also holds exception phrases. The l
 words and word beginnings with a weight each; a match inside an exception phrase does not count.
 The sum of weights, as it is and by length, goes through a logistic curve.
 
-Lexicon, weights, exceptions and curve are learned from at most ``MOST_ROWS`` labelled rows, picked
-by a hash of doc_id: weights are log ratios of the shares of toxic and other texts that hold an
-entry; phrases of two words around an entry that only other texts hold become exceptions, beside
-those given as a parameter. Scoring reads every whole text.
+Lexicon, weights, exceptions and curve are learned from at most ``most_rows`` labelled rows, picked
+by a hash of doc_id, one for each id; that is the only bound. Entries are whole words of any length and
+beginnings of ``SHORTEST`` to ``LONGEST`` letters that at least ``LEAST_TEXTS`` toxic texts hold;
+weights are log ratios of the shares of toxic and other texts that hold an entry; phrases of two words
+around an entry that only other texts hold become exceptions. ``EXCEPTIONS`` are phrases chosen by
+hand to begin with, a parameter. Scoring reads every whole text.
 
 Defined cases: null texts are empty and score as a text without a match; equal texts get equal
-scores; without labels of both classes the lexicon is empty and every score is the positive share
-(or one half); an empty table gives no rows; other columns are ignored.
+scores; a very long text is matched whole, in time that grows with its length; of rows that share an id
+one is learned from; without labels of both classes the lexicon is empty and every score is the positive
+share (or one half); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -28,11 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import id_sample, id_text_bucket, map_texts, texts_of
+from quaymark.llm.common import id_text_bucket, labelled_texts, map_texts
 
 MOST_ROWS = 12_000
-MOST_CANDIDATES = 20_000
-MOST_ENTRIES = 4_000
 LEAST_TEXTS = 6
 LEAST_WEIGHT = 2.0
 SHORTEST, LONGEST = 4, 12
@@ -54,10 +56,8 @@ class Folding(dict):
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        if c in DROPPED:
+        if c in DROPPED or unicodedata.combining(c):
             found = ""
-        elif 0xFF01 <= code <= 0xFF5E:
-            found = self[ord(chr(code - 0xFEE0).lower())]
         else:
             found = HOMOGLYPHS.get(c) or (c if c.isalpha() else " ")
         self[code] = found
@@ -65,13 +65,15 @@ class Folding(dict):
 
 
 _folding = Folding()
-_inner = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_])")
+_inner = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<!\w)[0134578@$]+(?=[^\W\d_])")
 _swap = {ord(k): v for k, v in SUBSTITUTIONS.items()}
 _marks = re.compile("[0134578@$!]")
 
 
 def fold(text: str) -> str:
     """Letters and spaces, with a space at either end."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)  # full-width and other forms, and letters with their accents
     text = text.lower()
     if _marks.search(text):
         text = _inner.sub(lambda m: m[0].translate(_swap), text)
@@ -82,7 +84,7 @@ def candidates(words: Iterable[str]) -> set[str]:
     """Entries that a text could hold: `` word `` whole, and `` wor`` as a beginning."""
     found = set()
     for w in set(words):
-        found.add(f" {w[:64]} ")
+        found.add(f" {w} ")
         found.update(f" {w[:k]}" for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
     return found
 
@@ -118,7 +120,14 @@ class Model:
                 excused.append((start, last))
             elif start not in best or best[start][1] < weight:
                 best[start] = (last, weight)
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and s < b - 1 for a, b in excused)]
+        excused.sort(reverse=True)
+        found, until = [], -1
+        for start, (last, weight) in sorted(best.items()):
+            while excused and excused[-1][0] <= start:
+                until = max(until, excused.pop()[1])
+            if start >= until - 1:
+                found.append((start, last, weight))
+        return found
 
     def inputs(self, text: str) -> tuple[float, float]:
         folded = fold(text)
@@ -144,7 +153,7 @@ def choose(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_other:
     for e in sorted(strong - shadowed, key=lambda e: (len(e), e)):
         if not any(e[:k] in kept for k in range(SHORTEST + 1, len(e))):
             kept[e] = weight[e]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1] * toxic[x[0]], x[0]))[:MOST_ENTRIES])
+    return kept
 
 
 def logistic_plane(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -161,9 +170,8 @@ def logistic_plane(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPTIONS, most_rows: int = MOST_ROWS) -> Model:
     """A model of ``labels.toxic`` from rows whose id is not held out."""
-    known = labels.where(F.col("toxic").isNotNull() & (id_text_bucket("doc_id", 5) != 0)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-    ids = id_sample(known, most_rows)
-    rows = texts_of(docs, ids).select("label", "text").persist()
+    known = labels.where(id_text_bucket("doc_id", 5) != 0).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    rows = labelled_texts(docs, known, most_rows).select("label", "text").persist()
 
     def counted(wanted: set[str] | None, find):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPT
                     yield pa.RecordBatch.from_arrays([pa.array([label] * len(counts), pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["label", "entry", "n"])
 
         total = rows.mapInArrow(scan, "label int, entry string, n bigint").groupBy("label", "entry").agg(F.sum("n").alias("n"))
-        return total.where(F.col("n") >= (LEAST_TEXTS if wanted is None else 1)).orderBy(F.desc("n"), "entry").limit(MOST_CANDIDATES * (1 if wanted is None else 2))
+        return total.where(F.col("n") >= LEAST_TEXTS) if wanted is None else total
 
     def of(frame: DataFrame, label: int) -> dict[str, int]:
         return {r.entry: r.n for r in frame.collect() if r.label == label}
@@ -210,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPT
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.string())], names=["label", "phrase"])
 
     excused = rows.mapInArrow(phrases, "label int, phrase string").groupBy("phrase").agg(F.count_if(F.col("label") == 0).alias("other"), F.count_if(F.col("label") == 1).alias("toxic"))
-    learned = [r.phrase for r in excused.where((F.col("other") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("other"), "phrase").limit(MOST_ENTRIES).collect()]
+    learned = [r.phrase for r in excused.where((F.col("other") >= 3) & (F.col("toxic") == 0)).collect()]
     model = Model(model.weights, frozenset(exceptions) | frozenset(learned))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

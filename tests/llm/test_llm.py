@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ pytest.importorskip("quaymark.llm")
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quaymark.llm import gif, language_crf, packing, quality_classifier, quality_rules, revisits, sampled_pieces, simhash, suffix_dedup, toxicity
+from quaymark.llm import common, gif, language_crf, packing, quality_classifier, quality_rules, revisits, sampled_pieces, simhash, suffix_dedup, toxicity
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, chunk int, bits int, words string, kept string, predicted string"
@@ -93,7 +94,7 @@ def test_buckets_are_folders(spark, tmp_path):
 # Toxicity -----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("raw,plain", [("Іdiоt!", "idiot"), ("1d10t", "idiot"), ("M0R0N,", "moron"), ("tra​sh", "trash"), ("ｓｃｕｍ", "scum"), ("pa$$ing", "passing"), ("été", "été")])
+@pytest.mark.parametrize("raw,plain", [("Іdiоt!", "idiot"), ("1d10t", "idiot"), ("M0R0N,", "moron"), ("tra​sh", "trash"), ("ｓｃｕｍ", "scum"), ("pa$$ing", "passing"), ("été", "été"), ("$tupid", "stupid"), ("@ss", "ass"), ("stu\u0308pid", "stüpid"), ("x\u0336y\u0336", "xy"), ("oﬃce", "office")])
 def test_folding(raw, plain):
     assert toxicity.fold(f"an {raw} x").split() == ["an", plain, "x"]
 
@@ -106,6 +107,41 @@ def test_exceptions_and_length():
     assert model.score("trash") > model.score("trash " + "fine words here " * 50) > model.score("fine") == model.score("trash can")
 
 
+def test_matches_equal_a_naive_search():
+    rng = random.Random(8)
+    for _ in range(200):
+        word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 5)))
+        weights = {rng.choice([f" {word()} ", f" {word()}"]): rng.random() + 0.1 for _ in range(6)}
+        exceptions = frozenset(f"{word()} {word()}" for _ in range(4))
+        folded = f" {' '.join(word() for _ in range(30))} "
+        excused = [(k, k + len(e) + 1) for e in exceptions for k in range(len(folded)) if folded.startswith(f" {e} ", k)]
+        best = {}
+        for k in range(len(folded)):
+            for e, w in weights.items():
+                if folded.startswith(e, k) and not any(a <= k < b - 1 for a, b in excused):
+                    best[k] = max(best.get(k, 0), w)
+        assert {s: w for s, _, w in toxicity.Model(weights, exceptions).matches(folded)} == best
+
+
+def test_toxicity_of_very_long_texts():
+    model = toxicity.Model({" trash ": 3.0}, frozenset({"trash can"}), (1.0, 1.0, -3.0))
+    began = time.perf_counter()
+    assert model.score("trash can trash " * 330_000) > model.score("fine")
+    assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("rows", [[(7, f"word{k % 900} again", "en") for k in range(5000)] + [(8, "a b", "fr"), (9, "c d", "en")]])
+def test_repeated_ids_are_one_labelled_row(spark, rows):
+    docs, marks = table(spark, rows), labels(spark, [(k, k % 2, k % 2) for k in (7, 7, 8, 9)])
+    known = marks.select("doc_id", F.col("quality").alias("label"))
+    found = common.labelled_texts(docs, known, 2).collect()
+    assert len(found) == len({r.doc_id for r in found}) == 2
+    assert {r.doc_id for r in common.labelled_texts(docs, known, 10).collect()} == {7, 8, 9}
+    by_lang = common.labelled_texts(docs, docs.select("doc_id", F.col("lang").alias("label")), 10, F.col("lang")).collect()
+    assert sorted((r.doc_id, r.label) for r in by_lang) == [(7, "en"), (8, "fr"), (9, "en")]
+    assert len(language_crf.language_digest(docs).collect()) == len(rows)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
@@ -393,13 +429,13 @@ def test_lzw_streams():
     data = [bytes(rng.choice([rng.randrange(1 << s), 0]) for _ in range(n)) if k % 3 else bytes([1]) * n for k, (s, n) in enumerate(itertools.product((2, 3, 8), (1, 2, 300, 20_000)))]
     sizes = [s for s, _ in itertools.product((2, 3, 8), range(4))]
     streams = [gif.compress(d, s) for d, s in zip(data, sizes, strict=True)]
-    found = gif.decompress(streams, sizes, [len(d) for d in data])
-    assert [x.tobytes() for x in found] == data
+    found, given = gif.decompress(streams, sizes, [len(d) for d in data])
+    assert [x.tobytes() for x in found] == data and given.tolist() == [len(d) for d in data]
     assert [bytes(slow_lzw(st, s, len(d))) for st, s, d in zip(streams, sizes, data, strict=True)] == data
     units = gif.compress_units(data[-1][: 576 * 20])
     assert [bytes(slow_lzw(u, 8, 576)) for u in units] == [data[-1][k : k + 576] for k in range(0, 576 * 20, 576)]
-    cut = gif.decompress([streams[-1][:50]], [8], [len(data[-1])])[0]
-    assert cut[:20].tobytes() == data[-1][:20] and cut[-1] == 0
+    (cut,), given = gif.decompress([streams[-1][:50]], [8], [len(data[-1])])
+    assert cut[:20].tobytes() == data[-1][:20] and cut[-1] == 0 and given[0] < len(cut)
 
 
 def animation(interlaced=False):
@@ -426,6 +462,25 @@ def test_disposal_transparency_and_palettes(spark):
     assert {r.id for r in found if r.error} == {2, 3, 4}
 
 
+def test_damaged_files_have_error_rows(spark):
+    import struct
+
+    whole = gif.encode(bytes(range(256)) * 9)
+    stream = gif.compress(bytes(range(200)), 8)[:40]
+    short = b"GIF89a" + struct.pack("<HHBBB", 20, 10, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 20, 10, 0) + b"\x08" + bytes([len(stream)]) + stream + b"\x00\x3b"
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    wide = b"GIF89a" + struct.pack("<HHBBB", 9, 9, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\x01\x00\x00\x3b"
+    files = [whole, whole[:1500], short, huge, wide, b"GIF89a", b"", None]
+    media = spark.createDataFrame([(k, 0, None if f is None else bytearray(f)) for k, f in enumerate(files)], "doc_id bigint, n_bytes bigint, media binary")
+    back = {r.doc_id: r for r in gif.read_back(media, timed=True).collect()}
+    assert back[0].payload == bytearray(bytes(range(256)) * 9) and back[0].error is None and [f.starts_at_ms for f in back[0].frames] == [0, 40, 80, 120]
+    assert sum(map(sum, (f.histogram for f in back[0].frames))) == sum(back[0].histogram) == 4 * 576
+    assert all(back[k].error and back[k].payload is None for k in range(1, len(files)))
+    frames = gif.decode_frames(media.selectExpr("doc_id AS id", "media AS data")).collect()
+    assert Counter(r.id for r in frames if r.error is None) == {0: 4, 1: 1} and {r.id for r in frames if r.error} == set(range(1, len(files)))
+    assert "breaks off" in back[2].error and "65535" in back[3].error and "65535" in back[4].error
+
+
 def test_interlaced_rows():
     image = gif.Parsed(1, 9)
     image.frames.append(gif.Frame(0, 0, 1, 9, 0, 0, -1, True, np.arange(27, dtype=np.uint8).reshape(9, 3), 8, b""))
