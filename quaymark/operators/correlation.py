@@ -56,10 +56,17 @@ def coverage(correlated: DataFrame, n_providers: DataFrame | None = None) -> Dat
     )
 
 
-def reverse_index(correlated: DataFrame, edges: DataFrame, consumer_id: str, provider_id: str) -> DataFrame:
-    """Each provider's consumers by status, in order, as three lists. A provider's list is a result row, so it must fit one."""
-    known = edges.join(correlated.select(consumer_id, "status", "provider"), consumer_id)
-    shown = known.where((F.col("status") != "matched_confirmed") | (F.col("provider") == F.col(provider_id)))
-    return shown.groupBy(provider_id).agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col(consumer_id)))).alias(name) for s, name in zip(STATUSES[:3], ("confirmed", "unique", "ambiguous"), strict=True)]
-    )
+def reverse_index(correlated: DataFrame, providers: DataFrame, keys: list[str], consumer_id: str, provider_id: str) -> DataFrame:
+    """(provider_id, status, consumer_id): the consumers that come to one provider, a row each.
+
+    An ambiguous consumer belongs to all providers of its key alike; such edges are not multiplied out
+    but counted by ``ambiguous_of``, and stand as two sides of one key in ``correlated`` and ``providers``.
+    """
+    named = correlated.where(F.col("provider").isNotNull()).select(F.col("provider").alias(provider_id), "status", consumer_id)
+    return named.join(providers.select(provider_id).distinct(), provider_id, "left_semi")
+
+
+def ambiguous_of(correlated: DataFrame, providers: DataFrame, keys: list[str], provider_id: str) -> DataFrame:
+    """(provider_id, ambiguous): the number of ambiguous consumers of each provider's key, counted by key."""
+    counted = correlated.where("status = 'ambiguous'").groupBy(*keys).agg(F.count("*").alias("ambiguous"))
+    return providers.select(provider_id, *keys).join(counted, keys, "left").select(provider_id, F.coalesce("ambiguous", F.lit(0)).cast("bigint").alias("ambiguous"))

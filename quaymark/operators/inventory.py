@@ -21,10 +21,17 @@ def language(path: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), extension(path))
 
 
+def first_items(rows: DataFrame, kinds: list[str], item: str, first: int) -> DataFrame:
+    """The first items of each kind in order, as a list; the limit reaches the scan's side of the shuffle."""
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*kinds).orderBy(item))).where(F.col("_n") <= first)
+    return ranked.groupBy(*kinds).agg(F.array_sort(F.collect_list(item)).alias("first"))
+
+
 def histogram(rows: DataFrame, kind: str, item: str, first: int = EVIDENCE_ROWS) -> DataFrame:
     """Number of rows of each kind and its first items in order; the list's limit is the report's."""
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(kind).orderBy(item)))
-    return ranked.groupBy(kind).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= first, F.col(item)))).alias("first"))
+    lists = first_items(rows, [kind], item, first).withColumnRenamed(kind, "_kind")
+    counted = rows.groupBy(kind).agg(F.count("*").alias("n"))
+    return counted.join(lists, F.col(kind).eqNullSafe(F.col("_kind")), "left").select(kind, "n", F.coalesce("first", F.array().cast(lists.schema["first"].dataType)).alias("first"))
 
 
 def detect(files: DataFrame, signatures: DataFrame, key: str, text: str, extension_of: str | None = None, most: int = 1000) -> DataFrame:
@@ -47,9 +54,15 @@ def detect(files: DataFrame, signatures: DataFrame, key: str, text: str, extensi
     return found.select(key, "hit.name", "hit.kind")
 
 
-def merge_detections(found: DataFrame, key: str, confidence: str = "confidence") -> DataFrame:
-    """Each technology once, with all evidence in order; confirmed if any row is."""
-    return found.groupBy("kind", "name").agg(F.array_sort(F.collect_set(key)).alias("evidence"), F.when(F.bool_or(F.col(confidence) == "confirmed"), "confirmed").otherwise("probable").alias(confidence))
+def merge_detections(found: DataFrame, key: str, confidence: str = "confidence", first: int = EVIDENCE_ROWS) -> DataFrame:
+    """Each technology once: number of distinct pieces of evidence, the first of them, confirmed if any row is.
+
+    The list's limit is the report's; all evidence stays in ``found``, a row each.
+    """
+    kinds = ["kind", "name"]
+    once = found.groupBy(*kinds, key).agg(F.bool_or(F.col(confidence) == "confirmed").alias("_sure"))
+    merged = once.groupBy(*kinds).agg(F.count("*").alias("n"), F.bool_or("_sure").alias("_sure"))
+    return merged.join(first_items(once, kinds, key, first), kinds).select(*kinds, "n", F.col("first").alias("evidence"), F.when(F.col("_sure"), "confirmed").otherwise("probable").alias(confidence))
 
 
 def match_dependencies(declared: DataFrame, known: DataFrame) -> DataFrame:

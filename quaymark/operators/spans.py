@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Spans of up to 16 ** k numbers have places of that size, up to this k.
+MOST_DIGITS = 15
+
+
 def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, at: str, start: str, end: str, name: str) -> DataFrame:
     """point_id and the name of the shortest span with ``start <= at <= end`` (ties: the least name), or null.
 
-    An equi join on the key with the bounds as residual: Spark joins by key and never forms pairs of
-    different keys.
+    Bounds are whole numbers. A span lies in one or two places of its own size, and a point asks one
+    place of each size that occurs, so a key with many spans is joined by place, not as a whole; the
+    bounds are the join's residual. Spans that end before they start hold nothing.
     """
-    held = points.join(spans, keys).where(F.col(at).between(F.col(start), F.col(end)))
-    best = held.groupBy(point_id).agg(F.min(F.struct((F.col(end) - F.col(start)).alias("w"), F.col(name).alias("v"))).alias("best"))
+    digits = F.least(F.length(F.hex(F.col(end) - F.col(start))), F.lit(MOST_DIGITS))
+    place = lambda x, d: F.call_function("shiftright", x.cast("bigint"), (4 * d).cast("int"))
+    held = spans.where(F.col(start) <= F.col(end)).select(*keys, start, end, name, digits.alias("_digits"))
+    sizes = held.agg(F.collect_set("_digits").alias("s")).scalar()
+    held = held.withColumn("_place", F.explode(F.sequence(place(F.col(start), F.col("_digits")), place(F.col(end), F.col("_digits")))))
+    asked = points.select(*keys, point_id, F.col(at).alias("_at")).withColumn("_digits", F.explode(sizes)).withColumn("_place", place(F.col("_at"), F.col("_digits")))
+    found = asked.join(held, [*keys, "_digits", "_place"]).where(F.col("_at").between(F.col(start), F.col(end)))
+    best = found.groupBy(point_id).agg(F.min(F.struct((F.col(end) - F.col(start)).alias("w"), F.col(name).alias("v"))).alias("best"))
     return points.select(point_id).join(best, point_id, "left").select(point_id, F.col("best.v").alias(name))

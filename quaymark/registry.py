@@ -103,14 +103,30 @@ def stable_ids(spark, d):
     )
 
 
-@query(r"""SELECT c_custkey, 'Authorization: Bearer [REDACTED] user=' || c_name || ' password=[REDACTED], url=https://u:[REDACTED]@h/x?token=[REDACTED]&k=1' AS shown,
- (c_custkey % 2 = 0) AS raw_secret FROM customer""")
+#: What a text with a credential (<k> stands for it) shows when that is hidden, by the customer's number.
+_CREDENTIALS = (
+    ("Authorization: Bearer abc<k> user=n password=pw<k>, url=https://u:<k>@h/x?token=t<k>&k=1", "Authorization: Bearer [REDACTED] user=n password=[REDACTED], url=https://u:[REDACTED]@h/x?token=[REDACTED]&k=1"),
+    ('{"q":"password=abc<k>","k":1}', '{"q":"password=[REDACTED]","k":1}'),
+    ('{"api_key": "a b, <k>", "password": <k>, "secret": null, "n": [1]}', '{"api_key": "[REDACTED]", "password": "[REDACTED]", "secret": null, "n": [1]}'),
+    ("define(''API_KEY'', 1); $apiKey = ''x<k>''; passwordless=1 <k>", "define(''API_KEY'', 1); $apiKey = ''[REDACTED]''; passwordless=1 <k>"),
+    ('{\\"client-secret\\":\\"s<k>\\",\\"x\\":\\"authorization: basic <k>==\\"}', '{\\"client-secret\\":\\"[REDACTED]\\",\\"x\\":\\"authorization: basic [REDACTED]\\"}'),
+    ("amqp://u:p<k>@h:5672/v and https://h/a?x=1&sig=<k>#f; <k> no secret here", "amqp://u:[REDACTED]@h:5672/v and https://h/a?x=1&sig=[REDACTED]#f; <k> no secret here"),
+)
+
+
+def _by_key(column: int) -> str:
+    cases = " ".join(f"WHEN {k} THEN replace('{pair[column]}', '<k>', c_custkey::VARCHAR)" for k, pair in enumerate(_CREDENTIALS))
+    return f"CASE c_custkey % {len(_CREDENTIALS)} {cases} END"
+
+
+@query(f"SELECT c_custkey, {_by_key(1)} AS shown, (c_custkey % 4 < 2) AS raw_secret FROM customer")
 def redaction(spark, d):
-    key = F.col("c_custkey").cast("string")
-    raw = F.concat(F.lit("Authorization: Bearer abc"), key, F.lit(" user="), F.col("c_name"), F.lit(" password=pw"), key, F.lit(", url=https://u:"), key, F.lit("@h/x?token=t"), key, F.lit("&k=1"))
-    shown = text.redact(raw)
-    maybe = F.when(F.col("c_custkey") % 2 == 0, raw).otherwise(shown)
-    return _read(spark, d, "customer").select("c_custkey", shown.alias("shown"), text.secret_like(maybe).alias("raw_secret"))
+    """Assignments, JSON, escaped JSON, headers and URLs; what is hidden already is no secret any more."""
+    case = F.lit(None).cast("string")
+    for k, (raw, _) in enumerate(_CREDENTIALS):
+        case = F.when(F.col("c_custkey") % len(_CREDENTIALS) == k, F.replace(F.lit(raw.replace("''", "'")), F.lit("<k>"), F.col("c_custkey").cast("string"))).otherwise(case)
+    shown = text.redact(case)
+    return _read(spark, d, "customer").select("c_custkey", shown.alias("shown"), text.secret_like(F.when(F.col("c_custkey") % 4 < 2, case).otherwise(shown)).alias("raw_secret"))
 
 
 @query("SELECT doc_id, CASE WHEN position('ing' IN text) > 0 THEN len(string_split(left(text, position('ing' IN text) - 1), chr(10)))::BIGINT END AS line FROM documents")
@@ -130,14 +146,14 @@ def canonical_json(spark, d):
     return _read(spark, d, "events").select("event_id", ids.canonical_json(raw).alias("canonical"))
 
 
-@query("SELECT a.r_regionkey AS left_key, b.r_regionkey AS right_key, a.r_name = b.r_name AS equal FROM region a CROSS JOIN (SELECT * FROM region WHERE r_regionkey < 3) b")
+@query("SELECT o_orderkey, (o_orderkey % 3 <> 0) AS equal FROM orders")
 def artifact_equal(spark, d):
-    """Artifacts that differ in key order, set order and volatile keys are equal; others are not."""
-    r = _read(spark, d, "region")
-    first = r.select(F.col("r_regionkey").alias("left_key"), ids.artifact_digest(F.concat(F.lit('{"fields":["a","b"],"name":"'), F.col("r_name"), F.lit('","generated_at":"x"}'))).alias("x"))
-    other = r.where("r_regionkey < 3").select(F.col("r_regionkey").alias("right_key"), ids.artifact_digest(F.concat(F.lit('{"generated_at":"y","name":"'), F.col("r_name"), F.lit('","fields":["b","a"]}'))).alias("y"))
-    few = F.broadcast(other)  # three rows
-    return first.join(few, F.lit(True)).select("left_key", "right_key", (F.col("x") == F.col("y")).alias("equal"))
+    """Artifacts that differ in key order, set order and volatile keys are equal; where a name differs they are not."""
+    name = F.col("o_orderkey").cast("string")
+    other = F.when(F.col("o_orderkey") % 3 == 0, F.concat(name, F.lit("x"))).otherwise(name)
+    left = F.concat(F.lit('{"fields":["a","b"],"name":"'), name, F.lit('","generated_at":"x"}'))
+    right = F.concat(F.lit('{"generated_at":"y","name":"'), other, F.lit('","fields":["b","a"]}'))
+    return _read(spark, d, "orders").select("o_orderkey", (ids.artifact_digest(left) == ids.artifact_digest(right)).alias("equal"))
 
 
 @query("SELECT event_id, event_type || ',k' AS fields, CASE WHEN event_id % 2 = 0 THEN 'k' ELSE '' END AS required, 'integer' AS k_type FROM (SELECT event_id, CASE WHEN event_type < 'k' THEN event_type ELSE 'a_' || event_type END AS event_type FROM events)")
@@ -198,7 +214,7 @@ def signature_detect(spark, d):
 def detection_merge(spark, d):
     rows = _signature_rows(spark, d).withColumn("confidence", F.when(F.col("doc_id") % 3 == 0, "confirmed").otherwise("probable"))
     merged = inventory.merge_detections(rows, "doc_id")
-    return merged.select("kind", "name", F.size("evidence").cast("bigint").alias("n"), F.element_at("evidence", 1).alias("first_doc"), "confidence")
+    return merged.select("kind", "name", "n", F.element_at("evidence", 1).alias("first_doc"), "confidence")
 
 
 @query("""SELECT p_partkey, name FROM part, (VALUES ('java', 'STEEL', 'contains'), ('dotnet', 'ECONOMY', 'prefix'), ('npm', 'PROMO BRUSHED', 'exact')) k(ecosystem, name, mode)
@@ -258,15 +274,16 @@ def correlate_coverage(spark, d):
     return correlation.coverage(_correlated(spark, d))
 
 
-@query(f"""WITH c AS ({_CORRELATED}) SELECT s_suppkey, coalesce(string_agg(CASE WHEN status = 'matched_confirmed' THEN c_custkey::VARCHAR END, ',' ORDER BY c_custkey), '') AS confirmed,
- coalesce(string_agg(CASE WHEN status = 'unique_candidate' THEN c_custkey::VARCHAR END, ',' ORDER BY c_custkey), '') AS only, coalesce(string_agg(CASE WHEN status = 'ambiguous' THEN c_custkey::VARCHAR END, ',' ORDER BY c_custkey), '') AS ambiguous
- FROM c JOIN supplier ON s_nationkey = nation WHERE status <> 'matched_confirmed' OR provider = s_suppkey GROUP BY s_suppkey""")
+@query(f"""WITH c AS ({_CORRELATED}) SELECT provider AS s_suppkey, status, c_custkey FROM c WHERE provider IS NOT NULL""")
 def reverse_index(spark, d):
     c, s = _sides(spark, d)
-    edges = correlation.candidates(c, s, ["nation"], "c_custkey", "s_suppkey").drop("nation")
-    found = correlation.reverse_index(_correlated(spark, d), edges, "c_custkey", "s_suppkey")
-    show = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
-    return found.select("s_suppkey", show("confirmed").alias("confirmed"), show("unique").alias("only"), show("ambiguous").alias("ambiguous"))
+    return correlation.reverse_index(_correlated(spark, d), s, ["nation"], "c_custkey", "s_suppkey").select("s_suppkey", "status", "c_custkey")
+
+
+@query(f"""WITH c AS ({_CORRELATED}), a AS (SELECT nation, count(*) AS n FROM c WHERE status = 'ambiguous' GROUP BY 1) SELECT s_suppkey, coalesce(n, 0)::BIGINT AS ambiguous FROM supplier LEFT JOIN a ON s_nationkey = nation""")
+def ambiguous_consumers(spark, d):
+    c, s = _sides(spark, d)
+    return correlation.ambiguous_of(_correlated(spark, d), s, ["nation"], "s_suppkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 9000)")
@@ -415,19 +432,19 @@ def _orders_contract(known: F.Column, fields: F.Column, need: F.Column) -> F.Col
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
-    """Orders depend on suppliers by number: none, one or several provide; fields and tolerance vary by key."""
+    """Orders depend on suppliers by their customer's number: none, one or several provide; fields and tolerance vary by key."""
     k = F.col("o_orderkey")
     sent = F.when(k % 4 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("a"), F.lit("b")))
-    consumers = _read(spark, d, "orders").select("o_orderkey", (k % 120).alias("api"), _orders_contract(F.lit(None).cast("boolean"), sent, F.array().cast("array<string>")).alias("contract"))
+    consumers = _read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("api"), _orders_contract(F.lit(None).cast("boolean"), sent, F.array().cast("array<string>")).alias("contract"))
     s = F.col("s_suppkey")
-    providers = _read(spark, d, "supplier").where("s_suppkey < 100").select(F.when(s % 10 == 3, s - 1).otherwise(s).alias("api"), _orders_contract(F.when(s % 3 == 0, F.lit(True)), F.array(F.lit("a"), F.lit("b")), F.when(s % 5 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("contract"))
+    providers = _read(spark, d, "supplier").select(F.when(s % 10 == 3, s - 1).otherwise(s).alias("api"), _orders_contract(F.when(s % 3 == 0, F.lit(True)), F.array(F.lit("a"), F.lit("b")), F.when(s % 5 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("contract"))
     return consumption.check_consumers(consumers, providers, ["api"], "o_orderkey")
 
 
 _CHECKED = """SELECT o_orderkey, api, coalesce(n, 0)::BIGINT AS n_providers,
  CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN NOT extra THEN 'compatible' WHEN s % 5 = 0 THEN 'breaking' WHEN s % 3 = 0 THEN 'compatible' ELSE 'unknown' END AS status
- FROM (SELECT o_orderkey, o_orderkey % 120 AS api, o_orderkey % 4 = 0 AS extra FROM orders) o
- LEFT JOIN (SELECT CASE WHEN s_suppkey % 10 = 3 THEN s_suppkey - 1 ELSE s_suppkey END AS a, count(*) AS n, min(s_suppkey) AS s FROM supplier WHERE s_suppkey < 100 GROUP BY 1) p ON api = a"""
+ FROM (SELECT o_orderkey, o_custkey AS api, o_orderkey % 4 = 0 AS extra FROM orders) o
+ LEFT JOIN (SELECT CASE WHEN s_suppkey % 10 = 3 THEN s_suppkey - 1 ELSE s_suppkey END AS a, count(*) AS n, min(s_suppkey) AS s FROM supplier GROUP BY 1) p ON api = a"""
 
 
 @query(_CHECKED)
@@ -494,23 +511,23 @@ def json_constraints(spark, d):
     return validation.violations(_read(spark, d, "events"), "event_id", [validation.Constraint("props", json_path="$.k", least=10, most=90, integer=True)])
 
 
-@query("""WITH s AS (SELECT user_id, event_id AS lo, event_id + 100 + CAST(k AS BIGINT) AS hi, event_type AS name FROM (SELECT *, (props->>'$.k') AS k FROM events) WHERE event_id % 40 = 0),
+@query("""WITH s AS (SELECT user_id, event_id AS lo, event_id + 100 + CAST(k AS BIGINT) AS hi, event_type AS name FROM (SELECT *, (props->>'$.k') AS k FROM events)),
  h AS (SELECT e.event_id, name, row_number() OVER (PARTITION BY e.event_id ORDER BY hi - lo, name) AS r FROM events e JOIN s ON e.user_id = s.user_id AND e.event_id BETWEEN lo AND hi)
  SELECT e.event_id, h.name FROM events e LEFT JOIN h ON e.event_id = h.event_id AND r = 1""")
 def interval_join(spark, d):
     e = _read(spark, d, "events")
-    held = e.where("event_id % 40 = 0").select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 100 + F.get_json_object("props", "$.k").cast("bigint")).alias("hi"), F.col("event_type").alias("name"))
+    held = e.select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 100 + F.get_json_object("props", "$.k").cast("bigint")).alias("hi"), F.col("event_type").alias("name"))
     return spans.smallest_enclosing(e.select("event_id", "user_id"), held, ["user_id"], "event_id", "event_id", "lo", "hi", "name")
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     r = _read(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("caller"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("callee"))
-    c = _read(spark, d, "customer").where("c_custkey < 200").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("caller"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("callee"))
-    back = _read(spark, d, "customer").where("c_custkey < 20").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("caller"), F.lit("r0").alias("callee"))
+    c = _read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("caller"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("callee"))
+    back = _read(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("caller"), F.concat(F.lit("r"), F.pmod("c_custkey", F.lit(5)).cast("string")).alias("callee"))
     return r.unionByName(c).unionByName(back)
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey < 200 UNION ALL SELECT 'c' || c_custkey, 'r0' FROM customer WHERE c_custkey < 20),
+@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || c_custkey, 'r' || c_custkey % 5 FROM customer),
  t AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT root, b, depth + 1 FROM t JOIN e ON node = a WHERE depth < 4)
  SELECT root, node, min(depth) AS depth FROM t GROUP BY 1, 2""")
 def helper_reach(spark, d):
