@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.operators import compatibility, consumption, correlation
+from quaymark.plans.assembly import catalog_documents, with_evidence
 from quaymark.plans.audit import audit, catalog
-from quaymark.sources.documents import endpoints, read_catalogs, read_findings
+from quaymark.sources.documents import endpoints, input_records, read_catalogs, read_findings
 from quaymark.sources.publish import publish
 
 VERBS = ("inventory", "discover", "audit", "correlate", "catalog", "compare", "check")
@@ -28,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--ref", default="HEAD")
         p.add_argument("--repository-id")
         p.add_argument("--exclude", action="append", default=[])
+        p.add_argument("--require-correlation", action="store_true")
         p.add_argument("--output")
     p = verbs.add_parser("correlate")
     p.add_argument("--findings", action="append", required=True)
@@ -58,8 +60,8 @@ def give(spark: SparkSession, output: str | None, parts: dict[str, DataFrame]) -
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.verb in ("inventory", "discover", "audit"):
-        found = audit(spark, a.root, a.ref, a.repository_id, tuple(a.exclude))
-        parts = {"inventory": ("inventory", "dependencies"), "discover": ("endpoints", "unresolved"), "audit": tuple(found)}[a.verb]
+        found = audit(spark, a.root, a.ref, a.repository_id, tuple(a.exclude), a.require_correlation)
+        parts = {"inventory": ("inventory", "technologies", "plan", "dependencies"), "discover": ("endpoints", "unresolved"), "audit": tuple(found)}[a.verb]
         give(spark, a.output, {k: found[k] for k in parts})
         return 3 if a.verb == "audit" and found["status"].first().status != "complete" else 0
     if a.verb == "correlate":
@@ -69,7 +71,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         give(spark, a.output, {"correlations": found, "coverage": correlation.coverage(found)})
         return 0
     if a.verb == "catalog":
-        give(spark, a.output, {"endpoints": catalog(endpoints(read_findings(spark, [a.findings])), tuple(a.include), tuple(a.exclude))})
+        rows = endpoints(read_findings(spark, [a.findings]))
+        give(spark, a.output, {"catalog": catalog_documents(rows, tuple(a.include), tuple(a.exclude)), "inputs": input_records(spark, [a.findings])})
         return 0
     sides = [endpoints(read_catalogs(spark, [p])) for p in ((a.reference, a.candidate) if a.verb == "compare" else (a.consumers, a.providers))]
     if a.verb == "compare":
@@ -78,13 +81,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         keys = ["direction", "method", "path_shape"]
         for side in sides:
             require_unique(side, keys)
-        rows = compatibility.compare_contracts(*sides, keys, a.enforce_security_policy)
+        rows = with_evidence(compatibility.compare_contracts(*sides, keys, a.enforce_security_policy), sides, keys).orderBy("method", "path_shape", "direction")
         found, breaking, unknown = compatibility.summary(rows), F.col("breaking") > 0, F.col("unknown") > 0
     else:
         rows = consumption.check_consumers(sides[0].where("direction = 'consumed'"), sides[1].where("direction = 'exposed'"), ["method", "path_shape"], "endpoint_id", a.enforce_security_policy)
         found, breaking, unknown = consumption.summary(rows), (F.col("breaking") > 0) | (F.col("missing") > 0), (F.col("unknown") > 0) | (F.col("ambiguous") > 0)
     found = found.withColumn("gate", compatibility.gate(a.gate, breaking, unknown))
-    give(spark, a.output, {"records": rows, "summary": found})
+    given = [a.reference, a.candidate] if a.verb == "compare" else [a.consumers, a.providers]
+    give(spark, a.output, {"records": rows, "summary": found, "inputs": input_records(spark, given)})
     return 3 if found.first().gate == "failed" else 0
 
 

@@ -75,7 +75,7 @@ def request_facts(body: str) -> Iterator[Fact]:
         for m in re.finditer(re.escape(name) + r"(?=\s*\[)", body):
             keys, end = key_path(body, m.end())
             if not keys:
-                yield "unresolved", "slim_php_request_body_dynamic", body[m.start() : m.start() + 60], m.start()
+                yield "unresolved", "slim_php_request_body_dynamic", body[m.start() : body.find(";", m.start()) if ";" in body[m.start() :] else len(body)], m.start()
                 continue
             before, after = body[: m.start()].rstrip(), body[end : end + 40]
             cast = re.search(r"\((\w+)\)$", before)
@@ -97,12 +97,12 @@ def response_facts(body: str) -> Iterator[Fact]:
         arguments = split_top(body[m.end() : end]) if end > 0 else []
         sent = arrays.get(arguments[0], arguments[0]) if arguments else ""
         if not sent.startswith("["):
-            yield "unresolved", "slim_php_response_json_dynamic", sent[:60], m.start()
+            yield "unresolved", "slim_php_response_json_dynamic", sent, m.start()
             continue
         for item in split_top(sent[1:-1]):
             key = literal(item.split("=>", 1)[0]) if "=>" in item else None
             if key is None:
-                yield "unresolved", "slim_php_response_json_unresolved", item[:60], m.start()
+                yield "unresolved", "slim_php_response_json_unresolved", item, m.start()
             else:
                 value = item.split("=>", 1)[1].strip()
                 kind = "string" if literal(value) is not None else "integer" if re.fullmatch(r"-?\d+", value) else "boolean" if value.lower() in ("true", "false") else None
@@ -138,7 +138,7 @@ def semantic_facts(body: str) -> Iterator[Fact]:
         argument = split_top(body[m.end() : end])[0] if end > m.end() else ""
         sql = texts.get(argument) or literal(argument)
         if sql is None:
-            yield "unresolved", "slim_php_semantic_dynamic_sql", argument[:60], m.start()
+            yield "unresolved", "slim_php_semantic_dynamic_sql", argument, m.start()
             continue
         found = False
         for verb, target in re.findall(r"\b(FROM|JOIN|INSERT\s+INTO|UPDATE|DELETE\s+FROM|CALL)\s+[`\"]?([\w.]+)", sql, re.IGNORECASE):
@@ -146,7 +146,7 @@ def semantic_facts(body: str) -> Iterator[Fact]:
             found = True
             yield "data_access", target, "read" if verb in ("FROM", "JOIN") and not re.match(r"\s*DELETE", sql, re.IGNORECASE) else "write", m.start()
         if not found or "{?}" in sql:
-            yield "unresolved", "slim_php_semantic_sql_target_unresolved" if not found else "slim_php_semantic_sql_dynamic_expression", sql[:60], m.start()
+            yield "unresolved", "slim_php_semantic_sql_target_unresolved" if not found else "slim_php_semantic_sql_dynamic_expression", sql, m.start()
     claims = {m[1] for m in re.finditer(r"(\$\w+)\s*=\s*(?:\(array\)\s*)?JWT\s*::\s*decode\s*\(", body)}
     while more := {m[1] for m in re.finditer(r"(\$\w+)\s*=\s*(?:\(array\)\s*)?(\$\w+)(?:->data)?\s*;", body) if m[2] in claims} - claims:
         claims |= more
@@ -166,7 +166,7 @@ def semantic_facts(body: str) -> Iterator[Fact]:
         start = body.find("{", close)
         inner = body[start + 1 : matching(body, start)] if close > 0 and start > 0 and not body[close + 1 : start].strip() else ""
         status = re.search(r"(?:withStatus|withJson)\s*\((?:[^;]*,)?\s*(\d{3})\s*\)", inner)
-        yield "condition", re.sub(r"\s+", " ", body[m.end() : close])[:120], status[1] if status else None, m.start()
+        yield "condition", re.sub(r"\s+", " ", body[m.end() : close]), status[1] if status else None, m.start()
         if re.search(r"\bif\s*\(|\bswitch\s*\(", inner):
             yield "unresolved", "slim_php_semantic_nested_condition_branch", None, m.start()
     for pattern, kind in ((r"\bcurl_init\s*\(\s*([^)]*)\)", "outbound_http"), (r"\bnew\s+\\?SoapClient\s*\(\s*([^,)]*)", "outbound_soap"), (r"\b(?:file_put_contents|fwrite)\s*\(\s*([^,)]*)", "file_write"), (r"\bmail\s*\(\s*([^,)]*)", "mail")):
@@ -175,7 +175,7 @@ def semantic_facts(body: str) -> Iterator[Fact]:
             yield (kind, target, None, m.start()) if target else ("unresolved", "slim_php_semantic_outbound_target_unresolved", kind, m.start())
     for pattern, code in ((r"(?<![\w>$:])\$\w+\s*\(", "slim_php_semantic_dynamic_function_call"), (r"->\s*\$\w+\s*\(", "slim_php_semantic_dynamic_method_call"), (r"\bnew\s+\$\w+", "slim_php_semantic_dynamic_class"), (r"\bswitch\s*\(", "slim_php_semantic_switch_control_flow"), (r"\bcall_user_func(?:_array)?\s*\(", "slim_php_semantic_dynamic_callback")):
         for m in re.finditer(pattern, body):
-            yield "unresolved", code, body[m.start() : m.start() + 40], m.start()
+            yield "unresolved", code, body[m.start() : body.find(";", m.start()) if ";" in body[m.start() :] else len(body)], m.start()
     for m in re.finditer(r"(?<![\w>$:\\])(?!(?:if|for|foreach|while|switch|function|array|isset|empty|return|list|catch|json_encode|json_decode|mail|fwrite)\b)([A-Za-z_]\w*)\s*\(", body):
         yield "call", m[1], None, m.start()
 
@@ -203,7 +203,8 @@ def behaviour(found: DataFrame, depth: int = 4) -> DataFrame:
     """(repository_id, endpoint owner, kind, name, value) of routes, with those of helpers within reach.
 
     Only functions defined once in a repository are followed; calls to others defined several times
-    give an ``unresolved`` fact.
+    give an ``unresolved`` fact, and so do helpers beyond ``depth`` and helpers that call themselves,
+    over others or not.
     """
     own = found.where("method IS NOT NULL")
     functions = found.where("method IS NULL AND kind = 'owner'").groupBy("repository_id", "owner").agg(F.count("*").alias("n"))
@@ -211,12 +212,19 @@ def behaviour(found: DataFrame, depth: int = 4) -> DataFrame:
     single = functions.where("n = 1").select(key("owner").alias("callee"))
     calls = found.where("kind = 'call'").select(key("owner").alias("caller"), key("name").alias("callee")).distinct()
     roots = own.where("kind = 'owner'").select(key("owner").alias("root")).distinct()
-    reached = reachable(roots, calls.join(single, "callee", "left_semi"), depth).where("depth > 0").select("root", "node")
+    followed = calls.join(single, "callee", "left_semi").select("caller", "callee")
+    fronts = reachable(roots, followed, depth)
+    reached = fronts.where("depth > 0").select("root", "node")
+    beyond = fronts.where(F.col("depth") == depth).join(followed, F.col("node") == F.col("caller")).select("root", F.col("callee").alias("node")).join(fronts, ["root", "node"], "left_anti")
+    # A helper that reaches a caller of its own stands on a cycle.
+    around = reachable(single.select(F.col("callee").alias("root")), followed, depth).join(followed, F.col("node") == F.col("caller")).where("callee = root").select(F.col("root").alias("node")).distinct()
+    issue = lambda rows, name: rows.select("root", F.lit("unresolved").alias("kind"), F.lit(name).alias("name"), F.substring_index("node", "\u0001", -1).alias("value"))
+    limits = issue(beyond, "slim_php_semantic_helper_depth_limit").unionByName(issue(reached.join(around, "node", "left_semi"), "slim_php_semantic_helper_cycle"))
     inherited = found.where("method IS NULL AND kind NOT IN ('owner', 'call', 'request_field')").select(key("owner").alias("node"), "kind", "name", "value")
     several = calls.join(functions.where("n > 1").select(key("owner").alias("callee")), "callee", "left_semi")
     ambiguous = several.join(roots, several.caller == roots.root).select("root", F.lit("unresolved").alias("kind"), F.lit("slim_php_semantic_helper_ambiguous").alias("name"), F.substring_index("callee", "\u0001", -1).alias("value"))
     direct = own.where("kind NOT IN ('owner', 'call')").select(key("owner").alias("root"), "kind", "name", "value")
-    all_ = direct.unionByName(reached.join(inherited, "node").select("root", "kind", "name", "value")).unionByName(ambiguous).distinct()
+    all_ = direct.unionByName(reached.join(inherited, "node").select("root", "kind", "name", "value")).unionByName(ambiguous).unionByName(limits).distinct()
     return all_.select(F.substring_index("root", "\u0001", 1).alias("repository_id"), F.substring_index("root", "\u0001", -1).alias("owner"), "kind", "name", "value")
 
 

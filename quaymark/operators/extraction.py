@@ -260,7 +260,7 @@ def extract(files: DataFrame, constants: dict[str, str] | None = None, dio_field
             for repository, path, text in zip(frame["repository_id"], frame["path"], frame["text"], strict=True):
                 ends = [m.start() for m in re.finditer("\n", text)]
                 for detector, direction, method, url, confidence, code, at in scan_text(path, text, known, fields):
-                    base, endpoint = split_url(url) if url is not None else (None, None)
+                    base, endpoint = (None, url) if url is None or detector == "soap" else split_url(url)  # a WSDL stays as it is written
                     out.append((repository, path, "unresolved" if code else "endpoint", detector, direction, method, base, endpoint, confidence, code, bisect_right(ends, at - 1) + 1, at))
             yield pd.DataFrame(out, columns=names)
 

@@ -18,3 +18,24 @@ def group_completion(rows: DataFrame, keys: list[str], supported: Column, pendin
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(pending).alias("pending"), F.bool_and(supported).alias("all_supported")).withColumn(
         "status", F.when(F.col("all_supported") & (F.col("pending") == 0), "complete").otherwise("partial")
     )
+
+
+def contract_scope(exposed: Column, pending: Column, unresolved: Column) -> Column:
+    """How far the contracts of exposed endpoints were evaluated, by their numbers: all, those pending and open facts."""
+    return F.when(exposed == 0, "not_applicable").when(unresolved > 0, "evaluated_partial").when(pending == 0, "evaluated_complete").otherwise("required_not_complete")
+
+
+def correlation_scope(consumed: Column, required: Column) -> Column:
+    """Whether a match with providers was asked for and could be made by one audit alone."""
+    return F.when(~required, "out_of_scope").when(consumed == 0, "not_applicable").otherwise("required_not_evaluable")
+
+
+def audit_gate(inventory_complete: Column, discovery_complete: Column, surfaces: Column, unsupported: Column, unresolved: Column, contracts: Column, correlation: Column) -> Column:
+    """``complete`` if nothing is open: inventory, discovery, surfaces without a detector, unsupported detectors, unresolved facts and both scopes."""
+    shut = (
+        F.coalesce(inventory_complete & discovery_complete, F.lit(False))
+        & (F.coalesce(surfaces + unsupported + unresolved, F.lit(1)) == 0)
+        & ~contracts.isin("required_not_complete")
+        & ~correlation.isin("required_not_evaluable")
+    )
+    return F.when(shut, "complete").otherwise("partial")

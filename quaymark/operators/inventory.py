@@ -80,6 +80,48 @@ def match_dependencies(declared: DataFrame, known: DataFrame) -> DataFrame:
     return exact.select(*columns).unionByName(contains.select(*columns)).unionByName(prefix.select(*columns))
 
 
+#: Technologies by a pattern of their own in code (name, kind, pattern, extensions).
+_SCRIPT = ["js", "jsx", "mjs", "cjs", "ts", "tsx", "vue"]
+TECHNOLOGIES = (
+    ("slim", "framework", r"\bSlim\\(App|Factory)|AppFactory::create|\$app\s*->\s*(get|post|put|patch|delete)\s*\(", ["php"]), ("laravel", "framework", r"\bRoute::(get|post|put|patch|delete|match|any|group|prefix)\b|Illuminate\\", ["php"]),
+    ("express", "framework", r"require\(\s*['\"]express['\"]|from\s+['\"]express['\"]", _SCRIPT), ("django", "framework", r"\bfrom django\b|\bimport django\b", ["py"]), ("flask", "framework", r"\bfrom flask\b|\bimport flask\b", ["py"]),
+    ("fastapi", "framework", r"\bfrom fastapi\b|\bimport fastapi\b", ["py"]), ("spring", "framework", r"org\.springframework", ["java", "kt"]), ("aspnet", "framework", r"Microsoft\.AspNetCore", ["cs"]),
+    ("guzzle", "http_client", r"GuzzleHttp\\|new\s+Client\(", ["php"]), ("laravel-http", "http_client", r"\bHttp::(get|post|put|patch|delete|with)", ["php"]), ("php-curl", "http_client", r"\bcurl_init\s*\(", ["php"]),
+    ("axios", "http_client", r"\baxios\b", _SCRIPT), ("fetch", "http_client", r"\bfetch\s*\(", _SCRIPT), ("angular-http", "http_client", r"\bHttpClient\b", ["ts"]), ("dart-http", "http_client", r"package:http/", ["dart"]), ("dio", "http_client", r"package:dio/|\bDio\s*\(", ["dart"]),
+    ("requests", "http_client", r"\bimport requests\b|\brequests\.(get|post|put|patch|delete)\s*\(", ["py"]), ("okhttp", "http_client", r"\bOkHttpClient\b", ["java", "kt"]),
+    ("soap", "integration", r"\bSoapClient\b|<(?:\w+:)?definitions\b", None), ("graphql", "integration", r"\bgql`|\bGraphQLClient\b|graphql-tag", _SCRIPT), ("grpc", "integration", r"\bimport grpc\b|io\.grpc\.", None), ("amqp", "integration", r"\bAMQPStreamConnection\b|amqplib", None),
+    ("openapi", "existing_spec", r"(?m)^\s*[\"']?(openapi|swagger)[\"']?\s*:\s*[\"']?[23]\.", ["json", "yaml", "yml"]),
+)
+#: Technologies that have a detector; of integration surfaces only SOAP.
+SUPPORTED = ("slim", "laravel", "guzzle", "laravel-http", "php-curl", "axios", "fetch", "angular-http", "dart-http", "dio", "soap")
+SERVER_FRAMEWORKS = ("slim", "laravel", "express", "django", "flask", "fastapi", "spring", "aspnet")
+#: Categories of a detector plan, in their order.
+PLAN = ("inventory", "framework", "configuration", "existing_spec", "exposed", "consumed", "integration")
+
+
+def technologies(files: DataFrame) -> DataFrame:
+    """(repository_id, path, name, kind) of known technologies that files (repository_id, path, text) show."""
+    signatures = files.sparkSession.createDataFrame(list(TECHNOLOGIES), "name string, kind string, pattern string, extensions array<string>")
+    rows = files.where("text IS NOT NULL").select(F.struct("repository_id", "path").alias("file"), "text", extension(F.col("path")).alias("extension"))
+    return detect(rows, signatures, "file", "text", "extension").select("file.repository_id", "file.path", "name", "kind")
+
+
+def detector_plan(detected: DataFrame, by: str = "repository_id") -> DataFrame:
+    """(repository, categories in the plan's order, hints in order) from detected (repository, name, kind)."""
+    served = F.col("name").isin(*SERVER_FRAMEWORKS) & (F.col("kind") == "framework")
+    kinds = F.when(F.col("kind") == "http_client", F.array(F.lit("consumed"))).when(served, F.array(F.lit("framework"), F.lit("exposed"))).otherwise(F.array("kind"))
+    hints = (
+        F.when(F.col("kind") == "http_client", F.array(F.concat(F.lit("consumed:"), "name")))
+        .when(F.col("kind") == "framework", F.array_compact(F.array(F.concat(F.lit("framework:"), "name"), F.when(served, F.concat(F.lit("exposed:"), "name")))))
+        .when(F.col("kind") == "existing_spec", F.array(F.lit("existing_spec:openapi-or-swagger")))
+        .otherwise(F.array(F.concat(F.lit("integration:"), "name")))
+    )
+    rows = detected.select(by, "name", "kind").distinct().select(by, kinds.alias("k"), hints.alias("h"))
+    sets = rows.groupBy(by).agg(F.array_distinct(F.flatten(F.collect_set("k"))).alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("h")))).alias("hints"))
+    order = F.array(*[F.lit(x) for x in PLAN])
+    return sets.select(by, F.filter(order, lambda c: c.isin("inventory", "configuration") | F.array_contains("k", c)).alias("categories"), "hints")
+
+
 def unsupported(detected: DataFrame, supported: DataFrame, name: str) -> DataFrame:
     """Detected technologies that no detector covers."""
     return detected.join(supported, name, "left_anti")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaymark.functions.frames import cut
 from quaymark.functions.ids import contract_id, endpoint_id
 from quaymark.functions.paths import contract_path, path_shape, scope
+from quaymark.operators import enrichment, gates
 from quaymark.operators.extraction import extract, shared_facts
-from quaymark.operators.inventory import histogram, language
+from quaymark.operators.inventory import SUPPORTED, detector_plan, histogram, language, merge_detections, technologies, unsupported
 from quaymark.operators.merging import merge_evidence
-from quaymark.sources.files import read_tree, repository_identity, unread, verify_snapshot
+from quaymark.plans.assembly import findings_documents, route_contracts, with_contracts
+from quaymark.sources.files import read_tree, repository_identity, tracked_files, unread, verify_snapshot
 from quaymark.sources.manifests import manifest_dependencies
+from quaymark.sources.wsdl import resolve_contracts
 
 
 def discover(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,17 +30,58 @@ def discover(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merged, rows.where("kind = 'unresolved'").select("repository_id", "path", "detector", "code", "line").distinct()
 
 
-def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str | None = None, exclude: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Inventory, dependencies, endpoints, unresolved rows and status of one pinned work tree."""
+def unsupported_technologies(found: DataFrame) -> DataFrame:
+    """Issue rows for detected frameworks and clients without a detector, and integration surfaces other than SOAP."""
+    known = found.sparkSession.createDataFrame([(x,) for x in SUPPORTED], "name string")
+    code = F.when(F.col("kind") == "integration", "unsupported_integration_surface").when(F.col("kind") == "http_client", "unsupported_http_client").otherwise("unsupported_framework")
+    open_ = unsupported(found.where("kind <> 'existing_spec'"), known, "name")
+    return open_.groupBy("repository_id", "name", "kind").agg(F.min("path").alias("path")).select("repository_id", "path", F.col("name").alias("detector"), code.alias("code"), F.lit(None).cast("int").alias("line"))
+
+
+def zero_hits(found: DataFrame, endpoints: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """Issue rows for supported technologies whose detector gave neither an endpoint nor an open call."""
+    seen = endpoints.select("repository_id", F.col("detector").alias("name")).union(unresolved.select("repository_id", "detector")).distinct()
+    silent = found.where(F.col("name").isin(*SUPPORTED)).groupBy("repository_id", "name").agg(F.min("path").alias("path")).join(seen, ["repository_id", "name"], "left_anti")
+    return silent.select("repository_id", "path", F.col("name").alias("detector"), F.lit("detector_without_hits").alias("code"), F.lit(None).cast("int").alias("line"))
+
+
+def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str | None = None, exclude: tuple[str, ...] = (), require_correlation: bool = False) -> dict[str, DataFrame]:
+    """Inventory, detector plan, dependencies, endpoints with contracts, behaviour, unresolved rows, status and findings of one pinned work tree."""
     snapshot = verify_snapshot(root, ref)
     name, _ = repository_identity(root, repository_id)
     files = read_tree(spark, root, name, exclude=exclude)
     languages = histogram(files.select(language(F.col("path")).alias("language"), "path").where("language IS NOT NULL"), "language", "path")
-    endpoints, unresolved = discover(files)
-    unresolved = unresolved.unionByName(unread(files))
-    facts = {k: F.lit(v).alias(k) for k, v in snapshot.items() if k != "root"}
-    state = unresolved.agg(F.count("*").alias("open")).select(F.lit(name).alias("repository_id"), *facts.values(), "open", F.when(F.col("open") == 0, "complete").otherwise("partial").alias("status"))
-    return {"inventory": languages, "dependencies": manifest_dependencies(files), "endpoints": endpoints, "unresolved": unresolved, "status": state}
+    # Each is used by several results: files are read and scanned once for each kind of row.
+    found = cut(technologies(files))
+    endpoints, calls = discover(files)
+    endpoints, calls, facts = cut(endpoints), cut(calls), cut(enrichment.facts(files))
+    behaviours = cut(enrichment.behaviour(facts))
+    endpoints = cut(with_contracts(endpoints, route_contracts(facts, behaviours)))
+    not_read, no_detector, silent = unread(files), unsupported_technologies(found), zero_hits(found, endpoints, calls)
+    operations = endpoints.where("detector = 'soap'").select("repository_id", F.col("method").alias("operation"), F.col("path").alias("wsdl"), F.substring_index(F.element_at("evidence", 1), ":", 1).alias("path"))
+    missing = resolve_contracts(operations, files, tracked_files(spark, root, name)).where(~F.col("defined_in_wsdl"))
+    soap = missing.select("repository_id", "path", F.lit("soap").alias("detector"), F.concat(F.lit("soap_contract_"), F.col("wsdl_status")).alias("code"), F.lit(None).cast("int").alias("line"))
+    inside = facts.where("kind = 'unresolved'").select("repository_id", "path", F.lit("slim").alias("detector"), F.col("name").alias("code"), "line")
+    handed = behaviours.where("kind = 'unresolved'").select("repository_id", F.col("owner").alias("path"), F.lit("slim").alias("detector"), F.col("name").alias("code"), F.lit(None).cast("int").alias("line"))
+    parts = {"discovery": calls, "inventory": not_read, "unsupported": no_detector, "silent": silent, "soap": soap, "body": inside, "helper": handed.where(F.col("code").contains("helper"))}
+    unresolved = None
+    for source, rows in parts.items():
+        rows = rows.withColumn("source", F.lit(source))
+        unresolved = rows if unresolved is None else unresolved.unionByName(rows)
+    unresolved = cut(unresolved.distinct())
+    # One row of counts, joined by the one repository.
+    counts = unresolved.agg(*[F.count_if(F.col("source") == x).alias(x) for x in parts], F.count("*").alias("open")).withColumn("repository_id", F.lit(name))
+    exposed = (F.col("direction") == "exposed")
+    sides = endpoints.agg(F.count_if(exposed).alias("exposed"), F.count_if(exposed & (F.col("contract.contract_status") != "complete")).alias("pending"), F.count_if(~exposed).alias("consumed")).withColumn("repository_id", F.lit(name))
+    contracts, correlation = gates.contract_scope(F.col("exposed"), F.col("pending"), F.col("body")), gates.correlation_scope(F.col("consumed"), F.lit(require_correlation))
+    facts_ = {k: F.lit(v).alias(k) for k, v in snapshot.items() if k != "root"}
+    state = counts.join(sides, "repository_id").withColumn("contract_scope", contracts).withColumn("correlation_scope", correlation)
+    status = gates.audit_gate(F.col("inventory") == 0, (F.col("discovery") + F.col("silent")) == 0, F.lit(0), F.col("unsupported"), F.col("soap") + F.col("body") + F.col("helper"), F.col("contract_scope"), F.col("correlation_scope"))
+    state = state.select("repository_id", *facts_.values(), "open", "contract_scope", "correlation_scope", status.alias("status"))
+    return {
+        "inventory": languages, "technologies": merge_detections(found.withColumn("confidence", F.lit("confirmed")), "path"), "plan": detector_plan(found), "dependencies": manifest_dependencies(files), "endpoints": endpoints,
+        "behaviour": behaviours, "unresolved": unresolved.drop("source"), "status": state, "findings": findings_documents(endpoints, state),
+    }
 
 
 def catalog(endpoints: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:

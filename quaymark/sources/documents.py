@@ -15,7 +15,7 @@ ENDPOINT = (
     f"handler:string,confidence:string,contract_status:string,semantic_status:string,evidence:{EVIDENCE},notes:array<string>,contract:{CONTRACT}>"
 )
 FINDINGS = f"schema_version string, audit_id string, repository string, repository_id string, source_ref string, source_commit string, status string, audit_timestamp string, endpoints array<{ENDPOINT}>"
-CATALOG = f"schema_version string, catalog_id string, repository_id string, source_commit string, endpoints array<struct<endpoint_id:string,direction:string,method:string,normalized_path:string,path_shape:string,contract:{CONTRACT}>>"
+CATALOG = f"schema_version string, catalog_id string, repository_id string, source_commit string, endpoints array<struct<endpoint_id:string,source_endpoint_id:string,direction:string,method:string,normalized_path:string,path_shape:string,confidence:string,scope:string,evidence:{EVIDENCE},contract:{CONTRACT}>>"
 FINDINGS_RULES = [
     Constraint("schema_version", one_of=(FINDINGS_VERSION,)), Constraint("repository_id", min_length=1), Constraint("source_commit", pattern="^[0-9a-f]{7,64}$"),
     Constraint("status", one_of=("complete", "partial", "failed")), Constraint("audit_timestamp", date_time=True),
@@ -38,6 +38,12 @@ def read_catalogs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return read_documents(spark, paths, CATALOG, CATALOG_RULES)
 
 
+def input_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length, sha256) of each input file: what a result was made from."""
+    rows = spark.read.format("binaryFile").load(paths)
+    return rows.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def endpoints(documents: DataFrame) -> DataFrame:
     """One row for each endpoint, with its document's repository and commit."""
     return documents.select("repository_id", "source_commit", F.explode("endpoints").alias("e")).select("repository_id", "source_commit", "e.*")

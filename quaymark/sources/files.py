@@ -37,6 +37,12 @@ def verify_snapshot(root: str, ref: str = "HEAD") -> dict[str, str | bool]:
     return {"root": top, "source_commit": head, "dirty": dirty}
 
 
+def tracked_files(spark: SparkSession, root: str, repository_id: str) -> DataFrame:
+    """(repository_id, path) of the files that the work tree's commit holds."""
+    names = [p for p in git(root, "ls-files", "-z").split("\0") if p]
+    return spark.createDataFrame([(repository_id, p) for p in names], "repository_id string, path string")
+
+
 def repository_identity(root: str, stated: str | None = None) -> tuple[str, str]:
     """(id, where it comes from): stated, else the origin's URL without credentials, else the folder's name."""
     import re

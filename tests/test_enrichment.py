@@ -56,7 +56,17 @@ def test_helpers_hand_on_their_facts(found):
     tables = {(r.name, r.value) for r in rows.where("owner = 'POST /orders/{id}' AND kind = 'data_access'").collect()}
     assert tables == {("users", "read"), ("audit_log", "write")}
     state = {r.owner: r.status for r in enrichment.semantic_status(rows).collect()}
-    assert state == {"POST /orders/{id}": "complete", "GET /plain": "unresolved"}
+    assert state == {"POST /orders/{id}": "partial", "GET /plain": "unresolved"}
+    open_ = {(r.name, r.value) for r in rows.where("owner = 'POST /orders/{id}' AND kind = 'unresolved'").collect()}
+    assert open_ == {("slim_php_semantic_helper_cycle", "loadUser"), ("slim_php_semantic_helper_cycle", "audit")}
+
+
+def test_helpers_beyond_the_depth_are_open(spark):
+    chain = "".join(f"function f{k}() {{ f{k + 1}(); }}\n" for k in range(6)) + "function f6() { $db->query('SELECT 1 FROM far'); }\n"
+    code = f"<?php\n{chain}$app->get('/x', function ($q, $r) {{ f0(); return $r->withJson(['a' => 1]); }});\n"
+    found = enrichment.facts(spark.createDataFrame([("r", "a.php", code)], "repository_id string, path string, text string"))
+    of_route = lambda depth: {(r.kind, r.name, r.value) for r in enrichment.behaviour(found, depth).where("kind IN ('data_access', 'unresolved')").collect()}
+    assert of_route(4) == {("unresolved", "slim_php_semantic_helper_depth_limit", "f4")} and of_route(7) == {("data_access", "far", "read")}
 
 
 def test_empty(spark):

@@ -238,7 +238,7 @@ def test_publish_is_whole_or_nothing(spark, tmp_path):
 def test_audit_of_a_work_tree(spark, tmp_path):
     repo = tmp_path / "shop"
     (repo / "vendor").mkdir(parents=True)
-    (repo / "routes.php").write_text("<?php\n$app->get('/orders/{id}', f);\n")
+    (repo / "routes.php").write_text("<?php\n$app->get('/orders/{id}', function ($q, $r) { return $r->withJson(['id' => 7], 200); });\n")
     (repo / "vendor" / "x.php").write_text("<?php $app->get('/vendored', f);")
     (repo / "composer.json").write_text('{"require": {"slim/slim": "4"}}')
     for arguments in (("init", "-q"), ("add", "-A"), ("-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "x")):
@@ -247,6 +247,7 @@ def test_audit_of_a_work_tree(spark, tmp_path):
     assert rows(found["endpoints"].select("repository_id", "method", "path")) == [("shop", "GET", "/orders/{id}")]
     assert rows(found["dependencies"].select("dependency")) == [("slim/slim",)]
     assert found["status"].first().status == "complete" and found["status"].first().dirty is False
+    assert found["status"].first().contract_scope == "evaluated_complete" and audit(spark, str(repo), require_correlation=True)["status"].first().correlation_scope == "not_applicable"
     with pytest.raises(files.SnapshotError):
         files.verify_snapshot(str(repo / "vendor"))
     with pytest.raises(files.SnapshotError):
@@ -302,3 +303,56 @@ def test_audit_is_partial_over_unread_files(spark, tmp_path):
     found = audit(spark, str(tmp_path))
     assert found["status"].first().status == "partial"
     assert sorted((r.path, r.code) for r in found["unresolved"].collect()) == [("big.js", "skipped_oversize"), ("odd.py", "text_read_failed")]
+
+
+def commit(repo):
+    for arguments in (("init", "-q"), ("add", "-A"), ("-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "x")):
+        subprocess.run(["git", "-C", str(repo), *arguments], check=True)
+
+
+def test_from_audit_to_check(spark, tmp_path):
+    """Each verb reads what the verb before it published."""
+    from quaymark import __main__ as cli
+
+    route = "<?php\n$app->post('/orders/{id}', function ($q, $r) { $d = $q->getParsedBody(); $n = (int) $d['n']; $m = $d['m'] ?? ''; return $r->withJson(['id' => 7%s], 201); });\n"
+    for name, more in (("old", ", 'state' => 'x'"), ("new", "")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "routes.php").write_text(route % more)
+        commit(tmp_path / name)
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app" / "a.js").write_text("import axios from 'axios';\naxios.post('/orders/{key}', body);\n")
+    commit(tmp_path / "app")
+    out = lambda name, part="": f"{tmp_path}/out-{name}" + (f"/{part}" if part else "")
+    codes = {}
+    for name in ("old", "new", "app"):
+        codes[name] = cli.run(spark, cli.parser().parse_args(["audit", str(tmp_path / name), "--output", out(name)]))
+        assert cli.run(spark, cli.parser().parse_args(["catalog", "--findings", out(name, "findings"), "--output", out(f"{name}-catalog")])) == 0
+    assert codes == {"old": 0, "new": 0, "app": 0}
+    made = spark.read.json(out("old-catalog", "catalog")).first()
+    (e,) = made.endpoints
+    assert (e.method, e.path_shape, e.scope, e.contract.contract_status) == ("POST", "/orders/{}", "required", "complete") and e.evidence[0].path == "routes.php" and e.evidence[0].line == 2
+    assert e.contract.request.fields == ["m", "n"] and e.contract.request.optional_fields == ["m"] and e.contract.request.unknown_requiredness_fields == ["n"] and e.contract.response.status_codes == [201]
+    run = lambda *a: cli.run(spark, cli.parser().parse_args([*a]))
+    assert run("correlate", "--findings", out("app", "findings"), "--findings", out("old", "findings"), "--output", out("links")) == 0
+    assert [r.status for r in spark.read.json(out("links", "correlations")).collect()] == ["unique_candidate"]
+    assert run("compare", "--reference", out("old-catalog", "catalog"), "--candidate", out("new-catalog", "catalog"), "--gate", "breaking", "--output", out("compared")) == 3
+    record = spark.read.json(out("compared", "records")).first()
+    assert record.classification == "breaking" and [x.path for x in record.evidence] == ["routes.php", "routes.php"]
+    assert run("check", "--consumers", out("app-catalog", "catalog"), "--providers", out("old-catalog", "catalog"), "--output", out("checked")) == 0
+    assert len(spark.read.json(out("checked", "inputs")).first().sha256) == 64
+
+
+def test_gate_sees_what_is_open(spark, tmp_path):
+    (tmp_path / "a.php").write_text("<?php\n$app->get('/a', f);\n$s = new SoapClient('w/a.wsdl'); $s->Login($x); $s->Gone($x);\n$t = new SoapClient('http://x/b.wsdl'); $t->Far($x);\n")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.wsdl").write_text("<definitions xmlns='w'><portType name='P'><operation name='Login'/></portType></definitions>")
+    (tmp_path / "m.py").write_text("import requests\nfrom flask import Flask\n")
+    (tmp_path / "b.php").write_text("<?php\nuse GuzzleHttp\\Client;\n")
+    commit(tmp_path)
+    found = audit(spark, str(tmp_path), require_correlation=True)
+    state = found["status"].first()
+    assert (state.status, state.contract_scope, state.correlation_scope) == ("partial", "required_not_complete", "required_not_evaluable")
+    codes = {(r.detector, r.code) for r in found["unresolved"].collect()}
+    assert codes >= {("requests", "unsupported_http_client"), ("flask", "unsupported_framework"), ("guzzle", "detector_without_hits"), ("soap", "soap_contract_operation_missing"), ("soap", "soap_contract_remote")}
+    plan = found["plan"].first()
+    assert plan.categories == ["inventory", "framework", "configuration", "exposed", "consumed", "integration"] and "exposed:flask" in plan.hints and "integration:soap" in plan.hints
