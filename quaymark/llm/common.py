@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaymark.functions.frames import cut
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,16 +21,8 @@ def id_text_bucket(column: str, modulus: int) -> Column:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through checkpoint() in the shared folder the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is set only where
-    neither that setting nor a checkpoint folder exists (local tests).
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    """Cut lineage through checkpoint() in the shared folder the cluster names."""
+    return cut(df)
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:

@@ -148,10 +148,17 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.where("group <> hub.group").where(length_fits("n", "hub.n")).select(*ordered("key", "hub.key")).distinct()
 
 
-def grouped(members: DataFrame, by: str, edges: DataFrame) -> DataFrame:
-    """Members with the groups that the edges join them to; only of buckets with several groups."""
-    named = members.drop("group").join(connected(edges), F.col("key") == F.col("node"), "left")
-    return mixed(named.withColumn("group", F.coalesce("root", "key")).drop("node", "root"), by)
+def regrouped(members: DataFrame, by: str, roots: DataFrame) -> DataFrame:
+    """Members with their groups' roots; only of buckets that still have several groups."""
+    named = members.join(roots, F.col("group") == F.col("node"), "left")
+    return mixed(named.withColumn("group", F.coalesce("root", "group")).drop("node", "root"), by)
+
+
+def of_groups(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges as edges between the groups that texts are in."""
+    for side in ("u", "v"):
+        edges = edges.join(roots, F.col(side) == F.col("node"), "left").withColumn(side, F.coalesce("root", side)).select("u", "v")
+    return edges.where("u <> v").distinct()
 
 
 def mixed(members: DataFrame, by: str) -> DataFrame:
@@ -188,17 +195,17 @@ def possible(members: DataFrame) -> DataFrame:
 
 
 def remaining_links(members: DataFrame, lists: DataFrame) -> DataFrame:
-    """Links (u, v) between texts of one pivot and different groups: a forest of them in each pair of blocks."""
+    """Links (u, v) between the groups of one pivot's texts: a forest of them in each pair of blocks."""
     p, q = SIMILARITY
     sizes = members.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     home = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     rows = members.join(sizes, "pivot").select("pivot", "key", "n", "group", "shared", "blocks", home.alias("home")).join(lists, "key")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    dealt = dealt.select("pivot", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "key", "n", "group", "shared", "shingles")
+    dealt = dealt.select("pivot", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "n", "group", "shared", "shingles")
 
     def search(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        home, keys, n, group, shared = (table.column(c).to_numpy() for c in ("home", "key", "n", "group", "shared"))
+        home, n, group, shared = (table.column(c).to_numpy() for c in ("home", "n", "group", "shared"))
         shingles, sets, links = table.column("shingles"), {}, []
         forest = dict(zip(group.tolist(), group.tolist(), strict=True))
 
@@ -220,7 +227,7 @@ def remaining_links(members: DataFrame, lists: DataFrame) -> DataFrame:
                 x, y = root(int(group[a])), root(int(group[b]))
                 if x != y and (p + q) * len(held(a) & held(b)) >= p * int(n[a] + n[b]):
                     forest[x] = y
-                    links.append((int(max(keys[a], keys[b])), int(min(keys[a], keys[b]))))
+                    links.append((int(group[a]), int(group[b])))
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["u", "v"])
 
     return dealt.groupBy("pivot", "lo", "hi").applyInArrow(search, "u bigint, v bigint").distinct()
@@ -238,14 +245,16 @@ def near_copies(docs: DataFrame, identity: Column) -> DataFrame:
     pairs = reliable_checkpoint(star_pairs(members).union(tree_pairs(unique)).distinct())
     wanted = members.select("key").union(pairs.select("u")).union(pairs.select("v")).distinct()
     texts = reliable_checkpoint(nodes(docs, identity, False).select("key", "words").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    edges = reliable_checkpoint(confirmed(pairs, texts))
+    roots = reliable_checkpoint(connected(confirmed(pairs, texts)))
     # What the first hubs left over, by hub: each text once for each.
-    left = reliable_checkpoint(grouped(members, "bucket", edges).select(F.col("hub.key").alias("pivot"), "key", "n", "group").distinct())
+    left = reliable_checkpoint(regrouped(members, "bucket", roots).select(F.col("hub.key").alias("pivot"), "key", "n", "group").distinct())
     lists = shingle_lists(texts, left.select("key").distinct())
     left = possible(with_shared(left, lists))
     left = reliable_checkpoint(left.join(hubs(left, "pivot", F.col("shared") / F.col("n")), "pivot"))
     more = star_pairs(left).join(pairs, ["u", "v"], "left_anti")
-    edges = reliable_checkpoint(edges.union(confirmed(more, texts)))
-    rest = remaining_links(possible(grouped(left, "pivot", edges)), lists)
-    roots = connected(edges.union(confirmed(rest, texts)))
-    return rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "identity", F.coalesce("root", "key").alias("root"))
+    edges = reliable_checkpoint(of_groups(confirmed(more, texts), roots))
+    rest = remaining_links(possible(regrouped(left, "pivot", connected(edges))), lists)
+    merged = connected(edges.union(rest)).select(F.col("node").alias("group"), F.col("root").alias("last"))
+    named = roots.select(F.col("node").alias("key"), F.col("root").alias("group"))
+    found = rows.select("doc_id", "identity", "key").join(named, "key", "left").withColumn("group", F.coalesce("group", "key")).join(merged, "group", "left")
+    return found.select("doc_id", "identity", F.coalesce("last", "group").alias("root"))
