@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaymark.functions import ids, paths, text
 from quaymark.operators import compatibility as compat
-from quaymark.operators import consumption, correlation, gates, inventory, merging, reach, spans, validation
+from quaymark.operators import consumption, correlation, gates, inventory, merging, projection, reach, spans, validation
 from quaymark.plans import render
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,6 +556,82 @@ def audit_status(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", status.alias("status"))
 
 
+@query("""SELECT o_orderkey, CASE k WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'partial' WHEN 3 THEN 'not_applicable' WHEN 4 THEN 'unresolved' ELSE 'unknown' END AS contract_status,
+ CASE WHEN o_orderstatus = 'O' THEN 'complete' WHEN o_orderstatus = 'F' THEN 'partial' ELSE 'unknown' END AS semantic_status FROM (SELECT *, o_orderkey % 7 AS k FROM orders)""")
+def contract_statuses(spark, d):
+    """Statuses from notes and words: known ones through the table, any other word or no note is unknown."""
+    k = F.col("o_orderkey") % 7
+    words = ("evaluated_complete", "evaluated_partial", "required_not_complete", "not_applicable", "unresolved", "nonsense=complete")
+    note = None
+    for n, w in enumerate(words):
+        note = F.when(k == n, f"{projection.STATUS_NOTE}={w}") if note is None else note.when(k == n, f"{projection.STATUS_NOTE}={w}")
+    notes = F.array_compact(F.array(F.lit("seen=1"), note, F.lit(f"x{projection.STATUS_NOTE}=complete")))
+    word = F.when(F.col("o_orderstatus") == "O", "complete").when(F.col("o_orderstatus") == "F", "partial").otherwise("evaluated_partial")
+    return _read(spark, d, "orders").select("o_orderkey", projection.contract_status(notes).alias("contract_status"), projection.semantic_status(word).alias("semantic_status"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN r THEN 'a' END, CASE WHEN l_linenumber % 2 = 0 THEN 'z' END) AS required, CASE WHEN NOT r AND o THEN 'a' ELSE '' END AS optional, concat_ws(',', CASE WHEN NOT r AND NOT o THEN 'a' END, 'b') AS unsure
+ FROM (SELECT *, l_returnflag = 'R' AS r, l_linestatus = 'O' AS o FROM lineitem)""")
+def requiredness(spark, d):
+    """Declared optional counts only for fields that are there and not required; names may repeat or be null."""
+    fields = F.array(F.lit("b"), F.lit("a"), F.lit("a"), F.lit(None))
+    required = F.array(F.when(F.col("l_linenumber") % 2 == 0, "z"), F.when(F.col("l_returnflag") == "R", "a"))
+    optional = F.array(F.when(F.col("l_linestatus") == "O", "a"), F.lit("gone"))
+    need, free, unsure = (F.array_join(x, ",") for x in projection.requiredness(fields, required, optional))
+    return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", need.alias("required"), free.alias("optional"), unsure.alias("unsure"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'header:h=false,path:id=true,path:key=true' WHEN 1 THEN 'path:id=false,path:key=true' ELSE 'path:id=true,path:key=true' END AS parameters FROM customer""")
+def path_parameters(spark, d):
+    """Placeholders that a contract does not list are required parameters; listed ones stay as they are."""
+    k = F.col("c_custkey") % 3
+    listed = F.when(k == 0, '{"header:h":{"required":false}}').when(k == 1, '{"path:id":{"required":false}}')
+    known = F.from_json(listed, f"map<string,{projection.PARAMETER}>")
+    path = F.concat(F.lit("/c/{id:[0-9]+}/"), F.col("c_custkey").cast("string"), F.lit("/{key}/{id}"))
+    entries = F.array_sort(F.map_entries(projection.with_path_parameters(known, path)))
+    return _read(spark, d, "customer").select("c_custkey", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]["required"].cast("string"))), ",").alias("parameters"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, c AS contract_scope, g AS correlation_scope, CASE WHEN l_linenumber <> 7 AND l_tax = 0 AND c <> 'required_not_complete' AND g <> 'required_not_evaluable' THEN 'complete' ELSE 'partial' END AS status
+ FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN 'not_applicable' WHEN l_returnflag = 'R' THEN 'evaluated_partial' WHEN l_linestatus = 'O' THEN 'evaluated_complete' ELSE 'required_not_complete' END AS c,
+  CASE WHEN l_returnflag <> 'A' THEN 'out_of_scope' WHEN l_linenumber = 2 THEN 'not_applicable' ELSE 'required_not_evaluable' END AS g FROM lineitem)""")
+def audit_gates(spark, d):
+    """The audit's gate: every open count or unknown fact keeps it from being complete."""
+    contracts = gates.contract_scope(F.when(F.col("l_linenumber") == 1, 0).otherwise(3), F.when(F.col("l_linestatus") == "O", 0).otherwise(2), F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    links = gates.correlation_scope(F.when(F.col("l_linenumber") == 2, 0).otherwise(1), F.col("l_returnflag") == "A")
+    rows = _read(spark, d, "lineitem").withColumn("contract_scope", contracts).withColumn("correlation_scope", links)
+    taxed = F.when(F.col("l_tax") > 0, 1).otherwise(0)
+    status = gates.audit_gate(F.when(F.col("l_linenumber") != 7, True), F.lit(True), F.lit(0), taxed, F.lit(0), F.col("contract_scope"), F.col("correlation_scope"))
+    return rows.select("l_orderkey", "l_linenumber", "contract_scope", "correlation_scope", status.alias("status"))
+
+
+@query("""SELECT o_custkey, concat_ws(',', 'inventory', CASE WHEN h OR w THEN 'framework' END, 'configuration', CASE WHEN h THEN 'exposed' END, CASE WHEN f THEN 'consumed' END) AS categories,
+ concat_ws(',', CASE WHEN f THEN 'consumed:axios' END, CASE WHEN h THEN 'exposed:slim' END, CASE WHEN h THEN 'framework:slim' END, CASE WHEN w THEN 'framework:vue' END) AS hints
+ FROM (SELECT o_custkey, bool_or(o_orderstatus = 'O') AS h, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'P') AS w FROM orders GROUP BY 1)""")
+def detector_plan(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "F", "http_client").otherwise("framework")
+    name = F.when(F.col("o_orderstatus") == "F", "axios").when(F.col("o_orderstatus") == "O", "slim").otherwise("vue")
+    plan = inventory.detector_plan(_read(spark, d, "orders").select("o_custkey", name.alias("name"), kind.alias("kind")), "o_custkey")
+    return plan.select("o_custkey", F.array_join("categories", ",").alias("categories"), F.array_join("hints", ",").alias("hints"))
+
+
+@query("""SELECT event_id, '$.k' AS path, 'minimum' AS rule FROM events WHERE (props->>'$.k')::INT < 5 UNION ALL SELECT event_id, '$.k', 'maximum' FROM events WHERE (props->>'$.k')::INT > 95
+ UNION ALL SELECT event_id, '$.type', 'enum' FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT event_id, '$.extra', 'additionalProperties' FROM events WHERE event_id % 9 = 0
+ UNION ALL SELECT event_id, '$.items[1]', 'type' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, '$.name', 'required' FROM events WHERE event_id % 6 = 1 UNION ALL SELECT event_id, '$.name', 'minLength' FROM events WHERE event_id % 6 = 2""")
+def document_rules(spark, d):
+    """Documents against a JSON schema with references, closed objects, item types and bounds."""
+    schema = {
+        "$defs": {"word": {"type": "string", "minLength": 1}}, "type": "object", "required": ["k", "name"], "additionalProperties": False,
+        "properties": {"k": {"type": "integer", "minimum": 5, "maximum": 95}, "type": {"enum": ["click", "view"]}, "name": {"$ref": "#/$defs/word"}, "items": {"type": "array", "items": {"$ref": "#/$defs/word"}, "minItems": 1}},
+    }
+    k = F.col("event_id")
+    text = F.concat(
+        F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"type":"'), F.col("event_type"), F.lit('","items":["a",'), F.when(k % 5 == 0, "1").otherwise('"b"'), F.lit("]"),
+        F.when(k % 6 == 1, "").when(k % 6 == 2, ',"name":""').otherwise(',"name":"n"'), F.when(k % 9 == 0, ',"extra":{}').otherwise(""), F.lit("}"),
+    )
+    return validation.document_violations(_read(spark, d, "events").select("event_id", text.alias("text")), "event_id", "text", schema)
+
+
 # Reports ------------------------------------------------------------------------------------------
 
 
