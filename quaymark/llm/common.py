@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,16 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, most: int, of_text: Colum
     return joined.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "label", "first.text")
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``size`` bytes of one column, one row at least: what is made of texts at once is bounded by bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def bare_texts(docs: DataFrame) -> DataFrame:
     """doc_id and the whole text as UTF-8 bytes, empty where null."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -66,9 +78,10 @@ def map_texts(docs: DataFrame, outputs: str, compute: Callable[[list[bytes]], li
     found = [x.split()[0] for x in outputs.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            carried = [batch.column(place[c]) for c in carry]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *carried, *compute(texts)], names=["doc_id", *names, *found])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                carried = [batch.column(place[c]) for c in carry]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *carried, *compute(texts)], names=["doc_id", *names, *found])
 
     return rows.mapInArrow(scan, schema).toDF("doc_id", *carry, *found)

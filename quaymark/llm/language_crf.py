@@ -39,6 +39,7 @@ DIMENSIONS = 1 << 17
 SIZES = (2, 3, 4, 5)
 LEXICON = 400
 SPAN = 48
+WORDS_AT_ONCE = 1 << 15
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % LETTERS)
@@ -86,9 +87,11 @@ class Model:
     def emissions(self, words: list[str]) -> np.ndarray:
         """The score of each language for each word."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            part = out[lo : lo + WORDS_AT_ONCE]
+            for own, ids in _grams(words[lo : lo + WORDS_AT_ONCE]):
+                part[own] += self.weights[ids]
         if words:
-            for own, ids in _grams(words):
-                out[own] += self.weights[ids]
             get = self.lexicon.get
             known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
             own = np.flatnonzero(known >= 0)
@@ -135,7 +138,7 @@ def word_marginals(model: Model, texts: list[list[str]]) -> Iterator[tuple[int,
     order = sorted((k for k in range(len(texts)) if len(ids[k])), key=lambda k: -len(ids[k]))
     while order:
         group, n = [], 0
-        while order and (not group or n < 400_000):
+        while order and (not group or n < 100_000):
             group.append(order.pop(0))
             n += len(ids[group[-1]])
         lengths = np.array([len(ids[k]) for k in group])
@@ -255,10 +258,9 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Data
     def labels(texts: list[bytes]) -> list[pa.Array]:
         m = sent.value
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for lo in range(0, len(texts) if m.languages else 0, 2000):
-            for k, rows in word_marginals(m, [words_of(t.decode("utf-8", "replace")) for t in texts[lo : lo + 2000]]):
-                share = rows.mean(axis=0)
-                langs[lo + k], scores[lo + k] = m.languages[int(share.argmax())], min(1.0, float(share.max()))
+        for k, rows in word_marginals(m, [words_of(t.decode("utf-8", "replace")) for t in texts]) if m.languages else ():
+            share = rows.mean(axis=0)
+            langs[k], scores[k] = m.languages[int(share.argmax())], min(1.0, float(share.max()))
         return [pa.array(langs, pa.string()), pa.array(scores)]
 
     return map_texts(docs, "lang_pred string, score double", labels, carry)

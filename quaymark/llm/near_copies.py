@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import reliable_checkpoint
+from quaymark.llm.common import reliable_checkpoint, slices
 from quaymark.llm.simhash import connected, link_forests, majority
 
 SHINGLE, BANDS, ROWS, SEED = 5, 32, 4, 42
@@ -86,7 +86,7 @@ def nodes(docs: DataFrame, identity: Column, signed: bool) -> DataFrame:
     extra = "n bigint, bits bigint, bands array<bigint>" if signed else "words binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             words = [joined_words(t.as_py()) for t in batch.column(2)]
             keys = pa.array([node(w) for w in words], pa.int64())
             if signed:
@@ -171,7 +171,7 @@ def shingle_lists(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """key and the hashes of the distinct shingles of some texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             lists = [hashes(shingles(w.as_py())).view(np.int64) for w in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["key", "shingles"])
 

@@ -12,6 +12,7 @@ of the input are ignored; texts of any length are cut whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -25,6 +26,16 @@ from pyspark.sql import functions as F
 #: Words that are kept with their ids in each Python worker; others are encoded each time.
 CACHED_WORDS = 600_000
 
+#: The layout of tokenizer files that texts may be cut into words for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
     "bucket int, sequence_id bigint, offset bigint"
@@ -37,7 +48,8 @@ class WordEncoder:
     No token of such a tokenizer spans white space, so a text's ids are those of its words one after
     another, and the ids of a word met before come from a table. Words of plain Latin letters,
     digits and symbols are split by the same pattern as the tokenizer's own, and each part goes to
-    its BPE model alone; any other word goes through the whole tokenizer.
+    its BPE model alone; any other word goes through the whole tokenizer. A file whose normalizer or
+    pre-tokenizer is another one is used as it is, on whole texts.
     """
 
     _plain = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -47,6 +59,9 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as file:
+            layout = json.load(file)
+        self._known = (layout.get("normalizer"), layout.get("pre_tokenizer")) == (NORMALIZER, PRE_TOKENIZER) and layout["model"].get("type") == "BPE" and not layout.get("post_processor")
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -59,7 +74,7 @@ class WordEncoder:
         if found is None:
             mapped = part if part.isascii() else self._bytes.pre_tokenize_str(part)[0][0]
             found = np.array([t.id for t in self._model.tokenize(mapped)], "<u4").tobytes()
-            if len(self._pieces) < CACHED_WORDS:
+            if len(self._pieces) < CACHED_WORDS and len(part) < 64:
                 self._pieces[part] = found
         return found
 
@@ -75,6 +90,8 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if not self._known:
+            return np.array(self._tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         words = text.split()
         ids = list(map(self._words.get, words))
         for at, found in enumerate(ids):

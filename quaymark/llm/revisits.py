@@ -6,10 +6,10 @@ modification, else the payload digests. The result carries the response's payloa
 updated by those that a not-modified answer may change (``PERMITTED``).
 
 The as-of join works on narrow rows in two steps, so that a URL with very many captures is not one
-task's work: captures are cut into time slices at quantiles; within a URL and slice a window carries
-the latest response forward; the last response of each URL and slice, at most ``SLICES`` rows for a
-URL, is carried to later slices. Payloads join only by the found response's number, where Spark
-splits skewed keys.
+task's work: captures are dealt out by ranges of URL and time, as many as the session's shuffles have
+partitions, so that a hot URL or a burst of visits falls into several; within a URL and range a window
+carries the latest response forward; the last response of each URL and range, one row each, is carried
+to later ranges. Payloads join only by the found response's number, where Spark splits skewed keys.
 
 Captures: ``record_id`` long, ``url``, ``kind`` (``response`` or ``revisit``), ``captured_at`` long,
 ``status`` int, ``headers`` map of strings with lower-case names, ``digest``, ``payload`` strings.
@@ -17,7 +17,9 @@ Captures: ``record_id`` long, ``url``, ``kind`` (``response`` or ``revisit``), `
 Defined cases: no URL, no time or no earlier full response (status 200) gives ``unresolved``; no
 validator in common gives ``unverified``, differing ones ``mismatch``, neither with a payload; of
 responses at one time the larger record_id is the later; a response at the revisit's own time is not
-earlier; equal rows each get a result; empty tables give no rows; other columns are ignored.
+earlier; equal rows each get a result, and so do revisits that share a record_id, each by its own URL and
+time; of full responses that share one, the content of least hash counts; URLs, headers and payloads of any
+length are taken whole; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+from quaymark.llm.common import partitions_for, reliable_checkpoint
+
 #: Header fields that a 304 response may update (RFC 9110 and 9111).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only track visits.
@@ -45,21 +48,22 @@ def canonical_url(url: Column) -> Column:
 
 
 def latest_earlier(events: DataFrame) -> DataFrame:
-    """(record_id, found) of each revisit: the latest response strictly before it under its key.
+    """(record_id, key, captured_at, found) of each revisit: the latest response strictly before it under its key.
 
     ``events``: record_id, key, captured_at, is_response; keys and times are not null.
     """
-    quantiles = events.agg(F.percentile_approx("captured_at", [k / SLICES for k in range(1, SLICES)], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(quantiles))]) if quantiles else F.array().cast("array<bigint>")
-    sliced = events.withColumn("slice", F.size(F.filter(cuts, lambda c: c <= F.col("captured_at"))))
-    order = Window.partitionBy("key", "slice").orderBy("captured_at", "is_response", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = ["captured_at", "is_response", "record_id"]
+    ranges = partitions_for(events.sparkSession)
+    # The ranges are kept, as both steps must see the same ones.
+    sliced = reliable_checkpoint(events.repartitionByRange(ranges, "key", *order).withColumn("slice", F.spark_partition_id()))
+    within = Window.partitionBy("key", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     response = F.when(F.col("is_response"), F.col("record_id"))
-    near = sliced.withColumn("near", F.last(response, ignorenulls=True).over(order)).where(~F.col("is_response"))
-    # Each URL has at most one row a slice here, filled from the slice before.
+    near = sliced.withColumn("near", F.last(response, ignorenulls=True).over(within)).where(~F.col("is_response"))
+    # Each URL has at most one row a range here, filled from the range before.
     last = sliced.groupBy("key", "slice").agg(F.max(F.when(F.col("is_response"), F.struct("captured_at", "record_id"))).alias("last"))
     carried = last.withColumn("far", F.last("last.record_id", ignorenulls=True).over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
     far = carried.select(F.col("key").alias("k"), F.col("slice").alias("s"), "far")
-    return near.join(far, (near.key == far.k) & (near.slice == far.s), "left").select("record_id", F.coalesce("near", "far").alias("found"))
+    return near.join(far, (near.key == far.k) & (near.slice == far.s), "left").select("record_id", "key", "captured_at", F.coalesce("near", "far").alias("found"))
 
 
 def _tag(headers: Column) -> Column:
@@ -75,8 +79,12 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     events = own.where(F.col("key").isNotNull() & F.col("captured_at").isNotNull() & (whole | (F.col("kind") == "revisit")))
     found = latest_earlier(events.select("record_id", "key", "captured_at", whole.alias("is_response"))).distinct()
     revisits = own.where(F.col("kind") == "revisit").select("record_id", F.col("key").alias("canonical_url"), "captured_at", F.col("headers").alias("sent"), F.col("digest").alias("sent_digest"))
-    named = revisits.join(found.select(F.col("record_id").alias("r"), "found"), F.col("record_id") == F.col("r"), "left").drop("r")
-    responses = own.where(whole).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("digest").alias("stored_digest"), "payload").dropDuplicates(["response_id"])
+    by = found.select(F.col("record_id").alias("r"), F.col("key").alias("k"), F.col("captured_at").alias("at"), "found")
+    same = F.col("record_id").eqNullSafe(F.col("r")) & (F.col("canonical_url") == F.col("k")) & (F.col("captured_at") == F.col("at"))
+    named = revisits.join(by, same, "left").drop("r", "k", "at")
+    responses = own.where(whole).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("digest").alias("stored_digest"), "payload")
+    content = F.struct(F.xxhash64(F.to_json("stored"), "stored_digest", "payload").alias("h"), F.struct("stored", "stored_digest", "payload").alias("r"))
+    responses = responses.groupBy("response_id").agg(F.min_by(content["r"], content["h"]).alias("r")).select("response_id", "r.*")
     both = named.join(responses, F.col("found") == F.col("response_id"), "left")
     modified = [F.try_element_at(F.col(c), F.lit("last-modified")) for c in ("sent", "stored")]
     agree = F.coalesce(_tag(F.col("sent")) == _tag(F.col("stored")), modified[0] == modified[1], F.col("sent_digest") == F.col("stored_digest"))

@@ -30,10 +30,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quaymark.llm.common import bare_texts
+from quaymark.llm.common import bare_texts, slices
 
 MARK = "▁"
 _SEGMENTS = re.compile(r" *[^ ]+| +")
@@ -342,13 +341,8 @@ def decode(model: Lattice, ids: np.ndarray) -> bytes:
 
 def _encoded(words: Words, batch: pa.RecordBatch, seed: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows of a batch, few at a time by their bytes, and the pieces of each."""
-    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
-        rows = batch.slice(lo, hi - lo)
+    for rows in slices(batch, 1, SLICE):
         yield rows, sample(words.model, [str(k) for k in rows.column(0).to_pylist()], [t.decode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()], seed, words)
-        lo = hi
 
 
 def encode_sampled(docs: DataFrame, model_path: str, seed: int = 0, sharpness: float = 1.0) -> DataFrame:

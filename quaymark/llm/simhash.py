@@ -33,10 +33,13 @@ from pyspark.sql import functions as F
 from quaymark.llm.common import reliable_checkpoint
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
+#: Vantage points that are tried for a split.
+VANTAGE_POINTS = 8
 #: The blocks of bits that have a tree each.
 BLOCKS = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
-#: Fingerprints that the top trees are grown from, at most, and shards of a tree, at most.
-TREE_SAMPLE, MOST_SHARDS, SHARD_SIZE, LEAF_SIZE = 4096, 1024, 4096, 256
+#: Fingerprints of the sample for each shard, shards of a tree (at most: trees and sample are held by the driver
+#: and sent to all tasks, 10 MB at that size), fingerprints of a shard before there are more shards, and of a leaf.
+SAMPLE_OF_SHARD, MOST_SHARDS, SHARD_SIZE, LEAF_SIZE = 16, 1 << 16, 4096, 256
 
 
 def fingerprint(text: bytes) -> int:
@@ -106,12 +109,11 @@ class Tree:
             todo += [(2 * node + 1 + k, *sides) for k, sides in enumerate(split(prints, home, guest, self.points[node], self.medians[node], self.mask))]
 
 
-def split(prints, home, guest, point, median, mask) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def split(prints, home, guest, point, median, mask, reach=RADIUS // len(BLOCKS)) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """The two sides of a vantage point; who is near the boundary is a guest on the other side.
 
     Outer ones are guests inside, which is enough to see each pair once; guests go to both sides.
     """
-    reach = RADIUS // len(BLOCKS)
     dh, dg = (np.bitwise_count((prints[x] ^ point) & mask).astype(np.int64) for x in (home, guest))
     inner, outer = home[dh <= median], home[dh > median]
     near = home[(dh > median) & (dh <= median + reach)]
@@ -139,31 +141,44 @@ class Forest:
                 self.root = up
 
 
+def cut(prints: np.ndarray, own: np.ndarray, mask: np.uint64) -> tuple[np.uint64, int] | None:
+    """A vantage point and a distance that some of a shard's fingerprints are within and others beyond, or None."""
+    for k in range(VANTAGE_POINTS):
+        point = prints[own[len(own) * (2 * k + 1) // (2 * VANTAGE_POINTS)]]
+        d = np.bitwise_count((prints[own] ^ point) & mask)
+        for at in (int(np.median(d)), int(d.min())):
+            if (d > at).any() and (d <= at).any():
+                return point, at
+    return None
+
+
 def shard_links(prints: np.ndarray, home: np.ndarray, guest: np.ndarray, mask: np.uint64) -> Forest:
-    """A forest of all links between fingerprints at home in a shard and those at home or guests."""
-    forest, todo = Forest(len(prints)), [(home, guest)]
+    """A forest of all links between fingerprints at home in a shard and those at home or guests.
+
+    Where a block's distances tell a shard's fingerprints not apart, those over all bits do.
+    """
+    forest, todo, every = Forest(len(prints)), [(home, guest)], np.uint64(0xFFFFFFFFFFFFFFFF)
     while todo:
         own, other = todo.pop()
         if len(own) > LEAF_SIZE:
-            point = prints[own[len(own) // 2]]
-            d = np.bitwise_count((prints[own] ^ point) & mask)
-            median = int(np.median(d))
-            if (d > median).any():
-                todo += split(prints, own, other, point, median, mask)
-                continue
+            for bits, reach in ((mask, RADIUS // len(BLOCKS)), (every, RADIUS)):
+                if found := cut(prints, own, bits):
+                    todo += split(prints, own, other, *found, bits, reach)
+                    break
+            else:
+                raise AssertionError("distinct fingerprints differ from one of them")
+            continue
         beside = np.concatenate([own, other])
-        for lo in range(0, len(own), LEAF_SIZE):
-            row = own[lo : lo + LEAF_SIZE]
-            a, b = np.nonzero(np.bitwise_count(prints[row][:, None] ^ prints[beside][None, :]) <= RADIUS)
-            forest.link(row[a], beside[b])
+        a, b = np.nonzero(np.bitwise_count(prints[own][:, None] ^ prints[beside][None, :]) <= RADIUS)
+        forest.link(own[a], beside[b])
     return forest
 
 
 def link_forests(prints: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column ``bits``) that connect what is linked."""
     n = prints.count()
-    depth = max(0, min(MOST_SHARDS, n // SHARD_SIZE)).bit_length()
-    sample = prints.orderBy(F.xxhash64("bits"), "bits").limit(TREE_SAMPLE).toPandas()["bits"].to_numpy(np.int64).view(np.uint64)
+    depth = (min(MOST_SHARDS, n // SHARD_SIZE) or 1).bit_length() - (n < SHARD_SIZE)
+    sample = prints.orderBy(F.xxhash64("bits"), "bits").limit(SAMPLE_OF_SHARD << depth).toPandas()["bits"].to_numpy(np.int64).view(np.uint64)
     trees = [Tree(sample, mask, depth) for mask in BLOCKS]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +188,12 @@ def link_forests(prints: DataFrame) -> DataFrame:
                 for leaf, home, guest in tree.shards(own):
                     at = np.concatenate([home, guest])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), k << 16 | leaf, np.int32)), pa.array(own[at].view(np.int64)), pa.array(np.arange(len(at)) < len(home))],
+                        [pa.array(np.full(len(at), k << 24 | leaf, np.int32)), pa.array(own[at].view(np.int64)), pa.array(np.arange(len(at)) < len(home))],
                         names=["shard", "bits", "home"],
                     )
 
     def search(table: pa.Table) -> pa.Table:
-        mask = BLOCKS[table.column("shard")[0].as_py() >> 16]
+        mask = BLOCKS[table.column("shard")[0].as_py() >> 24]
         own, home = table.column("bits").to_numpy().view(np.uint64), table.column("home").to_numpy()
         root = shard_links(own, np.flatnonzero(home), np.flatnonzero(~home), mask).root
         at = np.flatnonzero(root != np.arange(len(root)))

@@ -80,6 +80,19 @@ def test_packing_is_a_round_trip(spark):
         assert [p.start for p in own] == [0, *itertools.accumulate(p.length for p in own)][:-1]
 
 
+def test_other_tokenizers_are_used_as_they_are(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    layout = json.load(open(BPE, encoding="utf-8"))
+    layout["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(layout))
+    text = "Some THING's here\n  and There"
+    own = Tokenizer.from_file(str(tmp_path / "t.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordEncoder(str(tmp_path / "t.json")).encode(text.encode()), "<u4").tolist() == own != np.frombuffer(packing.WordEncoder(BPE).encode(text.encode()), "<u4").tolist()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4095, 4096, 4097, 12345])
 def test_piece_lengths(n):
     found = packing.piece_lengths(n, 4096)
@@ -165,6 +178,25 @@ def test_canonical_urls(spark):
     assert url("http://e.org") == url("http://e.org/#x") == "e.org" and spark.range(1).select(revisits.canonical_url(F.lit(None).cast("string")).alias("u")).first().u is None
 
 
+def test_shared_record_ids(spark):
+    schema = "record_id bigint, url string, kind string, captured_at bigint, status int, headers map<string,string>, digest string, payload string"
+    tag = {"etag": '"1"'}
+    data = [(1, "http://a/x", "response", 1, 200, tag, "d", "one"), (1, "http://a/x", "response", 1, 200, tag, "d", "two"), (9, "http://a/x", "revisit", 5, 304, tag, None, None), (9, "http://b/", "revisit", 6, 304, tag, None, None), (None, "http://a/x", "revisit", 7, 304, tag, None, None)]
+    found = [[(r.record_id, r.canonical_url, r.outcome, r.payload) for r in revisits.resolve_revisits(spark.createDataFrame(rows, schema)).collect()] for rows in (data, data[::-1])]
+    assert sorted(found[0], key=str) == sorted(found[1], key=str) and len(found[0]) == 3
+    assert {x[2] for x in found[0] if x[1] == "a/x"} == {"resolved"} and (9, "b", "unresolved", None) in found[0]
+
+
+def test_bursts_equal_a_plain_search(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice("aaaab"), rng.choice([7, 7, 7, rng.randrange(20)]), rng.random() < 0.3) for k in range(3000)]
+    found = {r.record_id: r.found for r in revisits.latest_earlier(spark.createDataFrame(rows, "record_id bigint, key string, captured_at bigint, is_response boolean")).collect()}
+    for k, key, at, response in rows[:400]:
+        if not response:
+            earlier = [(t, i) for i, q, t, full in rows if full and q == key and t < at]
+            assert found[k] == (max(earlier)[1] if earlier else None)
+
+
 def test_resolution(spark):
     schema = "record_id bigint, url string, kind string, captured_at bigint, status int, headers map<string,string>, digest string, payload string, extra int"
     tag = lambda t, **more: {"etag": t, **more}
@@ -391,6 +423,19 @@ def test_search_finds_every_link(spark):
         assert n_edges < 40 * len(arr)
 
 
+def test_shards_that_one_block_cannot_split():
+    rng = random.Random(12)
+    low, high = 0x12345678, [rng.getrandbits(32) for _ in range(900)]
+    high += [h ^ (1 << rng.randrange(32)) for h in high[:200]] + [high[0] ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)]
+    prints = np.unique(np.array([h << 32 | low for h in high], np.uint64))
+    found = simhash.shard_links(prints, np.arange(len(prints)), np.zeros(0, np.int64), simhash.BLOCKS[0])
+    plain = simhash.Forest(len(prints))
+    for k in range(len(prints)):
+        near = np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= 2)
+        plain.link(np.full(len(near), k), near)
+    assert (found.root == plain.root).all()
+
+
 def test_components_take_the_least_id(spark):
     long = " ".join(f"w{k % 97}x{k % 89}" for k in range(3000))
     rows = [(9, long, "en"), (4, long + " end", "en"), (7, long, "en"), (5, "other words entirely here", "en"), (3, "", "en"), (2, None, "en")]
