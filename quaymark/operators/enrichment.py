@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaymark.functions.frames import cut
 from quaymark.functions.text import literal, mask_code, matching, split_top, statements
 from quaymark.operators.reach import reachable
 
@@ -45,7 +46,7 @@ def bodies(code: str) -> Iterator[tuple[str, str | None, str | None, int, int, s
         if close > 0 and start > 0 and not code[close + 1 : start].strip(" \t\r\n:?|\\" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
             end = matching(code, start)
             if end > 0:
-                yield call[1], None, None, start + 1, end, ""
+                yield call[1], None, None, start + 1, end, code[call.end() : close]
 
 
 def key_path(text: str, at: int) -> tuple[list[str], int]:
@@ -58,8 +59,32 @@ def key_path(text: str, at: int) -> tuple[list[str], int]:
 
 
 def request_facts(body: str) -> Iterator[Fact]:
-    """Fields read from the parsed body, over aliases and ``foreach`` until nothing new is bound."""
+    """Fields read from the parsed body, uploads and query parameters, and what of the body is handed to local functions."""
     roots = {m[1]: [] for m in re.finditer(r"(\$\w+)\s*=\s*(?:\([\w\s]+\)\s*)?(?:\$\w+->getParsedBody\(\)|json_decode\s*\([^;]*?(?:getBody\(\)|php://input)[^;]*\))", body)}
+    bound = bind(body, roots)
+    yield from field_facts(body, bound)
+    for m in re.finditer(r"(?<![\w>$:\\])([A-Za-z_]\w*)\s*\(", body):
+        end = matching(body, m.end() - 1)
+        for k, argument in enumerate(split_top(body[m.end() : end]) if end > 0 else []):
+            name = re.match(r"\$\w+", argument)
+            keys, stop = key_path(argument, name.end()) if name else ([], 0)
+            if name and name[0] in bound and stop == len(argument):
+                yield "body_argument", m[1], json.dumps({"position": k, "under": ".".join([*bound[name[0]], *keys])}), m.start()
+    yield from other_request_facts(body)
+
+
+def parameter_facts(parameters: str, body: str) -> Iterator[Fact]:
+    """Fields that a function reads from each of its parameters, which may be handed a request's body."""
+    for k, parameter in enumerate(split_top(parameters)):
+        name = re.search(r"\$\w+", parameter)
+        for kind, field, value, at in field_facts(body, bind(body, {name[0]: []})) if name else ():
+            if kind == "request_field":
+                yield "parameter_field", field, json.dumps(json.loads(value) | {"position": k}), at
+
+
+def bind(body: str, roots: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Variables that hold a part of the roots, over aliases and ``foreach`` until nothing new is bound."""
+    roots = dict(roots)
     while True:
         new = {}
         for m in re.finditer(r"(\$\w+)\s*=\s*(\$\w+)((?:\s*\[[^\]]+\])+)\s*(?:\?\?[^;]*)?;", body):
@@ -69,9 +94,13 @@ def request_facts(body: str) -> Iterator[Fact]:
             if m[1] in roots and m[3] not in roots:
                 new[m[3]] = [*roots[m[1]], *key_path(m[2], 0)[0], "[]"]
         if not new:
-            break
+            return roots
         roots |= new
-    for name, above in roots.items():
+
+
+def field_facts(body: str, bound: dict[str, list[str]]) -> Iterator[Fact]:
+    """Fields read from variables that hold a part of a request."""
+    for name, above in bound.items():
         for m in re.finditer(re.escape(name) + r"(?=\s*\[)", body):
             keys, end = key_path(body, m.end())
             if not keys:
@@ -81,6 +110,10 @@ def request_facts(body: str) -> Iterator[Fact]:
             cast = re.search(r"\((\w+)\)$", before)
             optional = after.lstrip().startswith("??") or re.search(r"(?:isset|empty|array_key_exists)\s*\($", before)
             yield "request_field", ".".join([*above, *keys]), json.dumps({"type": _CASTS.get(cast[1].lower()) if cast else None, "required": False if optional else None}), m.start()
+
+
+def other_request_facts(body: str) -> Iterator[Fact]:
+    """Multipart fields and query parameters."""
     files = {m[1] for m in re.finditer(r"(\$\w+)\s*=\s*\$\w+->getUploadedFiles\(\)", body)}
     for name in files:
         for m in re.finditer(re.escape(name) + r"\s*\[\s*['\"]([\w-]+)['\"]\s*\]", body):
@@ -191,12 +224,33 @@ def facts(files: DataFrame) -> DataFrame:
                 ends = [m.start() for m in re.finditer("\n", code)]
                 for owner, method, endpoint, lo, hi, tail in bodies(code):
                     body = code[lo:hi]
-                    found = [("owner", owner, None, 0), *request_facts(body), *response_facts(body), *security_facts(body, tail), *semantic_facts(body)]
+                    asked = request_facts(body) if method else parameter_facts(tail, body)
+                    found = [("owner", owner, None, 0), *asked, *response_facts(body), *security_facts(body, tail if method else ""), *semantic_facts(body)]
                     out += [(repository, path, owner, method, endpoint, kind, name, value, bisect_right(ends, lo + at - 1) + 1) for kind, name, value, at in found]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FACTS.split(", ")])
 
     php = files.where(F.lower("path").endswith(".php") & F.col("text").isNotNull() & (F.col("text").contains("->") | F.col("text").contains("function")))
-    return php.select("repository_id", "path", "text").mapInPandas(run, FACTS)
+    return handed_on(cut(php.select("repository_id", "path", "text").mapInPandas(run, FACTS)))
+
+
+def handed_on(found: DataFrame) -> DataFrame:
+    """Facts with the request fields that local functions read from a body handed to them, by position, over one call.
+
+    A function defined several times in its repository is not followed; the call is an ``unresolved`` fact.
+    """
+    place = lambda c: F.get_json_object(c, "$.position").cast("int")
+    sent = found.where("kind = 'body_argument'").select("repository_id", "path", "owner", "method", "endpoint", "line", F.col("name").alias("function"), place("value").alias("position"), F.get_json_object("value", "$.under").alias("under"))
+    functions = found.where("method IS NULL AND kind = 'owner'").groupBy("repository_id", F.col("owner").alias("function")).agg(F.count("*").alias("n"))
+    calls = sent.join(functions, ["repository_id", "function"])
+    read = found.where("kind = 'parameter_field'").select("repository_id", F.col("owner").alias("function"), place("value").alias("position"), "name", "value").distinct()
+    fields = calls.where("n = 1").join(read, ["repository_id", "function", "position"])
+    whole = F.when(F.col("under") == "", F.col("name")).otherwise(F.concat_ws(".", "under", "name"))
+    value = F.to_json(F.struct(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.required").cast("boolean").alias("required")), {"ignoreNullFields": "false"})
+    columns = [F.col(c) for c in ("repository_id", "path", "owner", "method", "endpoint")]
+    gained = fields.select(*columns, F.lit("request_field").alias("kind"), whole.alias("name"), value.alias("value"), "line")
+    several = calls.where("n > 1").select(*columns, F.lit("unresolved").alias("kind"), F.lit("slim_php_request_function_ambiguous").alias("name"), F.col("function").alias("value"), "line")
+    rest = found.where("kind NOT IN ('body_argument', 'parameter_field')")
+    return rest.unionByName(gained).unionByName(several).distinct()
 
 
 def behaviour(found: DataFrame, depth: int = 4) -> DataFrame:

@@ -72,3 +72,17 @@ def test_helpers_beyond_the_depth_are_open(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "repository_id string, path string, text string")
     assert enrichment.behaviour(enrichment.facts(none)).count() == 0
+
+
+def test_bodies_handed_to_local_functions(spark):
+    code = r"""<?php
+function sendMails($list, $x) { foreach ($list as $k => $one) { $mail = (string) $list[$k]["mail"]; $n = $one['name'] ?? ''; } $x['other']; }
+function twice($p) { $p['a']; }
+function twice($p) { return true; }
+$app->post('/send', function ($q, $r) { $params = json_decode($q->getBody(), true); sendMails($params['rows'], $params); return $r; });
+$app->post('/twice', function ($q, $r) { $params = $q->getParsedBody(); twice($params); return $r; });
+"""
+    found = enrichment.facts(spark.createDataFrame([("r", "a.php", code)], "repository_id string, path string, text string"))
+    fields = {n: json.loads(v) for n, v in of(found, "POST /send", "request_field")}
+    assert set(fields) == {"rows", "rows.[].mail", "rows.[].name", "other"} and fields["rows.[].mail"]["type"] == "string" and fields["rows.[].name"]["required"] is False
+    assert of(found, "POST /twice", "request_field") == [] and ("slim_php_request_function_ambiguous", "twice") in of(found, "POST /twice", "unresolved")
