@@ -174,9 +174,9 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, most_words: int =
     languages = sorted(set(langs))
     number = {x: k for k, x in enumerate(languages)}
     runs: list[list[tuple[str, int]]] = []
-    words = [words_of(t) for t in texts]
-    shares = {x: share_of_each([len(w) for w, y in zip(words, langs, strict=True) if y == x], most_words // len(languages)) for x in languages}
-    spans = [[(w, number[lang]) for w in part] for own, lang in zip(words, langs, strict=True) if own for part in spread(own, shares[lang])]
+    lengths = [len(words_of(t)) for t in texts]
+    shares = {x: share_of_each([n for n, y in zip(lengths, langs, strict=True) if y == x], most_words // len(languages)) for x in languages}
+    spans = [[(w, number[lang]) for w in part] for text, n, lang in zip(texts, lengths, langs, strict=True) if n for part in spread(words_of(text), shares[lang])]
     if not spans:
         return Model(languages, np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros((len(languages),) * 2), {})
     picked = np.random.default_rng(7).permutation(len(spans))

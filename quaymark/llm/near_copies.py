@@ -11,9 +11,9 @@ sets of shingles, so none is false.
 A bucket's texts are first compared with its hub only, the one that meets most others. Buckets that
 still have several groups are put together by hub, and shingles that occur in no other group are
 counted: if c of a text's n shingles occur elsewhere, a partner with m needs ``9 c >= 4 (n + m)``, for
-both sides. That bound rules out most pairs of a large group's members without looking at them. After a
-second hub, all pairs that the bound leaves are compared, in blocks of about ``BLOCK_SHINGLES``, and
-only links leave a task; so no candidate is left out. Texts of one hub that share nearly all shingles
+both sides. That bound rules out most pairs of a large group's members without looking at them. All pairs
+that it leaves are compared, in blocks of about ``BLOCK_SHINGLES``, and only links leave a task; so no
+candidate is left out. Texts of one hub that share nearly all shingles
 with others and yet are similar to none still cost the square of their number in comparisons.
 
 Texts are compared by their words in ASCII lower case and are one node where these are equal. A
@@ -138,9 +138,9 @@ def tree_pairs(unique: DataFrame) -> DataFrame:
     return twins.union(far.select(*ordered("u_one.key", "v_one.key")))
 
 
-def hubs(members: DataFrame, by: str, rank: Column) -> DataFrame:
-    """The member of highest rank of each bucket (or of what ``by`` names)."""
-    return members.groupBy(by).agg(F.max(F.struct(rank.alias("rank"), "key", "n", "group")).alias("hub"))
+def hubs(members: DataFrame, rank: Column) -> DataFrame:
+    """The member of highest rank of each bucket."""
+    return members.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "key", "n", "group")).alias("hub"))
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -148,23 +148,16 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.where("group <> hub.group").where(length_fits("n", "hub.n")).select(*ordered("key", "hub.key")).distinct()
 
 
-def regrouped(members: DataFrame, by: str, roots: DataFrame) -> DataFrame:
+def regrouped(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their groups' roots; only of buckets that still have several groups."""
     named = members.join(roots, F.col("group") == F.col("node"), "left")
-    return mixed(named.withColumn("group", F.coalesce("root", "group")).drop("node", "root"), by)
-
-
-def of_groups(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The edges as edges between the groups that texts are in."""
-    for side in ("u", "v"):
-        edges = edges.join(roots, F.col(side) == F.col("node"), "left").withColumn(side, F.coalesce("root", side)).select("u", "v")
-    return edges.where("u <> v").distinct()
+    return mixed(named.withColumn("group", F.coalesce("root", "group")).drop("node", "root"), "bucket")
 
 
 def mixed(members: DataFrame, by: str) -> DataFrame:
     """The members of buckets with several groups."""
     several = members.groupBy(by).agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select(by)
-    return reliable_checkpoint(members.join(several, by, "left_semi"))
+    return members.join(several, by, "left_semi")
 
 
 def shingle_lists(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -191,7 +184,7 @@ def possible(members: DataFrame) -> DataFrame:
     own = F.expr(f"{p + q} * shared >= {2 * p} * n")
     least = members.where(own).groupBy("pivot").agg(F.min("n").alias("least"))
     fits = own | F.expr(f"{p + q} * shared - {p} * n >= {p} * least")
-    return mixed(members.join(least, "pivot").where(fits).drop("least"), "pivot")
+    return reliable_checkpoint(mixed(members.join(least, "pivot").where(fits).drop("least"), "pivot"))
 
 
 def remaining_links(members: DataFrame, lists: DataFrame) -> DataFrame:
@@ -235,26 +228,21 @@ def remaining_links(members: DataFrame, lists: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, identity: Column) -> DataFrame:
     """doc_id, identity (a bigint) and root of each row; rows with one root are near copies, over any number of links."""
-    rows = reliable_checkpoint(nodes(docs, identity, True))
+    rows = reliable_checkpoint(nodes(docs, identity, True))  # the shingles of all texts are made once
     unique = reliable_checkpoint(rows.dropDuplicates(["key"]).select("key", "n", "bits", "bands"))
     held = unique.select("key", "n", F.explode("bands").alias("bucket"))
     members = held.join(held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket")
     meets = members.groupBy("key").agg(F.sum("size").alias("meets"))
-    members = reliable_checkpoint(members.drop("size").join(meets, "key").withColumn("group", F.col("key")))
-    members = reliable_checkpoint(members.join(hubs(members, "bucket", F.col("meets")), "bucket").drop("meets"))
+    members = members.drop("size").join(meets, "key").withColumn("group", F.col("key"))
+    members = reliable_checkpoint(members.join(hubs(members, F.col("meets")), "bucket").drop("meets"))
     pairs = reliable_checkpoint(star_pairs(members).union(tree_pairs(unique)).distinct())
     wanted = members.select("key").union(pairs.select("u")).union(pairs.select("v")).distinct()
     texts = reliable_checkpoint(nodes(docs, identity, False).select("key", "words").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
     roots = reliable_checkpoint(connected(confirmed(pairs, texts)))
     # What the first hubs left over, by hub: each text once for each.
-    left = reliable_checkpoint(regrouped(members, "bucket", roots).select(F.col("hub.key").alias("pivot"), "key", "n", "group").distinct())
+    left = reliable_checkpoint(regrouped(members, roots).select(F.col("hub.key").alias("pivot"), "key", "n", "group").distinct())
     lists = shingle_lists(texts, left.select("key").distinct())
-    left = possible(with_shared(left, lists))
-    left = reliable_checkpoint(left.join(hubs(left, "pivot", F.col("shared") / F.col("n")), "pivot"))
-    more = star_pairs(left).join(pairs, ["u", "v"], "left_anti")
-    edges = reliable_checkpoint(of_groups(confirmed(more, texts), roots))
-    rest = remaining_links(possible(regrouped(left, "pivot", connected(edges))), lists)
-    merged = connected(edges.union(rest)).select(F.col("node").alias("group"), F.col("root").alias("last"))
+    merged = connected(remaining_links(possible(with_shared(left, lists)), lists)).select(F.col("node").alias("group"), F.col("root").alias("last"))
     named = roots.select(F.col("node").alias("key"), F.col("root").alias("group"))
     found = rows.select("doc_id", "identity", "key").join(named, "key", "left").withColumn("group", F.coalesce("group", "key")).join(merged, "group", "left")
     return found.select("doc_id", "identity", F.coalesce("last", "group").alias("root"))
