@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over documents, each written and read again before the next.
 
 Stages, in order: the quality classifier drops what it rejects; language identification drops what
-it rejects (no letter, or no language with half of the words); of each group of near-duplicates
-(five-word shingles, similarity of at least 0.8) the document with the least id stays; byte strings
+it rejects (no letter, or no language with half of the words); of each group of near-duplicates (SimHash
+trees over five-word shingles, completed to a similarity of at least 0.8) the document with the least id stays; byte strings
 that repeat anywhere are cut out of the texts that are left; the texts are packed into pieces. All stages but the last return the columns of
 ``documents``; the texts that were cut have their lengths counted anew.
 
@@ -72,14 +72,28 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own serves only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="pipeline-")).rstrip("/")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the one that the last stage reads stays.
+    """
+    docs, folder, before = read_table(spark, sf_dir, "documents"), shared_folder(spark), None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            target = f"{folder}/pipeline-{uuid.uuid4().hex}"
+            docs.write.parquet(target)
+            docs = spark.read.parquet(target)
+            if before:
+                path(before).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(before), True)
+            before = target
     return docs
