@@ -17,7 +17,8 @@ same document or in another. Suffixes are those of single documents, so no match
    which any suffix leans that is still unsettled, in whatever chunk, calls in all suffixes that
    lean on it; these join one sort of names of 200 bytes, in which adjacent prefixes are compared.
 
-Documents are dealt once to chunks by a hash of their id; what a chunk sends to a bucket is the
+Documents are dealt once to chunks by a hash of their id and text, so ids that are missing or repeated
+do not heap up; what a chunk sends to a bucket is the
 sorted set of its names, so a string that a third of all rows hold comes once from each chunk, and
 what returns is a bit for each name. The recursion and the last sort send whole 64-bit names: n of
 them give about n * n / 2 ** 65 false matches. What only narrows is sent as 32 bits.
@@ -246,7 +247,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     width = partitions_for(docs.sparkSession)
     n_chunks, n_buckets = n_chunks or 2 * width, n_buckets or max(1, width // 2)
     base = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n_chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(n_chunks)).cast("int").alias("chunk"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
         *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)],
