@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quaymark.functions.frames import cut
 from quaymark.functions.ids import contract_id, endpoint_id
-from quaymark.functions.paths import contract_path, path_shape, scope
+from quaymark.functions.paths import contract_path, path_shape, scope, split_url
 from quaymark.operators import enrichment, gates
 from quaymark.operators.extraction import extract, shared_facts
 from quaymark.operators.inventory import SUPPORTED, detector_plan, histogram, language, merge_detections, technologies, unsupported
 from quaymark.operators.merging import merge_evidence
+from quaymark.operators.wrappers import wrapped_calls
+from quaymark.plans import render
 from quaymark.plans.assembly import findings_documents, route_contracts, with_contracts
 from quaymark.sources.files import read_tree, repository_identity, tracked_files, unread, verify_snapshot
 from quaymark.sources.manifests import manifest_dependencies
@@ -22,6 +24,15 @@ def discover(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(endpoints with merged evidence, unresolved rows) of files (repository_id, path, text)."""
     constants, fields = shared_facts(files)
     rows = extract(files, constants, fields)
+    calls, functions = wrapped_calls(files)
+    base, endpoint = split_url(F.col("url"))
+    shown = calls.withColumn("base_url", base).withColumn("endpoint", endpoint)
+    literals = {"kind": "endpoint", "detector": "php-curl", "direction": "consumed", "confidence": "confirmed", "code": None}
+    rows = rows.unionByName(shown.select("repository_id", "path", *[F.lit(v).cast("string").alias(k) for k, v in literals.items()], "method", "base_url", "endpoint", "line", F.lit(0).alias("offset")))
+    # What cURL is handed by a parameter is no open call where all callers say the URL.
+    known = functions.where("whole").select("repository_id", "path", "first", "last")
+    covered = [rows.repository_id == known.repository_id, rows.path == known.path, rows.code == "php_curl_url_unresolved", rows.line.between(known["first"], known["last"])]
+    rows = rows.join(known, covered, "left_anti")
     place = F.concat_ws(":", "path", F.col("line").cast("string"))
     order = F.concat(F.col("path"), F.lit("\u0001"), F.lpad(F.col("offset").cast("string"), 10, "0"))
     found = rows.where("kind = 'endpoint'").withColumn("evidence", place).withColumn("seen", order).withColumn("endpoint_id", endpoint_id(F.lit(None).cast("string"), F.col("direction"), F.col("method"), F.col("endpoint")))
@@ -77,10 +88,11 @@ def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str
     facts_ = {k: F.lit(v).alias(k) for k, v in snapshot.items() if k != "root"}
     state = counts.join(sides, "repository_id").withColumn("contract_scope", contracts).withColumn("correlation_scope", correlation)
     status = gates.audit_gate(F.col("inventory") == 0, (F.col("discovery") + F.col("silent")) == 0, F.lit(0), F.col("unsupported"), F.col("soap") + F.col("body") + F.col("helper"), F.col("contract_scope"), F.col("correlation_scope"))
-    state = state.select("repository_id", *facts_.values(), "open", "contract_scope", "correlation_scope", status.alias("status"))
+    state = cut(state.select("repository_id", *facts_.values(), "open", "contract_scope", "correlation_scope", status.alias("status")))
     return {
         "inventory": languages, "technologies": merge_detections(found.withColumn("confidence", F.lit("confirmed")), "path"), "plan": detector_plan(found), "dependencies": manifest_dependencies(files), "endpoints": endpoints,
         "behaviour": behaviours, "unresolved": unresolved.drop("source"), "status": state, "findings": findings_documents(endpoints, state),
+        "knowledge": render.knowledge_lines(endpoints), "report": render.report_lines(state, endpoints, unresolved),
     }
 
 

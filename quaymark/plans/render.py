@@ -63,6 +63,56 @@ def compatibility_lines(compared: DataFrame, keys: list[str]) -> DataFrame:
     return lines(compared, [F.col(k) for k in keys], head, bullets)
 
 
+def _listed(title: str, items: Column) -> Column:
+    """``- title: a, b`` where there are items."""
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"- {title}: "), F.array_join(items, ", ")))
+
+
+def _pairs(title: str, pairs: Column) -> Column:
+    """``- title: key = value; ...`` of a map in order of its keys."""
+    entries = F.array_sort(F.map_entries(pairs))
+    return F.when(F.size(pairs) > 0, F.concat(F.lit(f"- {title}: "), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(" = "), F.coalesce(e["value"].cast("string"), F.lit("unknown")))), "; ")))
+
+
+def knowledge_lines(endpoints: DataFrame) -> DataFrame:
+    """A Markdown page's lines for each endpoint with its contract: tags, parameters, fields, answers, behaviour and evidence.
+
+    ``endpoints``: direction, method, path, confidence, evidence (``path:line``) and contract. A fact that is not
+    shown has no line; statuses always have one.
+    """
+    c = F.col("contract")
+    request, response, behavior = c["request"], c["response"], c["behavior"]
+    fields = F.transform(request["fields"], lambda f: F.concat(
+        F.lit("| "), f, F.lit(" | "), F.coalesce(F.try_element_at(request["types"], f), F.lit("unknown")), F.lit(" | "),
+        F.when(F.array_contains(request["required_fields"], f), "yes").when(F.array_contains(request["optional_fields"], f), "no").otherwise("unknown"), F.lit(" |"),
+    ))
+    table = F.when(F.size(fields) > 0, F.concat(F.lit("| field | type | required |\n|-|-|-|\n"), F.array_join(fields, "\n")))
+    parameters = F.transform(F.array_sort(F.map_entries(c["parameters"])), lambda e: F.concat(e["key"], F.when(e["value"]["required"], " (required)").otherwise("")))
+    tags = F.array_compact(F.array(F.col("direction"), F.lower("method"), F.when(F.size(behavior["side_effects"]) > 0, "side-effects"), F.when(F.size(behavior["internal"]) > 0, "reads-data"), F.when(c["authentication"]["authentication"].isNotNull(), "authenticated")))
+    return lines(
+        endpoints, [F.col("direction"), F.col("path"), F.col("method")],
+        F.concat(F.lit("## "), F.col("method"), F.lit(" "), F.col("path")), F.concat(F.lit("- direction: "), F.col("direction"), F.lit(", confidence: "), F.coalesce("confidence", F.lit("unknown"))),
+        F.concat(F.lit("- contract: "), F.coalesce(c["contract_status"], F.lit("unknown")), F.lit(", semantics: "), F.coalesce(c["semantic_status"], F.lit("unknown"))),
+        _listed("tags", tags), _listed("parameters", parameters), table, _listed("status codes", F.transform(response["status_codes"], lambda x: x.cast("string"))), _listed("answers with", response["fields"]),
+        F.when(c["authentication"]["authentication"].isNotNull(), F.concat(F.lit("- authentication: "), c["authentication"]["authentication"])),
+        _pairs("side effects", behavior["side_effects"]), _listed("reads", behavior["internal"]), _pairs("conditions", behavior["response_semantics"]), _listed("evidence", F.col("evidence")),
+    )
+
+
+def report_lines(status: DataFrame, endpoints: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """An audit report's lines: verdict and scopes, numbers of endpoints by direction, and what is open, by code."""
+    verdict = F.when(F.col("status") == "complete", "Everything that was found is covered.").otherwise("Something is open; see below.")
+    head = lines(
+        status, [F.lit("1")], F.concat(F.lit("# Audit of "), F.col("repository_id")), F.concat(F.lit("- commit: "), F.col("source_commit"), F.when(F.col("dirty"), " (work tree changed)").otherwise("")),
+        F.concat(F.lit("- status: "), F.col("status"), F.lit(". "), verdict), F.concat(F.lit("- contracts: "), F.col("contract_scope"), F.lit(", correlation: "), F.col("correlation_scope")),
+    )
+    counted = endpoints.groupBy("direction").agg(F.count("*").alias("n"), F.count_if(F.col("contract.contract_status") == "complete").alias("known"))
+    numbers = lines(counted, [F.lit("2"), F.col("direction")], F.concat(F.lit("- "), F.col("direction"), F.lit(": "), F.col("n").cast("string"), F.lit(", with a complete contract: "), F.col("known").cast("string")))
+    issues = unresolved.groupBy("detector", "code").agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("first"))
+    place = F.concat(F.col("first.path"), F.coalesce(F.concat(F.lit(":"), F.col("first.line").cast("string")), F.lit("")))
+    return head.unionByName(numbers).unionByName(lines(issues, [F.lit("3"), F.col("detector"), F.col("code")], F.concat(F.lit("- open: "), F.col("code"), F.lit(" ("), F.coalesce("detector", F.lit("-")), F.lit("), "), F.col("n").cast("string"), F.lit(", first at "), place)))
+
+
 def front_matter(values: dict[str, str]) -> str:
     return "---\n" + "".join(f"{k}: {v}\n" for k, v in values.items()) + "---\n"
 

@@ -355,4 +355,30 @@ def test_gate_sees_what_is_open(spark, tmp_path):
     codes = {(r.detector, r.code) for r in found["unresolved"].collect()}
     assert codes >= {("requests", "unsupported_http_client"), ("flask", "unsupported_framework"), ("guzzle", "detector_without_hits"), ("soap", "soap_contract_operation_missing"), ("soap", "soap_contract_remote")}
     plan = found["plan"].first()
+    report = "\n".join(r.line for r in found["report"].orderBy("section", "position").collect())
+    assert "- status: partial. Something is open" in report and "- open: soap_contract_remote (soap), 1, first at a.php" in report and "- exposed: 1, with a complete contract: 0" in report
+    page = [r.line for r in found["knowledge"].orderBy("section", "position").collect()]
+    assert "## GET /a" in page and "- contract: unresolved, semantics: unknown" in page and "- tags: exposed, get" in page
     assert plan.categories == ["inventory", "framework", "configuration", "exposed", "consumed", "integration"] and "exposed:flask" in plan.hints and "integration:soap" in plan.hints
+
+
+def test_curl_wrappers(spark):
+    one = r"""<?php
+class Client {
+  public function run() { return $this->request('GET', 'https://example.com/items'); }
+  public function more($id) { return $this->request('post', "https://example.com/items/$id"); }
+  private function request($method, $url) { return $this->send($method, $url); }
+  private function send($method, $url) {
+    $ch = curl_init($url);
+    curl_setopt($ch, CURLOPT_CUSTOMREQUEST, $method);
+    return curl_exec($ch);
+  }
+}
+"""
+    other = one.replace("'GET', 'https://example.com/items'", "$m, $this->url()")
+    rest = "<?php function f($u) { $c = curl_init($u); return curl_exec($c); }\nfunction g() { return f('http://x/a'); }\nfunction h($u) { return g($u); }"
+    data = [("r", "one.php", one), ("r", "other.php", other), ("r", "rest.php", rest), ("r", "none.php", None)]
+    found, open_ = discover(spark.createDataFrame(data, "repository_id string, path string, text string"))
+    seen = {(r.method, r.path, e) for r in found.collect() for e in r.evidence}
+    assert seen == {("GET", "/items", "one.php:3"), ("POST", "/items/{id}", "one.php:4"), ("POST", "/items/{id}", "other.php:4"), ("GET", "/a", "rest.php:2")}
+    assert rows(open_.select("path", "code")) == [("other.php", "php_curl_url_unresolved")]
