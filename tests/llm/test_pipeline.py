@@ -91,3 +91,35 @@ def test_near_duplicates_keep_a_row_of_each_group(spark):
     assert kept([(None, a), (None, b), (None, a), (3, c), (None, c)]) == sorted([(True, 0, a), (True, 0, b), (False, 3, c)])
     assert kept([(5, a), (5, b), (1, b), (5, d), (5, d)]) == sorted([(False, 5, a), (False, 1, b), (False, 5, d)])
     assert kept([(None, a), (None, a + " end")]) in ([(True, 0, a)], [(True, 0, a + " end")])
+
+
+def test_near_duplicates_equal_a_search_of_all_pairs(spark, monkeypatch):
+    """A large group of edited copies without their original, of which some are similar to none, and chains."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, base = [], [word() for _ in range(150)]
+    for k in range(120):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 3, 4, 4, 5])):
+            own[at] = word()
+        rows.append((k, " ".join(own[rng.randrange(3) :])))
+    rows += [(200 + k, " ".join(word() for _ in range(rng.randrange(1, 60)))) for k in range(20)] + [(300, rows[3][1]), (301, rows[4][1].upper())]
+    sets = [near_copies.shingles(near_copies.joined_words(t.encode())) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_copies.similar(sets[i], sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (name, _) in enumerate(rows):
+        least[find(k)] = min(name, least.get(find(k), name))
+    assert 20 < len(least) < 120
+    for block in (near_copies.BLOCK_SHINGLES, 2000):
+        monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", block)
+        assert {r.doc_id for r in near(spark, rows)} == set(least.values())
