@@ -7,11 +7,12 @@ the log ratio of its share in the two classes; a linear model with hinge loss is
 scaled vectors of unit length by dual coordinate descent; a logistic curve, fitted to rows that the
 descent has not seen, turns margins into scores.
 
-Fitting takes at most ``MOST_ROWS`` labelled rows, picked by a hash of doc_id; scoring reads every
-whole text.
+Fitting takes at most ``most_rows`` labelled rows, picked by a hash of doc_id, one for each id; scoring
+reads every whole text.
 
 Defined cases: null texts are empty and get the score of a vector without n-grams; rows without a
-label only get scores; equal texts get equal scores; labels of one class only, or none, give that
+label only get scores; equal texts get equal scores; a very long text is scored whole; of rows that share
+an id one is learned from; labels of one class only, or none, give that
 class's share (or one half) as every score; an empty table gives no rows; other columns are ignored.
 """
 

@@ -15,7 +15,7 @@ becomes the pieces of its UTF-8 bytes, and so does the space mark itself, so tha
 Memory is bounded by characters, not rows: texts are taken in slices of about ``SLICE`` characters, a
 long text over several, and a giant word (without a space) in stretches, all with the same result.
 
-Defined cases: a null or empty text has no pieces and decodes to an empty text; equal rows (same id
+Defined cases: a very long text or word is encoded whole; a null or empty text has no pieces and decodes to an empty text; equal rows (same id
 and text) get equal pieces; an empty table gives no rows; other columns are ignored.
 """
 

@@ -17,7 +17,7 @@ Components come from alternating large-star and small-star steps over the forest
 checkpoint after each. Only distinct fingerprints are searched, however many documents share one.
 
 Defined cases: a text without words (null or empty too) has fingerprint zero, which links like any
-other; a text of one or two words has one shingle; equal rows share a component; null ids stay and
+other; a text of one or two words has one shingle; a very long text counts whole; equal rows share a component; null ids stay and
 count as larger than any id; an empty table gives no rows; other columns are ignored.
 """
 

@@ -579,6 +579,26 @@ def test_descent_meets_its_conditions():
         assert objective(w + step, bias + rng.normal() * 0.01) >= best - 1e-3
 
 
+def test_ratios_and_scores_equal_a_plain_version():
+    import math
+
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice("good fine nice".split() if k % 2 else "bad poor odd".split()) + rng.choice(["", "x", " the"]) for _ in range(8)).encode() for k in range(60)]
+    labels = np.array([k % 2 for k in range(60)])
+    rows = [np.sort(quality_classifier.features(t)) for t in texts]
+    assert all(len(set(r.tolist())) == len(r) for r in rows)
+    model = quality_classifier.fit(rows, labels)
+    for f in {int(x) for r in rows for x in r}:
+        n = [sum(f in r for r, y in zip(rows, labels, strict=True) if y == k) for k in (0, 1)]
+        want = 0.0 if n[0] + n[1] <= 1 else math.log((n[1] + 1) / 30) - math.log((n[0] + 1) / 30)
+        assert abs(model.ratios[f] - want) < 1e-12
+    for r in rows[:10]:
+        norm = math.sqrt(sum(float(model.ratios[f]) ** 2 for f in r)) or 1.0
+        margin = sum(float(model.weights[f]) * float(model.ratios[f]) for f in r) / norm + model.bias
+        assert abs(model.score(r) - 1 / (1 + math.exp(-(model.slope * margin + model.offset)))) < 1e-9
+    assert np.mean([(model.score(r) > 0.5) == bool(y) for r, y in zip(rows, labels, strict=True)]) > 0.95
+
+
 def test_features_are_indicators():
     ids = quality_classifier.features(b"a b a b a b")
     assert len(set(ids.tolist())) == len(ids)
