@@ -15,7 +15,7 @@ from quaymark.operators import compatibility, consumption, correlation
 from quaymark.plans.assembly import catalog_documents, with_evidence
 from quaymark.plans.audit import audit, catalog
 from quaymark.sources.documents import endpoints, input_records, read_catalogs, read_findings
-from quaymark.sources.publish import publish
+from quaymark.sources.publish import publish, require_set
 
 VERBS = ("inventory", "discover", "audit", "correlate", "catalog", "compare", "check")
 
@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
 
 def give(spark: SparkSession, output: str | None, parts: dict[str, DataFrame]) -> None:
     if output:
-        publish(spark, output, parts)
+        publish(spark, output, parts, check=lambda staging: require_set(spark, staging, list(parts)))
         return
     for df in parts.values():
         for line in df.toJSON().toLocalIterator():

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A placeholder, which may carry a pattern up to the first closing brace.
+#: Fixed value: a placeholder, which may carry a pattern up to the first closing brace.
 PLACEHOLDER = r"\{([A-Za-z_][A-Za-z0-9_-]*)(?::[^}]+)?\}"
 
 

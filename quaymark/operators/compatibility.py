@@ -29,6 +29,7 @@ PARAMETERS = "map<string,struct<required:boolean,type:string,format:string>>"
 AUTHENTICATION = "struct<authentication:string,authorization:string,credential_format:string,scheme:string,header_semantics:string,schemes:array<string>,required:boolean>"
 BEHAVIOR = "struct<response_semantics:map<string,string>,side_effects:map<string,string>,internal:array<string>>"
 CONTRACT = f"struct<request:{REQUEST},response:{RESPONSE},parameters:{PARAMETERS},authentication:{AUTHENTICATION},contract_status:string,semantic_status:string,materiality:string,behavior:{BEHAVIOR}>"
+#: Classes of findings from least to worst; the codes in this file's rules and in ``consumption`` are fixed values too.
 RANKS = {"same": 0, "additive": 1, "unknown": 2, "breaking": 3}
 
 

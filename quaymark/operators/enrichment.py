@@ -21,6 +21,8 @@ from quaymark.functions.text import literal, mask_code, matching, split_top, sta
 from quaymark.operators.reach import reachable
 
 FACTS = "repository_id string, path string, owner string, method string, endpoint string, kind string, name string, value string, line int"
+#: Beginnings of the codes of open facts in this file, as users of its reports know them.
+OPEN_CODES = ("slim_php_request_", "slim_php_response_", "slim_php_security_", "slim_php_semantic_")
 Fact = tuple[str, str | None, str | None, int]  # kind, name, value, offset in the body
 
 _ROUTE = re.compile(r"(?<![\w$])\$\w+\s*->\s*(get|post|put|patch|delete|options)\s*\(", re.IGNORECASE)

@@ -21,6 +21,10 @@ SCRIPT = {"js", "jsx", "mjs", "cjs", "ts", "tsx", "vue"}
 ROWS = "repository_id string, path string, kind string, detector string, direction string, method string, base_url string, endpoint string, confidence string, code string, line int, offset int"
 Found = tuple[str, str | None, str | None, str | None, str, str | None, int]  # detector, direction, method, url, confidence, code, offset
 
+#: Codes of what a detector leaves open, as users of its reports know them.
+OPEN_CODES = (
+    "slim_dynamic_route_unresolved", "php_curl_url_unresolved", "soap_operation_unresolved", "dio_receiver_unresolved", "dio_dynamic_url_unresolved", "dart_http_complex_uri_unresolved",
+)
 _PLACEHOLDERS = ((re.compile(r"\$\{\s*(?:[\w$]+\s*[.]\s*)*([A-Za-z_]\w*)[^}]*\}"), r"{\1}"), (re.compile(r"\{\$([A-Za-z_]\w*)[^}]*\}"), r"{\1}"), (re.compile(r"(?<=/):([A-Za-z_]\w*)"), r"{\1}"))
 
 
@@ -154,19 +158,24 @@ def dart_http_calls(text: str) -> Iterator[Found]:
 
 def dio_calls(text: str, fields: set[str]) -> Iterator[Found]:
     proven = set(re.findall(r"\b(\w+)\s*=\s*Dio\s*\(", text)) | set(re.findall(r"\bDio\??\s+(\w+)\b", text))
-    for call in re.finditer(rf"\b((?:\w+\s*\.\s*)*(\w+))\s*\.\s*({VERBS})\s*(?:<[^()]*?>)?\s*\(", text):
-        if call[2] not in proven | fields:
-            if re.search("dio", call[2], re.IGNORECASE):
+    for call in re.finditer(rf"\b(\w+)\s*\.\s*({VERBS})\s*(?:<[^()]*?>)?\s*\(", text):
+        if call[1] not in proven | fields:
+            if re.search("dio", call[1], re.IGNORECASE):
                 yield "dio", "consumed", None, None, "probable", "dio_receiver_unresolved", call.start()
             continue
         end = matching(text, call.end() - 1)
         arguments = split_top(text[call.end() : end]) if end > 0 else []
         url = literal(arguments[0]) if arguments else None
-        yield ("dio", "consumed", call[3].upper(), re.sub(r"\$(?!\{)(\w+)", r"{\1}", url), "confirmed", None, call.start()) if url is not None else ("dio", "consumed", None, None, "confirmed", "dio_dynamic_url_unresolved", call.start())
+        yield ("dio", "consumed", call[2].upper(), re.sub(r"\$(?!\{)(\w+)", r"{\1}", url), "confirmed", None, call.start()) if url is not None else ("dio", "consumed", None, None, "confirmed", "dio_dynamic_url_unresolved", call.start())
 
 
 def curl_calls(text: str) -> Iterator[Found]:
-    """PHP cURL: the state of each handle between its start and its execution, in order."""
+    """PHP cURL: the state of each handle between its start and its execution, in order.
+
+    A local handle ends with its function; one of an object (``$this->x``) lives on.
+    """
+    scopes = iter([m.start() for m in re.finditer(r"\bfunction\b", text)] + [len(text) + 1])
+    until = next(scopes)
     urls: dict[str, str | None] = {}
     methods: dict[str, str | None] = {}
     constants = dict(re.findall(r"(\$\w+)\s*=\s*(['\"][^'\"$]*['\"])\s*;", text))
@@ -184,6 +193,12 @@ def curl_calls(text: str) -> Iterator[Found]:
         return "".join(parts) if parts else None
 
     for call in re.finditer(r"(?:(\$[\w>-]+)\s*=\s*)?\bcurl_(init|setopt_array|setopt|exec)\s*\(", text):
+        if call.start() > until:
+            for held in (urls, methods):
+                for handle in [h for h in held if not h.startswith("$this")]:
+                    del held[handle]
+            while call.start() > until:
+                until = next(scopes)
         end = matching(text, call.end() - 1)
         inner = text[call.end() : end] if end > 0 else ""
         arguments = split_top(inner)

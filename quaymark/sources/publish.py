@@ -29,6 +29,27 @@ def require_no_secrets(df: DataFrame) -> None:
         raise SecretFound("unhidden credential in a result")
 
 
+class NotWhole(ValueError):
+    """A published set lacks a part, or its parts do not belong together."""
+
+
+def require_set(spark: SparkSession, folder: str, parts: list[str], same: tuple[str, ...] = ("repository_id", "source_commit"), format: str = "json") -> None:
+    """All parts are there, and the parts that name a repository and commit name the same ones."""
+    names = None
+    for part in parts:
+        try:
+            rows = spark.read.format(format).load(f"{folder}/{part}")
+        except Exception as problem:
+            if "UNABLE_TO_INFER_SCHEMA" in str(problem):  # a part without rows
+                continue
+            raise NotWhole(f"{part} cannot be read") from problem
+        if set(same) <= set(rows.columns):
+            own = rows.select(*[F.col(c).cast("string").alias(c) for c in same])
+            names = own if names is None else names.union(own)
+    if names is not None and names.distinct().limit(2).count() > 1:
+        raise NotWhole(f"parts differ in {' or '.join(same)}")
+
+
 def publish(spark: SparkSession, target: str, parts: dict[str, DataFrame], check: Callable[[str], None] | None = None, format: str = "json") -> None:
     """Write all parts to a staging folder, check them, and put the folder in the target's place.
 

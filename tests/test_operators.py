@@ -235,6 +235,23 @@ def test_publish_is_whole_or_nothing(spark, tmp_path):
         publish.require_no_secrets(df)
 
 
+def test_sets_belong_together(spark, tmp_path):
+    part = lambda name, commit: spark.createDataFrame([("r", commit)], "repository_id string, source_commit string").write.json(f"{tmp_path}/{name}")
+    part("a", "1")
+    part("b", "1")
+    spark.createDataFrame([], "x int").write.json(f"{tmp_path}/empty")
+    publish.require_set(spark, str(tmp_path), ["a", "b", "empty"])
+    part("c", "2")
+    for parts in (["a", "c"], ["a", "gone"]):
+        with pytest.raises(publish.NotWhole):
+            publish.require_set(spark, str(tmp_path), parts)
+
+
+def test_curl_handles_end_with_their_function():
+    code = "<?php function a() { $h = curl_init('http://x/a'); curl_setopt($h, CURLOPT_POST, true); } function b() { curl_exec($h); } function c() { $h = curl_init('http://x/c'); curl_exec($h); }"
+    assert found_in("h.php", code) == [("php-curl", None, None, "php_curl_url_unresolved"), ("php-curl", "GET", "http://x/c", None)]
+
+
 def test_audit_of_a_work_tree(spark, tmp_path):
     repo = tmp_path / "shop"
     (repo / "vendor").mkdir(parents=True)
