@@ -62,33 +62,38 @@ class Lattice:
         self._table()
 
     def _table(self) -> None:
-        """A hash table of the pieces by a polynomial of their characters, for many look-ups at once."""
-        bits = len(self.edges).bit_length() + 2
-        self.shift, self.slots = np.uint64(64 - bits), 1 << bits
-        self.keys, self.ids, self.weights = np.zeros(self.slots, np.uint64), np.full(self.slots, -1), np.zeros(self.slots)
-        self.probes = 1
-        for piece, (k, weight) in self.edges.items():
+        """A hash table of the pieces and their beginnings by a polynomial of their characters, for many look-ups at once."""
+        found: dict[int, tuple[int, float]] = {}
+        for piece, edge in self.edges.items():
             key = 0
             for c in piece:
+                found.setdefault(key, (-1, 0.0))
                 key = (key * int(_BASE) + ord(c) + 1) & (1 << 64) - 1
-            at, probe = int(_slot(np.array([key], np.uint64), self.shift)[0]), 1
-            while self.ids[at] >= 0:
-                at, probe = (at + 1) % self.slots, probe + 1
-            self.keys[at], self.ids[at], self.weights[at] = key, k, weight
+            found[key] = edge
+        bits = len(found).bit_length() + 1
+        self.shift, self.slots = np.uint64(64 - bits), 1 << bits
+        self.keys, self.used, self.ids, self.weights = np.zeros(self.slots, np.uint64), np.zeros(self.slots, bool), np.full(self.slots, -1, np.int32), np.zeros(self.slots)
+        keys = np.array(list(found), np.uint64)
+        self.probes = 1
+        for key, place, (k, weight) in zip(keys, _slot(keys, self.shift).tolist(), found.values(), strict=True):
+            probe = 1
+            while self.used[place]:
+                place, probe = (place + 1) % self.slots, probe + 1
+            self.keys[place], self.used[place], self.ids[place], self.weights[place] = key, True, k, weight
             self.probes = max(self.probes, probe)
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """The table's slot of each piece, or -1."""
+        """The table's slot of each piece or beginning of one, or -1."""
         at = _slot(keys, self.shift).astype(np.int64)
-        found = np.where((self.keys[at] == keys) & (self.ids[at] >= 0), at, -1)
-        left = np.flatnonzero((found < 0) & (self.ids[at] >= 0))
+        found = np.where((self.keys[at] == keys) & self.used[at], at, -1)
+        left = np.flatnonzero((found < 0) & self.used[at])
         for _ in range(1, self.probes):
             if not len(left):
                 break
             at[left] = (at[left] + 1) % self.slots
-            hit = (self.keys[at[left]] == keys[left]) & (self.ids[at[left]] >= 0)
+            hit = (self.keys[at[left]] == keys[left]) & self.used[at[left]]
             found[left[hit]] = at[left[hit]]
-            left = left[~hit & (self.ids[at[left]] >= 0)]
+            left = left[~hit & self.used[at[left]]]
         return found
 
     def choices(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,31 +108,41 @@ class Lattice:
             # Spaces are marks here, and a mark in the text is a character without a piece.
             shown = np.where(codes[:, k] == ord(MARK), 0x110000, np.where(codes[:, k] == 32, ord(MARK), codes[:, k]))
             hashed[k + 1] = hashed[k] * _BASE + (shown + 1).astype(np.uint64)
-        pairs = [(start, end) for end in range(1, length + 1) for start in range(max(0, end - self.longest), end)]
         power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(self.longest + 1)]
-        piece, share, there = np.empty((n, len(pairs)), np.int32), np.empty((n, len(pairs))), np.empty((n, len(pairs)), bool)
-        sums, at = np.zeros((length + 1, n)), 0
+        # Edges into each state as (start, words, pieces, weights): from each start, words are followed only
+        # as long as what follows begins a piece.
+        edges: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+        for start in range(length):
+            alive = np.arange(n)
+            for end in range(start + 1, min(length, start + self.longest) + 1):
+                slot = self.look_up(hashed[end][alive] - hashed[start][alive] * power[end - start])
+                ids = np.where(slot >= 0, self.ids[slot], -1)
+                known = ids >= 0
+                if end == start + 1:
+                    weight = np.where(known, self.weights[slot], self.rare)
+                    edges[end].append((start, alive, np.where(known, ids, -1 - codes[:, start].astype(np.int64)).astype(np.int32), weight))
+                elif known.any():
+                    edges[end].append((start, alive[known], ids[known], self.weights[slot[known]]))
+                alive = alive[slot >= 0]
+                if not len(alive):
+                    break
+        sums, parts = np.zeros((length + 1, n)), []
         sums[0] = 1.0
         for end in range(1, length + 1):
-            begin, total = at, np.zeros(n)
-            for start in range(max(0, end - self.longest), end):
-                slot = self.look_up(hashed[end] - hashed[start] * power[end - start])
-                known = slot >= 0
-                weight = np.where(known, self.weights[slot], 0.0)
-                ids = self.ids[slot]
+            total, shares = np.zeros(n), []
+            for start, words, _, weight in edges[end]:
+                total[words] += sums[start][words] * weight
+                shares.append(total[words])
+            for (start, words, ids, _), share in zip(edges[end], shares, strict=True):
+                share /= total[words]
                 if start == end - 1:
-                    weight, ids, known = np.where(known, weight, self.rare), np.where(known, ids, -1 - codes[:, start].astype(np.int64)), True
-                total = total + sums[start] * weight
-                piece[:, at], share[:, at], there[:, at] = ids, total, known
-                at += 1
-            share[:, begin:at] /= total[:, None]
-            share[:, at - 1] = 1.0
+                    share[:] = 1.0
+                parts.append((words * length + end - 1, np.full(len(words), start, np.int32), ids, share))
             sums[end] = total
             sums[max(0, end - self.longest + 1) : end + 1] /= total
-        word, pair = np.nonzero(there)
-        ends = np.array([e for _, e in pairs])[pair]
-        counts = np.bincount(word * length + ends - 1, minlength=n * length)
-        return counts, np.array([x for x, _ in pairs], np.int32)[pair], piece[there], share[there]
+        state, starts, pieces, shares = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(state, kind="stable")
+        return np.bincount(state, minlength=n * length), starts[order], pieces[order], shares[order]
 
     def long_choices(self, segment: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The same for one long word, without arrays over all its places."""
