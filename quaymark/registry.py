@@ -42,6 +42,20 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _filled(pairs, column: int, key: str) -> str:
+    """A SQL CASE over a number that gives one of some texts, with the number in it."""
+    cases = " ".join(f"WHEN {k} THEN " + ("NULL" if pair[column] is None else f"replace('{pair[column]}', '<k>', {key}::VARCHAR)") for k, pair in enumerate(pairs))
+    return f"CASE {key} % {len(pairs)} {cases} END"
+
+
+def _chosen(pairs, key: str) -> F.Column:
+    """The same with Spark, of the first texts."""
+    case = F.lit(None).cast("string")
+    for k, pair in enumerate(pairs):
+        case = F.when(F.col(key) % len(pairs) == k, F.replace(F.lit(pair[0]), F.lit("<k>"), F.col(key).cast("string"))).otherwise(case)
+    return case
+
+
 # Scalar functions ---------------------------------------------------------------------------------
 
 _TEMPLATED = r"regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/([0-9]+)', '/{item_id:[0-9]+}', 'g')"
@@ -68,10 +82,15 @@ def url_split(spark, d):
     return _read(spark, d, "pages").select("page_id", base.alias("base"), path.alias("path"), paths.contract_path(F.col("url")).alias("contract_path"))
 
 
-@query(r"SELECT p_partkey, replace(replace('/shop/{a}/x' || (p_partkey % 3) || '/{b:[0-9]+}', '{a}', '{param1}'), '{b:[0-9]+}', '{param2}') AS canonical FROM part")
+#: Paths (<k> stands for a number) and their canonical form.
+_PATHS = (
+    ("/shop/{a}/x<k>/{b:[0-9]+}", "/shop/{param1}/x<k>/{param2}"), ("/<k>", "/<k>"), ("{a}{b_c}/{d-e:x{2}<k>", "{param1}{param2}/{param3}<k>"), ("/{1a}/{<k>}/{}", "/{1a}/{<k>}/{}"), ("", ""), ("/{a}/{a}/{_}<k>{", "/{param1}/{param2}/{param3}<k>{"),
+)
+
+
+@query(f"SELECT p_partkey, {_filled(_PATHS, 1, 'p_partkey')} AS canonical FROM part")
 def canonical_path(spark, d):
-    path = F.concat(F.lit("/shop/{a}/x"), (F.col("p_partkey") % 3).cast("string"), F.lit("/{b:[0-9]+}"))
-    return _read(spark, d, "part").select("p_partkey", paths.canonical_path(path).alias("canonical"))
+    return _read(spark, d, "part").select("p_partkey", paths.canonical_path(_chosen(_PATHS, "p_partkey")).alias("canonical"))
 
 
 _PATH = r"regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
@@ -114,17 +133,10 @@ _CREDENTIALS = (
 )
 
 
-def _by_key(column: int) -> str:
-    cases = " ".join(f"WHEN {k} THEN replace('{pair[column]}', '<k>', c_custkey::VARCHAR)" for k, pair in enumerate(_CREDENTIALS))
-    return f"CASE c_custkey % {len(_CREDENTIALS)} {cases} END"
-
-
-@query(f"SELECT c_custkey, {_by_key(1)} AS shown, (c_custkey % 4 < 2) AS raw_secret FROM customer")
+@query(f"SELECT c_custkey, {_filled(_CREDENTIALS, 1, 'c_custkey')} AS shown, (c_custkey % 4 < 2) AS raw_secret FROM customer")
 def redaction(spark, d):
     """Assignments, JSON, escaped JSON, headers and URLs; what is hidden already is no secret any more."""
-    case = F.lit(None).cast("string")
-    for k, (raw, _) in enumerate(_CREDENTIALS):
-        case = F.when(F.col("c_custkey") % len(_CREDENTIALS) == k, F.replace(F.lit(raw.replace("''", "'")), F.lit("<k>"), F.col("c_custkey").cast("string"))).otherwise(case)
+    case = F.replace(_chosen(_CREDENTIALS, "c_custkey"), F.lit("''"), F.lit("'"))
     shown = text.redact(case)
     return _read(spark, d, "customer").select("c_custkey", shown.alias("shown"), text.secret_like(F.when(F.col("c_custkey") % 4 < 2, case).otherwise(shown)).alias("raw_secret"))
 
@@ -139,11 +151,17 @@ def comment_mask(spark, d):
     return _read(spark, d, "pages").select("page_id", F.md5(text.mask_html_comments(F.col("html")).cast("binary")).alias("masked"))
 
 
-@query("SELECT event_id, '{\"a\":[1,2],\"id\":' || event_id || ',\"k\":' || (event_id % 7) || '}' AS canonical FROM events")
+#: JSON texts (<k> stands for a number) and their canonical form; text that is no JSON has none.
+_JSON = (
+    ('{ "k" : <k>, "id": 7, "a": [1, 2]}', '{"a":[1,2],"id":7,"k":<k>}'),
+    ('{"b":{"z":null,"y":[true,{"q":1.5,"p":"é\\n"}]},"a":"<k> \\" x"}', '{"a":"<k> \\" x","b":{"y":[true,{"p":"\\u00e9\\n","q":1.5}],"z":null}}'),
+    ("not json <k>", None), (' ["b", "a", <k>, {}, []] ', '["b","a",<k>,{},[]]'), ('"only <k>"', '"only <k>"'), ('{"a":1', None),
+)
+
+
+@query(f"SELECT event_id, {_filled(_JSON, 1, 'event_id')} AS canonical FROM events")
 def canonical_json(spark, d):
-    key = F.col("event_id").cast("string")
-    raw = F.concat(F.lit('{ "k" : '), (F.col("event_id") % 7).cast("string"), F.lit(', "id": '), key, F.lit(', "a": [1, 2]}'))
-    return _read(spark, d, "events").select("event_id", ids.canonical_json(raw).alias("canonical"))
+    return _read(spark, d, "events").select("event_id", ids.canonical_json(_chosen(_JSON, "event_id")).alias("canonical"))
 
 
 @query("SELECT o_orderkey, (o_orderkey % 3 <> 0) AS equal FROM orders")
@@ -651,8 +669,11 @@ def render_lines(spark, d):
     return one.groupBy(region.alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
-@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 <> 3 THEN c_name END AS name, CASE c_custkey % 4 WHEN 1 THEN 'a: b' WHEN 3 THEN NULL ELSE c_mktsegment END AS segment FROM customer")
 def front_matter(spark, d):
-    page = F.concat(F.lit("---\nname: "), F.col("c_name"), F.lit("\nsegment:  "), F.col("c_mktsegment"), F.lit("\n---\nbody: no\n"))
+    """Values may hold colons and blanks; a page without a closed block has none; what follows the block does not count."""
+    k = F.col("c_custkey") % 4
+    end = F.when(k == 2, "---\n---\nname: other\n---\n").otherwise("---\nbody: no\nsegment: no\n")
+    page = F.concat(F.when(k == 3, "\n---\n").otherwise("---\n"), F.lit("name: "), F.col("c_name"), F.lit("\nno pair\nsegment:  "), F.when(k == 1, "a: b").otherwise(F.col("c_mktsegment")), F.lit("  \n"), end)
     found = render.parse_front_matter(page)
-    return _read(spark, d, "customer").select("c_custkey", found["name"].alias("name"), found["segment"].alias("segment"))
+    return _read(spark, d, "customer").select("c_custkey", F.try_element_at(found, F.lit("name")).alias("name"), F.try_element_at(found, F.lit("segment")).alias("segment"))
