@@ -32,7 +32,7 @@ from quaymark.llm.common import id_text_bucket, labelled_texts, map_texts
 
 MOST_ROWS = 8_000
 DIMENSIONS = 1 << 19
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 _CLASSES = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
