@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm.common import read_table
+from quaymark.llm.exact_dedup import DEDUP_SQL, dedup_digest
 from quaymark.llm.gif import media_digest
 from quaymark.llm.language_crf import language_digest
 from quaymark.llm.packing import packing_digest
@@ -65,6 +66,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_packing,
@@ -77,9 +82,10 @@ def queries() -> dict[str, Query]:
         op8_gif,
         op9_quality_rules,
         op10_quality_classifier,
+        op11_exact_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_revisits": REVISITS_SQL, "op9_quality_rules": rules_sql()}
+    return {"op3_revisits": REVISITS_SQL, "op9_quality_rules": rules_sql(), "op11_exact_dedup": DEDUP_SQL}
