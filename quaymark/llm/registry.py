@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm.common import read_table
+from quaymark.llm.divergence import DIVERGENCE_SQL, divergence
 from quaymark.llm.exact_dedup import DEDUP_SQL, dedup_digest
 from quaymark.llm.gif import media_digest
 from quaymark.llm.language_crf import language_digest
@@ -70,6 +71,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_packing,
@@ -83,9 +88,10 @@ def queries() -> dict[str, Query]:
         op9_quality_rules,
         op10_quality_classifier,
         op11_exact_dedup,
+        op12_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_revisits": REVISITS_SQL, "op9_quality_rules": rules_sql(), "op11_exact_dedup": DEDUP_SQL}
+    return {"op3_revisits": REVISITS_SQL, "op9_quality_rules": rules_sql(), "op11_exact_dedup": DEDUP_SQL, "op12_divergence": DIVERGENCE_SQL}

@@ -1,6 +1,8 @@
 """Exact dedup, source divergence and spelling variants against plain versions."""
 
 import hashlib
+import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("quaymark.llm")
-from quaymark.llm import exact_dedup
+from quaymark.llm import divergence, exact_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, size int, row int, n int, term string, shard int, winner int"
 
@@ -92,3 +94,68 @@ def test_an_index_is_looked_up_and_extended(spark):
     found = exact_dedup.look_up(rows([(4, "a"), (5, "c"), (6, "C")]), index, 2)
     assert Counter((r.member, r.size, r.past_size) for r in found.collect()) == Counter([(True, 1, 2), (False, 2, None)])
     assert Counter((r["size"], r.winner.doc_id) for r in exact_dedup.merged(index, found).collect()) == Counter([(3, 4), (2, 6), (1, 3)])
+
+
+# Source divergence --------------------------------------------------------------------------------
+
+
+def plain_divergence(rows):
+    """The same by its definition, in Python's whole numbers."""
+    docs, counts, groups = defaultdict(int), defaultdict(int), set()
+    for _, t, lang, source in rows:
+        group = (lang or "", source or "")
+        groups.add(group)
+        terms = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered(t).decode()))
+        for term, n in terms.items():
+            docs[group[0], term] += 1
+            counts[group, term] += n
+    found = set()
+    for lang in {g[0] for g in groups}:
+        own = sorted(g for g in groups if g[0] == lang)
+        kept = [t for (k, t), n in docs.items() if k == lang and n >= 3]
+        shares = {g: {t: 1 + 10**9 * (counts[g, t] + 1) // (sum(counts[g, x] for x in kept) + len(kept)) for t in kept} for g in own}
+        whole = {t: sum(counts[g, t] for g in own) for t in kept}
+        q = {t: 1 + 10**9 * (whole[t] + 1) // (sum(whole.values()) + len(kept)) for t in kept}
+        f = lambda a, b: (a - b) ** 2 // b
+        for g in own:
+            pairs = [(-sum(f(shares[g][t], shares[h][t]) for t in kept), h[1].encode()) for h in own if h != g]
+            terms = [(-f(shares[g][t], q[t]), t.encode()) for t in kept if counts[g, t] > 0 and shares[g][t] > q[t]]
+            for part, ranked in (("pair", sorted(pairs)), ("term", sorted(terms)[:200])):
+                found |= {(*g, part, item.decode(), -value, k + 1) for k, (value, item) in enumerate(ranked)}
+    return found
+
+
+def divergence_rows():
+    rng = random.Random(8)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)] + ["Straße", "ÉTÉ", "été", "日本", "a\u0085b"]
+    rows = [(k, " ".join(rng.choices(words, k=rng.choice([0, 3, 30, 60]))), rng.choice(["en", "en", "de", None]), f"s{min(rng.randrange(30), rng.randrange(30))}") for k in range(400)]
+    rows += [(k, "hot words repeat wxx, Hot; words1hot", "en", "s1") for k in range(200)]
+    return rows + [(1, None, "en", None), (1, None, "en", None), (None, "", "fr", "a"), (2, "one", "fr", "b"), (3, "alone alone", "it", "z"), (3, "alone", "it", "z"), (3, "Alone", "it", "z"), (4, "long " * 50_000, "en", "s2")]
+
+
+@pytest.mark.parametrize(("light", "tile", "block", "totals"), [(8, 1 << 19, 256, 50_000), (2, 64, 7, 0), (0, 1 << 19, 256, 50_000), (1000, 64, 7, 50_000)])
+def test_divergence_equals_its_definition(spark, monkeypatch, light, tile, block, totals):
+    for name, value in (("LIGHT", light), ("TILE", tile), ("BLOCK", block), ("MOST_TOTALS", totals), ("MOST_COUNTS", 500)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = divergence_rows()
+    found = divergence.divergence(table(spark, rows).repartition(3)).collect()
+    assert Counter((r.lang, r.source, r.part, r.item, r.value, r.rank) for r in found) == Counter(plain_divergence(rows))
+
+
+def test_divergence_of_nothing(spark):
+    assert divergence.divergence(table(spark, []).limit(0)).collect() == []
+
+
+def test_shares_are_exact_for_large_counts(spark):
+    cases = [(n, whole) for whole in (1, 7, 10**9 + 7, 9 * 10**14 + 1) for n in (0, whole // 3, whole - 1)]
+    found = spark.createDataFrame(cases, "n bigint, whole bigint").select("n", "whole", divergence.share(divergence.F.col("n"), divergence.F.col("whole")).alias("p")).collect()
+    assert all(r.p == 1 + 10**9 * (r.n + 1) // r.whole for r in found)
+
+
+def test_divergence_equals_its_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = divergence.divergence(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    columns = sorted(found.columns)
+    want = con.sql(divergence.DIVERGENCE_SQL)
+    assert Counter(map(tuple, found.select(*columns).collect())) == Counter(want.select(*columns).fetchall())
