@@ -19,6 +19,7 @@ from quaymark.llm.sampled_pieces import sampled_digest
 from quaymark.llm.simhash import near_duplicates_digest
 from quaymark.llm.suffix_dedup import repeats_digest
 from quaymark.llm.toxicity import toxicity_digest
+from quaymark.llm.variants import variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +76,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(read_table(spark, sf_dir, "documents"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_packing,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
         op10_quality_classifier,
         op11_exact_dedup,
         op12_divergence,
+        op13_variants,
     )
     return {f.__name__: f for f in found}
 

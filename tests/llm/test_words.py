@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("quaymark.llm")
-from quaymark.llm import divergence, exact_dedup
+from quaymark.llm import divergence, exact_dedup, variants
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, size int, row int, n int, term string, shard int, winner int"
 
@@ -159,3 +160,88 @@ def test_divergence_equals_its_sql(spark, sf_dir):
     columns = sorted(found.columns)
     want = con.sql(divergence.DIVERGENCE_SQL)
     assert Counter(map(tuple, found.select(*columns).collect())) == Counter(want.select(*columns).fetchall())
+
+
+# Spelling variants --------------------------------------------------------------------------------
+
+
+def one_error(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def plain_variants(rows):
+    n = Counter()
+    for k, t, *_ in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            run = run.encode().lower().decode()
+            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+    near = {w: [v for v in n if one_error(w, v)] for w in n}
+    form = {w: min(vs, key=lambda v: (-n[v], v)) for w, vs in near.items() if vs}
+    form = {w: v for w, v in form.items() if n[v] >= 2 * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {(w, n[w], form.get(w), root(w), len(near[w]), n[form[w]] if w in form else None) for w in n}
+
+
+def variant_rows():
+    rng = random.Random(12)
+    stems = ["colour", "straße", "détente", "aaaaa", "aaaaaa", "abababab", "señora", "kitten", "sitting", "überaus", "letter", "lettre"]
+
+    def word():
+        w = rng.choice(stems)
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2])):
+            k = rng.randrange(len(w))
+            w = rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice("aoeößr") + w[k:], w[:k] + rng.choice("aoeéÿ") + w[k + 1 :]])
+        return rng.choice([w, w, w.capitalize()])
+
+    rows = [(k, " ".join(word() for _ in range(40)) + " x2y-1 ÉTÉÉÉ", "en", "s") for k in range(120)]
+    rows += [(None, "colour colour Colours", None, None), (1, None, "en", "s"), (2, "", "en", "s"), (3, "kitten " * 30_000, "en", "s")]
+    # A path of several forms, and ties of the count.
+    for w, count in (("pathaaaa", 1), ("pathaaab", 2), ("pathaabb", 4), ("pathabbb", 8), ("pathbbbb", 16), ("tiesab", 1), ("tiesac", 2), ("tiesad", 2), ("tiesa", 2)):
+        rows += [(4000 + k, f"{w} {w} {w}", "en", "s") for k in range(count)]
+    return rows
+
+
+@pytest.mark.parametrize("shard", [2, 40, 20_000])
+def test_variants_equal_a_comparison_of_all_words(spark, shard):
+    rows = variant_rows()
+    found = variants.variants(table(spark, rows).repartition(3), shard).collect()
+    want = plain_variants(rows)
+    assert Counter((r.word, r.n, r.form, r.root, r.n_near, r.form_n) for r in found) == Counter(want)
+    assert any(r[3] not in (r[0], r[2]) for r in want)
+
+
+def test_variants_of_the_given_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    found = variants.variants(table(spark, rows)).collect()
+    assert Counter((r.word, r.n, r.form, r.root, r.n_near, r.form_n) for r in found) == Counter(plain_variants(rows))
+
+
+def test_variants_of_nothing(spark):
+    assert variants.variants(table(spark, []).limit(0)).collect() == []
+    assert variants.variants(table(spark, [(1, "short", "en", "s")])).collect() == []
+
+
+def test_automaton_numbers_its_words_in_order():
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choices("abç", k=rng.randrange(0, 7))) for _ in range(500)})
+    automaton = variants.Automaton(words)
+    assert [automaton.number(w) for w in words] == list(range(len(words)))
+    assert automaton.number("zz") is None and automaton.number(words[-1] + "a") is None
+    ends = {tuple(sorted(w[k:] for w in words if w.startswith(p))) for w in words for k, p in ((k, w[:k]) for k in range(len(w) + 1))}
+    assert len(automaton.known) == len(ends)
+    assert variants.Automaton([]).near("abc", 1) == set()
