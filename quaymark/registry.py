@@ -677,3 +677,37 @@ def front_matter(spark, d):
     page = F.concat(F.when(k == 3, "\n---\n").otherwise("---\n"), F.lit("name: "), F.col("c_name"), F.lit("\nno pair\nsegment:  "), F.when(k == 1, "a: b").otherwise(F.col("c_mktsegment")), F.lit("  \n"), end)
     found = render.parse_front_matter(page)
     return _read(spark, d, "customer").select("c_custkey", F.try_element_at(found, F.lit("name")).alias("name"), F.try_element_at(found, F.lit("segment")).alias("segment"))
+
+
+# Published sets -----------------------------------------------------------------------------------
+
+
+@query(r"""WITH c AS (SELECT c_custkey, regexp_replace(said, '(password|api_key)=\S+', '\1=[REDACTED]', 'g') AS hidden, said FROM
+ (SELECT c_custkey, c_name || CASE c_custkey % 3 WHEN 0 THEN ' password=' || c_nationkey WHEN 1 THEN ' passwords ' || c_nationkey ELSE ' api_key=' || c_nationkey || ' password=' || c_custkey END || ' in ' || c_mktsegment AS said FROM customer))
+ SELECT c_custkey, said <> hidden AS secret, false AS secret_after, hidden AS in_struct, hidden AS in_array, hidden AS in_key, hidden AS in_value FROM c""")
+def nested_secrets(spark, d):
+    """Credentials in structs, arrays of structs, and keys and values of maps: found before and gone after they are hidden."""
+    from quaymark.functions import nested
+
+    key = F.col("c_custkey")
+    held = F.when(key % 3 == 0, F.concat(F.lit(" password="), "c_nationkey")).when(key % 3 == 1, F.concat(F.lit(" passwords "), "c_nationkey")).otherwise(F.concat(F.lit(" api_key="), "c_nationkey", F.lit(" password="), "c_custkey"))
+    said = F.concat("c_name", held, F.lit(" in "), "c_mktsegment").alias("said")
+    deep = _read(spark, d, "customer").select("c_custkey", said).select("c_custkey", F.struct(F.struct("said").alias("a"), F.array(F.struct("said")).alias("b"), F.create_map("said", F.array("said")).alias("c")).alias("s"))
+    kind = deep.schema["s"].dataType
+    shown = nested.each_text(F.col("s"), kind, text.redact)
+    rows = deep.select("c_custkey", "s", shown.alias("t"))
+    return rows.select(
+        "c_custkey", nested.any_text(F.col("s"), kind, text.secret_like).alias("secret"), nested.any_text(F.col("t"), kind, text.secret_like).alias("secret_after"),
+        F.col("t.a.said").alias("in_struct"), F.col("t.b")[0]["said"].alias("in_array"), F.map_keys("t.c")[0].alias("in_key"), F.map_values("t.c")[0][0].alias("in_value"),
+    )
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_linestatus, sha256('{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_suppkey":' || l_suppkey || '}') AS h FROM lineitem)
+ SELECT l_returnflag, l_linestatus, count(*) AS rows, sha256(concat_ws(':', count(*), sum(('0x' || h[1:15])::BIGINT), sum(('0x' || h[16:30])::BIGINT), sum(('0x' || h[31:45])::BIGINT), sum(('0x' || h[46:60])::BIGINT))) AS digest
+ FROM r GROUP BY 1, 2""")
+def set_digest(spark, d):
+    """The digest of each part of a set, whatever the order of its rows."""
+    from quaymark.functions import digests
+
+    rows = _read(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
+    return digests.set_digest(rows, ["l_returnflag", "l_linestatus"])

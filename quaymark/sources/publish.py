@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quaymark.functions import digests, nested
 from quaymark.functions.text import redact, secret_like
 
 
@@ -16,16 +19,13 @@ class SecretFound(ValueError):
 
 
 def redacted(df: DataFrame) -> DataFrame:
-    """Every string column with its secrets hidden."""
-    return df.select(*[redact(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema])
+    """Every string with its secrets hidden, in structs, arrays, and keys and values of maps too."""
+    return nested.mapped(df, redact)
 
 
 def require_no_secrets(df: DataFrame) -> None:
-    texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
-    test = F.lit(False)
-    for name in texts:
-        test = test | F.coalesce(secret_like(F.col(name)), F.lit(False))
-    if not df.where(test).isEmpty():
+    """No string of any depth holds a credential that is not hidden."""
+    if not nested.rows_with(df, secret_like).isEmpty():
         raise SecretFound("unhidden credential in a result")
 
 
@@ -50,9 +50,42 @@ def require_set(spark: SparkSession, folder: str, parts: list[str], same: tuple[
         raise NotWhole(f"parts differ in {' or '.join(same)}")
 
 
+#: The part of a published set that says what the others are.
+MANIFEST = "manifest"
+
+
+def require_manifest(spark: SparkSession, folder: str) -> list[str]:
+    """The names of a published set's parts, each of which has the rows that its manifest states."""
+    try:
+        stated = spark.read.schema("part string, format string, schema string, rows bigint, digest string").json(f"{folder}/{MANIFEST}").collect()
+    except Exception as problem:
+        raise NotWhole("the manifest cannot be read") from problem
+    if not stated:
+        raise NotWhole("the manifest is empty")
+    for part in stated:
+        try:
+            rows = spark.read.format(part.format).schema(StructType.fromJson(json.loads(part.schema))).load(f"{folder}/{part.part}")
+            found = digests.set_digest(rows, []).first()
+        except Exception as problem:
+            raise NotWhole(f"{part.part} cannot be read") from problem
+        if (found["rows"], found["digest"]) != (part["rows"], part["digest"]):
+            raise NotWhole(f"{part.part} does not have the rows that were written")
+    return [p.part for p in stated]
+
+
+def write_part(folder: str, name: str, df: DataFrame, format: str) -> tuple[str, str, str, int, str]:
+    """Write one part and give its row of the manifest; its sums are taken while it is written."""
+    seen = Observation(f"part {name}")
+    sums = digests.set_sums(digests.row_text(df.columns))
+    df.observe(seen, *sums).write.format(format).save(f"{folder}/{name}")
+    return name, format, df.schema.json(), int(seen.get["n"]), digests.digest_of_sums(seen.get)
+
+
 def publish(spark: SparkSession, target: str, parts: dict[str, DataFrame], check: Callable[[str], None] | None = None, format: str = "json") -> None:
     """Write all parts to a staging folder, check them, and put the folder in the target's place.
 
+    A part more, the manifest, states the number and an order-independent digest of each part's rows, taken
+    while they are written. What is read back must have them and no secrets, after ``check`` too.
     The former target comes back if the last step fails. Renames go through Hadoop's file system, so
     the target may be in any store that Spark writes to.
     """
@@ -62,12 +95,14 @@ def publish(spark: SparkSession, target: str, parts: dict[str, DataFrame], check
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        for name, df in parts.items():
-            clean = redacted(df)
-            clean.write.format(format).save(f"{staging}/{name}")
-            require_no_secrets(spark.read.format(format).load(f"{staging}/{name}"))
+        stated = [write_part(staging, name, redacted(df), format) for name, df in parts.items()]
+        spark.createDataFrame(stated, "part string, format string, schema string, rows bigint, digest string").coalesce(1).write.json(f"{staging}/{MANIFEST}")
         if check:
             check(staging)
+        if require_manifest(spark, staging) != list(parts):
+            raise NotWhole("the manifest names other parts")
+        for name, form, schema, *_ in stated:
+            require_no_secrets(spark.read.format(form).schema(StructType.fromJson(json.loads(schema))).load(f"{staging}/{name}"))
         there = fs.exists(path(target))
         if there and not fs.rename(path(target), path(backup)):
             raise OSError(f"cannot move {target} away")
