@@ -181,8 +181,10 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, most_words: int =
         return Model(languages, np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros((len(languages),) * 2), {})
     picked = np.random.default_rng(7).permutation(len(spans))
     halves = [spans[i][: len(spans[i]) // 2] if k % 4 < 2 else spans[i] for k, i in enumerate(picked)]
+    del spans
     for k in range(0, len(halves), 4):
         runs += [x for x in (sum(halves[k : k + 2], []), *halves[k + 2 : k + 4]) if x]
+    del halves
     counts: dict[str, int] = {}
     for run in runs:
         for w, _ in run:
@@ -190,10 +192,11 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, most_words: int =
     lexicon = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[: LEXICON * len(languages)])}
     vocabulary = {w: k for k, w in enumerate(counts)}
     words = list(vocabulary)
-    grams = list(_grams(words))
     known = np.array([lexicon.get(w, -1) for w in words])
-    owner = np.concatenate([g[0] for g in grams] + [np.flatnonzero(known >= 0)])
-    feature = np.concatenate([g[1] for g in grams] + [DIMENSIONS + known[known >= 0]])
+    pairs = [(own.astype(np.int32), ids.astype(np.int32)) for own, ids in _grams(words)]
+    pairs.append((np.flatnonzero(known >= 0).astype(np.int32), (DIMENSIONS + known[known >= 0]).astype(np.int32)))
+    owner, feature = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    del pairs
     runs.sort(key=len, reverse=True)
     lengths = np.array([len(r) for r in runs])
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
@@ -202,6 +205,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, most_words: int =
     word, truth = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
     word[flat] = [vocabulary[w] for r in runs for w, _ in r]
     truth[flat] = [y for r in runs for _, y in r]
+    del runs
     at = np.concatenate([[0], np.cumsum(active)])
     follows = np.concatenate([np.stack([np.arange(at[t], at[t] + active[t + 1]), np.arange(at[t + 1], at[t + 2])]) for t in range(len(active) - 1)] or [np.zeros((2, 0), int)], axis=1)
     k = len(languages)
@@ -248,7 +252,10 @@ def train(docs: DataFrame, most_docs: int = MOST_DOCS, most_words: int = MOST_WO
     lang = F.when(id_text_bucket("doc_id", 4) != 2, F.col("lang").cast("string"))
     table = labelled_texts(docs, docs.select("doc_id", lang.alias("label")), most_docs, lang).toArrow()
     found = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True))
-    return fit([r[2].decode("utf-8", "replace") for r in found], [r[1] for r in found], most_words=most_words)
+    del table
+    texts, langs = [r[2].decode("utf-8", "replace") for r in found], [r[1] for r in found]
+    del found
+    return fit(texts, langs, most_words=most_words)
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:

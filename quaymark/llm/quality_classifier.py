@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,7 +95,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(ids) + self.offset, -30, 30)))
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class Scaled:
+    """Rows of ids with their ratios at length one, which are made anew each time: of all rows only the ids are held."""
+
+    ids: list[np.ndarray]
+    ratios: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k >= len(self.ids):
+            raise IndexError(k)
+        x = self.ratios[self.ids[k]]
+        return self.ids[k], x / (np.sqrt(np.dot(x, x)) or 1.0)
+
+
+def descend(rows: Sequence[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Weights and bias of least ``|w|^2 / 2 + cost * sum of hinges``, by dual coordinate descent."""
     w, bias, dual = np.zeros(DIMENSIONS), 0.0, np.zeros(len(rows))
     norms = np.array([np.dot(x, x) + 1 for _, x in rows])
@@ -131,16 +148,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         p = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
         return Model(flat, flat, 0.0, 0.0, float(np.log(p / (1 - p))))
     rest = np.arange(len(rows)) % 5 == 0
-    counts = {k: np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == k]), minlength=DIMENSIONS) + 1.0 for k in (0, 1)}
+    counts = {k: np.ones(DIMENSIONS) for k in (0, 1)}
+    for ids, y in zip(rows, labels.tolist(), strict=True):
+        counts[y][ids] += 1
     ratios = np.log(counts[1] / (labels == 1).sum()) - np.log(counts[0] / (labels == 0).sum())
     ratios[(counts[0] + counts[1]) <= 3] = 0.0
-    scaled = []
-    for ids in rows:
-        x = ratios[ids]
-        x /= np.sqrt(np.dot(x, x)) or 1.0
-        scaled.append((ids, x))
-    w, bias = descend([s for s, r in zip(scaled, rest, strict=True) if not r], np.where(labels[~rest] == 1, 1.0, -1.0))
-    margins = np.array([np.dot(w[ids], x) + bias for ids, x in scaled])
+    w, bias = descend(Scaled([r for r, held in zip(rows, rest, strict=True) if not held], ratios), np.where(labels[~rest] == 1, 1.0, -1.0))
+    margins = np.array([np.dot(w[ids], x) + bias for ids, x in Scaled(rows, ratios)])
     use = rest if len(set(labels[rest].tolist())) == 2 else ~rest
     return Model(ratios, w, bias, *logistic(margins[use], labels[use]))
 
@@ -155,8 +169,13 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "ids"])
 
     table = labelled_texts(docs, known, most_rows).mapInArrow(scan, "doc_id bigint, label int, ids binary").toArrow()
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "ids")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
-    return fit([np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows], np.array([r[1] for r in rows], np.int64))
+    # The ids stay where Arrow has them, 4 bytes each; only their order is made here.
+    held = table.column("ids").combine_chunks()
+    ids = [np.frombuffer(x.as_buffer(), "<i4") for x in held]
+    keys = table.column("doc_id").to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(str(keys[k]).encode()), keys[k], ids[k].tobytes()))
+    known = table.column("label").to_numpy()
+    return fit([ids[k] for k in order], np.array([known[k] for k in order], np.int64))
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
