@@ -48,27 +48,3 @@ def canonical_json(text: Column) -> Column:
         return texts.map(one)
 
     return run(text)
-
-
-#: Keys of an artifact that change from run to run, and arrays whose order has no meaning.
-VOLATILE = frozenset({"generated_at", "audit_timestamp", "audit_id", "dirty"})
-SET_LIKE = frozenset({"fields", "required_fields", "optional_fields", "schemes", "status_codes", "notes", "required"})
-
-
-def _normal(value, key: str = ""):
-    if isinstance(value, dict):
-        return {k: _normal(v, k) for k, v in value.items() if k not in VOLATILE}
-    if isinstance(value, list):
-        items = [_normal(v) for v in value]
-        return sorted(items, key=lambda v: json.dumps(v, sort_keys=True)) if key in SET_LIKE else items
-    return value
-
-
-def artifact_digest(text: Column) -> Column:
-    """A digest that equal artifacts share, whatever their key order, volatile keys and set order."""
-
-    @pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: None if t is None else json.dumps(_normal(json.loads(t)), sort_keys=True, separators=(",", ":")))
-
-    return F.sha2(run(text), 256)

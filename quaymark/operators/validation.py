@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import re
 from dataclasses import dataclass
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,79 +55,6 @@ def violations(rows: DataFrame, key: str, constraints: list[Constraint]) -> Data
     return rows.select(key, F.explode(F.array_compact(F.array(*tests))).alias("v")).select(key, "v.field", "v.rule")
 
 
-KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-
-
-def _is(value, kind: str) -> bool:
-    if kind in ("integer", "number"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
-    return isinstance(value, KINDS[kind])
-
-
-def _date_time(text: str) -> bool:
-    try:
-        return "T" in text and datetime.fromisoformat(text).tzinfo is not None
-    except ValueError:
-        return False
-
-
-def broken_rules(value, schema: dict, root: dict | None = None, path: str = "$") -> list[tuple[str, str]]:
-    """(path, rule) of what a JSON value breaks: the subset of JSON Schema with $ref, const, enum, type, required, properties,
-    additionalProperties, items, minItems, minLength, pattern, format date-time, minimum and maximum."""
-    root = schema if root is None else root
-    if "$ref" in schema:
-        target = root
-        for key in schema["$ref"].removeprefix("#/").split("/"):
-            if not isinstance(target, dict) or key not in target:
-                return [(path, "$ref")]
-            target = target[key]
-        return broken_rules(value, target, root, path)
-    kinds = schema.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(_is(value, k) for k in kinds):
-        return [(path, "type")]
-    same = lambda a, b: json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
-    out = [(path, "const")] if "const" in schema and not same(value, schema["const"]) else []
-    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
-        out.append((path, "enum"))
-    if isinstance(value, dict):
-        inside = schema.get("properties", {})
-        out += [(f"{path}.{k}", "required") for k in schema.get("required", []) if k not in value]
-        for k, v in value.items():
-            rule = inside.get(k, schema.get("additionalProperties", True))
-            out += [(f"{path}.{k}", "additionalProperties")] if rule is False else broken_rules(v, rule, root, f"{path}.{k}") if isinstance(rule, dict) else []
-    elif isinstance(value, list):
-        out += [(path, "minItems")] if len(value) < schema.get("minItems", 0) else []
-        for k, v in enumerate(value):
-            out += broken_rules(v, schema["items"], root, f"{path}[{k}]") if isinstance(schema.get("items"), dict) else []
-    elif isinstance(value, str):
-        out += [(path, "minLength")] if len(value) < schema.get("minLength", 0) else []
-        out += [(path, "pattern")] if "pattern" in schema and not re.search(schema["pattern"], value) else []
-        out += [(path, "date-time")] if schema.get("format") == "date-time" and not _date_time(value) else []
-    elif _is(value, "number"):
-        out += [(path, "minimum")] if value < schema.get("minimum", value) else []
-        out += [(path, "maximum")] if value > schema.get("maximum", value) else []
-    return out
-
-
-def document_violations(rows: DataFrame, key: str, document: str, schema: dict) -> DataFrame:
-    """(key, path, rule) of what each JSON document breaks; text that is no JSON breaks ``json``, and a null document nothing.
-
-    Documents are checked one by one in Arrow batches; each stays a row's own size.
-    """
-
-    @F.udf("array<struct<path:string,rule:string>>", useArrow=True)
-    def check(text):
-        if text is None:
-            return []
-        try:
-            return broken_rules(json.loads(text), schema)
-        except ValueError:
-            return [("$", "json")]
-
-    return rows.select(key, F.explode(check(document)).alias("v")).select(key, "v.path", "v.rule")
-
-
 class Invalid(ValueError):
     """A document breaks its schema."""
 
