@@ -160,6 +160,15 @@ def security_facts(body: str, tail: str) -> Iterator[Fact]:
         yield "middleware", m[1], None, len(body)
 
 
+def guards(code: str) -> Iterator[tuple[str, str | None, int, int]]:
+    """(class, how its methods read credentials, start, end) of the classes of a file, which may be middleware; None where they read none."""
+    for c in re.finditer(r"\bclass\s+(\w+)[^{;]*\{", code):
+        end = matching(code, c.end() - 1)
+        body = code[c.end() : end] if end > 0 else ""
+        reads = re.search(r"getHeader(?:Line)?\s*\(\s*['\"]Authorization['\"]", body) and re.search(r"\bJWT\s*::\s*decode\s*\(", body)
+        yield c[1], ("bearer" if "Bearer" in body else "raw") if reads else None, c.start(), end
+
+
 def semantic_facts(body: str) -> Iterator[Fact]:
     """Data access, side effects, claims, conditions, outbound calls, local calls and what blocks a full reading."""
     texts: dict[str, str] = {}
@@ -224,6 +233,7 @@ def facts(files: DataFrame) -> DataFrame:
             for repository, path, text in zip(frame["repository_id"], frame["path"], frame["text"], strict=True):
                 code = mask_code(text, hash_comments=True)
                 ends = [m.start() for m in re.finditer("\n", code)]
+                out += [(repository, path, name, None, None, "guard", name, how, bisect_right(ends, at - 1) + 1) for name, how, at, _ in guards(code)]
                 for owner, method, endpoint, lo, hi, tail in bodies(code):
                     body = code[lo:hi]
                     asked = request_facts(body) if method else parameter_facts(tail, body)
@@ -232,7 +242,20 @@ def facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FACTS.split(", ")])
 
     php = files.where(F.lower("path").endswith(".php") & F.col("text").isNotNull() & (F.col("text").contains("->") | F.col("text").contains("function")))
-    return handed_on(cut(php.select("repository_id", "path", "text").mapInPandas(run, FACTS)))
+    return guarded(handed_on(cut(php.select("repository_id", "path", "text").mapInPandas(run, FACTS))))
+
+
+def guarded(found: DataFrame) -> DataFrame:
+    """Facts with the authentication that a route's middleware asks for, by the class of that name in its repository.
+
+    A class that reads no credentials, is defined several times, or is not there leaves the route's security open.
+    """
+    classes = found.where("kind = 'guard'").groupBy("repository_id", F.col("name").alias("class")).agg(F.count("*").alias("n"), F.min("value").alias("how"))
+    added = found.where("kind = 'middleware' AND method IS NOT NULL").withColumn("class", F.regexp_extract("name", r"(\w+)$", 1))
+    known = F.coalesce((F.col("n") == 1) & F.col("how").isNotNull(), F.lit(False))
+    told = added.join(classes, ["repository_id", "class"], "left").withColumn("value", F.when(known, F.col("how")).otherwise(F.col("name")))
+    told = told.withColumn("kind", F.when(known, "authentication").otherwise("unresolved")).withColumn("name", F.when(known, "jwt").otherwise("slim_php_security_middleware_unresolved"))
+    return found.where("kind <> 'guard'").unionByName(told.select(*found.columns))
 
 
 def handed_on(found: DataFrame) -> DataFrame:

@@ -261,12 +261,12 @@ def scan_text(path: str, text: str, constants: dict[str, str], dio_fields: set[s
             yield from dio_calls(code, dio_fields)
 
 
-def extract(files: DataFrame, constants: dict[str, str] | None = None, dio_fields: set[str] | None = None) -> DataFrame:
+def extract(files: DataFrame, constants: dict[str, dict[str, str]] | None = None, dio_fields: dict[str, set[str]] | None = None) -> DataFrame:
     """Rows of kind ``endpoint`` or ``unresolved`` from files (repository_id, path, text).
 
-    Facts of other files (constants, fields) come from ``shared_facts``, a first pass.
+    Facts of other files (constants, fields) come from ``shared_facts``, a first pass, by repository.
     """
-    known, fields = constants or {}, dio_fields or set()
+    known, fields = constants or {}, dio_fields or {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ROWS.split(", ")]
@@ -274,7 +274,7 @@ def extract(files: DataFrame, constants: dict[str, str] | None = None, dio_field
             out = []
             for repository, path, text in zip(frame["repository_id"], frame["path"], frame["text"], strict=True):
                 ends = [m.start() for m in re.finditer("\n", text)]
-                for detector, direction, method, url, confidence, code, at in scan_text(path, text, known, fields):
+                for detector, direction, method, url, confidence, code, at in scan_text(path, text, known.get(repository, {}), fields.get(repository, set())):
                     base, endpoint = (None, url) if url is None or detector == "soap" else split_url(url)  # a WSDL stays as it is written
                     out.append((repository, path, "unresolved" if code else "endpoint", detector, direction, method, base, endpoint, confidence, code, bisect_right(ends, at - 1) + 1, at))
             yield pd.DataFrame(out, columns=names)
@@ -283,14 +283,20 @@ def extract(files: DataFrame, constants: dict[str, str] | None = None, dio_field
     return readable.mapInPandas(run, ROWS)
 
 
-def shared_facts(files: DataFrame, most: int = 100_000) -> tuple[dict[str, str], set[str]]:
-    """String constants of Angular environments and Dart fields of type Dio, which other files refer to.
+def shared_facts(files: DataFrame, most: int = 100_000) -> tuple[dict[str, dict[str, str]], dict[str, set[str]]]:
+    """String constants of Angular environments and Dart fields of type Dio, by repository, whose other files refer to them.
 
     Constants with one value only; beyond ``most`` an error asks for fewer repositories in one call.
     """
-    pairs = files.where(F.col("path").rlike(r"environment[^/]*\.ts$|constants?[^/]*\.ts$")).select(F.explode(F.expr(r"arrays_zip(regexp_extract_all(text, '(\\w+)\\s*[:=]\\s*[\'\"`]([^\'\"`$]+)[\'\"`]', 1), regexp_extract_all(text, '(\\w+)\\s*[:=]\\s*[\'\"`]([^\'\"`$]+)[\'\"`]', 2))")).alias("p"))
-    single = pairs.select(F.col("p.0").alias("name"), F.col("p.1").alias("value")).groupBy("name").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n")).where("n = 1").limit(most + 1).collect()
-    fields = files.where(F.col("path").endswith(".dart")).select(F.explode(F.regexp_extract_all("text", F.lit(r"\bDio\??\s+(?:get\s+)?(\w+)"), F.lit(1))).alias("f")).distinct().limit(most + 1).collect()
+    pairs = files.where(F.col("path").rlike(r"environment[^/]*\.ts$|constants?[^/]*\.ts$")).select("repository_id", F.explode(F.expr(r"arrays_zip(regexp_extract_all(text, '(\\w+)\\s*[:=]\\s*[\'\"`]([^\'\"`$]+)[\'\"`]', 1), regexp_extract_all(text, '(\\w+)\\s*[:=]\\s*[\'\"`]([^\'\"`$]+)[\'\"`]', 2))")).alias("p"))
+    single = pairs.select("repository_id", F.col("p.0").alias("name"), F.col("p.1").alias("value")).groupBy("repository_id", "name").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n")).where("n = 1").limit(most + 1).collect()
+    fields = files.where(F.col("path").endswith(".dart")).select("repository_id", F.explode(F.regexp_extract_all("text", F.lit(r"\bDio\??\s+(?:get\s+)?(\w+)"), F.lit(1))).alias("f")).distinct().limit(most + 1).collect()
     if max(len(single), len(fields)) > most:
         raise ValueError("too many shared names for one call")
-    return {r.name: r.value for r in single}, {r.f for r in fields}
+    constants: dict[str, dict[str, str]] = {}
+    for r in single:
+        constants.setdefault(r.repository_id, {})[r.name] = r.value
+    own: dict[str, set[str]] = {}
+    for r in fields:
+        own.setdefault(r.repository_id, set()).add(r.f)
+    return constants, own

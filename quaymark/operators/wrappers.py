@@ -82,7 +82,8 @@ def curl_functions(files: DataFrame) -> DataFrame:
 def wrapped_calls(files: DataFrame, most_calls: int = MOST_CALLS) -> tuple[DataFrame, DataFrame]:
     """(endpoints: repository_id, path, method, url, line), (functions: repository_id, path, first, last, whole).
 
-    ``whole`` tells whether every local call of a function that hands a parameter to cURL came to literals.
+    ``whole`` tells whether every local call of a function that hands a parameter to cURL came to literals:
+    a caller that is called by nobody, calls beyond ``most_calls`` steps and cycles leave it open.
     A name that a file defines several times is not followed.
     """
     rows = cut(curl_functions(files))
@@ -94,14 +95,21 @@ def wrapped_calls(files: DataFrame, most_calls: int = MOST_CALLS) -> tuple[DataF
     front = cut(start.where((open_("url") | open_("method")) & F.col("url").isNotNull() & F.col("method").isNotNull()))
     functions, steps = front.select(*here, "source", F.col("line").alias("first"), "last"), []
     calls = rows.where("kind = 'call'").select(*here, F.col("owner").alias("caller"), F.col("name").alias("owner"), "arguments", F.col("line").alias("at"))
-    for _ in range(most_calls):
+    stuck = None
+    for k in range(most_calls):
         passed = lambda c: F.when(open_(c), F.try_element_at("arguments", F.substring(c, 3, 9).cast("int") + 1)).otherwise(F.col(c))
         met = front.drop("line", "last").join(calls, [*here, "owner"])
+        if k:  # what nobody calls has handed its parameter on to no end
+            alone = front.join(calls, [*here, "owner"], "left_anti").select(*here, "source")
+            stuck = alone if stuck is None else stuck.unionByName(alone)
         step = cut(met.select(*here, "source", F.col("caller").alias("owner"), passed("url").alias("url"), passed("method").alias("method"), F.col("at").alias("line")).distinct())
         steps.append(step)
         front = step.where("url IS NOT NULL AND method IS NOT NULL").where(open_("url") | open_("method")).withColumn("last", F.col("line"))
         if front.isEmpty():
             break
+    # Calls beyond the last step, around a cycle or not, are open too.
+    left = front.select(*here, "source")
+    stuck = (left if stuck is None else stuck.unionByName(left)).distinct().withColumn("open", F.lit(True))
     every = steps[0]
     for step in steps[1:]:
         every = every.unionByName(step)
@@ -110,5 +118,5 @@ def wrapped_calls(files: DataFrame, most_calls: int = MOST_CALLS) -> tuple[DataF
     # Calls that only hand parameters on are judged by their own callers.
     handed = F.coalesce(open_("url") | open_("method"), F.lit(False)) & F.col("url").isNotNull() & F.col("method").isNotNull()
     judged = every.groupBy(*here, "source").agg(F.count_if(done).alias("good"), F.count_if(~done & ~handed).alias("bad"))
-    whole = F.coalesce((F.col("good") > 0) & (F.col("bad") == 0), F.lit(False))
-    return found, functions.join(judged, [*here, "source"], "left").select(*here, "first", "last", whole.alias("whole"))
+    whole = F.coalesce((F.col("good") > 0) & (F.col("bad") == 0), F.lit(False)) & F.col("open").isNull()
+    return found, functions.join(judged, [*here, "source"], "left").join(stuck, [*here, "source"], "left").select(*here, "first", "last", whole.alias("whole"))

@@ -35,12 +35,14 @@ def route_contracts(facts: DataFrame, behaviours: DataFrame) -> DataFrame:
     shape = F.when(F.col("kind") == "request_field", F.get_json_object("value", "$.type")).when(F.col("kind") == "response_field", F.col("value"))
     need = F.when(F.col("kind") == "request_field", F.get_json_object("value", "$.required").cast("boolean"))
     one = facts.where("method IS NOT NULL").withColumn("type", shape).withColumn("need", need)
-    one = one.groupBy(*ROUTE, "kind", "name").agg(F.min("type").alias("type"), F.bool_or("need").alias("need"), F.min("value").alias("value"))
+    # Uploads are fields of the request too.
+    one = one.withColumn("upload", F.col("kind") == "multipart_field").withColumn("kind", F.when(F.col("upload"), "request_field").otherwise(F.col("kind"))).withColumn("type", F.when(F.col("upload"), "string").otherwise(F.col("type")))
+    one = one.groupBy(*ROUTE, "kind", "name").agg(F.bool_or("upload").alias("upload"), F.min("type").alias("type"), F.bool_or("need").alias("need"), F.min("value").alias("value"))
     about = (F.col("kind") == "unresolved") & F.col("name").rlike("_(request|response|security)_")
     routes = one.groupBy(*ROUTE).agg(
         _named("request_field").alias("fields"), _named("request_field", F.col("need")).alias("required"), _named("request_field", ~F.col("need")).alias("optional"), _types("request_field").alias("request_types"),
         _named("response_field").alias("answers"), _types("response_field").alias("response_types"), F.transform(_named("status_code"), lambda x: x.cast("int")).alias("codes"),
-        _named("query_parameter").alias("queries"), F.max(F.when(F.col("kind") == "authentication", F.struct("name", "value"))).alias("auth"), F.count_if(about).alias("open"),
+        _named("query_parameter").alias("queries"), F.max(F.when(F.col("kind") == "authentication", F.struct("name", "value"))).alias("auth"), F.count_if(about).alias("open"), F.coalesce(F.bool_or("upload"), F.lit(False)).alias("uploads"),
     )
     effects = behaviours.where((F.col("kind").isin(*SIDE_EFFECTS)) | ((F.col("kind") == "data_access") & (F.col("value") == "write")))
     effects = effects.select("repository_id", "owner", F.concat_ws(":", "kind", "name").alias("k"), F.coalesce("value", F.lit("call")).alias("v")).distinct().groupBy("repository_id", "owner", "k").agg(F.min("v").alias("v"))
@@ -55,8 +57,9 @@ def route_contracts(facts: DataFrame, behaviours: DataFrame) -> DataFrame:
     required, optional, unknown = requiredness(F.col("fields"), F.col("required"), F.col("optional"))
     queries = F.map_from_entries(F.transform("queries", lambda q: F.struct(F.concat(F.lit("query:"), q).alias("k"), F.from_json(F.lit("{}"), "struct<required:boolean,type:string,format:string>").alias("v"))))
     json = F.lit("application/json")
+    sent = F.when(F.col("uploads"), "multipart/form-data").when(F.size("fields") > 0, json)
     whole = F.to_json(F.struct(
-        F.struct(F.col("fields"), required.alias("required_fields"), optional.alias("optional_fields"), unknown.alias("unknown_requiredness_fields"), F.when(F.size("fields") > 0, json).alias("content_type"), F.col("request_types").alias("types")).alias("request"),
+        F.struct(F.col("fields"), required.alias("required_fields"), optional.alias("optional_fields"), unknown.alias("unknown_requiredness_fields"), sent.alias("content_type"), F.col("request_types").alias("types")).alias("request"),
         F.struct(F.col("answers").alias("fields"), F.when(F.size("codes") > 0, F.col("codes")).alias("status_codes"), F.when(F.size("answers") > 0, json).alias("content_type"), F.col("response_types").alias("types")).alias("response"),
         queries.alias("parameters"), F.struct(F.col("auth.name").alias("authentication"), F.col("auth.value").alias("credential_format")).alias("authentication"),
         F.struct("response_semantics", "side_effects", "internal").alias("behavior"),
@@ -86,9 +89,9 @@ def findings_documents(endpoints: DataFrame, status: DataFrame, audited_at: Colu
     place = F.transform("evidence", lambda e: F.struct(F.substring_index(e, ":", 1).alias("path"), F.substring_index(e, ":", -1).cast("int").alias("line")))
     empty = lambda name: F.lit(None).cast("string").alias(name)
     values = {
-        "evidence": F.from_json(F.to_json(place), EVIDENCE), "contract_status": F.col("contract.contract_status"), "semantic_status": F.col("contract.semantic_status"), "base_url": F.lit(None).cast("string"),
+        "evidence": F.from_json(F.to_json(place), EVIDENCE), "contract_status": F.col("contract.contract_status"), "semantic_status": F.col("contract.semantic_status"),
     }
-    have = {"endpoint_id", "direction", "method", "path", "confidence", "notes", "contract"}
+    have = {"base_url", "endpoint_id", "direction", "method", "path", "confidence", "notes", "contract"}
     names = [x.name for x in endpoints.sparkSession.createDataFrame([], f"e {ENDPOINT}").schema["e"].dataType.fields]
     one = F.struct(*[values[n].alias(n) if n in values else F.col(n) if n in have else empty(n) for n in names])
     sort_key = F.concat_ws("\u0001", "direction", "method", "path", "endpoint_id")

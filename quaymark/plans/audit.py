@@ -37,8 +37,12 @@ def discover(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = F.concat(F.col("path"), F.lit("\u0001"), F.lpad(F.col("offset").cast("string"), 10, "0"))
     found = rows.where("kind = 'endpoint'").withColumn("evidence", place).withColumn("seen", order).withColumn("endpoint_id", endpoint_id(F.lit(None).cast("string"), F.col("direction"), F.col("method"), F.col("endpoint")))
     keys = ["repository_id", "endpoint_id", "detector", "direction", "method", "endpoint"]
-    merged = merge_evidence(found, keys, "seen", "evidence", "confidence").withColumnRenamed("endpoint", "path")
-    return merged, rows.where("kind = 'unresolved'").select("repository_id", "path", "detector", "code", "line").distinct()
+    merged = merge_evidence(found, keys, "seen", "evidence", "confidence")
+    # An address is told where all calls of an endpoint have the same one.
+    bases = found.groupBy(*keys).agg(F.min("base_url").alias("base_url"), F.count_distinct("base_url").alias("n"))
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    told = merged.alias("m").join(bases.alias("b"), same, "left").select("m.*", F.when(F.col("b.n") == 1, F.col("b.base_url")).alias("base_url"))
+    return told.withColumnRenamed("endpoint", "path"), rows.where("kind = 'unresolved'").select("repository_id", "path", "detector", "code", "line").distinct()
 
 
 def unsupported_technologies(found: DataFrame) -> DataFrame:
