@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quaymark.functions.frames import cut
 from quaymark.functions.text import literal, mask_code, matching, split_top, statements
 from quaymark.operators.reach import reachable
+from quaymark.operators.spans import innermost_scope
 
 FACTS = "repository_id string, path string, owner string, method string, endpoint string, kind string, name string, value string, line int"
 #: Beginnings of the codes of open facts in this file, as users of its reports know them.
@@ -237,7 +238,7 @@ def facts(files: DataFrame) -> DataFrame:
                 for owner, method, endpoint, lo, hi, tail in bodies(code):
                     body = code[lo:hi]
                     asked = request_facts(body) if method else parameter_facts(tail, body)
-                    found = [("owner", owner, None, 0), *asked, *response_facts(body), *security_facts(body, tail if method else ""), *semantic_facts(body)]
+                    found = [("owner", owner, str(bisect_right(ends, hi - 1) + 1), 0), *asked, *response_facts(body), *security_facts(body, tail if method else ""), *semantic_facts(body)]
                     out += [(repository, path, owner, method, endpoint, kind, name, value, bisect_right(ends, lo + at - 1) + 1) for kind, name, value, at in found]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FACTS.split(", ")])
 
@@ -245,6 +246,20 @@ def facts(files: DataFrame) -> DataFrame:
     return guarded(handed_on(cut(php.select("repository_id", "path", "text").mapInPandas(run, FACTS))))
 
 
+def laid_onto_routes(found: DataFrame, calls: DataFrame) -> DataFrame:
+    """Facts with the integration calls (repository_id, path, line, operation, target) that stand inside of a route's body.
+
+    A call belongs to the innermost scope around its line; what stands in a named function is that function's.
+    """
+    scope = F.to_json(F.struct("owner", "method", "endpoint"))
+    spans = found.where("kind = 'owner'").select("repository_id", "path", F.col("line").cast("bigint").alias("lo"), (F.col("value").cast("bigint") + 1).alias("hi"), scope.alias("scope")).dropDuplicates(["repository_id", "path", "lo", "hi"])
+    points = cut(calls.withColumn("id", F.monotonically_increasing_id()))
+    inside = innermost_scope(points.select("repository_id", "path", "id", F.col("line").cast("bigint").alias("line")), spans, ["repository_id", "path"], "id", "line", "lo", "hi", "scope").where("scope IS NOT NULL")
+    part = lambda name: F.get_json_object("scope", f"$.{name}").alias(name)
+    laid = points.join(inside, "id").select("repository_id", "path", part("owner"), part("method"), part("endpoint"), F.lit("outbound_soap").alias("kind"), F.col("operation").alias("name"), F.col("target").alias("value"), F.col("line").cast("int").alias("line"))
+    return found.unionByName(laid.select(*found.columns)).distinct()
+
+
 def guarded(found: DataFrame) -> DataFrame:
     """Facts with the authentication that a route's middleware asks for, by the class of that name in its repository.
 

@@ -1,11 +1,10 @@
-"""Points within spans: each point gets the smallest span of its key that holds it."""
+"""Points within spans: the smallest span that holds a point, and the innermost one of nested spans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 #: Spans of up to 16 ** k numbers have places of that size, up to this k.
 MOST_DIGITS = 15
 
@@ -26,3 +25,43 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: list[str], poi
     found = asked.join(held, [*keys, "_digits", "_place"]).where(F.col("_at").between(F.col(start), F.col(end)))
     best = found.groupBy(point_id).agg(F.min(F.struct((F.col(end) - F.col(start)).alias("w"), F.col(name).alias("v"))).alias("best"))
     return points.select(point_id).join(best, point_id, "left").select(point_id, F.col("best.v").alias(name))
+
+
+#: Numbers in a block of the sweep.
+BLOCK = 1 << 16
+
+
+def innermost_scope(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, at: str, start: str, end: str, name: str, block: int = BLOCK) -> DataFrame:
+    """point_id and the name of the innermost span ``[start, end)`` around each point, or null, by one sweep over the sorted ends of all spans.
+
+    The spans of a key nest: two of them are apart, touch, or one holds the other; of spans with equal bounds the
+    last by name is the inner one. A point at which one span ends and another starts is in the second. Spans
+    that do not end after they start hold nothing. Ids of points are unique.
+
+    Starts, ends and points are sorted together in blocks of ``block`` numbers. How many spans are open is a running
+    sum; the innermost span at a depth is the last one that started there, in the block or before it. What a block
+    hands to later ones is a row for each depth, so a key's rows are never sorted in one task, and the work is linear but for sorting.
+    """
+    place = lambda x: F.floor(F.col(x) / F.lit(block)).cast("bigint").alias("_block")
+    none = lambda kind, alias: F.lit(None).cast(kind).alias(alias)
+    named = spans.schema[name].dataType
+    held = spans.where(F.col(start) < F.col(end))
+    # At one place spans end first, then start, the longest first, then come points.
+    rows = held.select(*keys, place(end), F.col(end).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), none("bigint", "_size"), F.lit(-1).alias("_step"), none(named, "_name"), none(points.schema[point_id].dataType, "_id"))
+    rows = rows.unionByName(held.select(*keys, place(start), F.col(start).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), (F.col(start) - F.col(end)).cast("bigint").alias("_size"), F.lit(1).alias("_step"), F.col(name).alias("_name"), none(points.schema[point_id].dataType, "_id")))
+    rows = rows.unionByName(points.select(*keys, place(at), F.col(at).cast("bigint").alias("_at"), F.lit(2).alias("_kind"), none("bigint", "_size"), F.lit(0).alias("_step"), none(named, "_name"), F.col(point_id).alias("_id")))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = rows.groupBy(*keys, "_block").agg(F.sum("_step").alias("_net")).select(*keys, "_block", F.coalesce(F.sum("_net").over(before), F.lit(0)).alias("_open"))
+    order = ["_at", "_kind", "_size", "_name"]
+    so_far = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.join(opened, [*keys, "_block"]).withColumn("_depth", F.col("_open") + F.sum("_step").over(so_far)).where("_kind > 0")
+    inside = Window.partitionBy(*keys, "_block", "_depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = swept.withColumn("_in", F.last("_name", ignorenulls=True).over(inside))
+    # What is still open from an earlier block: the last start at that depth, a row for each block and depth.
+    handed = swept.where("_kind = 1").groupBy(*keys, "_block", "_depth").agg(F.max_by("_name", F.struct("_at", "_size", "_name")).alias("_last"))
+    asked = swept.where("_kind = 2 AND _in IS NULL AND _depth > 0").select(*keys, "_block", "_depth").distinct()
+    both = handed.unionByName(asked.withColumn("_last", none(named, "_last")))
+    earlier = Window.partitionBy(*keys, "_depth").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    carried = both.select(*keys, "_block", "_depth", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")).where("_carried IS NOT NULL").distinct()
+    found = swept.where("_kind = 2").join(carried, [*keys, "_block", "_depth"], "left")
+    return found.select(F.col("_id").alias(point_id), F.when(F.col("_depth") > 0, F.coalesce("_in", "_carried")).alias(name))

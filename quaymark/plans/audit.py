@@ -69,7 +69,10 @@ def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str
     # Each is used by several results: files are read and scanned once for each kind of row.
     found = cut(technologies(files))
     endpoints, calls = discover(files)
-    endpoints, calls, facts = cut(endpoints), cut(calls), cut(enrichment.facts(files))
+    endpoints, calls, facts = cut(endpoints), cut(calls), enrichment.facts(files)
+    place = endpoints.where("detector = 'soap'").select("repository_id", F.col("method").alias("operation"), F.col("path").alias("target"), F.explode("evidence").alias("e"))
+    integrations = place.select("repository_id", F.substring_index("e", ":", 1).alias("path"), F.substring_index("e", ":", -1).cast("int").alias("line"), "operation", "target")
+    facts = cut(enrichment.laid_onto_routes(facts, integrations))
     behaviours = cut(enrichment.behaviour(facts))
     endpoints = cut(with_contracts(endpoints, route_contracts(facts, behaviours)))
     not_read, no_detector, silent = unread(files), unsupported_technologies(found), zero_hits(found, endpoints, calls)
