@@ -545,18 +545,20 @@ def interval_join(spark, d):
 
 
 @query("""WITH s AS (SELECT o_orderkey AS o, 100 * o_orderkey AS lo, 100 * o_orderkey + 90 AS hi, 'order ' || o_orderkey AS scope FROM orders
- UNION ALL SELECT l_orderkey, 100 * l_orderkey + 10 * l_linenumber, 100 * l_orderkey + 10 * l_linenumber + 6 + l_partkey % 5, 'line ' || l_orderkey || '-' || l_linenumber FROM lineitem),
- p AS (SELECT l_orderkey AS o, 10 * l_orderkey + l_linenumber AS point, 100 * l_orderkey + l_suppkey % 100 AS pos FROM lineitem),
- h AS (SELECT point, scope, row_number() OVER (PARTITION BY point ORDER BY hi - lo) AS r FROM p JOIN s ON p.o = s.o AND pos >= lo AND pos < hi)
+ UNION ALL SELECT l_orderkey, 100 * l_orderkey + 10 * l_linenumber, 100 * l_orderkey + 10 * l_linenumber + 6 + max(l_partkey % 5), 'line ' || l_orderkey || '-' || l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber),
+ p AS (SELECT DISTINCT l_orderkey AS o, 100 * l_orderkey + l_suppkey % 100 AS point FROM lineitem),
+ h AS (SELECT point, scope, row_number() OVER (PARTITION BY point ORDER BY hi - lo) AS r FROM p JOIN s ON p.o = s.o AND point >= lo AND point < hi)
  SELECT p.point, h.scope FROM p LEFT JOIN h ON p.point = h.point AND r = 1""")
 def scope_sweep(spark, d):
-    """Orders and their lines as nested, often touching scopes of five files, and a point for each line: the innermost scope around it."""
-    orders, lines = _read(spark, d, "orders"), _read(spark, d, "lineitem")
+    """Orders and their lines as nested, often touching scopes of five files, and points around them: the innermost scope of each."""
+    orders = _read(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    lines = _read(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     outer = orders.select("o_orderpriority", (100 * F.col("o_orderkey")).alias("lo"), (100 * F.col("o_orderkey") + 90).alias("hi"), F.concat(F.lit("order "), "o_orderkey").alias("scope"))
-    own = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
     start = 100 * F.col("l_orderkey") + 10 * F.col("l_linenumber")
-    inner = own.select("o_orderpriority", start.alias("lo"), (start + 6 + F.col("l_partkey") % 5).alias("hi"), F.concat(F.lit("line "), "l_orderkey", F.lit("-"), "l_linenumber").alias("scope"))
-    points = own.select("o_orderpriority", (10 * F.col("l_orderkey") + F.col("l_linenumber")).alias("point"), (100 * F.col("l_orderkey") + F.col("l_suppkey") % 100).alias("at"))
+    inner = lines.groupBy("o_orderpriority", "l_orderkey", "l_linenumber").agg(F.max(6 + F.col("l_partkey") % 5).alias("size")).select(
+        "o_orderpriority", start.alias("lo"), (start + F.col("size")).alias("hi"), F.concat(F.lit("line "), "l_orderkey", F.lit("-"), "l_linenumber").alias("scope")
+    )
+    points = lines.select("o_orderpriority", (100 * F.col("l_orderkey") + F.col("l_suppkey") % 100).alias("point")).distinct().withColumn("at", F.col("point"))
     return spans.innermost_scope(points, outer.unionByName(inner), ["o_orderpriority"], "point", "at", "lo", "hi", "scope", 1 << 12)
 
 
