@@ -40,12 +40,17 @@ def require_distinct_paths(groups: DataFrame) -> None:
 def openapi_lines(endpoints: DataFrame) -> DataFrame:
     """An OpenAPI 3.1 document's ``paths`` as YAML lines by path: methods, ids and path parameters."""
     rows = endpoints.where(F.col("direction") == "exposed").withColumn("canonical", canonical_path(F.col("path"))).withColumn("method", F.lower("method"))
+    # A path stands once, above its first method, with its source paths if they differ; a method stands once for a path.
+    groups = rows.groupBy(F.col("canonical").alias("c")).agg(F.min("method").alias("first"), F.array_sort(F.collect_set("path")).alias("sources"))
+    rows = rows.groupBy("canonical", "method").agg(F.min("endpoint_id").alias("endpoint_id"), F.min("path").alias("path")).join(groups, F.col("canonical") == F.col("c"))
+    top = F.col("method") == F.col("first")
+    sources = F.when(top & (F.size("sources") > 1), F.concat(F.lit("    x-source-paths:\n"), F.array_join(F.transform("sources", lambda p: F.concat(F.lit("    - "), F.to_json(F.array(p)).substr(F.lit(2), F.length(F.to_json(F.array(p))) - 2))), "\n")))
     operation = F.concat(F.col("method"), F.left(F.sha2("endpoint_id", 256), F.lit(12)))
     n = F.size(path_parameter_names(F.col("path")))
     parameters = F.when(n > 0, F.concat(F.lit("      parameters:\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(F.lit("      - {name: param"), k.cast("string"), F.lit(", in: path, required: true, schema: {type: string}}"))), "\n")))
     return lines(
         rows, [F.col("canonical"), F.col("method")],
-        F.concat(F.lit("  "), F.col("canonical"), F.lit(":")), F.concat(F.lit("    "), F.col("method"), F.lit(":")), F.concat(F.lit("      operationId: "), operation), parameters,
+        F.when(top, F.concat(F.lit("  "), F.col("canonical"), F.lit(":"))), sources, F.concat(F.lit("    "), F.col("method"), F.lit(":")), F.concat(F.lit("      operationId: "), operation), parameters,
         F.lit("      responses: {default: {description: not demonstrated}}"),
     )
 

@@ -735,3 +735,11 @@ def set_digest(spark, d):
 
     rows = _read(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
     return digests.set_digest(rows, ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS number FROM events")
+def line_numbers(spark, d):
+    """Rows numbered in a total order over all partitions."""
+    from quaymark.sources import ordered
+
+    return ordered.numbered(_read(spark, d, "events").select("value", "event_id"), ["value", "event_id"]).select("event_id", "number")

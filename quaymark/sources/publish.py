@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from quaymark.functions import digests, nested
 from quaymark.functions.text import redact, secret_like
+from quaymark.sources.ordered import write_lines
 
 
 class SecretFound(ValueError):
@@ -81,11 +82,20 @@ def write_part(folder: str, name: str, df: DataFrame, format: str) -> tuple[str,
     return name, format, df.schema.json(), int(seen.get["n"]), digests.digest_of_sums(seen.get)
 
 
-def publish(spark: SparkSession, target: str, parts: dict[str, DataFrame], check: Callable[[str], None] | None = None, format: str = "json") -> None:
+def write_page(spark: SparkSession, folder: str, name: str, lines: DataFrame, order: list[str]) -> tuple[str, str, str, int, str]:
+    """Write lines as one file in order and give its row of the manifest."""
+    write_lines(spark, f"{folder}/{name}", redacted(lines), order)
+    rows = spark.read.text(f"{folder}/{name}")
+    told = digests.set_digest(rows, []).first()
+    return name, "text", rows.schema.json(), told["rows"], told["digest"]
+
+
+def publish(spark: SparkSession, target: str, parts: dict[str, DataFrame], check: Callable[[str], None] | None = None, format: str = "json", pages: dict[str, DataFrame] | None = None) -> None:
     """Write all parts to a staging folder, check them, and put the folder in the target's place.
 
     A part more, the manifest, states the number and an order-independent digest of each part's rows, taken
-    while they are written. What is read back must have them and no secrets, after ``check`` too.
+    while they are written. What is read back must have them and no secrets, after ``check`` too. ``pages``
+    (part, section, position, line) become one text file each, in order.
     The former target comes back if the last step fails. Renames go through Hadoop's file system, so
     the target may be in any store that Spark writes to.
     """
@@ -96,10 +106,11 @@ def publish(spark: SparkSession, target: str, parts: dict[str, DataFrame], check
     fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
         stated = [write_part(staging, name, redacted(df), format) for name, df in parts.items()]
+        stated += [write_page(spark, staging, name, lines, ["part", "section", "position"]) for name, lines in (pages or {}).items()]
         spark.createDataFrame(stated, "part string, format string, schema string, rows bigint, digest string").coalesce(1).write.json(f"{staging}/{MANIFEST}")
         if check:
             check(staging)
-        if require_manifest(spark, staging) != list(parts):
+        if sorted(require_manifest(spark, staging)) != sorted([*parts, *(pages or {})]):
             raise NotWhole("the manifest names other parts")
         for name, form, schema, *_ in stated:
             require_no_secrets(spark.read.format(form).schema(StructType.fromJson(json.loads(schema))).load(f"{staging}/{name}"))
