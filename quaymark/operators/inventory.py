@@ -65,15 +65,49 @@ def merge_detections(found: DataFrame, key: str, confidence: str = "confidence",
     return merged.join(first_items(once, kinds, key, first), kinds).select(*kinds, "n", F.col("first").alias("evidence"), F.when(F.col("_sure"), "confirmed").otherwise("probable").alias(confidence))
 
 
+#: Characters of a gram.
+GRAM = 3
+
+
+def grams(text: Column, size: Column | int) -> Column:
+    """The distinct substrings of a size."""
+    size = F.lit(size) if isinstance(size, int) else size
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda k: text.substr(k, size)))
+
+
+def contained(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """The distinct (key, text, name) with the name somewhere in the text; nulls hold and are held by nothing.
+
+    An inverted index: each name stands under one of its grams, the one that the fewest texts of its key have, and names
+    shorter than ``GRAM`` under themselves. Texts ask for each of their grams, and only what they
+    find there is compared. The empty name is in every text of its key.
+    """
+    asked, wanted = texts.select(key, text).where(F.col(text).isNotNull()).distinct(), names.select(key, name).where(F.col(name).isNotNull()).distinct()
+    sizes = [r.s for r in wanted.where(F.length(name) > 0).select(F.least(F.length(name), F.lit(GRAM)).alias("s")).distinct().collect()]
+    every = asked.join(wanted.where(F.length(name) == 0), key).select(key, text, name)
+    if not sizes:
+        return every
+    held = asked.select(key, text, F.explode(F.concat(*[grams(F.col(text), s) for s in sorted(sizes)])).alias("_g"))
+    often = held.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = wanted.where(F.length(name) > 0).select(key, name, F.explode(grams(F.col(name), F.least(F.length(name), F.lit(GRAM)))).alias("_g"))
+    # A gram that no text has rules its name out: such a name must not be filed under another gram.
+    rare = own.join(often, [key, "_g"], "left").groupBy(key, name).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("r"))
+    filed = rare.where("r.n > 0").select(key, name, F.col("r._g").alias("_g"))
+    return held.join(filed, [key, "_g"]).where(F.col(text).contains(F.col(name))).select(key, text, name).unionByName(every)
+
+
 def match_dependencies(declared: DataFrame, known: DataFrame) -> DataFrame:
     """Declared (ecosystem, dependency) against known (ecosystem, name, mode): exact, contains or prefix.
 
-    A prefix is the whole name or ends before a dot. Only names to be contained are compared one by one.
+    A prefix is the whole name or ends before a dot. Names to be contained are looked up by their rarest gram (``contained``).
     """
     k = known.select(F.col("ecosystem").alias("e"), "name", "mode")
     same, columns = F.col("ecosystem") == F.col("e"), [*declared.columns, "name", "mode"]
     exact = declared.join(k.where("mode = 'exact'"), same & (F.col("dependency") == F.col("name")))
-    contains = declared.join(k.where("mode = 'contains'"), same & F.col("dependency").contains(F.col("name")))
+    held = contained(declared.select("ecosystem", "dependency"), k.where("mode = 'contains'").select(F.col("e").alias("ecosystem"), "name"), "ecosystem", "dependency", "name")
+    held = held.select(F.col("ecosystem").alias("e"), F.col("dependency").alias("_d"), "name", F.lit("contains").alias("mode"))
+    contains = declared.join(held, same & (F.col("dependency") == F.col("_d")))
     parts = F.split("dependency", r"\.", -1)
     starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     prefix = declared.where("dependency IS NOT NULL").withColumn("_start", F.explode(starts)).join(k.where("mode IS NULL OR mode NOT IN ('exact', 'contains')"), same & (F.col("_start") == F.col("name")))

@@ -743,3 +743,47 @@ def line_numbers(spark, d):
     from quaymark.sources import ordered
 
     return ordered.numbered(_read(spark, d, "events").select("value", "event_id"), ["value", "event_id"]).select("event_id", "number")
+
+
+# Rules and names as tables ------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT p_partkey, lower(replace(p_type, ' ', '.')) || '.' || p_partkey AS dependency, 'e' || p_size % 3 AS ecosystem FROM part),
+ k AS (SELECT DISTINCT 'e' || p_partkey % 3 AS ecosystem, CASE p_partkey % 5 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN lower(substr(p_type, 3, 6)) WHEN 2 THEN (p_partkey % 90)::VARCHAR WHEN 3 THEN substr(lower(p_type), 2, 2) ELSE 'none' || p_partkey END AS name FROM part WHERE p_partkey % 20 < 5)
+ SELECT p_partkey, name FROM d JOIN k ON d.ecosystem = k.ecosystem AND contains(dependency, name)""")
+def dependency_contains(spark, d):
+    """Names within dependencies, by an index of grams: long and short names, common and unknown ones."""
+    part = _read(spark, d, "part")
+    k = F.col("p_partkey")
+    declared = part.select("p_partkey", F.concat(F.lower(F.translate("p_type", " ", ".")), F.lit("."), k.cast("string")).alias("dependency"), F.concat(F.lit("e"), (F.col("p_size") % 3).cast("string")).alias("ecosystem"))
+    name = F.when(k % 5 == 0, k.cast("string")).when(k % 5 == 1, F.lower(F.substring("p_type", 3, 6))).when(k % 5 == 2, (k % 90).cast("string")).when(k % 5 == 3, F.substring(F.lower("p_type"), 2, 2)).otherwise(F.concat(F.lit("none"), k.cast("string")))
+    known = part.where("p_partkey % 20 < 5").select(F.concat(F.lit("e"), (k % 3).cast("string")).alias("ecosystem"), name.alias("name")).distinct().withColumn("mode", F.lit("contains"))
+    return inventory.match_dependencies(declared, known).select("p_partkey", "name")
+
+
+_RULE = r"regexp_extract(url, '^https?://[^/?#]*/?([^?#]*)', 1)"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT regexp_extract({_RULE}, '^[^/]*/[^/]*', 0) AS rule FROM pages WHERE page_id % 40 = 7 AND {_RULE} LIKE '%/%')
+ SELECT page_id FROM pages WHERE NOT EXISTS (SELECT 1 FROM r WHERE {_RULE} = rule OR starts_with({_RULE}, rule || '/'))""")
+def rule_exclude(spark, d):
+    """Pages below no rule, where the rules are a table that grows with the pages."""
+    from quaymark.operators import path_rules
+
+    path = F.regexp_extract("url", r"^https?://[^/?#]*/?([^?#]*)", 1)
+    pages = _read(spark, d, "pages").select("page_id", path.alias("path"))
+    rules = pages.where("page_id % 40 = 7 AND path LIKE '%/%'").select(F.concat(F.lit("./"), F.regexp_extract("path", "^[^/]*/[^/]*", 0), F.lit("/")).alias("rule"))
+    return path_rules.not_excluded(pages, "path", rules, "rule").select("page_id")
+
+
+@query(f"""WITH r AS (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN 'exclude' ELSE 'include' END AS kind, CASE page_id % 4 WHEN 0 THEN left({_PATH}, 5) || '*' || right({_PATH}, 2) WHEN 1 THEN 'GET ' || left({_PATH}, 4) || '?*[0-4]*' ELSE left({_PATH}, 6) || '[!a-m]*' END AS pat FROM pages WHERE page_id % 25 = 3)
+ SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM r WHERE kind = 'include' AND (({_PATH} GLOB pat) OR (('GET ' || {_PATH}) GLOB pat) OR (page_id::VARCHAR GLOB pat))) AND NOT EXISTS (SELECT 1 FROM r WHERE kind = 'exclude' AND (({_PATH} GLOB pat) OR (('GET ' || {_PATH}) GLOB pat) OR (page_id::VARCHAR GLOB pat))) THEN 'required' ELSE 'excluded' END AS scope FROM pages""")
+def rule_scope(spark, d):
+    """Scopes of pages by globs of a table that grows with the pages."""
+    from quaymark.operators import path_rules
+
+    pages = _read(spark, d, "pages").select("page_id", F.lit("GET").alias("method"), F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1).alias("path"))
+    k = F.col("page_id")
+    glob = F.when(k % 4 == 0, F.concat(F.left("path", F.lit(5)), F.lit("*"), F.right("path", F.lit(2)))).when(k % 4 == 1, F.concat(F.lit("GET "), F.left("path", F.lit(4)), F.lit("?*[0-4]*"))).otherwise(F.concat(F.left("path", F.lit(6)), F.lit("[!a-m]*")))
+    rules = pages.where("page_id % 25 = 3").select(F.when(k % 3 == 0, "exclude").otherwise("include").alias("kind"), glob.alias("glob")).distinct()
+    return path_rules.scopes(pages, "page_id", rules)
