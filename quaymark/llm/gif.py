@@ -360,11 +360,42 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
     return np.bincount(bins[flat[:, 3] > 0], minlength=64)
 
 
+def _area(image: Parsed) -> int:
+    return sum(f.width * f.height for f in image.frames)
+
+
+def _runs(areas: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``MOST_PIXELS`` in all, one item at least."""
+    lo, held = 0, 0
+    for k, area in enumerate(areas):
+        if k > lo and held + area > MOST_PIXELS:
+            yield lo, k
+            lo, held = k, 0
+        held += area
+    if lo < len(areas):
+        yield lo, len(areas)
+
+
 def frames_of(files: list[bytes]) -> Iterator[tuple[Parsed, list[np.ndarray], Iterator[tuple[int, int, np.ndarray]]]]:
-    """For each file: what was parsed (with the whole frames only), their indices, and start, delay and canvas of each frame."""
+    """For each file: what was parsed (with the whole frames only), their indices, and start, delay and canvas of each frame.
+
+    Files are decoded together up to ``MOST_PIXELS``, and the frames of a file that states more in stretches of that: a
+    small file may state many large frames.
+    """
     images = [parse(data) for data in files]
+    for lo, hi in _runs([_area(i) for i in images]):
+        yield from _frames_of(images[lo:hi])
+
+
+def _frames_of(images: list[Parsed]) -> Iterator[tuple[Parsed, list[np.ndarray], Iterator[tuple[int, int, np.ndarray]]]]:
     every = [f for i in images for f in i.frames]
-    indices, given = decompress([f.stream for f in every], [f.size for f in every], [f.width * f.height for f in every])
+    indices, given = [], []
+    for lo, hi in _runs([f.width * f.height for f in every]):
+        part = every[lo:hi]
+        found, wrote = decompress([f.stream for f in part], [f.size for f in part], [f.width * f.height for f in part])
+        indices += found
+        given += wrote.tolist()
+    given = np.array(given, np.int64)
     at = 0
     for image in images:
         n = len(image.frames)
@@ -467,10 +498,15 @@ def read_back(stored: DataFrame, timed: bool = False) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, files in _groups(batch.column(2)):
-                rows = [row(*found) for found in frames_of(files)]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                same = batch.slice(lo, len(files))
-                yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), *columns, same.column(2)], names=["doc_id", "n_bytes", "payload", "n_frames", "duration_ms", "histogram", "frames", "error", "media"])
+                rows, size = [], 0
+                for k, found in enumerate(frames_of(files)):
+                    rows.append(row(*found))
+                    size += len(rows[-1][0] or b"")
+                    if size >= BATCH_BYTES or k == len(files) - 1:
+                        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                        same = batch.slice(lo + k + 1 - len(rows), len(rows))
+                        yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), *columns, same.column(2)], names=["doc_id", "n_bytes", "payload", "n_frames", "duration_ms", "histogram", "frames", "error", "media"])
+                        rows, size = [], 0
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(scan, READ)
 

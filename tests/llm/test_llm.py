@@ -215,6 +215,16 @@ def test_resolution(spark):
     assert revisits.resolve_revisits(spark.createDataFrame(data, schema).limit(0)).collect() == []
 
 
+def test_responses_that_many_revisits_name_are_dealt_over_copies(spark, monkeypatch):
+    monkeypatch.setattr(revisits, "HOT", 7)
+    schema = "record_id bigint, url string, kind string, captured_at bigint, status int, headers map<string,string>, digest string, payload string"
+    tag = {"etag": '"1"'}
+    data = [(1, "http://a/", "response", 1, 200, tag, "d", "one"), (2, "http://b/", "response", 1, 200, tag, "d", "two"), (None, "http://a/", "response", 3, 200, {"etag": '"2"'}, "d", "no name")]
+    data += [(100 + k, "http://a/" if k % 5 else "http://b/", "revisit", 10 + k % 9, 304, tag, None, None) for k in range(60)] + [(7, "http://c/", "revisit", 9, 304, tag, None, None)]
+    found = revisits.resolve_revisits(spark.createDataFrame(data, schema)).collect()
+    assert Counter((r.record_id, r.outcome, r.response_id, r.payload) for r in found) == Counter([(100 + k, "resolved", *((1, "one") if k % 5 else (2, "two"))) for k in range(60)] + [(7, "unresolved", None, None)])
+
+
 def test_as_of_against_brute_force(spark):
     rng = random.Random(1)
     events = [(k, rng.choice("aaaab"), rng.randrange(500), rng.random() < 0.4) for k in range(3000)]
@@ -622,3 +632,19 @@ def test_held_out_rows(spark, ids, modulus):
 
     found = spark.createDataFrame([(k,) for k in ids], "doc_id bigint").select(id_text_bucket("doc_id", modulus).alias("b")).collect()
     assert [r.b for r in found] == [zlib.crc32(("" if k is None else str(k)).encode()) % modulus for k in ids]
+
+
+def test_small_gif_files_that_state_many_large_frames_are_read_in_stretches(spark, monkeypatch):
+    texts = [bytes([65 + k % 26]) * n for k, n in enumerate([0, 1, 576, 5000, 20_000, 3])]
+    whole = [(i.error, [x.tolist() for x in own], [(a, b, c.tolist()) for a, b, c in shown]) for i, own, shown in gif.frames_of([gif.encode(gif.payload_of(t)) for t in texts])]
+    seen = []
+    real = gif.decompress
+    monkeypatch.setattr(gif, "MOST_PIXELS", 1200)
+    monkeypatch.setattr(gif, "decompress", lambda streams, sizes, pixels: seen.append(pixels) or real(streams, sizes, pixels))
+    parts = [(i.error, [x.tolist() for x in own], [(a, b, c.tolist()) for a, b, c in shown]) for i, own, shown in gif.frames_of([gif.encode(gif.payload_of(t)) for t in texts])]
+    assert parts == whole and len(seen) > 5 and all(sum(p) <= 1200 or len(p) == 1 for p in seen)
+    monkeypatch.undo()
+    docs = table(spark, [(k, t.decode(), "en") for k, t in enumerate(texts)])
+    before = sorted(gif.media_digest(docs).collect())
+    monkeypatch.setattr(gif, "BATCH_BYTES", 1)
+    assert sorted(gif.media_digest(docs).collect()) == before
