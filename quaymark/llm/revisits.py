@@ -9,7 +9,8 @@ The as-of join works on narrow rows in two steps, so that a URL with very many c
 task's work: captures are dealt out by ranges of URL and time, as many as the session's shuffles have
 partitions, so that a hot URL or a burst of visits falls into several; within a URL and range a window
 carries the latest response forward; the last response of each URL and range, one row each, is carried
-to later ranges. Payloads join only by the found response's number, where Spark splits skewed keys.
+to later ranges. Payloads join by the found response's number; a response that more than ``HOT`` revisits name is
+copied, and its revisits are dealt over the copies.
 
 Captures: ``record_id`` long, ``url``, ``kind`` (``response`` or ``revisit``), ``captured_at`` long,
 ``status`` int, ``headers`` map of strings with lower-case names, ``digest``, ``payload`` strings.
@@ -18,7 +19,8 @@ Defined cases: no URL, no time or no earlier full response (status 200) gives ``
 validator in common gives ``unverified``, differing ones ``mismatch``, neither with a payload; of
 responses at one time the larger record_id is the later; a response at the revisit's own time is not
 earlier; equal rows each get a result, and so do revisits that share a record_id, each by its own URL and
-time; of full responses that share one, the content of least hash counts; URLs, headers and payloads of any
+time; of full responses that share one, the content of least hash counts; a response without a record_id cannot be
+named and is passed over, as if it were not there; URLs, headers and payloads of any
 length are taken whole; empty tables give no rows; other columns are ignored.
 """
 
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 from quaymark.llm.common import partitions_for, reliable_checkpoint
 
+#: Revisits of one copy of a response.
+HOT = 10_000
 #: Header fields that a 304 response may update (RFC 9110 and 9111).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only track visits.
@@ -50,7 +54,7 @@ def canonical_url(url: Column) -> Column:
 def latest_earlier(events: DataFrame) -> DataFrame:
     """(record_id, key, captured_at, found) of each revisit: the latest response strictly before it under its key.
 
-    ``events``: record_id, key, captured_at, is_response; keys and times are not null.
+    ``events``: record_id, key, captured_at, is_response; keys, times and numbers of responses are not null.
     """
     order = ["captured_at", "is_response", "record_id"]
     ranges = partitions_for(events.sparkSession)
@@ -75,9 +79,9 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     own = captures.select(
         F.col("record_id").cast("bigint").alias("record_id"), canonical_url(F.col("url")).alias("key"), "kind", F.col("captured_at").cast("bigint").alias("captured_at"), "status", "headers", "digest", "payload"
     )
-    whole = (F.col("kind") == "response") & (F.col("status") == 200)
+    whole = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
     events = own.where(F.col("key").isNotNull() & F.col("captured_at").isNotNull() & (whole | (F.col("kind") == "revisit")))
-    found = latest_earlier(events.select("record_id", "key", "captured_at", whole.alias("is_response"))).distinct()
+    found = reliable_checkpoint(latest_earlier(events.select("record_id", "key", "captured_at", whole.alias("is_response"))).distinct())
     revisits = own.where(F.col("kind") == "revisit").select("record_id", F.col("key").alias("canonical_url"), "captured_at", F.col("headers").alias("sent"), F.col("digest").alias("sent_digest"))
     by = found.select(F.col("record_id").alias("r"), F.col("key").alias("k"), F.col("captured_at").alias("at"), "found")
     same = F.col("record_id").eqNullSafe(F.col("r")) & (F.col("canonical_url") == F.col("k")) & (F.col("captured_at") == F.col("at"))
@@ -85,7 +89,13 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     responses = own.where(whole).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("digest").alias("stored_digest"), "payload")
     content = F.struct(F.xxhash64(F.to_json("stored"), "stored_digest", "payload").alias("h"), F.struct("stored", "stored_digest", "payload").alias("r"))
     responses = responses.groupBy("response_id").agg(F.min_by(content["r"], content["h"]).alias("r")).select("response_id", "r.*")
-    both = named.join(responses, F.col("found") == F.col("response_id"), "left")
+    # There is one hot response for HOT revisits at most, two numbers each.
+    hot = F.broadcast(found.where("found IS NOT NULL").groupBy(F.col("found").alias("c")).agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT)).cast("int").alias("copies")).where("copies > 1"))
+    is_hot, spread = F.col("found") == F.col("c"), F.pmod(F.xxhash64("record_id", "captured_at"), F.col("copies")).cast("int")
+    cold = named.join(hot, is_hot, "left_anti").join(responses, F.col("found") == F.col("response_id"), "left")
+    dealt = named.join(hot, is_hot).withColumn("copy", spread).drop("c", "copies")
+    copied = responses.join(hot, F.col("response_id") == F.col("c")).withColumn("copy_", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("c", "copies")
+    both = cold.unionByName(dealt.join(copied, (F.col("found") == F.col("response_id")) & (F.col("copy") == F.col("copy_")), "left").drop("copy", "copy_"))
     modified = [F.try_element_at(F.col(c), F.lit("last-modified")) for c in ("sent", "stored")]
     agree = F.coalesce(_tag(F.col("sent")) == _tag(F.col("stored")), modified[0] == modified[1], F.col("sent_digest") == F.col("stored_digest"))
     outcome = F.when(F.col("response_id").isNull(), "unresolved").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
