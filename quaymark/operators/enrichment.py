@@ -322,10 +322,23 @@ def behaviour(found: DataFrame, depth: int = 4) -> DataFrame:
     return all_.select(F.substring_index("root", "\u0001", 1).alias("repository_id"), F.substring_index("root", "\u0001", -1).alias("owner"), "kind", "name", "value")
 
 
+#: What the codes of open facts say about a caller's view, and codes of what stays inside.
+EXTERNAL_MARKS = ("condition", "outbound", "response", "side_effect", "status")
+INTERNAL_CODES = ("slim_php_semantic_sql_call_unparsed", "slim_php_semantic_dynamic_sql", "slim_php_semantic_sql_target_unresolved", "slim_php_semantic_sql_dynamic_expression")
+
+
 def semantic_status(rows: DataFrame) -> DataFrame:
-    """Each route: complete without open facts, partial with some, unresolved with nothing else known."""
+    """Each route: complete without open facts, partial with some, unresolved with nothing else known.
+
+    ``materiality`` tells whether what is open about its behaviour may be seen from outside (``external``), is about data access
+    only (``internal``), or neither is known.
+    """
     known, open_ = F.count_if(F.col("kind") != "unresolved"), F.count_if(F.col("kind") == "unresolved")
-    return rows.groupBy("repository_id", "owner").agg(known.alias("facts"), open_.alias("open")).withColumn("status", F.when(F.col("open") == 0, "complete").when(F.col("facts") > 0, "partial").otherwise("unresolved"))
+    code = F.when((F.col("kind") == "unresolved") & F.col("name").contains("_semantic_"), F.col("name"))
+    seen, inside = F.bool_or(code.rlike("|".join(EXTERNAL_MARKS))), F.bool_and(code.isin(*INTERNAL_CODES))
+    told = rows.groupBy("repository_id", "owner").agg(known.alias("facts"), open_.alias("open"), F.coalesce(seen, F.lit(False)).alias("seen"), F.coalesce(inside, F.lit(False)).alias("inside"))
+    status = F.when(F.col("open") == 0, "complete").when(F.col("facts") > 0, "partial").otherwise("unresolved")
+    return told.withColumn("status", status).withColumn("materiality", F.when(F.col("seen"), "external").when(F.col("inside"), "internal").otherwise("unknown")).drop("seen", "inside")
 
 
 def merge_schema(paths: dict[str, dict]) -> dict:

@@ -50,7 +50,7 @@ def route_contracts(facts: DataFrame, behaviours: DataFrame) -> DataFrame:
     states = behaviours.where("kind = 'condition' AND value IS NOT NULL").groupBy("repository_id", "owner", "name").agg(F.min("value").alias("value"))
     states = states.groupBy("repository_id", "owner").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("response_semantics"))
     read = behaviours.where("kind = 'data_access' AND value = 'read'").groupBy("repository_id", "owner").agg(F.array_sort(F.collect_set("name")).alias("internal"))
-    semantics = route_semantics(behaviours).select("repository_id", "owner", F.col("status").alias("semantics"))
+    semantics = route_semantics(behaviours).select("repository_id", "owner", F.col("status").alias("semantics"), "materiality")
     rows = routes
     for part in (effects, states, read, semantics):
         rows = rows.join(part, ["repository_id", "owner"], "left")
@@ -65,12 +65,12 @@ def route_contracts(facts: DataFrame, behaviours: DataFrame) -> DataFrame:
         F.struct("response_semantics", "side_effects", "internal").alias("behavior"),
     ))
     note = F.when(F.col("open") > 0, "partial").otherwise("complete")
-    return rows.select("repository_id", "method", "endpoint", F.from_json(whole, CONTRACT).alias("contract"), note.alias("contract_note"), F.coalesce("semantics", F.lit("complete")).alias("semantics"), "open")
+    return rows.select("repository_id", "method", "endpoint", F.from_json(whole, CONTRACT).alias("contract"), note.alias("contract_note"), F.coalesce("semantics", F.lit("complete")).alias("semantics"), "materiality", "open")
 
 
 def with_contracts(endpoints: DataFrame, contracts: DataFrame) -> DataFrame:
     """Endpoints with their contract, notes and statuses; what no body shows has an unknown contract, with its path's parameters."""
-    held = contracts.groupBy("repository_id", "method", F.col("endpoint").alias("path")).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("contract", "contract_note", "semantics")])
+    held = contracts.groupBy("repository_id", "method", F.col("endpoint").alias("path")).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("contract", "contract_note", "semantics", "materiality")])
     rows = endpoints.join(held, ["repository_id", "method", "path"], "left")
     # Two bodies for one route leave its contract open.
     note = F.when(F.col("direction") != "exposed", F.lit(None)).when(F.col("_n").isNull(), "unresolved").when(F.col("_n") > 1, "partial").otherwise(F.col("contract_note"))
@@ -78,7 +78,8 @@ def with_contracts(endpoints: DataFrame, contracts: DataFrame) -> DataFrame:
     rows = rows.withColumn("notes", F.when(note.isNotNull(), F.array(F.concat(F.lit(f"{STATUS_NOTE}="), note))).otherwise(F.array().cast("array<string>")))
     known = F.when((F.col("direction") == "exposed") & (F.col("_n") == 1), F.col("contract")).otherwise(empty)
     whole = known.withField("parameters", with_path_parameters(known["parameters"], F.col("path"))).withField("contract_status", contract_status(F.col("notes"))).withField("semantic_status", semantic_status(F.col("semantics")))
-    return rows.withColumn("contract", whole).drop("_n", "contract_note", "semantics")
+    whole = whole.withField("materiality", F.when((F.col("_n") == 1) & (F.col("semantics") == "partial"), F.col("materiality")))
+    return rows.withColumn("contract", whole).drop("_n", "contract_note", "semantics", "materiality")
 
 
 def findings_documents(endpoints: DataFrame, status: DataFrame, audited_at: Column | None = None) -> DataFrame:

@@ -11,12 +11,13 @@ from quaymark.functions.paths import contract_path, path_shape, scope, split_url
 from quaymark.operators import enrichment, gates
 from quaymark.operators.extraction import extract, shared_facts
 from quaymark.operators.inventory import SUPPORTED, detector_plan, histogram, language, merge_detections, technologies, unsupported
-from quaymark.operators.merging import merge_evidence
+from quaymark.operators.merging import issue_category, merge_evidence
 from quaymark.operators.wrappers import wrapped_calls
 from quaymark.plans import render
 from quaymark.plans.assembly import findings_documents, route_contracts, with_contracts
-from quaymark.sources.files import read_tree, repository_identity, tracked_files, unread, verify_snapshot
+from quaymark.sources.files import repository_identity, tracked_files, unread, verify_snapshot
 from quaymark.sources.manifests import manifest_dependencies
+from quaymark.sources.tree import read_source_tree
 from quaymark.sources.wsdl import resolve_contracts
 
 
@@ -64,7 +65,10 @@ def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str
     """Inventory, detector plan, dependencies, endpoints with contracts, behaviour, unresolved rows, status and findings of one pinned work tree."""
     snapshot = verify_snapshot(root, ref)
     name, _ = repository_identity(root, repository_id)
-    files = read_tree(spark, root, name, exclude=exclude)
+    # Every file is read once; what is made of them reads the rows that are kept.
+    entries = cut(read_source_tree(spark, root, name, exclude=exclude))
+    files = entries.where("kind = 'file'").drop("kind")
+    passed = entries.where("kind <> 'file'").select("repository_id", "path", "kind")
     languages = histogram(files.select(language(F.col("path")).alias("language"), "path").where("language IS NOT NULL"), "language", "path")
     # Each is used by several results: files are read and scanned once for each kind of row.
     found = cut(technologies(files))
@@ -86,7 +90,7 @@ def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str
     for source, rows in parts.items():
         rows = rows.withColumn("source", F.lit(source))
         unresolved = rows if unresolved is None else unresolved.unionByName(rows)
-    unresolved = cut(unresolved.distinct())
+    unresolved = cut(unresolved.distinct().withColumn("category", F.when(F.col("source") == "inventory", "inventory").otherwise(issue_category(F.col("code")))))
     # One row of counts, joined by the one repository.
     counts = unresolved.agg(*[F.count_if(F.col("source") == x).alias(x) for x in parts], F.count("*").alias("open")).withColumn("repository_id", F.lit(name))
     exposed = (F.col("direction") == "exposed")
@@ -97,7 +101,7 @@ def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str
     status = gates.audit_gate(F.col("inventory") == 0, (F.col("discovery") + F.col("silent")) == 0, F.lit(0), F.col("unsupported"), F.col("soap") + F.col("body") + F.col("helper"), F.col("contract_scope"), F.col("correlation_scope"))
     state = cut(state.select("repository_id", *facts_.values(), "open", "contract_scope", "correlation_scope", status.alias("status")))
     return {
-        "inventory": languages, "technologies": merge_detections(found.withColumn("confidence", F.lit("confirmed")), "path"), "plan": detector_plan(found), "dependencies": manifest_dependencies(files), "endpoints": endpoints,
+        "inventory": languages, "passed_over": passed, "technologies": merge_detections(found.withColumn("confidence", F.lit("confirmed")), "path"), "plan": detector_plan(found), "dependencies": manifest_dependencies(files), "endpoints": endpoints,
         "behaviour": behaviours, "unresolved": unresolved.drop("source"), "status": state, "findings": findings_documents(endpoints, state),
         "knowledge": render.knowledge_lines(endpoints), "report": render.report_lines(state, endpoints, unresolved),
     }
