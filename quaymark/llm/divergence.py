@@ -93,7 +93,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from told()
 
     counted = docs.select(*own).mapInArrow(scan, "lang binary, source binary, term binary, n bigint, docs bigint")
-    return counted.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")], "n", "docs").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # What leaves a task is summed already; dealt by term, it is summed by source and by language without another shuffle.
+    dealt = counted.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")], "n", "docs").repartition("lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, whole: Column) -> Column:
@@ -117,13 +119,14 @@ class Counts:
     """Counts of kept terms, and totals of sources and languages."""
 
     def __init__(self, docs: DataFrame):
-        counts = reliable_checkpoint(term_counts(docs))
-        by_term = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("in_docs"), F.count(F.lit(1)).alias("in_sources"))
-        kept = by_term.where(F.col("in_docs") >= LEAST_DOCS).select("lang", "term", "lang_n", "in_sources")
-        self.terms = reliable_checkpoint(counts.where("term IS NOT NULL").select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
-        groups = counts.where("term IS NULL").select("lang", "source")
+        of_term = Window.partitionBy("lang", "term")
+        counts = term_counts(docs).select("lang", "source", "term", "n", *[f(c).over(of_term).alias(name) for f, c, name in ((F.sum, "n", "lang_n"), (F.sum, "docs", "in_docs"), (F.count, "n", "in_sources"))])
+        kept = reliable_checkpoint(counts.where((F.col("in_docs") >= LEAST_DOCS) | F.col("term").isNull()).drop("in_docs"))
+        self.terms, groups = kept.where("term IS NOT NULL"), kept.where("term IS NULL").select("lang", "source")
         sums = self.terms.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        whole = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("v"), F.sum((F.col("in_sources") <= LIGHT).cast("bigint")).alias("light"))
+        # A term of k sources has k rows.
+        sizes = self.terms.groupBy("lang", "in_sources").agg(F.sum("n").alias("n"), (F.count(F.lit(1)) / F.col("in_sources")).cast("bigint").alias("terms"))
+        whole = sizes.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum("terms").alias("v"), F.sum(F.when(F.col("in_sources") <= LIGHT, F.col("terms")).otherwise(0)).alias("light"))
         numbered = groups.join(sums, ["lang", "source"], "left").join(whole, "lang", "left").na.fill(0, ["total", "lang_total", "v", "light"])
         size = F.greatest(F.col("total") + F.col("v"), F.lit(1).cast("bigint"))
         place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
@@ -229,7 +232,7 @@ def dense(counts: Counts, shares: DataFrame) -> DataFrame:
 def divergence(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value and rank: the distances of sources, and the terms that set a source apart."""
     counts = Counts(docs)
-    shares = reliable_checkpoint(counts.shares().select("lang", "source", "at", "term", "in_sources", "p", "q", "p0"))
+    shares = counts.shares().select("lang", "source", "at", "term", "in_sources", "p", "q", "p0")
     parts = [base(counts), lone(counts, shares), corrections(shares), dense(counts, shares)]
     whole = parts[0].selectExpr("lang", "CAST(g AS BIGINT) AS g", "CAST(h AS BIGINT) AS h", "value")
     for part in parts[1:]:
