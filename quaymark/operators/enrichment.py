@@ -263,10 +263,13 @@ def laid_onto_routes(found: DataFrame, calls: DataFrame) -> DataFrame:
 def guarded(found: DataFrame) -> DataFrame:
     """Facts with the authentication that a route's middleware asks for, by the class of that name in its repository.
 
-    A class that reads no credentials, is defined several times, or is not there leaves the route's security open.
+    A class that reads no credentials, is defined several times, or is not there leaves the route's security open. A route
+    that authenticates in its own body needs no middleware for that.
     """
+    route = ["repository_id", "path", "owner", "method", "endpoint"]
+    own = found.where("kind = 'authentication' AND method IS NOT NULL").select(*route).distinct()
     classes = found.where("kind = 'guard'").groupBy("repository_id", F.col("name").alias("class")).agg(F.count("*").alias("n"), F.min("value").alias("how"))
-    added = found.where("kind = 'middleware' AND method IS NOT NULL").withColumn("class", F.regexp_extract("name", r"(\w+)$", 1))
+    added = found.where("kind = 'middleware' AND method IS NOT NULL").join(own, route, "left_anti").withColumn("class", F.regexp_extract("name", r"(\w+)(?:::class)?$", 1))
     known = F.coalesce((F.col("n") == 1) & F.col("how").isNotNull(), F.lit(False))
     told = added.join(classes, ["repository_id", "class"], "left").withColumn("value", F.when(known, F.col("how")).otherwise(F.col("name")))
     told = told.withColumn("kind", F.when(known, "authentication").otherwise("unresolved")).withColumn("name", F.when(known, "jwt").otherwise("slim_php_security_middleware_unresolved"))
@@ -341,40 +344,50 @@ def semantic_status(rows: DataFrame) -> DataFrame:
     return told.withColumn("status", status).withColumn("materiality", F.when(F.col("seen"), "external").when(F.col("inside"), "internal").otherwise("unknown")).drop("seen", "inside")
 
 
-def merge_schema(paths: dict[str, dict]) -> dict:
-    """One JSON schema from dotted field paths, ``[]`` for items; required names are united, the first type stays."""
-    root: dict = {"type": "object"}
-    for path, what in paths.items():
-        node, keys = root, path.split(".")
-        for k, key in enumerate(keys):
-            if key == "[]":
-                node["type"] = "array"
-                node = node.setdefault("items", {})
-            else:
-                node.setdefault("type", "object")
-                if what.get("required") and k == len(keys) - 1:
-                    node["required"] = sorted({*node.get("required", []), key})
-                node = node.setdefault("properties", {}).setdefault(key, {})
-        if what.get("type"):
-            node.setdefault("type", what["type"])
-    return root
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    whole = F.to_json(F.array(text))
+    return whole.substr(F.lit(2), F.length(whole) - 2)
 
 
 def body_schemas(found: DataFrame) -> DataFrame:
-    """(repository_id, owner, schema as canonical JSON) of each route's request fields, by line.
+    """(repository_id, owner, schema as canonical JSON) of each route's request fields.
 
-    A route's fields are a handful; one group is one route.
+    The fields' dotted paths are a tree, which is folded from its deepest level up: one aggregation by parent a
+    level, which makes a node's JSON of its children's. Required names are united; of a field that is read several
+    times the first type and requiredness by line count; what has items is an array, and what has properties an
+    object, unless a type was read before.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        paths: dict[str, dict] = {}
-        for _, r in frame.sort_values(["line", "name"]).iterrows():
-            paths.setdefault(r["name"], {}).update({k: v for k, v in json.loads(r["value"]).items() if v is not None and k not in paths.get(r["name"], {})})
-        first = frame.iloc[0]
-        return pd.DataFrame([(first["repository_id"], first["owner"], json.dumps(merge_schema(paths), sort_keys=True, separators=(",", ":")))], columns=["repository_id", "owner", "schema"])
-
-    fields = found.where("method IS NOT NULL AND kind = 'request_field'").select("repository_id", "owner", "name", "value", "line").distinct()
-    return fields.groupBy("repository_id", "owner").applyInPandas(fold, "repository_id string, owner string, schema string")
+    at = F.struct("line", "name")
+    first = lambda value: F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), at))
+    kind, need = F.get_json_object("value", "$.type"), F.get_json_object("value", "$.required").cast("boolean")
+    fields = found.where("method IS NOT NULL AND kind = 'request_field'").select("repository_id", "owner", "name", "line", kind.alias("t"), need.alias("r"))
+    node = ["repository_id", "owner", "p"]
+    leaf = fields.groupBy("repository_id", "owner", "name").agg(first(F.col("t")).alias("type"), first(F.col("r")).alias("required"), F.min(F.when(F.col("t").isNotNull(), at)).alias("typed"), F.min(at).alias("seen"))
+    nothing = {"key": "string", "json": "string", "kept": "boolean", "below": leaf.schema["seen"].dataType.simpleString()}
+    leaf = cut(leaf.withColumn("p", F.split("name", r"\.", -1)).drop("name").select("*", *[F.lit(None).cast(k).alias(c) for c, k in nothing.items()]))
+    depth = leaf.select(F.coalesce(F.max(F.size("p")), F.lit(0)).alias("d")).first().d
+    level = None
+    for d in range(depth, -1, -1):
+        own = leaf.where(F.size("p") == d)
+        rows = own if level is None else own.unionByName(level)
+        named = F.col("key").isNotNull() & (F.col("key") != "[]")
+        nodes = rows.groupBy(*node).agg(
+            F.max("type").alias("type"), F.max("required").alias("required"), F.min("typed").alias("typed"), F.min("seen").alias("seen"), F.min(F.when(named, F.col("below"))).alias("below"), F.min("below").alias("any"),
+            F.array_sort(F.collect_list(F.when(named, F.concat(_quoted(F.col("key")), F.lit(":"), F.col("json"))))).alias("kids"), F.max(F.when(F.col("key") == "[]", F.col("json"))).alias("items"),
+            F.array_sort(F.collect_set(F.when(named & F.col("kept"), _quoted(F.col("key"))))).alias("names"),
+        )
+        mine = F.lit("object") if d == 0 else F.when(F.col("below").isNull() | (F.col("typed") < F.col("below")), F.col("type"))
+        said = F.when(F.col("items").isNotNull(), "array").otherwise(F.coalesce(mine, F.when(F.size("kids") > 0, "object")))
+        parts = F.array_compact(F.array(
+            F.concat(F.lit('"items":'), F.col("items")), F.when(F.size("kids") > 0, F.concat(F.lit('"properties":{'), F.array_join("kids", ","), F.lit("}"))),
+            F.when(F.size("names") > 0, F.concat(F.lit('"required":['), F.array_join("names", ","), F.lit("]"))), F.when(said.isNotNull(), F.concat(F.lit('"type":'), _quoted(said))),
+        ))
+        json_ = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+        if d == 0:
+            return nodes.select("repository_id", "owner", json_.alias("schema"))
+        up = nodes.select("repository_id", "owner", F.slice("p", 1, d - 1).alias("p"), F.element_at("p", -1).alias("key"), json_.alias("json"), F.col("required").alias("kept"), F.least("seen", "any").alias("below"))
+        level = up.select(*up.columns, *[F.lit(None).cast(leaf.schema[c].dataType).alias(c) for c in ("type", "required", "typed", "seen")])
 
 
 def enrichment_status(rows: Column, open_rows: Column) -> Column:

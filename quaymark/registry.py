@@ -794,3 +794,19 @@ def rule_scope(spark, d):
     glob = F.when(k % 4 == 0, F.concat(F.left("path", F.lit(5)), F.lit("*"), F.right("path", F.lit(2)))).when(k % 4 == 1, F.concat(F.lit("GET "), F.left("path", F.lit(4)), F.lit("?*[0-4]*"))).otherwise(F.concat(F.left("path", F.lit(6)), F.lit("[!a-m]*")))
     rules = pages.where("page_id % 25 = 3").select(F.when(k % 3 == 0, "exclude").otherwise("include").alias("kind"), glob.alias("glob")).distinct()
     return path_rules.scopes(pages, "page_id", rules)
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, max(CASE l_returnflag WHEN 'R' THEN 'integer' WHEN 'A' THEN 'string' END) AS t, bool_or(l_linestatus = 'O') AS r FROM lineitem GROUP BY 1, 2),
+ o AS (SELECT l_orderkey, string_agg('"f' || l_linenumber || '":{' || coalesce('"type":"' || t || '"', '') || '}', ',' ORDER BY l_linenumber) AS props, string_agg(CASE WHEN r THEN '"f' || l_linenumber || '"' END, ',' ORDER BY l_linenumber) AS need FROM f GROUP BY 1)
+ SELECT l_orderkey, '{"properties":{"id":{"type":"integer"},"lines":{"items":{"properties":{' || props || '},' || coalesce('"required":[' || need || '],', '') || '"type":"object"},"type":"array"}},"required":["id"],"type":"object"}' AS schema FROM o""")
+def schema_fold(spark, d):
+    """The fields that each order's lines read from a body, folded into one JSON schema an order."""
+    from quaymark.operators import enrichment
+
+    kind = F.when(F.col("l_returnflag") == "R", "integer").when(F.col("l_returnflag") == "A", "string")
+    lines = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(kind).alias("type"), F.bool_or(F.col("l_linestatus") == "O").alias("required"))
+    said = lambda t, r: F.to_json(F.struct(t.alias("type"), r.alias("required")))
+    fields = lines.select("l_orderkey", F.concat(F.lit("lines.[].f"), F.col("l_linenumber").cast("string")).alias("name"), said(F.col("type"), F.col("required")).alias("value"), F.col("l_linenumber").alias("line"))
+    ids_ = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit("id").alias("name"), said(F.lit("integer"), F.lit(True)).alias("value"), F.lit(1).alias("line"))
+    rows = fields.unionByName(ids_).select(F.lit("r").alias("repository_id"), F.col("l_orderkey").cast("string").alias("owner"), F.lit("POST").alias("method"), F.lit("request_field").alias("kind"), "name", "value", "line")
+    return enrichment.body_schemas(rows).select(F.col("owner").cast("bigint").alias("l_orderkey"), "schema")

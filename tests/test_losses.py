@@ -52,7 +52,7 @@ def contracts(spark, *files):
 
 def test_uploads_and_middleware_reach_the_contract(spark):
     route = lambda path, tail: f"$app->post('{path}', function ($q, $s) {{ $f = $q->getUploadedFiles(); $x = $f['photo']; return $s->withJson(['ok' => true], 201); }}){tail};\n"
-    code = "<?php\n" + route("/open", "") + route("/guarded", "->add(new AuthMiddleware())") + route("/other", "->add(new App\\Gone())") + route("/plain", "->add(new Logger)")
+    code = "<?php\n" + route("/open", "") + route("/guarded", "->add(AuthMiddleware::class)") + route("/other", "->add(new App\\Gone())") + route("/plain", "->add(new Logger)")
     classes = "<?php\nclass AuthMiddleware { function __invoke($q, $s, $n) { $t = $q->getHeaderLine('Authorization'); $t = str_replace('Bearer ', '', $t); $c = JWT::decode($t, $k); return $n($q, $s); } }\nclass Logger { function __invoke($q, $s, $n) { return $n($q, $s); } }"
     rows, open_ = contracts(spark, ("r", "a.php", code), ("r", "b.php", classes), ("q", "b.php", "<?php class Gone { }"))
     for path in ("/open", "/guarded", "/other", "/plain"):
