@@ -810,3 +810,36 @@ def schema_fold(spark, d):
     ids_ = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit("id").alias("name"), said(F.lit("integer"), F.lit(True)).alias("value"), F.lit(1).alias("line"))
     rows = fields.unionByName(ids_).select(F.lit("r").alias("repository_id"), F.col("l_orderkey").cast("string").alias("owner"), F.lit("POST").alias("method"), F.lit("request_field").alias("kind"), "name", "value", "line")
     return enrichment.body_schemas(rows).select(F.col("owner").cast("bigint").alias("l_orderkey"), "schema")
+
+
+# Manifests ----------------------------------------------------------------------------------------
+
+_MANIFESTS = ("composer.json", "package.json", "pom.xml", "App.csproj", "requirements.txt", "go.mod", "pubspec.yaml", "Gemfile", "pyproject.toml")
+
+
+@query("""WITH i AS (SELECT DISTINCT l_orderkey AS order_key, l_partkey::VARCHAR AS p, l_orderkey % 9 AS f FROM lineitem), b AS (SELECT *, order_key % 11 = 0 AND f NOT IN (4, 5, 6, 7) AS bad FROM i)
+ SELECT DISTINCT order_key, CASE f WHEN 0 THEN 'composer' WHEN 1 THEN 'npm' WHEN 2 THEN 'maven' WHEN 3 THEN 'dotnet' WHEN 5 THEN 'go' WHEN 6 THEN 'dart' WHEN 7 THEN 'ruby' ELSE 'python' END AS ecosystem,
+ CASE WHEN bad THEN NULL WHEN f = 0 THEN 'v/p' || p WHEN f = 1 THEN '@s/p' || p WHEN f = 2 THEN 'g:p' || p WHEN f = 3 THEN 'P.' || p WHEN f = 5 THEN 'h.io/p' || p WHEN f IN (6, 7) THEN 'p' || p ELSE 'p-' || p END AS dependency,
+ CASE WHEN NOT bad THEN NULL WHEN f IN (0, 1) THEN 'JSONDecodeError' WHEN f IN (2, 3) THEN 'ParseError' ELSE 'TOMLDecodeError' END AS error FROM b""")
+def manifest_dependencies(spark, d):
+    """Each order as a manifest of its parts, in one of nine formats by key; some are cut off before their end, and parts may repeat."""
+    from quaymark.sources import manifests
+
+    forms = (
+        ('{{"name": "no", "require": {{{}}}}}', '"v/p<p>": "1"', ", "), ('{{"devDependencies": {{{}}}, "scripts": {{"no": "1"}}}}', '"@s/p<p>": "^1"', ", "),
+        ("<project xmlns='u'><artifactId>no</artifactId><dependencies>{}</dependencies></project>", "<dependency><groupId>g</groupId><artifactId>p<p></artifactId></dependency>", ""),
+        ("<Project><ItemGroup>{}<Reference Include='no'/></ItemGroup></Project>", "<PackageReference Include='P.<p>' Version='1'/>", ""), ("# no\n{}\n", "P_<p>>=1", "\n"), ("module h.io/no\nrequire (\n{}\n)\n", "\th.io/p<p> v1.0.<p>", "\n"),
+        ("name: no\nenvironment:\n  sdk: x\ndependencies:\n{}\nflutter:\n  no: x\n", "  p<p>:\n    git: x", "\n"), ("source 'no'\n{}\n", "gem 'p<p>', '1'", "\n"), ('[project]\nname = "no"\ndependencies = [{}]', '"P_<p>>=1"', ", "),
+    )
+    lines = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("parts"))
+    text, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (frame, item, between) in enumerate(forms):
+        head, tail = frame.format("\0").split("\0")
+        before, *middle = item.split("<p>")
+        said = F.transform("parts", lambda p: F.concat(F.lit(before), *[x for m in middle for x in (p, F.lit(m))]))  # noqa: B023
+        whole = F.concat(F.lit(head), F.array_join(said, between), F.lit(tail))
+        cut_off = whole if k in (4, 5, 6, 7) else F.when(F.col("l_orderkey") % 11 == 0, F.left(whole, F.length(whole) - 2)).otherwise(whole)
+        here = F.col("l_orderkey") % len(forms) == k
+        text, name = F.when(here, cut_off).otherwise(text), F.when(here, F.lit(_MANIFESTS[k])).otherwise(name)
+    files = lines.select(F.lit("r").alias("repository_id"), F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), name).alias("path"), text.alias("text"))
+    return manifests.manifest_dependencies(files).select(F.substring_index("path", "/", 1).cast("bigint").alias("order_key"), "ecosystem", "dependency", "error")

@@ -1,15 +1,15 @@
-"""Dependencies declared in manifests, one row each."""
+"""Dependencies declared in manifests, one row each.
+
+JSON, XML and line formats are read by column expressions; only TOML, for which the engine has no reader, goes through Python in Arrow batches.
+"""
 
 from __future__ import annotations
 
-import json
-import re
 import tomllib
-import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ecosystems by a manifest's file name.
@@ -17,79 +17,158 @@ MANIFESTS = {
     "composer.json": "composer", "package.json": "npm", "pyproject.toml": "python", "requirements.txt": "python", "pom.xml": "maven", "build.gradle": "gradle",
     "build.gradle.kts": "gradle", "Gemfile": "ruby", "go.mod": "go", "pubspec.yaml": "dart", "Cargo.toml": "rust",
 }
+#: Sections of dependencies, by file name.
+SECTIONS = {
+    "composer.json": ("require", "require-dev"), "package.json": ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"),
+    "pubspec.yaml": ("dependencies", "dev_dependencies", "dependency_overrides"), "poetry": ("dependencies", "dev-dependencies"),
+}
 ROWS = "repository_id string, path string, ecosystem string, dependency string, error string"
+#: Errors of unreadable manifests, by format.
+JSON_ERROR, XML_ERROR, TOML_ERROR = "JSONDecodeError", "ParseError", "TOMLDecodeError"
+
+_NAME = r"[A-Za-z0-9][A-Za-z0-9._-]*"
+
+
+def python_name(requirement: Column) -> Column:
+    """The package of a requirement: lower case, dashes; empty where it does not begin with a name."""
+    return F.translate(F.lower(F.regexp_extract(requirement, rf"^\s*({_NAME})", 1)), "_", "-")
+
+
+def json_keys(text: Column, sections: tuple[str, ...]) -> Column:
+    """Keys of the given top-level objects; null where the text is no JSON object. A section that is no object has none."""
+    keys = [F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{s}")), F.array().cast("array<string>")) for s in sections]
+    return F.when(F.json_object_keys(text).isNotNull(), F.concat(*keys))
+
+
+def _read_xml(text: Column, fields: str) -> Column:
+    options = {"columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true", "mode": "PERMISSIVE"}
+    # A mark of byte order is no part of the document. The engine fills the column of what it could not read only where that comes last.
+    return F.from_xml(F.ltrim(text, F.lit("﻿ \t\r\n")), f"struct<{fields}, _corrupt: string>", options)
+
+
+def _is_read(text: Column, document: Column) -> Column:
+    return (F.trim(text) != "") & document.isNotNull() & document["_corrupt"].isNull()
+
+
+def pom_names(text: Column) -> Column:
+    """group:artifact of each dependency, wherever Maven's model has them; null where the text is no XML."""
+    listed = "dependency: array<struct<groupId: string, artifactId: string>>"
+    own = f"dependencies: struct<{listed}>, dependencyManagement: struct<dependencies: struct<{listed}>>"
+    plugins = f"plugins: struct<plugin: array<struct<dependencies: struct<{listed}>>>>"
+    build = f"build: struct<{plugins}, pluginManagement: struct<{plugins}>>"
+    document = _read_xml(text, f"{listed}, {own}, {build}, profiles: struct<profile: array<struct<{own}, {build}>>>")
+    some = lambda c: F.coalesce(c, F.array().cast("array<struct<groupId: string, artifactId: string>>"))
+
+    def below(model: Column) -> list[Column]:
+        out = [some(model["dependencies"]["dependency"]), some(model["dependencyManagement"]["dependencies"]["dependency"])]
+        for listed_in in (model["build"]["plugins"], model["build"]["pluginManagement"]["plugins"]):
+            out.append(some(F.flatten(F.transform(listed_in["plugin"], lambda p: some(p["dependencies"]["dependency"])))))
+        return out
+
+    profiles = F.flatten(F.transform(document["profiles"]["profile"], lambda p: F.concat(*below(p))))
+    found = F.concat(some(document["dependency"]), *below(document), some(profiles))
+    part = lambda d, key: F.coalesce(F.trim(d[key]), F.lit(""))
+    return F.when(_is_read(text, document), F.transform(found, lambda d: F.concat(part(d, "groupId"), F.lit(":"), part(d, "artifactId"))))
 
 
-def python_name(requirement: str) -> str:
-    found = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)", requirement)
-    return found[1].lower().replace("_", "-") if found else ""
-
-
-def yaml_keys(text: str, sections: tuple[str, ...] = ("dependencies", "dev_dependencies")) -> list[str]:
-    """Keys one level below the given top-level sections."""
-    out, inside, indent = [], False, None
-    for line in text.splitlines():
-        bare = line.split("#", 1)[0].rstrip()
-        if not bare:
-            continue
-        depth = len(bare) - len(bare.lstrip())
-        key = re.match(r"\s*([A-Za-z0-9_.-]+)\s*:", bare)
-        if depth == 0:
-            inside, indent = bool(key and key[1] in sections), None
-        elif inside and key:
-            indent = depth if indent is None else indent
-            if depth == indent:
-                out.append(key[1])
-    return out
-
-
-def dependencies(name: str, text: str) -> list[str]:
-    """Names that one manifest declares; raises ValueError where it cannot be read."""
-    if name in ("composer.json", "package.json"):
-        data = json.loads(text)
-        parts = ("require", "require-dev") if name == "composer.json" else ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-        return sorted({k for p in parts for k in (data.get(p) or {})})
-    if name == "pyproject.toml":
-        data = tomllib.loads(text)
-        project = data.get("project", {})
-        own = [*project.get("dependencies", []), *(d for ds in project.get("optional-dependencies", {}).values() for d in ds)]
-        return sorted({python_name(d) for d in own} | {k.lower() for k in data.get("tool", {}).get("poetry", {}).get("dependencies", {}) if k != "python"})
+def project_names(text: Column) -> Column:
+    """Packages that a .NET project includes or updates, in groups of the project, its targets and its choices; null where the text is no XML."""
+    named = "PackageReference: array<struct<_Include: string, _Update: string>>"
+    groups = f"ItemGroup: array<struct<{named}>>"
+    document = _read_xml(text, f"{named}, {groups}, Target: array<struct<{groups}>>, Choose: array<struct<`When`: array<struct<{groups}>>, Otherwise: array<struct<{groups}>>>>")
+    kind = "array<struct<_Include: string, _Update: string>>"
+    some = lambda c: F.coalesce(c, F.array().cast(kind))
+    of_groups = lambda c: some(F.flatten(F.transform(c, lambda g: some(g["PackageReference"]))))
+    of_parts = lambda c: some(F.flatten(F.transform(c, lambda p: of_groups(p["ItemGroup"]))))
+    choices = F.flatten(F.transform(document["Choose"], lambda c: F.concat(of_parts(c["When"]), of_parts(c["Otherwise"]))))
+    found = F.concat(some(document["PackageReference"]), of_groups(document["ItemGroup"]), of_parts(document["Target"]), some(choices))
+    names = F.transform(found, lambda p: F.coalesce(F.nullif(F.trim(p["_Include"]), F.lit("")), F.trim(p["_Update"])))
+    return F.when(_is_read(text, document), F.filter(names, lambda n: n != ""))
+
+
+def line_names(name: Column, text: Column) -> Column:
+    """Names in formats whose lines can be read one by one; null for other files."""
+    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    requirement = F.transform(every(rf"(?m)^[ \t]*({_NAME})"), python_name)
+    # Coordinates in any configuration, and plugins by id.
+    gradle = F.concat(every(r"""['"]([A-Za-z0-9_.-]+:[A-Za-z0-9_.-]+)(?::[^'"\n]*)?['"]"""), every(r"""\bid\s*\(?\s*['"]([^'"\n]+)"""))
+    go = every(r"(?m)^\s*(?:require\s+)?([\w.-]+\.[\w.-]+/\S+)\s+v\d")
+    return (
+        F.when(name == "requirements.txt", requirement).when(name.startswith("build.gradle"), gradle)
+        .when(name == "Gemfile", every(r"""(?m)^\s*gem[\s(]+['"]([^'"\n]+)""")).when(name == "go.mod", go)
+    )
+
+
+def pubspec_names(files: DataFrame) -> DataFrame:
+    """(repository_id, path, dependency) of keys one level below the sections of dependencies.
+
+    A file's lines are rows; each takes the last section that began above it, and the depth of that section's first key.
+    """
+    lines = files.select("repository_id", "path", F.posexplode(F.split("text", r"\r\n|\r|\n", -1)).alias("n", "line"))
+    lines = lines.withColumn("line", F.rtrim(F.regexp_replace("line", "#.*$", ""))).where("trim(line) <> ''")
+    lines = lines.withColumn("depth", F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))).withColumn("key", F.regexp_extract("line", r"""^\s*["']?([A-Za-z0-9_.-]+)["']?\s*:""", 1))
+    above = Window.partitionBy("repository_id", "path").orderBy("n")
+    top = F.col("depth") == 0
+    lines = lines.withColumn("section", F.last_value(F.when(top, F.col("key")), F.lit(True)).over(above)).withColumn("begun", F.last_value(F.when(top, F.col("n")), F.lit(True)).over(above))
+    inside = lines.where(~top & F.col("section").isin(*SECTIONS["pubspec.yaml"]) & (F.col("key") != ""))
+    first = Window.partitionBy("repository_id", "path", "begun").orderBy("n")
+    return inside.withColumn("level", F.first_value("depth").over(first)).where("depth = level").select("repository_id", "path", F.col("key").alias("dependency")).distinct()
+
+
+def toml_names(name: str, text: str) -> list[str]:
+    """Requirements or names that a TOML manifest declares."""
+    data = tomllib.loads(text)
+    table = lambda d, key: d.get(key) if isinstance(d.get(key), dict) else {}
     if name == "Cargo.toml":
-        return sorted(tomllib.loads(text).get("dependencies", {}))
-    if name == "requirements.txt":
-        return sorted({python_name(x) for x in text.splitlines() if re.match(r"\s*[A-Za-z0-9]", x)})
-    if name == "pom.xml" or name.endswith(".csproj"):
-        root = ElementTree.fromstring(text)
-        local = lambda e: e.tag.rpartition("}")[2]
-        if name == "pom.xml":
-            of = lambda d, key: next((c.text or "" for c in d if local(c) == key), "")
-            return sorted({f"{of(d, 'groupId')}:{of(d, 'artifactId')}" for d in root.iter() if local(d) == "dependency"})
-        return sorted({d.get("Include", "") for d in root.iter() if local(d) == "PackageReference"} - {""})
-    if name.startswith("build.gradle"):
-        return sorted(set(re.findall(r"(?:implementation|api|compileOnly|runtimeOnly|testImplementation)\s*\(?\s*['\"]([^:'\"]+:[^:'\"]+)", text)))
-    if name == "Gemfile":
-        return sorted(set(re.findall(r"^\s*gem\s+['\"]([^'\"]+)", text, re.MULTILINE)))
-    if name == "go.mod":
-        return sorted(set(re.findall(r"^\s*(?:require\s+)?([\w.-]+\.[\w.-]+/\S+)\s+v\d", text, re.MULTILINE)))
-    if name == "pubspec.yaml":
-        return sorted(set(yaml_keys(text)))
-    return []
+        return list(table(data, "dependencies"))
+    project, poetry = table(data, "project"), table(table(data, "tool"), "poetry")
+    groups = [project.get("dependencies"), *table(project, "optional-dependencies").values()]
+    return [str(d) for g in groups if isinstance(g, list) for d in g] + [k for s in SECTIONS["poetry"] for k in table(poetry, s) if k.lower() != "python"]
 
 
-def manifest_dependencies(files: DataFrame) -> DataFrame:
-    """Dependencies of all manifests among files (repository_id, path, text); an unreadable one gives a row with an error."""
+def toml_rows(files: DataFrame) -> DataFrame:
+    """Rows of TOML manifests (repository_id, path, name, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for repository, path, text in zip(frame["repository_id"], frame["path"], frame["text"], strict=True):
-                name = path.rpartition("/")[2]
-                ecosystem = MANIFESTS.get(name, "dotnet")
+            for repository, path, name, text in zip(frame["repository_id"], frame["path"], frame["name"], frame["text"], strict=True):
                 try:
-                    out += [(repository, path, ecosystem, d, None) for d in dependencies(name, text or "")]
-                except (ValueError, ElementTree.ParseError, AttributeError, TypeError) as problem:
-                    out.append((repository, path, ecosystem, None, type(problem).__name__))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
+                    out += [(repository, path, name, d, None) for d in toml_names(name, text)]
+                except tomllib.TOMLDecodeError:
+                    out.append((repository, path, name, None, TOML_ERROR))
+            yield pd.DataFrame(out, columns=["repository_id", "path", "name", "dependency", "error"])
+
+    rows = files.mapInPandas(run, "repository_id string, path string, name string, dependency string, error string")
+    cargo = F.col("name") == "Cargo.toml"
+    dependency = F.when(cargo, F.col("dependency")).otherwise(python_name(F.col("dependency")))
+    rows = rows.select("repository_id", "path", _ecosystem(), dependency.alias("dependency"), "error")
+    return rows.where("error IS NOT NULL OR dependency <> ''").distinct()
+
+
+def _ecosystem() -> Column:
+    known = F.create_map(*[F.lit(x) for pair in MANIFESTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.col("name")), F.lit("dotnet")).alias("ecosystem")
+
+
+def manifest_dependencies(files: DataFrame) -> DataFrame:
+    """Dependencies of all manifests among files (repository_id, path, text), each name once a file; an unreadable manifest gives a row with an error.
 
+    A null text counts as empty, which is no JSON and no XML. What follows the root of an XML document is passed over.
+    """
     name = F.substring_index("path", "/", -1)
-    return files.where(name.isin(*MANIFESTS) | name.endswith(".csproj")).select("repository_id", "path", "text").mapInPandas(run, ROWS)
+    rows = files.where(name.isin(*MANIFESTS) | name.endswith(".csproj")).select("repository_id", "path", name.alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    n, t = F.col("name"), F.col("text")
+    toml, yaml = n.endswith(".toml"), n == "pubspec.yaml"
+    as_json, as_xml = n.endswith(".json"), (n == "pom.xml") | n.endswith(".csproj")
+    names = (
+        F.when(n == "composer.json", json_keys(t, SECTIONS["composer.json"])).when(n == "package.json", json_keys(t, SECTIONS["package.json"]))
+        .when(n == "pom.xml", pom_names(t)).when(n.endswith(".csproj"), project_names(t)).otherwise(line_names(n, t))
+    )
+    error = F.when(as_json, F.lit(JSON_ERROR)).when(as_xml, F.lit(XML_ERROR))
+    item = lambda d, e: F.struct(d.cast("string").alias("dependency"), e.cast("string").alias("error"))
+    read = rows.where(~toml & ~yaml).select("repository_id", "path", _ecosystem(), error.alias("e"), F.array_distinct(names).alias("names"))
+    items = F.when(F.col("names").isNull(), F.array(item(F.lit(None), F.col("e")))).otherwise(F.transform("names", lambda d: item(d, F.lit(None))))
+    out = read.select("repository_id", "path", "ecosystem", F.inline(items))
+    dart = pubspec_names(rows.where(yaml)).select("repository_id", "path", F.lit(MANIFESTS["pubspec.yaml"]).alias("ecosystem"), "dependency", F.lit(None).cast("string").alias("error"))
+    return out.unionByName(dart).unionByName(toml_rows(rows.where(toml)))
