@@ -6,7 +6,7 @@ JSON, XML and line formats are read by column expressions; only TOML, for which
 from __future__ import annotations
 
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,14 +40,13 @@ def json_keys(text: Column, sections: tuple[str, ...]) -> Column:
     return F.when(F.json_object_keys(text).isNotNull(), F.concat(*keys))
 
 
-def _read_xml(text: Column, fields: str) -> Column:
+def _of_xml(text: Column, fields: str, names: Callable[[Column], Column]) -> Column:
+    """Names in a document of the given fields; null where the text is no XML. An array of one document has it parsed once, however many fields are read."""
+    # The engine fills the column of what it could not read only where that comes last.
     options = {"columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true", "mode": "PERMISSIVE"}
-    # A mark of byte order is no part of the document. The engine fills the column of what it could not read only where that comes last.
-    return F.from_xml(F.ltrim(text, F.lit("﻿ \t\r\n")), f"struct<{fields}, _corrupt: string>", options)
-
-
-def _is_read(text: Column, document: Column) -> Column:
-    return (F.trim(text) != "") & document.isNotNull() & document["_corrupt"].isNull()
+    # A mark of byte order is no part of the document.
+    document = F.from_xml(F.ltrim(text, F.lit("\ufeff \t\r\n")), f"struct<{fields}, _corrupt: string>", options)
+    return F.element_at(F.transform(F.array(document), lambda d: F.when((F.trim(text) != "") & d.isNotNull() & d["_corrupt"].isNull(), names(d))), 1)
 
 
 def pom_names(text: Column) -> Column:
@@ -56,7 +55,7 @@ def pom_names(text: Column) -> Column:
     own = f"dependencies: struct<{listed}>, dependencyManagement: struct<dependencies: struct<{listed}>>"
     plugins = f"plugins: struct<plugin: array<struct<dependencies: struct<{listed}>>>>"
     build = f"build: struct<{plugins}, pluginManagement: struct<{plugins}>>"
-    document = _read_xml(text, f"{listed}, {own}, {build}, profiles: struct<profile: array<struct<{own}, {build}>>>")
+    fields = f"{listed}, {own}, {build}, profiles: struct<profile: array<struct<{own}, {build}>>>"
     some = lambda c: F.coalesce(c, F.array().cast("array<struct<groupId: string, artifactId: string>>"))
 
     def below(model: Column) -> list[Column]:
@@ -65,25 +64,32 @@ def pom_names(text: Column) -> Column:
             out.append(some(F.flatten(F.transform(listed_in["plugin"], lambda p: some(p["dependencies"]["dependency"])))))
         return out
 
-    profiles = F.flatten(F.transform(document["profiles"]["profile"], lambda p: F.concat(*below(p))))
-    found = F.concat(some(document["dependency"]), *below(document), some(profiles))
     part = lambda d, key: F.coalesce(F.trim(d[key]), F.lit(""))
-    return F.when(_is_read(text, document), F.transform(found, lambda d: F.concat(part(d, "groupId"), F.lit(":"), part(d, "artifactId"))))
+
+    def names(document: Column) -> Column:
+        profiles = F.flatten(F.transform(document["profiles"]["profile"], lambda p: F.concat(*below(p))))
+        found = F.concat(some(document["dependency"]), *below(document), some(profiles))
+        return F.transform(found, lambda d: F.concat(part(d, "groupId"), F.lit(":"), part(d, "artifactId")))
+
+    return _of_xml(text, fields, names)
 
 
 def project_names(text: Column) -> Column:
     """Packages that a .NET project includes or updates, in groups of the project, its targets and its choices; null where the text is no XML."""
     named = "PackageReference: array<struct<_Include: string, _Update: string>>"
     groups = f"ItemGroup: array<struct<{named}>>"
-    document = _read_xml(text, f"{named}, {groups}, Target: array<struct<{groups}>>, Choose: array<struct<`When`: array<struct<{groups}>>, Otherwise: array<struct<{groups}>>>>")
+    fields = f"{named}, {groups}, Target: array<struct<{groups}>>, Choose: array<struct<`When`: array<struct<{groups}>>, Otherwise: array<struct<{groups}>>>>"
     kind = "array<struct<_Include: string, _Update: string>>"
     some = lambda c: F.coalesce(c, F.array().cast(kind))
     of_groups = lambda c: some(F.flatten(F.transform(c, lambda g: some(g["PackageReference"]))))
     of_parts = lambda c: some(F.flatten(F.transform(c, lambda p: of_groups(p["ItemGroup"]))))
-    choices = F.flatten(F.transform(document["Choose"], lambda c: F.concat(of_parts(c["When"]), of_parts(c["Otherwise"]))))
-    found = F.concat(some(document["PackageReference"]), of_groups(document["ItemGroup"]), of_parts(document["Target"]), some(choices))
-    names = F.transform(found, lambda p: F.coalesce(F.nullif(F.trim(p["_Include"]), F.lit("")), F.trim(p["_Update"])))
-    return F.when(_is_read(text, document), F.filter(names, lambda n: n != ""))
+
+    def names(document: Column) -> Column:
+        choices = F.flatten(F.transform(document["Choose"], lambda c: F.concat(of_parts(c["When"]), of_parts(c["Otherwise"]))))
+        found = F.concat(some(document["PackageReference"]), of_groups(document["ItemGroup"]), of_parts(document["Target"]), some(choices))
+        return F.filter(F.transform(found, lambda p: F.coalesce(F.nullif(F.trim(p["_Include"]), F.lit("")), F.trim(p["_Update"]))), lambda n: n != "")
+
+    return _of_xml(text, fields, names)
 
 
 def line_names(name: Column, text: Column) -> Column:
