@@ -390,6 +390,19 @@ def body_schemas(found: DataFrame) -> DataFrame:
         level = up.select(*up.columns, *[F.lit(None).cast(leaf.schema[c].dataType).alias(c) for c in ("type", "required", "typed", "seen")])
 
 
+def route_bodies(found: DataFrame) -> DataFrame:
+    """(repository_id, method, path, content_type, schema) of routes that read a body: its fields' schema, uploads among them as strings.
+
+    Several bodies of one method and path that agree are one; where they differ, which one is served is not shown, and there is no row.
+    """
+    upload = F.col("kind") == "multipart_field"
+    fields = found.where(upload | (F.col("kind") == "request_field")).withColumn("value", F.when(upload, F.lit('{"type":"string"}')).otherwise(F.col("value")))
+    schemas = body_schemas(fields.withColumn("kind", F.lit("request_field")))
+    own = found.where("method IS NOT NULL").groupBy("repository_id", "owner", "method", F.col("endpoint").alias("path")).agg(F.bool_or(F.coalesce(upload, F.lit(False))).alias("u"))
+    own = own.withColumn("content_type", F.when(F.col("u"), "multipart/form-data").otherwise("application/json")).join(schemas, ["repository_id", "owner"])
+    return own.groupBy("repository_id", "method", "path").agg(F.count_distinct("content_type", "schema").alias("n"), F.min("content_type").alias("content_type"), F.min("schema").alias("schema")).where("n = 1").drop("n")
+
+
 def enrichment_status(rows: Column, open_rows: Column) -> Column:
     """``enriched``, ``partial`` or ``pending`` by how much was read."""
     return F.when(rows == 0, "pending").when(open_rows > 0, "partial").otherwise("enriched")

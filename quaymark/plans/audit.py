@@ -62,7 +62,7 @@ def zero_hits(found: DataFrame, endpoints: DataFrame, unresolved: DataFrame) ->
 
 
 def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str | None = None, exclude: tuple[str, ...] = (), require_correlation: bool = False) -> dict[str, DataFrame]:
-    """Inventory, detector plan, dependencies, endpoints with contracts, behaviour, unresolved rows, status and findings of one pinned work tree."""
+    """Inventory, detector plan, dependencies, endpoints with contracts, body schemas, behaviour, unresolved rows, status and findings of one pinned work tree."""
     snapshot = verify_snapshot(root, ref)
     name, _ = repository_identity(root, repository_id)
     # Every file is read once; what is made of them reads the rows that are kept.
@@ -102,7 +102,7 @@ def audit(spark: SparkSession, root: str, ref: str = "HEAD", repository_id: str
     state = cut(state.select("repository_id", *facts_.values(), "open", "contract_scope", "correlation_scope", status.alias("status")))
     return {
         "inventory": languages, "passed_over": passed, "technologies": merge_detections(found.withColumn("confidence", F.lit("confirmed")), "path"), "plan": detector_plan(found), "dependencies": manifest_dependencies(files), "endpoints": endpoints,
-        "behaviour": behaviours, "unresolved": unresolved.drop("source"), "status": state, "findings": findings_documents(endpoints, state),
+        "bodies": cut(enrichment.route_bodies(facts)), "behaviour": behaviours, "unresolved": unresolved.drop("source"), "status": state, "findings": findings_documents(endpoints, state),
         "knowledge": render.knowledge_lines(endpoints), "report": render.report_lines(state, endpoints, unresolved),
     }
 

@@ -25,7 +25,7 @@ def audit_pages(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
     exposed = found["endpoints"].where("direction = 'exposed'")
     paths = "paths:" if not exposed.isEmpty() else "paths: {}"
     api = ["openapi: 3.1.0", "info:", f'  title: "{state.repository_id} API"', f'  version: "{state.source_commit[:12]}"', f"x-contract-scope: {state.contract_scope}", paths]
-    return {"audit-report.md": page(front, found["report"]), "api-knowledge.md": page([*front, "# Endpoints"], found["knowledge"]), "openapi.yaml": page(api, render.openapi_lines(found["endpoints"]))}
+    return {"audit-report.md": page(front, found["report"]), "api-knowledge.md": page([*front, "# Endpoints"], found["knowledge"]), "openapi.yaml": page(api, render.openapi_lines(found["endpoints"], found["bodies"]))}
 
 
 def correlation_page(correlated: DataFrame, coverage: DataFrame, consumer_id: str, keys: list[str]) -> dict[str, DataFrame]:

@@ -37,12 +37,26 @@ def require_distinct_paths(groups: DataFrame) -> None:
         raise AmbiguousPath(found[0].shape)
 
 
-def openapi_lines(endpoints: DataFrame) -> DataFrame:
-    """An OpenAPI 3.1 document's ``paths`` as YAML lines by path: methods, ids and path parameters."""
+def openapi_lines(endpoints: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """An OpenAPI 3.1 document's ``paths`` as YAML lines by path: methods, ids, path parameters, bodies and statuses.
+
+    ``bodies`` (method, path, content_type, schema as JSON, which is YAML too) may be left out, and so may the endpoints' ``contract``, which
+    has the statuses. Where source paths of one method and shape differ in either, it is left out.
+    """
     rows = endpoints.where(F.col("direction") == "exposed").withColumn("canonical", canonical_path(F.col("path"))).withColumn("method", F.lower("method"))
     # A path stands once, above its first method, with its source paths if they differ; a method stands once for a path.
     groups = rows.groupBy(F.col("canonical").alias("c")).agg(F.min("method").alias("first"), F.array_sort(F.collect_set("path")).alias("sources"))
-    rows = rows.groupBy("canonical", "method").agg(F.min("endpoint_id").alias("endpoint_id"), F.min("path").alias("path")).join(groups, F.col("canonical") == F.col("c"))
+    codes = F.transform(F.col("contract.response.status_codes"), lambda x: x.cast("string")) if "contract" in rows.columns else F.lit(None).cast("array<string>")
+    if bodies is not None:
+        asked = bodies.select(F.lower("method").alias("method"), canonical_path(F.col("path")).alias("canonical"), F.struct("content_type", "schema").alias("b"))
+        asked = asked.groupBy("canonical", "method").agg(F.count_distinct("b").alias("bs"), F.min("b").alias("body")).where("bs = 1").drop("bs")
+    rows = rows.groupBy("canonical", "method").agg(F.min("endpoint_id").alias("endpoint_id"), F.min("path").alias("path"), F.count_distinct(codes).alias("kinds"), F.min(codes).alias("codes"))
+    rows = rows.join(groups, F.col("canonical") == F.col("c"))
+    rows = rows.join(asked, ["canonical", "method"], "left") if bodies is not None else rows.withColumn("body", F.lit(None).cast("struct<content_type:string,schema:string>"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    body = F.concat(F.lit("      requestBody: {content: {"), quoted(F.col("body.content_type")), F.lit(": {schema: "), F.col("body.schema"), F.lit("}}}"))
+    shown = F.when((F.col("kinds") == 1) & (F.size("codes") > 0), F.col("codes")).otherwise(F.array().cast("array<string>"))
+    answers = F.array_join(F.concat(F.transform(F.array_sort(F.array_distinct(shown)), lambda x: F.concat(quoted(x), F.lit(": {description: shown}"))), F.array(F.lit("default: {description: not demonstrated}"))), ", ")
     top = F.col("method") == F.col("first")
     sources = F.when(top & (F.size("sources") > 1), F.concat(F.lit("    x-source-paths:\n"), F.array_join(F.transform("sources", lambda p: F.concat(F.lit("    - "), F.to_json(F.array(p)).substr(F.lit(2), F.length(F.to_json(F.array(p))) - 2))), "\n")))
     operation = F.concat(F.col("method"), F.left(F.sha2("endpoint_id", 256), F.lit(12)))
@@ -50,8 +64,8 @@ def openapi_lines(endpoints: DataFrame) -> DataFrame:
     parameters = F.when(n > 0, F.concat(F.lit("      parameters:\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(F.lit("      - {name: param"), k.cast("string"), F.lit(", in: path, required: true, schema: {type: string}}"))), "\n")))
     return lines(
         rows, [F.col("canonical"), F.col("method")],
-        F.when(top, F.concat(F.lit("  "), F.col("canonical"), F.lit(":"))), sources, F.concat(F.lit("    "), F.col("method"), F.lit(":")), F.concat(F.lit("      operationId: "), operation), parameters,
-        F.lit("      responses: {default: {description: not demonstrated}}"),
+        F.when(top, F.concat(F.lit("  "), F.col("canonical"), F.lit(":"))), sources, F.concat(F.lit("    "), F.col("method"), F.lit(":")), F.concat(F.lit("      operationId: "), operation), parameters, body,
+        F.concat(F.lit("      responses: {"), answers, F.lit("}")),
     )
 
 

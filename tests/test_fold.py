@@ -4,6 +4,7 @@ import json
 import random
 
 from quaymark.operators import enrichment
+from quaymark.plans import render
 
 
 def test_fold_equals_a_plain_merge(spark):
@@ -44,3 +45,28 @@ def test_fold_equals_a_plain_merge(spark):
 def test_fold_of_nothing(spark):
     rows = spark.createDataFrame([], "repository_id string, owner string, method string, kind string, name string, value string, line int")
     assert enrichment.body_schemas(rows).collect() == []
+
+
+FACTS = "repository_id string, owner string, method string, endpoint string, kind string, name string, value string, line int"
+
+
+def test_bodies_of_routes(spark):
+    """Uploads are fields; equal bodies of one route are one, differing ones none; facts of functions without a route have no body."""
+    rows = [
+        ("r", "1", "POST", "/a/{x}", "request_field", "n.[].m", '{"type":"integer","required":true}', 2), ("r", "1", "POST", "/a/{x}", "multipart_field", "file", None, 3), ("r", "1", "POST", "/a/{x}", "status_code", "201", None, 4),
+        ("r", "2", "PUT", "/b", "request_field", "k", "{}", 2), ("r", "3", "PUT", "/b", "request_field", "k", "{}", 9), ("r", "4", "PUT", "/c", "request_field", "k", "{}", 2), ("r", "5", "PUT", "/c", "request_field", "l", "{}", 2),
+        ("s", "1", "PUT", "/c", "request_field", "k", "{}", 2), ("r", "6", None, None, "request_field", "k", "{}", 2), ("r", "7", "GET", "/d", "status_code", "200", None, 1),
+    ]
+    found = {(r.repository_id, r.method, r.path): (r.content_type, json.loads(r.schema)) for r in enrichment.route_bodies(spark.createDataFrame(rows, FACTS)).collect()}
+    k = ("application/json", {"type": "object", "properties": {"k": {}}})
+    item = {"type": "object", "properties": {"m": {"type": "integer"}}, "required": ["m"]}
+    assert found == {("r", "POST", "/a/{x}"): ("multipart/form-data", {"type": "object", "properties": {"file": {"type": "string"}, "n": {"type": "array", "items": item}}}), ("r", "PUT", "/b"): k, ("s", "PUT", "/c"): k}
+
+
+def test_bodies_in_openapi(spark):
+    codes = "struct<response:struct<status_codes:array<int>>>"
+    endpoints = spark.createDataFrame([("e1", "exposed", "POST", "/a/{x}", (((201, 400),),)), ("e2", "exposed", "PUT", "/b", ((None,),))], f"endpoint_id string, direction string, method string, path string, contract {codes}")
+    bodies = spark.createDataFrame([("POST", "/a/{x}", "application/json", '{"type":"object"}')], "method string, path string, content_type string, schema string")
+    shown = [r.line for r in render.openapi_lines(endpoints, bodies).orderBy("section", "position").collect()]
+    assert '      requestBody: {content: {"application/json": {schema: {"type":"object"}}}}' in shown and sum("requestBody" in x for x in shown) == 1
+    assert '      responses: {"201": {description: shown}, "400": {description: shown}, default: {description: not demonstrated}}' in shown and "      responses: {default: {description: not demonstrated}}" in shown

@@ -360,6 +360,7 @@ def test_from_audit_to_check(spark, tmp_path):
     assert spark.read.json(out("links", "correlations")).first().consumer_evidence[0].path == "a.js" and spark.read.json(out("checked", "records")).first().evidence[0].line == 2
     read = lambda name, page: (tmp_path / f"out-{name}" / page).read_text().split("\n")
     assert read("old", "openapi.yaml")[0] == "openapi: 3.1.0" and read("old", "openapi.yaml")[6:8] == ["  /orders/{param1}:", "    post:"]
+    assert any(x.startswith("      requestBody: {content: {\"application/json\": {schema: ") and "\"m\"" in x for x in read("old", "openapi.yaml")) and any("\"201\": " in x for x in read("old", "openapi.yaml"))
     assert read("old", "audit-report.md")[:1] == ["---"] and "status: complete" in read("old", "audit-report.md") and "## POST /orders/{id}" in read("old", "api-knowledge.md")
     assert any(x.startswith("| unique_candidate | ") for x in read("links", "correlations.md")) and any(x.startswith("## POST /orders/{} exposed: breaking") for x in read("compared", "compatibility.md"))
     assert read("checked", "consumers.md")[0] == "# What consumers need"
