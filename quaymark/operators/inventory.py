@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.functions.frames import cut, dealt
+
 EVIDENCE_ROWS = 20
 #: Languages by extension.
 LANGUAGES = {
@@ -67,6 +69,10 @@ def merge_detections(found: DataFrame, key: str, confidence: str = "confidence",
 
 #: Characters of a gram.
 GRAM = 3
+#: Texts of one task.
+TEXTS = 50_000
+#: Up to so many grams are sent to all tasks, which drop the others before they shuffle; beyond, none is dropped before.
+MOST_GRAMS = 100_000
 
 
 def grams(text: Column, size: Column | int) -> Column:
@@ -82,19 +88,27 @@ def contained(texts: DataFrame, names: DataFrame, key: str, text: str, name: str
     An inverted index: each name stands under one of its grams, the one that the fewest texts of its key have, and names
     shorter than ``GRAM`` under themselves. Texts ask for each of their grams, and only what they
     find there is compared. The empty name is in every text of its key.
+
+    Files of such columns are far smaller than their rows, so joins are by sorting, whatever size the engine expects.
     """
-    asked, wanted = texts.select(key, text).where(F.col(text).isNotNull()).distinct(), names.select(key, name).where(F.col(name).isNotNull()).distinct()
+    n = texts.count()
+    asked = dealt(texts.select(key, text).where(F.col(text).isNotNull()), n, TEXTS, key, text).distinct()
+    wanted = names.select(key, name).where(F.col(name).isNotNull()).distinct()
     sizes = [r.s for r in wanted.where(F.length(name) > 0).select(F.least(F.length(name), F.lit(GRAM)).alias("s")).distinct().collect()]
-    every = asked.join(wanted.where(F.length(name) == 0), key).select(key, text, name)
+    every = asked.join(F.broadcast(wanted.where(F.length(name) == 0)), key).select(key, text, name)  # a row for each key at most
     if not sizes:
         return every
     held = asked.select(key, text, F.explode(F.concat(*[grams(F.col(text), s) for s in sorted(sizes)])).alias("_g"))
     often = held.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n"))
     own = wanted.where(F.length(name) > 0).select(key, name, F.explode(grams(F.col(name), F.least(F.length(name), F.lit(GRAM)))).alias("_g"))
     # A gram that no text has rules its name out: such a name must not be filed under another gram.
-    rare = own.join(often, [key, "_g"], "left").groupBy(key, name).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("r"))
-    filed = rare.where("r.n > 0").select(key, name, F.col("r._g").alias("_g"))
-    return held.join(filed, [key, "_g"]).where(F.col(text).contains(F.col(name))).select(key, text, name).unionByName(every)
+    rare = own.join(often.hint("merge"), [key, "_g"], "left").groupBy(key, name).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("r"))
+    filed = cut(rare.where("r.n > 0").select(key, name, F.col("r._g").alias("_g")))
+    places = filed.select(key, "_g").distinct()
+    if places.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS:
+        held = held.join(F.broadcast(places), [key, "_g"], "left_semi")
+    found = dealt(held, n, TEXTS, key, "_g").join(filed.hint("merge"), [key, "_g"])
+    return found.where(F.col(text).contains(F.col(name))).select(key, text, name).unionByName(every)
 
 
 def match_dependencies(declared: DataFrame, known: DataFrame) -> DataFrame:
@@ -104,13 +118,13 @@ def match_dependencies(declared: DataFrame, known: DataFrame) -> DataFrame:
     """
     k = known.select(F.col("ecosystem").alias("e"), "name", "mode")
     same, columns = F.col("ecosystem") == F.col("e"), [*declared.columns, "name", "mode"]
-    exact = declared.join(k.where("mode = 'exact'"), same & (F.col("dependency") == F.col("name")))
+    exact = declared.join(k.where("mode = 'exact'").hint("merge"), same & (F.col("dependency") == F.col("name")))
     held = contained(declared.select("ecosystem", "dependency"), k.where("mode = 'contains'").select(F.col("e").alias("ecosystem"), "name"), "ecosystem", "dependency", "name")
     held = held.select(F.col("ecosystem").alias("e"), F.col("dependency").alias("_d"), "name", F.lit("contains").alias("mode"))
-    contains = declared.join(held, same & (F.col("dependency") == F.col("_d")))
+    contains = declared.join(held.hint("merge"), same & (F.col("dependency") == F.col("_d")))
     parts = F.split("dependency", r"\.", -1)
     starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    prefix = declared.where("dependency IS NOT NULL").withColumn("_start", F.explode(starts)).join(k.where("mode IS NULL OR mode NOT IN ('exact', 'contains')"), same & (F.col("_start") == F.col("name")))
+    prefix = declared.where("dependency IS NOT NULL").withColumn("_start", F.explode(starts)).join(k.where("mode IS NULL OR mode NOT IN ('exact', 'contains')").hint("merge"), same & (F.col("_start") == F.col("name")))
     return exact.select(*columns).unionByName(contains.select(*columns)).unionByName(prefix.select(*columns))
 
 

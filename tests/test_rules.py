@@ -42,3 +42,14 @@ def test_names_within_texts(spark):
     found = inventory.contained(spark.createDataFrame(texts, "k string, t string"), spark.createDataFrame(names, "k string, n string"), "k", "t", "n")
     assert {(r.k, r.t, r.n) for r in found.collect()} == {(k, t, n) for k, t in texts for j, n in names if k == j and t is not None and n is not None and n in t}
     assert found.count() == found.select(F.countDistinct(F.struct("k", "t", "n"))).first()[0]
+
+
+def test_names_are_joined_without_sending_texts_to_all_tasks(spark):
+    """However small the engine expects the tables to be: only empty names and distinct grams, both bounded, are sent to all tasks."""
+    declared = spark.createDataFrame([("e", "a.bcd.1"), ("e", "xa"), ("f", "a.bcd"), ("e", None)], "ecosystem string, dependency string")
+    known = spark.createDataFrame([("e", "bcd", "contains"), ("e", "a", "contains"), ("e", "xa", "exact"), ("e", "a.bcd", "prefix"), ("f", "", "contains")], "ecosystem string, name string, mode string")
+    found = inventory.match_dependencies(declared, known)
+    want = {("a.bcd.1", "bcd", "contains"), ("a.bcd.1", "a", "contains"), ("xa", "a", "contains"), ("xa", "xa", "exact"), ("a.bcd.1", "a.bcd", "prefix"), ("a.bcd", "", "contains")}
+    assert {(r.dependency, r.name, r.mode) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and plan.count("BroadcastHashJoin") == 2
