@@ -1,10 +1,11 @@
 """Digests of JSON documents as trees, made by Spark from their leaves up.
 
-A document is broken into its leaves, each with the objects and arrays above it; then the deepest level is
-summed into its parents, and so on to the root. Digests have 128 bits, two 64-bit hashes: enough to tell artifacts apart, not to
-withstand forgery. What enters a parent's sum is a hash of a child's
-key (in an object), place (in an array) or of nothing but itself (in an array whose order has no meaning), and
-its digest; so no level has to be gathered in order. Texts never leave the JVM.
+What enters a parent's sum is a hash of a child's key (in an object), place (in an array) or of nothing but itself (in an array
+whose order has no meaning), and its digest; so no level has to be gathered in order. Digests have 128 bits, two 64-bit hashes:
+enough to tell artifacts apart, not to withstand forgery. Texts never leave the JVM.
+
+A document of up to ``SHALLOW`` levels is summed within its row. A deeper one is broken into its leaves, each with the objects and arrays
+above it; then the deepest level is summed into its parents, and so on to the root. Both give the same digest.
 """
 
 from __future__ import annotations
@@ -12,6 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaymark.functions.frames import dealt
+
+#: Objects and arrays in one another that are summed within a row.
+SHALLOW = 8
+#: Characters of documents in one task.
+TEXT_OF_TASK = 8 << 20
 #: Keys of an artifact that change from run to run, and arrays whose order has no meaning.
 VOLATILE = ("generated_at", "audit_timestamp", "audit_id", "dirty")
 SET_LIKE = ("fields", "required_fields", "optional_fields", "schemes", "status_codes", "notes", "required")
@@ -62,17 +69,50 @@ def folded(rows: DataFrame, key: str, level: int) -> DataFrame:
     return sums.select(key, F.slice("group", 1, F.size("group") - 1).alias("above"), last["label"].alias("label"), last["at"].alias("at"), *up)
 
 
+def row_digest(value: Column, name: Column, levels: int, volatile: tuple[str, ...], set_like: tuple[str, ...]) -> Column:
+    """Both hashes of a value with at most so many objects and arrays in one another, as ``leaves`` and ``folded`` make them."""
+    text = F.coalesce(F.to_json(value), F.lit("null"))
+    hashed = lambda t: F.struct(*[F.xxhash64(t, F.lit(k)).alias(f"h{k}") for k in (0, 1)])
+    if levels == 0:
+        return hashed(text)
+    child = lambda label, name_, v: F.struct(label.alias("label"), name_.alias("name"), v.alias("v"))
+    entries = F.filter(F.map_entries(value.try_cast("map<string,variant>")), lambda e: ~e["key"].isin(*volatile) if volatile else F.lit(True))
+    free = name.isin(*set_like) if set_like else F.lit(False)
+    by_key = F.transform(entries, lambda e: child(F.concat(F.lit("k:"), e["key"]), e["key"], e["value"]))
+    by_place = F.transform(value.try_cast("array<variant>"), lambda x, k: child(F.when(free, "s").otherwise(F.concat(F.lit("i:"), k.cast("string"))), F.lit(""), x))
+
+    def of(parts: Column) -> Column:
+        kind = F.when(parts[0]["label"].startswith("k:"), "OBJECT").otherwise("ARRAY")
+        told = F.transform(parts, lambda c: F.struct(c["label"].alias("label"), row_digest(c["v"], c["name"], levels - 1, volatile, set_like).alias("d")))
+        none = F.lit(0).cast("decimal(38,0)")
+        more = lambda s, c, k: (s[f"sum{k}"] + F.xxhash64(c["label"], c["d"]["h0"], c["d"]["h1"], F.lit(k))).cast("decimal(38,0)").alias(f"sum{k}")
+        sums = F.aggregate(told, F.struct(none.alias("sum0"), none.alias("sum1")), lambda s, c: F.struct(more(s, c, 0), more(s, c, 1)), lambda s: F.struct(*[F.xxhash64(kind, s["sum0"], s["sum1"], F.lit(k)).alias(f"h{k}") for k in (0, 1)]))
+        # Of what is empty but for volatile keys nothing is left to tell.
+        empty = F.when(parts.isNotNull(), F.when(F.left(text, F.lit(1)) == "{", "{}").otherwise("[]"))
+        return F.when(F.size(parts) > 0, sums).otherwise(hashed(F.coalesce(empty, text)))
+
+    # An array of one has the parts made once.
+    return F.transform(F.array(F.coalesce(by_key, by_place)), of)[0]
+
+
 def document_digests(rows: DataFrame, key: str, document: str, volatile: tuple[str, ...] = VOLATILE, set_like: tuple[str, ...] = SET_LIKE) -> DataFrame:
     """(key, digest) of JSON documents: equal ones differ at most in key order, blanks, volatile keys and the order of set-like arrays.
 
     Text that is no JSON has a null digest, and so has a null. Keys must be unique: rows of one key would be one document.
     """
+    opened = F.length(document) - F.length(F.translate(F.col(document), "[{", ""))
+    deep = lambda v: F.when(opened > SHALLOW, depth_of(v)) > SHALLOW
+    v = F.try_parse_json(F.col(document))
+    told = rows.agg(F.sum(F.length(document)).alias("n"), F.max(opened).alias("most"), F.max(F.when(opened > SHALLOW, depth_of(v))).alias("d")).first()
+    text = lambda h: F.concat(*[F.lpad(F.hex(h[f"h{k}"]), 16, "0") for k in (0, 1)])
     # A document is in one task as a row already; dealt by key once, no level is shuffled.
-    parsed = rows.select(key, document).repartition(F.col(key)).select(key, F.try_parse_json(F.col(document)).alias("v"))
-    known = parsed.where("v IS NOT NULL")
-    depth = known.select(F.coalesce(F.max(depth_of(F.col("v"))), F.lit(0)).alias("d")).first().d
-    found = leaves(known, key, depth, volatile, set_like)
-    for level in range(depth, 0, -1):
+    parsed = dealt(rows.select(key, document), told.n, TEXT_OF_TASK, F.col(key)).select(key, document, v.alias("v"))
+    whole = lambda x: F.when(x.isNotNull(), row_digest(x, F.lit(""), min(SHALLOW, told.most or 0), volatile, set_like))
+    in_row = lambda r: r.select(key, text(F.transform(F.array("v"), whole)[0]).alias("digest"))
+    if (told.d or 0) <= SHALLOW:
+        return in_row(parsed)
+    is_deep = F.coalesce(deep(F.col("v")), F.lit(False))
+    found = leaves(parsed.where(is_deep).select(key, "v"), key, told.d, volatile, set_like)
+    for level in range(told.d, 0, -1):
         found = folded(found, key, level)
-    digest = F.concat(*[F.lpad(F.hex(f"h{k}"), 16, "0") for k in (0, 1)])
-    return found.select(key, digest.alias("digest")).unionByName(parsed.where("v IS NULL").select(key, F.lit(None).cast("string").alias("digest")))
+    return in_row(parsed.where(~is_deep)).unionByName(found.select(key, text(found).alias("digest")))

@@ -89,3 +89,24 @@ def test_conflicting_snapshots_are_refused(spark, tmp_path, change):
 def test_depth(spark):
     rows = spark.createDataFrame([("1",), ('{"a":[{"b":[[]]}],"c":"[[[["}',), ("[]",)], "t string")
     assert [r.d for r in rows.select(trees.depth_of(F.try_parse_json("t")).alias("d")).collect()] == [0, 5, 1]
+
+
+def test_digests_within_a_row_and_by_levels_agree(spark, monkeypatch):
+    """Documents are dealt by their text; only deep ones are broken into rows, and what is deep in volatile keys only equals what is not."""
+    deep = "[" * 11 + '{"a":[[1]]}' + "]" * 11
+    texts = ['{"a":[1,{"b":null}],"fields":["x",[2,{}]]}', '{"fields":[[2,{}],"x"],"a":[1,{"b":null}]}', '{"a":1,"dirty":' + deep + "}", '{"a":1}', deep, deep.replace("1", "2"), "[]", '{"dirty":1}', "{}", "null", '"{[{[{[{[{["', "{", None, "[{},[]]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    monkeypatch.setattr(trees, "TEXT_OF_TASK", 20)
+    told = lambda: {r.k: r.digest for r in trees.document_digests(rows, "k", "t").collect()}
+    in_rows = told()
+    monkeypatch.setattr(trees, "SHALLOW", 0)
+    assert told() == in_rows and len(in_rows) == len(texts)
+    monkeypatch.setattr(trees, "SHALLOW", 2)
+    assert told() == in_rows
+    same = [(j, k) for j in range(len(texts)) for k in range(j) if in_rows[j] is not None and in_rows[j] == in_rows[k]]
+    assert same == [(1, 0), (3, 2), (8, 7)] and [k for k, d in in_rows.items() if d is None] == [11, 12]
+    monkeypatch.setattr(trees, "SHALLOW", 8)
+    shallow = rows.where("k NOT IN (2, 4, 5)")
+    found = trees.document_digests(shallow, "k", "t")
+    assert found.rdd.getNumPartitions() == -(-sum(len(t or "") for k, t in enumerate(texts) if k not in (2, 4, 5)) // 20)
+    assert "Aggregate" not in found._jdf.queryExecution().sparkPlan().toString()
