@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -15,7 +17,8 @@ SCHEMES = ("bearer", "basic", "digest", "token")
 
 
 def _any_of(names: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(n.replace(" ", "[_-]?") for n in names) + ")"
+    """One of some names; most places are passed over by their first letter."""
+    return "(?=[" + "".join(sorted({n[0] for n in names})) + "])(?:" + "|".join(n.replace(" ", "[_-]?") for n in names) + ")"
 
 
 #: A quote, which may be escaped; a bare value, which may be hidden already; what stands between a name and its value.
@@ -36,11 +39,32 @@ _HIDING = (
 )
 
 
-def redact(text: Column) -> Column:
-    """Values of credentials hidden; names, mechanisms, quotes and what follows are kept. Hiding twice changes nothing."""
+#: What a text must hold, in lower case, for the patterns of ``_HIDING`` with these places; hiding adds none of it.
+_HIDING_ASKS = ((("\"", "'"), (0, 1)), ((":", "="), (2,)), (("authorization",), (3,)), (("?", "&"), (4,)), (("://",), (5,)))
+
+
+def _hiding(marks: tuple[str, ...], places: tuple[int, ...]) -> Callable[[Column], Column]:
+    """Some of the patterns, tried on texts that hold one of the marks."""
     shown = HIDDEN.replace("[", r"\[")
-    for pattern, kept in _HIDING:
-        text = F.regexp_replace(text, pattern, kept.format(shown))
+
+    def step(x: Column) -> Column:
+        asked, hidden = F.lit(False), x
+        for m in marks:
+            asked = asked | F.contains(F.lower(x) if m.isalpha() else x, F.lit(m))
+        for k in places:
+            hidden = F.regexp_replace(hidden, F.lit(_HIDING[k][0]), F.lit(_HIDING[k][1].format(shown)))
+        return F.when(asked, hidden).otherwise(x)
+
+    return step
+
+
+def redact(text: Column) -> Column:
+    """Values of credentials hidden; names, mechanisms, quotes and what follows are kept. Hiding twice changes nothing.
+
+    Patterns are tried only on texts that hold the marks they need.
+    """
+    for marks, places in _HIDING_ASKS:
+        text = F.transform(F.array(text), _hiding(marks, places))[0]  # an array of one, so that what went before is made once
     return text
 
 

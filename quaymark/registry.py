@@ -718,12 +718,14 @@ def front_matter(spark, d):
  SELECT c_custkey, said <> hidden AS secret, false AS secret_after, hidden AS in_struct, hidden AS in_array, hidden AS in_key, hidden AS in_value FROM c""")
 def nested_secrets(spark, d):
     """Credentials in structs, arrays of structs, and keys and values of maps: found before and gone after they are hidden."""
-    from quaymark.functions import nested
+    from quaymark.functions import frames, nested
 
+    customer = _read(spark, d, "customer")
+    customer = frames.dealt(customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), customer.count(), 20_000, "c_custkey")  # a small file is one task
     key = F.col("c_custkey")
     held = F.when(key % 3 == 0, F.concat(F.lit(" password="), "c_nationkey")).when(key % 3 == 1, F.concat(F.lit(" passwords "), "c_nationkey")).otherwise(F.concat(F.lit(" api_key="), "c_nationkey", F.lit(" password="), "c_custkey"))
     said = F.concat("c_name", held, F.lit(" in "), "c_mktsegment").alias("said")
-    deep = _read(spark, d, "customer").select("c_custkey", said).select("c_custkey", F.struct(F.struct("said").alias("a"), F.array(F.struct("said")).alias("b"), F.create_map("said", F.array("said")).alias("c")).alias("s"))
+    deep = customer.select("c_custkey", said).select("c_custkey", F.struct(F.struct("said").alias("a"), F.array(F.struct("said")).alias("b"), F.create_map("said", F.array("said")).alias("c")).alias("s"))
     kind = deep.schema["s"].dataType
     shown = nested.each_text(F.col("s"), kind, text.redact)
     rows = deep.select("c_custkey", "s", shown.alias("t"))

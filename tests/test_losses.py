@@ -78,3 +78,23 @@ def test_deep_chains_are_followed_as_far_as_asked(spark):
     for most, paths, whole in ((1, [], [False]), (2, ["https://h.x/a"], [True])):
         calls, functions = wrappers.wrapped_calls(tree(spark, ("r", "a.php", code)), most)
         assert [r.url for r in calls.collect()] == paths and [r.whole for r in functions.collect()] == whole
+
+
+def test_hiding_by_marks_equals_all_patterns(spark, sf_dir):
+    """Patterns are passed over only where they would change nothing, whatever they hid before; a small file's rows are dealt to several tasks."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quaymark import registry
+    from quaymark.functions import text
+
+    rng = random.Random(2)
+    pieces = ["password", "Api-Key", "client_secret", "SESSION token", "Authorization", "sig", "token", ":", "=", " ", '"', "'", '\\"', "?", "&", "://", "@", "bearer ", "x", "null", "[REDACTED]", "{", "}", ",", "\n", "Key", "a"]
+    rows = spark.createDataFrame([(k, "".join(rng.choices(pieces, k=rng.randrange(12)))) for k in range(4000)] + [(4000, None)], "k int, t string")
+    plain = F.col("t")
+    for pattern, kept in text._HIDING:
+        plain = F.regexp_replace(plain, re.sub(r"\(\?=\[[a-z]+\]\)", "", pattern), kept.format(text.HIDDEN.replace("[", r"\[")))
+    assert rows.where(~text.redact(F.col("t")).eqNullSafe(plain)).collect() == [] and rows.where(plain != F.col("t")).count() > 100
+    assert "REPARTITION_BY_NUM" in registry.queries()["nested_secrets"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
