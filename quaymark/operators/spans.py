@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.functions.frames import cut, dealt
+
 #: Spans of up to 16 ** k numbers have places of that size, up to this k.
 MOST_DIGITS = 15
 
@@ -29,6 +31,8 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: list[str], poi
 
 #: Numbers in a block of the sweep.
 BLOCK = 1 << 16
+#: Starts, ends and points that one task sorts.
+SWEPT = 500_000
 
 
 def innermost_scope(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, at: str, start: str, end: str, name: str, block: int = BLOCK) -> DataFrame:
@@ -41,6 +45,7 @@ def innermost_scope(points: DataFrame, spans: DataFrame, keys: list[str], point_
     Starts, ends and points are sorted together in blocks of ``block`` numbers. How many spans are open is a running
     sum; the innermost span at a depth is the last one that started there, in the block or before it. What a block
     hands to later ones is a row for each depth, so a key's rows are never sorted in one task, and the work is linear but for sorting.
+    Only a span that ends in a later block is handed on. What each block adds is counted first; the number of tasks follows from it.
     """
     place = lambda x: F.floor(F.col(x) / F.lit(block)).cast("bigint").alias("_block")
     none = lambda kind, alias: F.lit(None).cast(kind).alias(alias)
@@ -48,17 +53,20 @@ def innermost_scope(points: DataFrame, spans: DataFrame, keys: list[str], point_
     held = spans.where(F.col(start) < F.col(end))
     # At one place spans end first, then start, the longest first, then come points.
     rows = held.select(*keys, place(end), F.col(end).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), none("bigint", "_size"), F.lit(-1).alias("_step"), none(named, "_name"), none(points.schema[point_id].dataType, "_id"))
-    rows = rows.unionByName(held.select(*keys, place(start), F.col(start).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), (F.col(start) - F.col(end)).cast("bigint").alias("_size"), F.lit(1).alias("_step"), F.col(name).alias("_name"), none(points.schema[point_id].dataType, "_id")))
-    rows = rows.unionByName(points.select(*keys, place(at), F.col(at).cast("bigint").alias("_at"), F.lit(2).alias("_kind"), none("bigint", "_size"), F.lit(0).alias("_step"), none(named, "_name"), F.col(point_id).alias("_id")))
+    rows = rows.unionByName(held.select(*keys, place(start), F.col(start).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), (F.col(start) - F.col(end)).cast("bigint").alias("_size"), F.lit(1).alias("_step"), F.col(name).alias("_name"), none(points.schema[point_id].dataType, "_id"), (place(end) > place(start)).alias("_on")), allowMissingColumns=True)
+    rows = rows.unionByName(points.select(*keys, place(at), F.col(at).cast("bigint").alias("_at"), F.lit(2).alias("_kind"), none("bigint", "_size"), F.lit(0).alias("_step"), none(named, "_name"), F.col(point_id).alias("_id")), allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = rows.groupBy(*keys, "_block").agg(F.sum("_step").alias("_net")).select(*keys, "_block", F.coalesce(F.sum("_net").over(before), F.lit(0)).alias("_open"))
+    counted = cut(rows.groupBy(*keys, "_block").agg(F.sum("_step").alias("_net"), F.count(F.lit(1)).alias("_n")))
+    # A block begins with what is open before it.
+    opened = counted.select(*keys, "_block", F.lit(None).cast("bigint").alias("_at"), F.lit(-1).alias("_kind"), none("bigint", "_size"), F.coalesce(F.sum("_net").over(before), F.lit(0)).alias("_step"), none(named, "_name"), none(points.schema[point_id].dataType, "_id"))
     order = ["_at", "_kind", "_size", "_name"]
     so_far = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    swept = rows.join(opened, [*keys, "_block"]).withColumn("_depth", F.col("_open") + F.sum("_step").over(so_far)).where("_kind > 0")
+    blocks = dealt(rows.withColumn("_step", F.col("_step").cast("bigint")).unionByName(opened, allowMissingColumns=True), counted.agg(F.sum("_n")).first()[0], SWEPT, *keys, "_block")
+    swept = blocks.withColumn("_depth", F.sum("_step").over(so_far)).where("_kind > 0")
     inside = Window.partitionBy(*keys, "_block", "_depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     swept = swept.withColumn("_in", F.last("_name", ignorenulls=True).over(inside))
     # What is still open from an earlier block: the last start at that depth, a row for each block and depth.
-    handed = swept.where("_kind = 1").groupBy(*keys, "_block", "_depth").agg(F.max_by("_name", F.struct("_at", "_size", "_name")).alias("_last"))
+    handed = swept.where("_kind = 1 AND _on").groupBy(*keys, "_block", "_depth").agg(F.max_by("_name", F.struct("_at", "_size", "_name")).alias("_last"))
     asked = swept.where("_kind = 2 AND _in IS NULL AND _depth > 0").select(*keys, "_block", "_depth").distinct()
     both = handed.unionByName(asked.withColumn("_last", none(named, "_last")))
     earlier = Window.partitionBy(*keys, "_depth").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)

@@ -39,3 +39,14 @@ def test_integrations_are_laid_onto_routes(spark):
     calls = spark.createDataFrame([("r", "a.php", 4, "Login", "x.wsdl"), ("r", "a.php", 7, "Outside", "x.wsdl"), ("r", "a.php", 9, "Helper", "x.wsdl"), ("q", "a.php", 4, "Other", "x.wsdl")], "repository_id string, path string, line int, operation string, target string")
     laid = enrichment.laid_onto_routes(facts, calls).where("kind = 'outbound_soap' AND value = 'x.wsdl'").collect()
     assert sorted((r.owner, r.endpoint, r.name) for r in laid) == [("GET /a", "/a", "Login"), ("help", None, "Helper")]
+
+
+def test_blocks_are_dealt_by_the_rows_they_hold(spark, monkeypatch):
+    """The number of tasks grows with spans and points, and only spans that go on in a later block are handed there."""
+    monkeypatch.setattr(spans, "SWEPT", 10)
+    held = [("f", 0, 400, "all"), ("f", 5, 35, "a"), ("f", 35, 50, "b"), ("f", 36, 40, "c"), ("f", 120, 170, "d")] + [("f", k, k + 1, f"s{k}") for k in range(200, 240)]
+    points = [(at, "f", at) for at in range(-5, 405, 5)]
+    found = spans.innermost_scope(spark.createDataFrame(points, "id int, f string, at int"), spark.createDataFrame(held, "f string, lo int, hi int, name string"), ["f"], "id", "at", "lo", "hi", "name", 20)
+    assert {r.id: r.name for r in found.collect()} == {at: min(((hi - lo, name) for _, lo, hi, name in held if lo <= at < hi), default=(0, None))[1] for at, _, _ in points}
+    tasks = -(-(2 * len(held) + len(points)) // 10)
+    assert f", {tasks}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
