@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.functions.frames import cut
+from quaymark.functions.frames import cut, dealt
 from quaymark.functions.text import literal, mask_code, matching, split_top, statements
 from quaymark.operators.reach import reachable
 from quaymark.operators.spans import innermost_scope
@@ -345,16 +345,21 @@ def semantic_status(rows: DataFrame) -> DataFrame:
 
 
 def _quoted(text: Column) -> Column:
-    """A JSON string."""
+    """A JSON string; printable ASCII without quotes and backslashes needs no escapes."""
     whole = F.to_json(F.array(text))
-    return whole.substr(F.lit(2), F.length(whole) - 2)
+    return F.when(text.rlike(r"[^ !#-\[\]-~]"), whole.substr(F.lit(2), F.length(whole) - 2)).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
+#: Fields of bodies in one task.
+FIELDS = 200_000
 
 
 def body_schemas(found: DataFrame) -> DataFrame:
     """(repository_id, owner, schema as canonical JSON) of each route's request fields.
 
     The fields' dotted paths are a tree, which is folded from its deepest level up: one aggregation by parent a
-    level, which makes a node's JSON of its children's. Required names are united; of a field that is read several
+    level, which makes a node's JSON of its children's; what stands higher is a group of its own. An owner's schema is one row, so
+    its fields are dealt by owner once, and no level is shuffled. Required names are united; of a field that is read several
     times the first type and requiredness by line count; what has items is an array, and what has properties an
     object, unless a type was read before.
     """
@@ -362,17 +367,17 @@ def body_schemas(found: DataFrame) -> DataFrame:
     first = lambda value: F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), at))
     kind, need = F.get_json_object("value", "$.type"), F.get_json_object("value", "$.required").cast("boolean")
     fields = found.where("method IS NOT NULL AND kind = 'request_field'").select("repository_id", "owner", "name", "line", kind.alias("t"), need.alias("r"))
-    node = ["repository_id", "owner", "p"]
+    node = ["repository_id", "owner", "depth", "p"]
     leaf = fields.groupBy("repository_id", "owner", "name").agg(first(F.col("t")).alias("type"), first(F.col("r")).alias("required"), F.min(F.when(F.col("t").isNotNull(), at)).alias("typed"), F.min(at).alias("seen"))
     nothing = {"key": "string", "json": "string", "kept": "boolean", "below": leaf.schema["seen"].dataType.simpleString()}
-    leaf = cut(leaf.withColumn("p", F.split("name", r"\.", -1)).drop("name").select("*", *[F.lit(None).cast(k).alias(c) for c, k in nothing.items()]))
-    depth = leaf.select(F.coalesce(F.max(F.size("p")), F.lit(0)).alias("d")).first().d
-    level = None
-    for d in range(depth, -1, -1):
-        own = leaf.where(F.size("p") == d)
-        rows = own if level is None else own.unionByName(level)
+    leaf = cut(leaf.where("name IS NOT NULL").withColumn("depth", F.size(F.split("name", r"\.", -1))).withColumnRenamed("name", "p"))
+    told = leaf.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    rows = dealt(leaf, told.n, FIELDS, "repository_id", "owner").select("*", *[F.lit(None).cast(k).alias(c) for c, k in nothing.items()])
+    for d in range(told.d, -1, -1):
         named = F.col("key").isNotNull() & (F.col("key") != "[]")
-        nodes = rows.groupBy(*node).agg(
+        # Names are single, and below the deepest level there is nothing to gather.
+        texts = F.array().cast("array<string>")
+        nodes = rows.withColumns({"any": F.col("below"), "kids": texts, "items": F.col("json"), "names": texts}) if d == told.d > 0 else rows.groupBy(*node).agg(
             F.max("type").alias("type"), F.max("required").alias("required"), F.min("typed").alias("typed"), F.min("seen").alias("seen"), F.min(F.when(named, F.col("below"))).alias("below"), F.min("below").alias("any"),
             F.array_sort(F.collect_list(F.when(named, F.concat(_quoted(F.col("key")), F.lit(":"), F.col("json"))))).alias("kids"), F.max(F.when(F.col("key") == "[]", F.col("json"))).alias("items"),
             F.array_sort(F.collect_set(F.when(named & F.col("kept"), _quoted(F.col("key"))))).alias("names"),
@@ -386,8 +391,13 @@ def body_schemas(found: DataFrame) -> DataFrame:
         json_ = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
         if d == 0:
             return nodes.select("repository_id", "owner", json_.alias("schema"))
-        up = nodes.select("repository_id", "owner", F.slice("p", 1, d - 1).alias("p"), F.element_at("p", -1).alias("key"), json_.alias("json"), F.col("required").alias("kept"), F.least("seen", "any").alias("below"))
-        level = up.select(*up.columns, *[F.lit(None).cast(leaf.schema[c].dataType).alias(c) for c in ("type", "required", "typed", "seen")])
+        here, key = F.col("depth") == d, F.substring_index("p", ".", -1)
+        above = F.lit("") if d == 1 else F.left("p", F.length("p") - F.length(key) - 1)
+        up = {"key": key, "json": json_, "kept": F.col("required"), "below": F.least("seen", "any")}
+        rows = nodes.select(
+            "repository_id", "owner", F.when(here, d - 1).otherwise(F.col("depth")).alias("depth"), F.when(here, above).otherwise(F.col("p")).alias("p"),
+            *[F.when(~here, F.col(c)).alias(c) for c in ("type", "required", "typed", "seen")], *[F.when(here, x).alias(c) for c, x in up.items()],
+        )
 
 
 def route_bodies(found: DataFrame) -> DataFrame:

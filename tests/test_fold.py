@@ -70,3 +70,17 @@ def test_bodies_in_openapi(spark):
     shown = [r.line for r in render.openapi_lines(endpoints, bodies).orderBy("section", "position").collect()]
     assert '      requestBody: {content: {"application/json": {schema: {"type":"object"}}}}' in shown and sum("requestBody" in x for x in shown) == 1
     assert '      responses: {"201": {description: shown}, "400": {description: shown}, default: {description: not demonstrated}}' in shown and "      responses: {default: {description: not demonstrated}}" in shown
+
+
+def test_fields_are_dealt_by_owner_once(spark, monkeypatch):
+    """The number of tasks grows with the fields, and one shuffle serves all levels; names that need escapes keep them."""
+    monkeypatch.setattr(enrichment, "FIELDS", 2)
+    rows = [("r", str(k), "POST", "request_field", name, '{"type":"string","required":true}', 1) for k in range(3) for name in ("a.[].b.c", 'q"\\\n~', "a.é")]
+    found = enrichment.body_schemas(spark.createDataFrame(rows, "repository_id string, owner string, method string, kind string, name string, value string, line int"))
+    text = {"type": "string"}
+    c = {"type": "object", "properties": {"c": text}, "required": ["c"]}
+    item = {"type": "object", "properties": {"b": c}}
+    want = {"type": "object", "properties": {"a": {"type": "array", "items": item, "properties": {"é": text}, "required": ["é"]}, 'q"\\\n~': text}, "required": ['q"\\\n~']}
+    assert [json.loads(r.schema) for r in found.collect()] == [want] * 3
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and ", 5), REPARTITION_BY_NUM" in plan
