@@ -825,6 +825,7 @@ _MANIFESTS = ("composer.json", "package.json", "pom.xml", "App.csproj", "require
  CASE WHEN NOT bad THEN NULL WHEN f IN (0, 1) THEN 'JSONDecodeError' WHEN f IN (2, 3) THEN 'ParseError' ELSE 'TOMLDecodeError' END AS error FROM b""")
 def manifest_dependencies(spark, d):
     """Each order as a manifest of its parts, in one of nine formats by key; some are cut off before their end, and parts may repeat."""
+    from quaymark.functions import frames
     from quaymark.sources import manifests
 
     forms = (
@@ -833,7 +834,8 @@ def manifest_dependencies(spark, d):
         ("<Project><ItemGroup>{}<Reference Include='no'/></ItemGroup></Project>", "<PackageReference Include='P.<p>' Version='1'/>", ""), ("# no\n{}\n", "P_<p>>=1", "\n"), ("module h.io/no\nrequire (\n{}\n)\n", "\th.io/p<p> v1.0.<p>", "\n"),
         ("name: no\nenvironment:\n  sdk: x\ndependencies:\n{}\nflutter:\n  no: x\n", "  p<p>:\n    git: x", "\n"), ("source 'no'\n{}\n", "gem 'p<p>', '1'", "\n"), ('[project]\nname = "no"\ndependencies = [{}]', '"P_<p>>=1"', ", "),
     )
-    lines = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("parts"))
+    lineitem = _read(spark, d, "lineitem")
+    lines = frames.dealt(lineitem.select("l_orderkey", "l_partkey"), lineitem.count(), 250_000, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("parts"))
     text, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, (frame, item, between) in enumerate(forms):
         head, tail = frame.format("\0").split("\0")

@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.functions.frames import dealt
+
+#: Characters of files in one task.
+TEXT_OF_TASK = 8 << 20
 #: Ecosystems by a manifest's file name.
 MANIFESTS = {
     "composer.json": "composer", "package.json": "npm", "pyproject.toml": "python", "requirements.txt": "python", "pom.xml": "maven", "build.gradle": "gradle",
@@ -109,7 +113,9 @@ def pubspec_names(files: DataFrame) -> DataFrame:
     """(repository_id, path, dependency) of keys one level below the sections of dependencies.
 
     A file's lines are rows; each takes the last section that began above it, and the depth of that section's first key.
+    Whole files are dealt by their characters, so that lines are made where they are sorted.
     """
+    files = dealt(files, files.agg(F.sum(F.length("text"))).first()[0], TEXT_OF_TASK, "repository_id", "path")
     lines = files.select("repository_id", "path", F.posexplode(F.split("text", r"\r\n|\r|\n", -1)).alias("n", "line"))
     lines = lines.withColumn("line", F.rtrim(F.regexp_replace("line", "#.*$", ""))).where("trim(line) <> ''")
     lines = lines.withColumn("depth", F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))).withColumn("key", F.regexp_extract("line", r"""^\s*["']?([A-Za-z0-9_.-]+)["']?\s*:""", 1))

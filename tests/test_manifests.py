@@ -78,3 +78,15 @@ def test_python_only_for_toml(spark):
     """Only the branch of TOML files has a Python stage."""
     plan = manifest_dependencies(spark.createDataFrame([("r", "a.toml", "", "e")], ROWS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "EvalPython" not in plan
+
+
+def test_lines_are_sorted_where_their_files_were_dealt(spark, monkeypatch):
+    """The number of tasks follows from the files' characters, and lines are not shuffled after they are made."""
+    from quaymark.sources import manifests
+
+    monkeypatch.setattr(manifests, "TEXT_OF_TASK", 30)
+    text = "dependencies:\n  a:\n    git: x\n  b: 1\nother:\n  c: 1\n"
+    rows = manifests.pubspec_names(spark.createDataFrame([("r", f"{k}/pubspec.yaml", text) for k in range(3)], "repository_id string, path string, text string"))
+    assert sorted((r.path, r.dependency) for r in rows.collect()) == [(f"{k}/pubspec.yaml", d) for k in range(3) for d in "ab"]
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and f", {-(-3 * len(text) // 30)}), REPARTITION_BY_NUM" in plan
